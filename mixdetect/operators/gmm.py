@@ -16,37 +16,46 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import LN_2PI, add_all, lit, logsumexp
+from ..functions import sql as S
+from ..functions.columns import LN_2PI, add_all, lit
 from ..spec import GmmParams, MixedSpec
 
 GENERATED_STATS_LIMIT = 60
 LP = "__lp"
 
 
-def component_logpdf_exprs(p: GmmParams, xs: list[Column], with_weight: bool) -> list[Column]:
-    """log N(x; mu_m, diag var_m) (+ log weight_m), one expression per component."""
+def component_logpdf_sql(p: GmmParams, xs: list[str], with_weight: bool) -> list[str]:
+    """log N(x; mu_m, diag var_m) (+ log weight_m), one SQL expression per component."""
     d = p.d
     out = []
     for m in range(p.K):
         const = -0.5 * (d * LN_2PI + float(np.sum(np.log(p.covars[m]))))
         if with_weight:
             const += float(np.log(p.weights[m])) if p.weights[m] > 0 else -np.inf
-        quad = add_all([(xs[c] - lit(p.means[m, c])) * (xs[c] - lit(p.means[m, c])) * lit(1.0 / p.covars[m, c])
-                        for c in range(d)])
-        out.append(lit(const) - lit(0.5) * quad)
+        quad = S.add([f"({xs[c]} - {S.num(p.means[m, c])}) * ({xs[c]} - {S.num(p.means[m, c])}) * "
+                      f"{S.num(1.0 / p.covars[m, c])}" for c in range(d)])
+        out.append(f"({S.num(const)} - 0.5D * {quad})")
     return out
 
 
-def with_weighted_logpdf(df: DataFrame, p: GmmParams, spec: MixedSpec) -> DataFrame:
+def component_logpdf_exprs(p: GmmParams, spec: MixedSpec, with_weight: bool) -> list[Column]:
+    return [F.expr(e) for e in component_logpdf_sql(p, S.cont_refs(spec), with_weight)]
+
+
+def with_weighted_logpdf(df: DataFrame, p: GmmParams, spec: MixedSpec, keep: list[str] | None = None) -> DataFrame:
     """Adds ``__lp*`` (weighted component log-densities) and ``__lpmax`` (their maximum)."""
-    xs = spec.cont_exprs()
-    t = df.select("*", *[e.alias(f"{LP}{m}") for m, e in enumerate(component_logpdf_exprs(p, xs, True))])
-    lps = [F.col(f"{LP}{m}") for m in range(p.K)]
-    return t.select("*", (F.greatest(*lps) if p.K > 1 else lps[0]).alias(f"{LP}max"))
+    cols = S.keep(keep if keep is not None else df.columns)
+    lps = component_logpdf_sql(p, S.cont_refs(spec), True)
+    t = df.selectExpr(*cols, *[S.aliased(e, f"{LP}{m}") for m, e in enumerate(lps)])
+    names = [f"{LP}{m}" for m in range(p.K)]
+    mx = f"greatest({', '.join(names)})" if p.K > 1 else names[0]
+    return t.selectExpr("*", S.aliased(mx, f"{LP}max"))
 
 
-def loglik_expr(K: int) -> Column:
-    return logsumexp([F.col(f"{LP}{m}") for m in range(K)], F.col(f"{LP}max"))
+def loglik_sql(K: int) -> str:
+    if K == 1:
+        return f"{LP}0"
+    return f"({LP}max + ln({S.add([f'exp({LP}{m} - {LP}max)' for m in range(K)])}))"
 
 
 def with_cont_loglik(df: DataFrame, p: GmmParams, spec: MixedSpec, out: str = "log_p_cont") -> DataFrame:
@@ -54,14 +63,13 @@ def with_cont_loglik(df: DataFrame, p: GmmParams, spec: MixedSpec, out: str = "l
     if spec.d == 0:
         return df.withColumn(out, F.lit(0.0))
     cols = df.columns
-    return with_weighted_logpdf(df, p, spec).select(*cols, loglik_expr(p.K).alias(out))
+    return with_weighted_logpdf(df, p, spec).selectExpr(*S.keep(cols), S.aliased(loglik_sql(p.K), out))
 
 
 def with_responsibilities(df: DataFrame, p: GmmParams, spec: MixedSpec, prefix: str = "r") -> DataFrame:
     cols = df.columns
-    t = with_weighted_logpdf(df, p, spec)
-    t = t.select("*", loglik_expr(p.K).alias("__ll"))
-    return t.select(*cols, *[F.exp(F.col(f"{LP}{m}") - F.col("__ll")).alias(f"{prefix}{m}") for m in range(p.K)])
+    t = with_weighted_logpdf(df, p, spec).selectExpr("*", S.aliased(loglik_sql(p.K), "__ll"))
+    return t.selectExpr(*S.keep(cols), *[S.aliased(f"exp({LP}{m} - __ll)", f"{prefix}{m}") for m in range(p.K)])
 
 
 def argmax_component(K: int, prefix: str = "r") -> Column:
@@ -82,16 +90,18 @@ class Stats:
 
 
 def estep_frame_generated(df: DataFrame, p: GmmParams, spec: MixedSpec) -> DataFrame:
+    """One-row aggregate of all sufficient statistics, written as one SQL projection."""
     K, d = p.K, p.d
-    xs = spec.cont_exprs()
-    t = with_weighted_logpdf(df.select(*([spec.cont_array] if spec.cont_array else spec.cont_cols)), p, spec)
-    t = t.select("*", loglik_expr(K).alias("__ll"))
-    t = t.select("*", *[F.exp(F.col(f"{LP}{m}") - F.col("__ll")).alias(f"__r{m}") for m in range(K)])
-    aggs = [F.count(F.lit(1)).alias("rows"), F.sum("__ll").alias("ll")]
-    aggs += [F.sum(f"__r{m}").alias(f"n{m}") for m in range(K)]
-    aggs += [F.sum(F.col(f"__r{m}") * xs[c]).alias(f"s1_{m}_{c}") for m in range(K) for c in range(d)]
-    aggs += [F.sum(F.col(f"__r{m}") * xs[c] * xs[c]).alias(f"s2_{m}_{c}") for m in range(K) for c in range(d)]
-    return t.agg(*aggs)
+    src = [spec.cont_array] if spec.cont_array else list(spec.cont_cols)
+    t = with_weighted_logpdf(df, p, spec, keep=src)
+    xs = S.cont_refs(spec)
+    t = t.selectExpr(*S.keep(src), *[f"{LP}{m}" for m in range(K)], S.aliased(loglik_sql(K), "__ll"))
+    t = t.selectExpr(*S.keep(src), "__ll", *[S.aliased(f"exp({LP}{m} - __ll)", f"__r{m}") for m in range(K)])
+    aggs = ["count(1) AS rows", "sum(__ll) AS ll"]
+    aggs += [f"sum(__r{m}) AS n{m}" for m in range(K)]
+    aggs += [f"sum(__r{m} * {xs[c]}) AS s1_{m}_{c}" for m in range(K) for c in range(d)]
+    aggs += [f"sum(__r{m} * {xs[c]} * {xs[c]}) AS s2_{m}_{c}" for m in range(K) for c in range(d)]
+    return t.selectExpr(*aggs)
 
 
 def _partial_sums_fn(p: GmmParams, spec: MixedSpec):

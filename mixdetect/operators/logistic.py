@@ -14,44 +14,40 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import (HASH_MODULUS, STREAM_SELECT, STREAM_SLOT, add_all, lit, log_sigmoid,
-                                 pick, row_hash, selection_cutoff, sigmoid)
+from ..functions import sql as S
+from ..functions.columns import HASH_MODULUS, STREAM_SELECT, STREAM_SLOT, row_hash, selection_cutoff
 from ..spec import LogisticParams, MixedSpec, SlotLayout
-from .encode import hot_slot_of, slot_signs, unseen_count
+from .encode import unseen_count
 
 H = "__h"
 
 
-def h_exprs(params: LogisticParams, spec: MixedSpec) -> list[Column]:
-    xs = spec.cont_exprs()
+def h_sql(params: LogisticParams, spec: MixedSpec) -> list[str]:
+    """h_r = V[r, :d] . x + V[r, d]."""
+    xs = S.cont_refs(spec)
     d = len(xs)
-    out = []
-    for r in range(params.k):
-        terms = [lit(params.V[r, c]) * xs[c] for c in range(d)]
-        out.append(add_all(terms + [lit(params.V[r, d])]) if terms else lit(params.V[r, d]))
-    return out
+    return [S.add([f"{S.num(params.V[r, c])} * {xs[c]}" for c in range(d)] + [S.num(params.V[r, d])])
+            for r in range(params.k)]
 
 
 def with_h(df: DataFrame, params: LogisticParams, spec: MixedSpec) -> DataFrame:
-    return df.select("*", *[e.alias(f"{H}{r}") for r, e in enumerate(h_exprs(params, spec))])
+    return df.selectExpr("*", *[S.aliased(e, f"{H}{r}") for r, e in enumerate(h_sql(params, spec))])
 
 
-def margin_exprs(params: LogisticParams, layout: SlotLayout) -> list[Column]:
-    """w_j for every slot; needs the ``__h*`` columns of :func:`with_h`."""
-    hs = [F.col(f"{H}{r}") for r in range(params.k)]
-    return [add_all([hs[r] * lit(params.W[r, j]) for r in range(params.k)]) for j in range(layout.n_slots)]
+def margin_sql(params: LogisticParams, n_slots: int) -> list[str]:
+    """w_j = h . W[:, j]; needs the ``__h*`` columns of :func:`with_h`."""
+    return [S.add([f"{H}{r} * {S.num(params.W[r, j])}" for r in range(params.k)]) for j in range(n_slots)]
 
 
-def signed_margin_exprs(params: LogisticParams, layout: SlotLayout) -> list[Column]:
-    """z_j * w_j / lambda for every slot."""
-    return [z * w / params.lam for z, w in zip(slot_signs(layout), margin_exprs(params, layout))]
+def slot_sign_sql(layout: SlotLayout) -> list[str]:
+    """z_j = +1 if slot j is hot else -1 (unseen codes light no slot)."""
+    return [f"(CASE WHEN {S.ident(c)} = {v} THEN 1.0D ELSE -1.0D END)"
+            for i, c in enumerate(layout.cat_cols) for v in range(layout.widths[i])]
 
 
-def cat_loglik_expr(n_slots: int) -> Column:
+def cat_loglik_sql(n_slots: int) -> str:
     """Sum of log-sigmoids over the ``__m*`` columns (each margin computed once, below)."""
-    if n_slots == 0:
-        return F.lit(0.0)
-    return add_all([log_sigmoid(F.col(f"__m{j}")) for j in range(n_slots)])
+    return S.add([S.log_sigmoid(f"__m{j}") for j in range(n_slots)])
 
 
 def with_cat_loglik(df: DataFrame, params: LogisticParams, spec: MixedSpec, layout: SlotLayout,
@@ -65,10 +61,13 @@ def with_cat_loglik(df: DataFrame, params: LogisticParams, spec: MixedSpec, layo
         base = base.drop("__unseen")
     elif on_unseen not in ("all_zero", "error"):
         raise ValueError(f"on_unseen must be 'all_zero' or 'error', not {on_unseen!r}")
-    cols = df.columns
+    cols = S.keep(df.columns)
+    if layout.n_slots == 0:
+        return base.selectExpr(*cols, S.aliased("0.0D", out))
     t = with_h(base, params, spec)
-    t = t.select(*cols, *[m.alias(f"__m{j}") for j, m in enumerate(signed_margin_exprs(params, layout))])
-    return t.select(*cols, cat_loglik_expr(layout.n_slots).alias(out))
+    ms = [f"({z} * {w} / {S.num(params.lam)})" for z, w in zip(slot_sign_sql(layout), margin_sql(params, layout.n_slots))]
+    t = t.selectExpr(*cols, *[S.aliased(m, f"__m{j}") for j, m in enumerate(ms)])
+    return t.selectExpr(*cols, S.aliased(cat_loglik_sql(layout.n_slots), out))
 
 
 def with_margins(df: DataFrame, params: LogisticParams, spec: MixedSpec, layout: SlotLayout,
@@ -80,7 +79,7 @@ def with_margins(df: DataFrame, params: LogisticParams, spec: MixedSpec, layout:
         return rounded(c, digits) if digits is not None else c
 
     hs = [rd(F.col(f"{H}{r}")).alias(f"h{r}") for r in range(params.k)]
-    ws = [rd(w).alias(f"w{j}") for j, w in enumerate(margin_exprs(params, layout))]
+    ws = [rd(F.expr(w)).alias(f"w{j}") for j, w in enumerate(margin_sql(params, layout.n_slots))]
     return with_h(df, params, spec).select(*keep, *hs, *ws)
 
 
@@ -114,6 +113,13 @@ def minibatches(df: DataFrame, spec: MixedSpec, n_slots: int, steps: list[int],
         "slot", (row_hash(hash_kind, rid, F.col("step"), seed, STREAM_SLOT) % max(1, n_slots)).cast("int"))
 
 
+def hot_slot_sql(layout: SlotLayout, slot: str = "slot") -> str:
+    """True if ``slot`` names the row's hot slot."""
+    conds = [f"({S.ident(c)} >= 0 AND {S.ident(c)} < {w} AND {slot} = {S.ident(c)} + {o})"
+             for c, o, w in zip(layout.cat_cols, layout.offsets, layout.widths)]
+    return "(" + " OR ".join(conds) + ")" if conds else "false"
+
+
 def gradient_frame(mb: DataFrame, params: LogisticParams, spec: MixedSpec, layout: SlotLayout) -> DataFrame:
     """Per-slot partial gradient sums of one minibatch (<= J rows).
 
@@ -121,21 +127,18 @@ def gradient_frame(mb: DataFrame, params: LogisticParams, spec: MixedSpec, layou
     gradW and -s z W[:, j] (x) [x, 1] to gradV, with s = sigmoid(-z w_j / lambda).
     """
     k = params.k
-    xs = spec.cont_exprs() + [F.lit(1.0)]
-    slot = F.col("slot")
-    m = with_h(mb, params, spec)
-    wsl = [pick(params.W[r].tolist(), slot) for r in range(k)]
-    m = m.select("*", *[w.alias(f"__ws{r}") for r, w in enumerate(wsl)])
-    w = add_all([F.col(f"{H}{r}") * F.col(f"__ws{r}") for r in range(k)])
-    z = F.when(hot_slot_of(layout, slot), F.lit(1.0)).otherwise(F.lit(-1.0))
-    m = m.select("*", z.alias("__z"), w.alias("__w"))
-    g = -sigmoid(-F.col("__z") * F.col("__w") / params.lam) * F.col("__z")
-    m = m.select("*", g.alias("__g"))
+    xs = S.cont_refs(spec) + ["1.0D"]
+    src = [spec.row_id, "slot", *spec.cat_cols] + ([spec.cont_array] if spec.cont_array else list(spec.cont_cols))
+    wsl = [f"try_element_at(array({', '.join(S.num(v) for v in params.W[r])}), slot + 1)" for r in range(k)]
+    t = mb.selectExpr(*S.keep(src), *[S.aliased(e, f"{H}{r}") for r, e in enumerate(h_sql(params, spec))],
+                      *[S.aliased(e, f"__ws{r}") for r, e in enumerate(wsl)],
+                      S.aliased(f"CASE WHEN {hot_slot_sql(layout)} THEN 1.0D ELSE -1.0D END", "__z"))
+    w = S.add([f"{H}{r} * __ws{r}" for r in range(k)])
+    t = t.selectExpr("*", S.aliased(f"-{S.sigmoid(f'(-__z * {w} / {S.num(params.lam)})')} * __z", "__g"))
     aggs = [F.count(F.lit(1)).alias("n")]
-    aggs += [F.sum(F.col("__g") * F.col(f"{H}{r}")).alias(f"gw{r}") for r in range(k)]
-    aggs += [F.sum(F.col("__g") * F.col(f"__ws{r}") * xs[c]).alias(f"gv{r}_{c}")
-             for r in range(k) for c in range(len(xs))]
-    return m.groupBy("slot").agg(*aggs)
+    aggs += [F.expr(f"sum(__g * {H}{r})").alias(f"gw{r}") for r in range(k)]
+    aggs += [F.expr(f"sum(__g * __ws{r} * {xs[c]})").alias(f"gv{r}_{c}") for r in range(k) for c in range(len(xs))]
+    return t.groupBy("slot").agg(*aggs)
 
 
 def gradient(mb: DataFrame, params: LogisticParams, spec: MixedSpec, layout: SlotLayout

@@ -27,3 +27,27 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         sc.setCheckpointDir(path)
         return sc.getCheckpointDir() or path
     raise RuntimeError("set spark.checkpoint.dir to a shared (distributed) folder")
+
+
+def recommended_conf(cpus: int) -> dict[str, str]:
+    """Session settings the detector's plans are tuned for.
+
+    The scoring and E-step stages fuse many generated expressions into one
+    whole-stage method; HotSpot does not JIT methods above 8000 bytes of
+    bytecode by default, which leaves such a stage interpreted (about 6x
+    slower, measured).  ``-XX:-DontCompileHugeMethods`` lifts that limit; on
+    JVMs where it cannot be set, ``spark.sql.codegen.hugeMethodLimit=8000``
+    (Spark's own advice for HotSpot) splits the stage instead.
+    """
+    jit = "-XX:-DontCompileHugeMethods"
+    return {
+        "spark.ui.enabled": "false",
+        "spark.driver.extraJavaOptions": jit,
+        "spark.executor.extraJavaOptions": jit,
+        "spark.sql.shuffle.partitions": str(max(8, 2 * cpus)),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.session.timeZone": "UTC",
+        "spark.sql.execution.arrow.pyspark.enabled": "true",
+    }

@@ -225,7 +225,7 @@ def q_gmm_kmeans_init(spark, sf):
 
 def q_gmm_component_logpdf(spark, sf):
     df, spec, gp = _events(spark, sf)
-    exprs = component_logpdf_exprs(gp, spec.cont_exprs(), with_weight=False)
+    exprs = component_logpdf_exprs(gp, spec, with_weight=False)
     return df.select("row_id", *[_r(e).alias(f"lp{m}") for m, e in enumerate(exprs)])
 
 
