@@ -116,7 +116,13 @@ class Detector:
         layout = slot_layout(prof, spec)
         n = prof.n
         keep = spec.key_cols() + list(spec.cat_cols) + ([spec.cont_array] if spec.cont_array else list(spec.cont_cols))
-        data = df.select(*keep).persist(StorageLevel.MEMORY_AND_DISK)
+        data = df.select(*keep)
+        # ~100 passes read this frame: make it span every core when the source
+        # has fewer splits than that (a no-op for large inputs).
+        par = df.sparkSession.sparkContext.defaultParallelism
+        if data.rdd.getNumPartitions() < par:
+            data = data.repartition(par)
+        data = data.persist(StorageLevel.MEMORY_AND_DISK)
         hist = FitHistory()
         try:
             sgd = train_sgd(data, spec, layout, n, self._logistic_start(spec.d, layout.n_slots),

@@ -42,6 +42,7 @@ def recommended_conf(cpus: int) -> dict[str, str]:
     jit = "-XX:-DontCompileHugeMethods"
     return {
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.driver.extraJavaOptions": jit,
         "spark.executor.extraJavaOptions": jit,
         "spark.sql.shuffle.partitions": str(max(8, 2 * cpus)),

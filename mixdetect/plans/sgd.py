@@ -10,6 +10,7 @@ read the checkpoint.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,6 +22,7 @@ from ..spec import LogisticParams, MixedSpec, SlotLayout
 from .session import ensure_checkpoint_dir
 
 REDRAW_STRIDE = 1_000_000
+ROWS_PER_MB_PARTITION = 200_000
 MAX_REDRAWS = 20
 
 
@@ -38,7 +40,11 @@ def draw_minibatches(df: DataFrame, spec: MixedSpec, layout: SlotLayout, n: int,
     if not steps:
         return None
     fraction = minibatch_fraction(n, minibatch_size)
-    mb = minibatches(df, spec, layout.n_slots, steps, fraction, seed, hash_kind)
+    # ~fraction*N*steps rows in all: one partition per 200k rows keeps each
+    # step's map stage at a task or a few, however many splits the input has.
+    expected = fraction * n * len(steps)
+    parts = int(max(1, min(max(1, layout.n_slots), math.ceil(expected / ROWS_PER_MB_PARTITION))))
+    mb = minibatches(df, spec, layout.n_slots, steps, fraction, seed, hash_kind).repartition(parts, "slot")
     if checkpoint:
         ensure_checkpoint_dir(df.sparkSession)
         mb = mb.checkpoint(eager=True)
@@ -57,6 +63,7 @@ def draw_minibatches(df: DataFrame, spec: MixedSpec, layout: SlotLayout, n: int,
         if got:
             keep = extra.where(F.col("step").isin(sorted(got)))
             mb = mb.unionByName(keep)
+            mb = mb.repartition(parts, "slot")
             if checkpoint:
                 mb = mb.checkpoint(eager=True)
         empty = [s for s in empty if s not in got]

@@ -85,7 +85,7 @@ class DetectorParams:
     em_tol: float = 1e-3
     em_tol_on: str = "mean"  # "mean" (default) or "total" (original behaviour)
     min_covar: float = 1e-3
-    kmeans_max_iter: int = 100
+    kmeans_max_iter: int = 20
     # scoring / threshold
     mode: str = "joint"
     order: str = "score"  # or "label_score"
