@@ -229,6 +229,42 @@ def kmeans_means(df: DataFrame, spec: MixedSpec, K: int, seed: int, max_iter: in
     return centres
 
 
+def hashed_kmeans_means(df: DataFrame, spec: MixedSpec, K: int, seed: int, max_iter: int = 20,
+                        tol: float = 1e-4, candidates: int | None = None) -> np.ndarray:
+    """Partition-independent k-means start.
+
+    Seeds: k-means++ (seeded NumPy) over a bounded candidate set, the
+    ``max(100, 10K)`` rows with the smallest seeded hash of ``row_id``
+    (a TakeOrderedAndProject).  Then Lloyd steps over all rows, one generated
+    aggregate each; an empty cluster keeps its centre.
+    """
+    from ..functions.columns import xx_hash
+
+    m = candidates or max(100, 10 * K)
+    xs = spec.cont_exprs()
+    cand = (df.select(xx_hash(F.col(spec.row_id), 0, seed, 3).alias("__h"), F.col(spec.row_id).alias("__id"),
+                      *[x.alias(f"__x{c}") for c, x in enumerate(xs)])
+            .orderBy("__h", "__id").limit(m).collect())  # <= m rows
+    X = np.array([[r[f"__x{c}"] for c in range(len(xs))] for r in cand], dtype=float)
+    rng = np.random.default_rng(seed)
+    centres = [X[rng.integers(len(X))]]
+    for _ in range(1, K):
+        d2 = np.min([((X - c) ** 2).sum(axis=1) for c in centres], axis=0)
+        tot = d2.sum()
+        centres.append(X[rng.integers(len(X))] if tot <= 0 else X[rng.choice(len(X), p=d2 / tot)])
+    C = np.array(centres)
+    for _ in range(max_iter):
+        rows = lloyd_step_frame(df, spec, C).collect()  # <= K rows
+        new = C.copy()
+        for r in rows:
+            new[int(r["component"])] = [r[f"centre{c}"] for c in range(C.shape[1])]
+        moved = float(np.sqrt(((new - C) ** 2).sum(axis=1)).max())
+        C = new
+        if moved < tol:
+            break
+    return C
+
+
 def lloyd_step_frame(df: DataFrame, spec: MixedSpec, centres: np.ndarray) -> DataFrame:
     """One k-means step from given centres: assign to the nearest, then average."""
     xs = spec.cont_exprs()

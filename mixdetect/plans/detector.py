@@ -20,7 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.encode import profile, slot_layout, validate
-from ..operators.gmm import kmeans_means, with_cont_loglik, with_responsibilities, argmax_component
+from ..operators.gmm import (argmax_component, hashed_kmeans_means, kmeans_means, with_cont_loglik,
+                             with_responsibilities)
 from ..operators.logistic import with_cat_loglik
 from ..operators.scoring import (combined_score, flag_expr, interpolate_expr, score_range, threshold)
 from ..spec import (DetectorParams, FitHistory, GmmParams, LogisticParams, MixedSpec, SlotLayout,
@@ -140,7 +141,13 @@ class Detector:
                     start = given_gmm(K, spec.d)
                 else:
                     var = np.array([(v or 0.0) + p.min_covar for v in prof.cont_var])
-                    start = start_params(kmeans_means(data, spec, K, p.seed, p.kmeans_max_iter), var)
+                    if p.kmeans_init == "hash":
+                        means = hashed_kmeans_means(data, spec, K, p.seed, p.kmeans_max_iter)
+                    elif p.kmeans_init == "kmeans||":
+                        means = kmeans_means(data, spec, K, p.seed, p.kmeans_max_iter)
+                    else:
+                        raise ValueError(f"unknown kmeans_init {p.kmeans_init!r}")
+                    start = start_params(means, var)
                 em = train_em(data, spec, start, max_iter=p.em_max_iter, tol=p.em_tol, tol_on=p.em_tol_on,
                               min_covar=p.min_covar)
                 gmm = em.params

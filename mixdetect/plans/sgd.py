@@ -76,6 +76,8 @@ def train_sgd(df: DataFrame, spec: MixedSpec, layout: SlotLayout, n: int, start:
               checkpoint: bool = True) -> SgdResult:
     params = start.copy()
     history: list[tuple[int, int, float, float]] = []
+    if layout.n_slots == 0:  # all-continuous input: no categorical slot to model
+        return SgdResult(params, history, False)
     mb = draw_minibatches(df, spec, layout, n, max_iterations, minibatch_size, seed, hash_kind, checkpoint)
     if mb is None:
         return SgdResult(params, history, False)

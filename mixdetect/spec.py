@@ -86,6 +86,7 @@ class DetectorParams:
     em_tol_on: str = "mean"  # "mean" (default) or "total" (original behaviour)
     min_covar: float = 1e-3
     kmeans_max_iter: int = 20
+    kmeans_init: str = "hash"  # "hash" (partition-independent) or "kmeans||" (Spark ML)
     # scoring / threshold
     mode: str = "joint"
     order: str = "score"  # or "label_score"
