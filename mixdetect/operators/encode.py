@@ -29,24 +29,25 @@ class Profile:
 
 def profile_frame(df: DataFrame, spec: MixedSpec) -> DataFrame:
     """The single-row profile aggregate (also registered as a query)."""
-    aggs: list[Column] = [F.count(F.lit(1)).alias("n_rows")]
-    for i, c in enumerate(spec.cat_cols):
-        v = F.col(c)
+    from ..functions import sql as S
+
+    aggs = ["count(1) AS n_rows"]
+    for c in spec.cat_cols:
+        v, dv = S.ident(c), f"CAST({S.ident(c)} AS DOUBLE)"
         aggs += [
-            F.min(v).cast("long").alias(f"{c}_min"),
-            F.max(v).cast("long").alias(f"{c}_max"),
-            (F.coalesce(F.max(v).cast("long"), F.lit(-1)) + 1).alias(f"{c}_width"),
-            F.sum(F.when(v.isNull(), 1).otherwise(0)).cast("long").alias(f"{c}_nulls"),
-            F.sum(F.when((v < 0) | (v.cast("double") != F.floor(v.cast("double"))), 1).otherwise(0))
-            .cast("long").alias(f"{c}_bad"),
+            f"CAST(min({v}) AS BIGINT) AS {S.ident(c + '_min')}",
+            f"CAST(max({v}) AS BIGINT) AS {S.ident(c + '_max')}",
+            f"coalesce(CAST(max({v}) AS BIGINT), -1) + 1 AS {S.ident(c + '_width')}",
+            f"CAST(sum(CASE WHEN {v} IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS {S.ident(c + '_nulls')}",
+            f"CAST(sum(CASE WHEN {v} < 0 OR {dv} != floor({dv}) THEN 1 ELSE 0 END) AS BIGINT) AS {S.ident(c + '_bad')}",
         ]
-    for j, x in enumerate(spec.cont_exprs()):
-        name = spec.cont_cols[j] if not spec.cont_array else f"{spec.cont_array}_{j}"
+    names = spec.cont_cols if not spec.cont_array else [f"{spec.cont_array}_{j}" for j in range(spec.cont_dim)]
+    for x, name in zip(S.cont_refs(spec), names):
         aggs += [
-            F.var_pop(x).alias(f"{name}_var"),
-            F.sum(F.when(x.isNull() | F.isnan(x), 1).otherwise(0)).cast("long").alias(f"{name}_bad"),
+            f"var_pop({x}) AS {S.ident(name + '_var')}",
+            f"CAST(sum(CASE WHEN {x} IS NULL OR isnan({x}) THEN 1 ELSE 0 END) AS BIGINT) AS {S.ident(name + '_bad')}",
         ]
-    return df.agg(*aggs)
+    return df.selectExpr(*aggs)
 
 
 def profile(df: DataFrame, spec: MixedSpec) -> Profile:
@@ -104,29 +105,6 @@ def hot_flags(layout: SlotLayout) -> list[Column]:
     return out
 
 
-def slot_signs(layout: SlotLayout) -> list[Column]:
-    """z_j = +1 if slot j is hot else -1 (unseen codes light no slot)."""
-    out = []
-    for i, c in enumerate(layout.cat_cols):
-        for v in range(layout.widths[i]):
-            out.append(F.when(F.col(c) == v, F.lit(1.0)).otherwise(F.lit(-1.0)))
-    return out
-
-
-def hot_slot_of(layout: SlotLayout, slot: Column) -> Column:
-    """True if the (0-based) ``slot`` column names the row's hot slot."""
-    conds = []
-    for i, c in enumerate(layout.cat_cols):
-        o, w = layout.offsets[i], layout.widths[i]
-        conds.append((F.col(c) >= 0) & (F.col(c) < w) & (slot == F.col(c) + o))
-    if not conds:
-        return F.lit(False)
-    out = conds[0]
-    for cnd in conds[1:]:
-        out = out | cnd
-    return out
-
-
 def unseen_count(layout: SlotLayout) -> Column:
     return add_all([F.when((F.col(c) < 0) | (F.col(c) >= w), 1).otherwise(0)
                     for c, w in zip(layout.cat_cols, layout.widths)]) if layout.cat_cols else F.lit(0)

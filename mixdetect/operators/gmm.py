@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import sql as S
-from ..functions.columns import LN_2PI, add_all, lit
+from ..functions.columns import LN_2PI
 from ..spec import GmmParams, MixedSpec
 
 GENERATED_STATS_LIMIT = 60
@@ -266,14 +266,14 @@ def hashed_kmeans_means(df: DataFrame, spec: MixedSpec, K: int, seed: int, max_i
 
 
 def lloyd_step_frame(df: DataFrame, spec: MixedSpec, centres: np.ndarray) -> DataFrame:
-    """One k-means step from given centres: assign to the nearest, then average."""
-    xs = spec.cont_exprs()
+    """One k-means step from given centres: assign to the nearest (first on ties), then average."""
+    xs = S.cont_refs(spec)
     K, d = centres.shape
-    dists = [add_all([(xs[c] - lit(centres[m, c])) * (xs[c] - lit(centres[m, c])) for c in range(d)])
+    dists = [S.add([f"({xs[c]} - {S.num(centres[m, c])}) * ({xs[c]} - {S.num(centres[m, c])})" for c in range(d)])
              for m in range(K)]
-    arr = F.array(*dists)
-    t = df.select(*xs, (F.array_position(arr, F.array_min(arr)) - 1).cast("int").alias("component"))
-    names = [f"__x{c}" for c in range(d)]
-    t = t.toDF(*names, "component")
+    t = df.selectExpr(*[S.aliased(x, f"__x{c}") for c, x in enumerate(xs)],
+                      *[S.aliased(e, f"__d{m}") for m, e in enumerate(dists)])
+    arr = f"array({', '.join(f'__d{m}' for m in range(K))})"
+    t = t.selectExpr(*[f"__x{c}" for c in range(d)], f"CAST(array_position({arr}, array_min({arr})) - 1 AS INT) AS component")
     return t.groupBy("component").agg(F.count(F.lit(1)).alias("n"),
-                                      *[F.avg(n).alias(f"centre{c}") for c, n in enumerate(names)])
+                                      *[F.avg(f"__x{c}").alias(f"centre{c}") for c in range(d)])

@@ -27,7 +27,7 @@ from ..functions.columns import pick
 FINAL_BAND_ROWS = 100_000
 SKETCH_ACCURACY = 10_000
 ROWS_PER_BUCKET = 2_000_000
-MAX_BUCKETS = 4096
+MAX_BUCKETS = 16384  # 1e11 rows -> ~6M rows per window task
 
 
 def kth_smallest(df: DataFrame, col: str | Column, k: int, n: int | None = None,
