@@ -120,6 +120,21 @@ def hot_slot_sql(layout: SlotLayout, slot: str = "slot") -> str:
     return "(" + " OR ".join(conds) + ")" if conds else "false"
 
 
+GLOBAL_GRADIENT_LIMIT = 256  # k*J conditional sums; above it, group by slot
+
+
+def _gradient_rows(mb: DataFrame, params: LogisticParams, spec: MixedSpec, layout: SlotLayout) -> DataFrame:
+    """Per-row gradient pieces: slot, __h*, __ws* (= W[:, slot]) and __g = -s z."""
+    k = params.k
+    src = ["slot", *spec.cat_cols] + ([spec.cont_array] if spec.cont_array else list(spec.cont_cols))
+    wsl = [f"try_element_at(array({', '.join(S.num(v) for v in params.W[r])}), slot + 1)" for r in range(k)]
+    t = mb.selectExpr(*S.keep(src), *[S.aliased(e, f"{H}{r}") for r, e in enumerate(h_sql(params, spec))],
+                      *[S.aliased(e, f"__ws{r}") for r, e in enumerate(wsl)],
+                      S.aliased(f"CASE WHEN {hot_slot_sql(layout)} THEN 1.0D ELSE -1.0D END", "__z"))
+    w = S.add([f"{H}{r} * __ws{r}" for r in range(k)])
+    return t.selectExpr("*", S.aliased(f"-{S.sigmoid(f'(-__z * {w} / {S.num(params.lam)})')} * __z", "__g"))
+
+
 def gradient_frame(mb: DataFrame, params: LogisticParams, spec: MixedSpec, layout: SlotLayout) -> DataFrame:
     """Per-slot partial gradient sums of one minibatch (<= J rows).
 
@@ -128,25 +143,43 @@ def gradient_frame(mb: DataFrame, params: LogisticParams, spec: MixedSpec, layou
     """
     k = params.k
     xs = S.cont_refs(spec) + ["1.0D"]
-    src = [spec.row_id, "slot", *spec.cat_cols] + ([spec.cont_array] if spec.cont_array else list(spec.cont_cols))
-    wsl = [f"try_element_at(array({', '.join(S.num(v) for v in params.W[r])}), slot + 1)" for r in range(k)]
-    t = mb.selectExpr(*S.keep(src), *[S.aliased(e, f"{H}{r}") for r, e in enumerate(h_sql(params, spec))],
-                      *[S.aliased(e, f"__ws{r}") for r, e in enumerate(wsl)],
-                      S.aliased(f"CASE WHEN {hot_slot_sql(layout)} THEN 1.0D ELSE -1.0D END", "__z"))
-    w = S.add([f"{H}{r} * __ws{r}" for r in range(k)])
-    t = t.selectExpr("*", S.aliased(f"-{S.sigmoid(f'(-__z * {w} / {S.num(params.lam)})')} * __z", "__g"))
+    t = _gradient_rows(mb, params, spec, layout)
     aggs = [F.count(F.lit(1)).alias("n")]
     aggs += [F.expr(f"sum(__g * {H}{r})").alias(f"gw{r}") for r in range(k)]
     aggs += [F.expr(f"sum(__g * __ws{r} * {xs[c]})").alias(f"gv{r}_{c}") for r in range(k) for c in range(len(xs))]
     return t.groupBy("slot").agg(*aggs)
 
 
+def gradient_global_frame(mb: DataFrame, params: LogisticParams, spec: MixedSpec, layout: SlotLayout) -> DataFrame:
+    """The same sums as one global aggregate (one row, k*J conditional sums for gradW).
+
+    A global aggregate over a single-partition input needs no exchange: the
+    per-step job of a small minibatch frame is then one stage of one task.
+    """
+    k = params.k
+    xs = S.cont_refs(spec) + ["1.0D"]
+    t = _gradient_rows(mb, params, spec, layout)
+    aggs = ["count(1) AS n"]
+    aggs += [f"sum(CASE WHEN slot = {j} THEN __g * {H}{r} END) AS gw{r}_{j}"
+             for r in range(k) for j in range(layout.n_slots)]
+    aggs += [f"sum(__g * __ws{r} * {xs[c]}) AS gv{r}_{c}" for r in range(k) for c in range(len(xs))]
+    return t.selectExpr(*aggs)
+
+
 def gradient(mb: DataFrame, params: LogisticParams, spec: MixedSpec, layout: SlotLayout
              ) -> tuple[np.ndarray, np.ndarray, int]:
     """Summed (not yet averaged) gradW, gradV and the minibatch size."""
     k, J, d1 = params.k, layout.n_slots, params.V.shape[1]
     gW = np.zeros((k, J))
     gV = np.zeros((k, d1))
+    if k * J <= GLOBAL_GRADIENT_LIMIT:
+        row = gradient_global_frame(mb, params, spec, layout).first()
+        for r in range(k):
+            for j in range(J):
+                gW[r, j] = row[f"gw{r}_{j}"] or 0.0
+            for c in range(d1):
+                gV[r, c] = row[f"gv{r}_{c}"] or 0.0
+        return gW, gV, int(row["n"])
     n = 0
     for row in gradient_frame(mb, params, spec, layout).collect():  # <= J rows
         j = int(row["slot"])
