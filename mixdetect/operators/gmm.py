@@ -198,16 +198,16 @@ def sparse_variance(long_df: DataFrame, dim: int, min_covar: float = 1e-3, n_row
     """
     spark = long_df.sparkSession
     if n_rows is None:
-        n_col = long_df.select(row_id).distinct().agg(F.count(F.lit(1)).alias("n"))
-    else:
-        n_col = spark.range(1).select(F.lit(int(n_rows)).cast("long").alias("n"))
-    sums = long_df.groupBy(idx).agg(F.sum(value).alias("s1"), F.sum(F.col(value) * F.col(value)).alias("s2"))
+        n_rows = long_df.select(row_id).distinct().count()  # shuffle on row_id, one number back
+    n = F.lit(float(n_rows))
+    # restricted to 0 <= idx < dim, ``sums`` has at most ``dim`` rows: a proven broadcast bound
+    sums = (long_df.where((F.col(idx) >= 0) & (F.col(idx) < dim)).groupBy(idx)
+            .agg(F.sum(value).alias("s1"), F.sum(F.col(value) * F.col(value)).alias("s2")))
     dims = spark.range(dim).select(F.col("id").cast("int").alias(idx))
-    # ``dims`` has exactly ``dim`` rows and ``n_col`` one row: both broadcast by size.
-    t = (F.broadcast(dims).join(sums, idx, "left").crossJoin(F.broadcast(n_col))
-         .select(idx, F.coalesce("s1", F.lit(0.0)).alias("s1"), F.coalesce("s2", F.lit(0.0)).alias("s2"), "n"))
-    mean = F.col("s1") / F.col("n")
-    return t.select(idx, (F.col("s2") / F.col("n") - mean * mean + F.lit(min_covar)).alias("variance"))
+    t = (dims.join(F.broadcast(sums), idx, "left")
+         .select(idx, F.coalesce("s1", F.lit(0.0)).alias("s1"), F.coalesce("s2", F.lit(0.0)).alias("s2")))
+    mean = F.col("s1") / n
+    return t.select(idx, (F.col("s2") / n - mean * mean + F.lit(min_covar)).alias("variance"))
 
 
 def kmeans_means(df: DataFrame, spec: MixedSpec, K: int, seed: int, max_iter: int = 100) -> np.ndarray:

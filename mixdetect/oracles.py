@@ -40,6 +40,7 @@ ORDERS_SLOTS = 12
 
 ORDERS_CATS = ["c0", "c1", "c2"]
 ORDERS_CONTS = ["x0", "x1"]
+EVENTS_CATS = ["c0", "c1"]
 EVENTS_CONTS = ["x0", "x1", "x2"]
 
 
@@ -375,13 +376,8 @@ def sql_gmm_estep() -> str:
 
 
 def sql_gmm_estep_wide() -> str:
-    d = 64
-    c = Ctes()
-    c.add("fx", "SELECT vec_id AS row_id, embedding FROM embeddings")
-    c.add("xc", f"SELECT row_id, CAST(i - 1 AS INTEGER) AS c, CAST(embedding[i] AS DOUBLE) AS x "
-                f"FROM fx, range(1, {d + 1}) t(i)")
-    given_gmm_cte(c, Q.GMM_K, d)
-    es = em_step_ctes(c, "gp0", "gp1", d)
+    c = _wide()
+    es = em_step_ctes(c, "gp0", "gp1", 64)
     return _estep_out(c, es, "gp1_ll")
 
 
@@ -432,6 +428,36 @@ def _scores(mode: str) -> Ctes:
     return c
 
 
+def sql_stream_score_events() -> str:
+    """Batch SQL of what the streaming query computes per micro-batch."""
+    d = len(EVENTS_CONTS)
+    c = Ctes()
+    long_parts(c, EVENTS_SQL, EVENTS_CATS, EVENTS_CONTS, intercept=True)
+    given_logistic_ctes(c, Q.LOGISTIC_K, d)
+    lpc = logistic_ctes(c, "pv0", "pw0", Q.LAMBDA)
+    given_gmm_cte(c, Q.GMM_K, d)
+    _, ll, _ = gmm_ctes(c, "gp0", d)
+    c.add("sc", f"SELECT fx.row_id, fx.label, g.ll AS log_p_cont, l.log_p_cat, g.ll + l.log_p_cat AS score "
+                f"FROM fx JOIN {ll} g ON g.row_id = fx.row_id JOIN {lpc} l ON l.row_id = fx.row_id")
+    return c.sql(_score_out())
+
+
+def _wide() -> Ctes:
+    d = 64
+    c = Ctes()
+    c.add("fx", "SELECT vec_id AS row_id, embedding FROM embeddings")
+    c.add("xc", f"SELECT row_id, CAST(i - 1 AS INTEGER) AS c, CAST(embedding[i] AS DOUBLE) AS x "
+                f"FROM fx, range(1, {d + 1}) t(i)")
+    given_gmm_cte(c, Q.GMM_K, d)
+    return c
+
+
+def sql_gmm_loglik_wide() -> str:
+    c = _wide()
+    _, ll, _ = gmm_ctes(c, "gp0", 64)
+    return c.sql(f"SELECT row_id, {rnd('ll')} AS loglik FROM {ll}")
+
+
 def _score_out() -> str:
     return (f"SELECT row_id, label, {rnd('log_p_cont')} AS log_p_cont, {rnd('log_p_cat')} AS log_p_cat, "
             f"{rnd('score')} AS score FROM sc")
@@ -572,12 +598,14 @@ ORACLES = {
     "gmm_responsibilities": sql_gmm_responsibilities,
     "gmm_estep": sql_gmm_estep,
     "gmm_estep_wide": sql_gmm_estep_wide,
+    "gmm_loglik_wide": sql_gmm_loglik_wide,
     "gmm_em_step": sql_gmm_em_step,
     "gmm_fit_3": sql_gmm_fit_3,
     "gmm_predict": sql_gmm_predict,
     "gmm_assign": sql_gmm_assign,
     "score_product": sql_score_product,
     "score_joint": sql_score_joint,
+    "stream_score_events": sql_stream_score_events,
     "topk_anomalies": sql_topk_anomalies,
     "threshold_score": sql_threshold_score,
     "threshold_label_score": sql_threshold_label_score,

@@ -309,6 +309,32 @@ def q_score_joint(spark, sf):
     return _score_cols(_scored_orders(spark, sf, "joint"))
 
 
+def q_stream_score_events(spark, sf):
+    """A3 on Structured Streaming: the events table read as a file stream,
+    scored per micro-batch by the same projection as batch scoring."""
+    from .plans.detector import DetectorModel
+    from .sources.fixtures import mixed_events_from, table
+    from .streaming import score_stream_to_parquet
+
+    df, spec, gp = _events(spark, sf)
+    layout = slot_layout(profile(df, spec), spec)
+    model = DetectorModel(spec, layout, given_logistic(LOGISTIC_K, spec.d, layout.n_slots, LAMBDA), gp,
+                          DetectorParams())
+    stream = (spark.readStream.schema(table(spark, sf, "events").schema)
+              .option("pathGlobFilter", "events.parquet").parquet(sf))
+    cols = ["row_id", "label", _r(F.col("log_p_cont")).alias("log_p_cont"),
+            _r(F.col("log_p_cat")).alias("log_p_cat"), _r(F.col("score")).alias("score")]
+    return score_stream_to_parquet(model, mixed_events_from(stream), "events", cols)
+
+
+def q_gmm_loglik_wide(spark, sf):
+    """All-continuous array input: mixture log-likelihood over 64-dim embeddings."""
+    df = wide_embeddings(spark, sf)
+    gp = given_gmm(GMM_K, WIDE_EMBEDDINGS_SPEC.d)
+    t = with_cont_loglik(df, gp, WIDE_EMBEDDINGS_SPEC, "loglik")
+    return t.select("row_id", _r(F.col("loglik")).alias("loglik"))
+
+
 def q_topk_anomalies(spark, sf):
     s = _scored_orders(spark, sf, "joint")
     return top_k(s, TOPK).select("row_id", "label", _r(F.col("score")).alias("score"))
@@ -424,12 +450,14 @@ QUERIES: dict[str, Query] = {
     "gmm_responsibilities": q_gmm_responsibilities,
     "gmm_estep": q_gmm_estep,
     "gmm_estep_wide": q_gmm_estep_wide,
+    "gmm_loglik_wide": q_gmm_loglik_wide,
     "gmm_em_step": q_gmm_em_step,
     "gmm_fit_3": q_gmm_fit_3,
     "gmm_predict": q_gmm_predict,
     "gmm_assign": q_gmm_assign,
     "score_product": q_score_product,
     "score_joint": q_score_joint,
+    "stream_score_events": q_stream_score_events,
     "topk_anomalies": q_topk_anomalies,
     "threshold_score": q_threshold_score,
     "threshold_label_score": q_threshold_label_score,

@@ -35,3 +35,25 @@ def start_scoring_query(model: DetectorModel, stream: DataFrame, sink: str, name
     if trigger_available_now:
         w = w.trigger(availableNow=True)
     return w.start()
+
+
+def score_stream_to_parquet(model: DetectorModel, stream: DataFrame, name: str, columns: list | None = None):
+    """Run the scoring stream to completion (``availableNow``) into a parquet
+    table under the shared checkpoint folder and return that table.
+
+    Nothing passes through the driver: micro-batches are written by the
+    executors, and the stream's own checkpoint makes a rerun resume.
+    """
+    import uuid
+
+    spark = stream.sparkSession
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{name}-{uuid.uuid4().hex}"
+    out = score_stream(model, stream)
+    if columns is not None:
+        out = out.select(*columns)
+    q = (out.writeStream.outputMode("append").format("parquet").option("path", f"{base}/data")
+         .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start())
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise q.exception()
+    return spark.read.schema(out.schema).parquet(f"{base}/data")
