@@ -12,6 +12,7 @@ literals: no shuffle, no Python, and valid on streaming frames.
 
 from __future__ import annotations
 
+import dataclasses
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -87,6 +88,51 @@ class DetectorModel:
             out["gmm"] = self.gmm.to_frame(spark)
         return out
 
+    def save(self, spark, path: str) -> None:
+        """Write the model as small parquet tables plus one JSON line under ``path``
+        (any filesystem Spark can write to, so a streaming job elsewhere can load it)."""
+        import json
+
+        meta = {"spec": dataclasses.asdict(self.spec), "params": self.params.as_dict(), "lam": self.logistic.lam,
+                "n_train": self.n_train, "threshold": self.threshold, "score_min": self.score_min,
+                "score_max": self.score_max}
+        spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1) \
+            .write.mode("overwrite").text(f"{path}/meta")
+        for name, frame in self.parameter_frames(spark).items():
+            frame.coalesce(1).write.mode("overwrite").parquet(f"{path}/{name}")
+
+    @classmethod
+    def load(cls, spark, path: str) -> "DetectorModel":
+        import json
+
+        from ..spec import SlotLayout
+
+        meta = json.loads(spark.read.text(f"{path}/meta").first()["value"])
+        sd = meta["spec"]
+        spec = MixedSpec(**{k: tuple(v) if isinstance(v, list) else v for k, v in sd.items()})
+        slots = sorted(spark.read.parquet(f"{path}/slots").collect(), key=lambda r: r["offset"])
+        layout = SlotLayout(tuple(r["cat_col"] for r in slots), tuple(int(r["width"]) for r in slots))
+        lg = spark.read.parquet(f"{path}/logistic").collect()  # k x (d+1) + k x J values
+        k = 1 + max(r["r"] for r in lg)
+        V = np.zeros((k, spec.d + 1))
+        W = np.zeros((k, layout.n_slots))
+        for r in lg:
+            (V if r["matrix"] == "V" else W)[r["r"], r["c"]] = r["value"]
+        gmm = None
+        try:
+            g = spark.read.parquet(f"{path}/gmm").collect()  # K x d values
+        except Exception:  # noqa: BLE001 -- no continuous part saved
+            g = []
+        if g:
+            K = 1 + max(r["component"] for r in g)
+            gmm = GmmParams(np.zeros(K), np.zeros((K, spec.d)), np.zeros((K, spec.d)))
+            for r in g:
+                gmm.weights[r["component"]] = r["weight"]
+                gmm.means[r["component"], r["dim"]] = r["mean"]
+                gmm.covars[r["component"], r["dim"]] = r["var"]
+        return cls(spec, layout, LogisticParams(V, W, meta["lam"]), gmm, DetectorParams(**meta["params"]),
+                   meta["n_train"], meta["threshold"], meta["score_min"], meta["score_max"])
+
 
 class Detector:
     def __init__(self, spec: MixedSpec, params: DetectorParams = DetectorParams(),

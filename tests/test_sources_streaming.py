@@ -72,3 +72,20 @@ def test_stream_scoring_equals_batch(spark):
     want = model.transform(df).select("row_id", "score", "is_anomaly")
     assert got.count() == want.count() == df.count()
     assert sorted(got.collect()) == sorted(want.collect())
+
+
+def test_model_save_load_roundtrip(spark):
+    from mixdetect import Detector
+    from mixdetect.plans.detector import DetectorModel
+
+    df = mixed_orders(spark, SF_SMALL)
+    p = DetectorParams(subspace_dimension=2, logistic_lambda=0.1, gaussian_num=3, max_iterations=5, em_max_iter=3,
+                       kmeans_max_iter=3)
+    model = Detector(MIXED_ORDERS_SPEC, p).fit(df)
+    path = tempfile.mkdtemp(prefix="mixdetect-model-")
+    model.save(spark, path)
+    back = DetectorModel.load(spark, path)
+    assert back.threshold == model.threshold and back.params == model.params and back.spec == model.spec
+    a = sorted(model.transform(df).select("row_id", "score", "is_anomaly").collect())
+    b = sorted(back.transform(df).select("row_id", "score", "is_anomaly").collect())
+    assert a == b
