@@ -108,3 +108,9 @@ def literal_array(values: Sequence[float]) -> Column:
 def pick(values: Sequence[float], index: Column) -> Column:
     """values[index] for a 0-based integer column (null when out of range)."""
     return F.try_element_at(literal_array(values), index.cast("int") + 1)
+
+
+def pick_long(values: Sequence[int], index: Column) -> Column:
+    """Exact integer version of :func:`pick` (counts and offsets stay bigint)."""
+    arr = F.array(*[F.lit(int(v)).cast("long") for v in values])
+    return F.try_element_at(arr, index.cast("int") + 1)

@@ -22,7 +22,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import pick
+from ..functions.columns import pick_long
 
 FINAL_BAND_ROWS = 100_000
 SKETCH_ACCURACY = 10_000
@@ -146,7 +146,7 @@ def global_positions(df: DataFrame, order_cols: list[str], n: int | None = None,
         offsets.append(acc)
         acc += counts.get(i, 0)
     w = Window.partitionBy("__bucket").orderBy(*order_cols)
-    return (b.withColumn(out, (pick(offsets, F.col("__bucket")).cast("long") + F.row_number().over(w) - 1))
+    return (b.withColumn(out, (pick_long(offsets, F.col("__bucket")) + F.row_number().over(w) - 1))
             .drop("__bucket"))
 
 
@@ -175,7 +175,7 @@ def auc_frame(df: DataFrame, score: str | Column, label: str = "label", n_bucket
             acc += tot.get(i, 0)
         w = (Window.partitionBy("__bucket").orderBy("s")
              .rowsBetween(Window.unboundedPreceding, -1))
-        below = pick(offsets, F.col("__bucket")) + F.coalesce(F.sum("neg").over(w), F.lit(0))
+        below = pick_long(offsets, F.col("__bucket")) + F.coalesce(F.sum("neg").over(w), F.lit(0))
         t = b.select("pos", "neg", (F.col("pos") * (below + F.col("neg") * 0.5)).alias("c"))
         res = t.agg(F.sum("c").alias("c"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
         res = res.select(
