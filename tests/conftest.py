@@ -19,7 +19,7 @@ def spark():
     b = SparkSession.builder.master("local[4]").appName("mixdetect-tests")
     for k, v in recommended_conf(4).items():
         b = b.config(k, v)
-    s = b.config("spark.sql.shuffle.partitions", "8").getOrCreate()
+    s = b.config("spark.sql.shuffle.partitions", "8").config("spark.driver.memory", "4g").getOrCreate()
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()

@@ -160,3 +160,15 @@ def test_a12_parameters(spark):
     assert "anomaly_ratio" in DetectorParams.param_names()
     with pytest.raises(ValueError):
         p.replace(not_a_param=1)
+
+
+def test_fit_on_wide_array_input(spark):
+    """All-continuous 64-dim array input: hashed k-means start, Arrow E-step, GMM-only score."""
+    from mixdetect.sources import WIDE_EMBEDDINGS_SPEC, wide_embeddings
+
+    df = wide_embeddings(spark, SF_SMALL)
+    m = Detector(WIDE_EMBEDDINGS_SPEC, QUICK.replace(gaussian_num=3, anomaly_ratio=0.1)).fit(df)
+    assert m.gmm.means.shape == (3, 64) and len(m.history.em) >= 1
+    s = m.transform(df)
+    assert s.where("is_anomaly").count() == int(df.count() * 0.1)
+    assert s.agg(F.max(F.abs("log_p_cat"))).first()[0] == 0.0
