@@ -28,6 +28,7 @@ from ..operators.scoring import (combined_score, flag_expr, interpolate_expr, sc
 from ..spec import (DetectorParams, FitHistory, GmmParams, LogisticParams, MixedSpec, SlotLayout,
                     constant_logistic, given_gmm, given_logistic, random_logistic)
 from .em import start_params, train_em
+from .session import local_parallelism
 from .sgd import train_sgd
 
 
@@ -166,8 +167,8 @@ class Detector:
         data = df.select(*keep)
         # ~100 passes read this frame: make it span every core when the source
         # has fewer splits than that (a no-op for large inputs).
-        par = df.sparkSession.sparkContext.defaultParallelism
-        if data.rdd.getNumPartitions() < par:
+        par = local_parallelism(df.sparkSession)
+        if par is not None and data.rdd.getNumPartitions() < par:
             data = data.repartition(par)
         data = data.persist(StorageLevel.MEMORY_AND_DISK)
         hist = FitHistory()

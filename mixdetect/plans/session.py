@@ -14,7 +14,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     temporary directory; on a cluster a missing setting is an error, since a
     machine-local folder would not survive the loss of an executor.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 -- Spark Connect: the server owns the checkpoint setting
+        conf = spark.conf.get("spark.checkpoint.dir", None)
+        if conf:
+            return conf
+        raise RuntimeError("set spark.checkpoint.dir to a shared (distributed) folder") from None
     current = sc.getCheckpointDir()
     if current:
         return current
@@ -52,3 +58,11 @@ def recommended_conf(cpus: int) -> dict[str, str]:
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     }
+
+
+def local_parallelism(spark: SparkSession) -> int | None:
+    """Default parallelism of a classic session (None under Spark Connect)."""
+    try:
+        return spark.sparkContext.defaultParallelism
+    except Exception:  # noqa: BLE001
+        return None
