@@ -13,6 +13,7 @@ literals: no shuffle, no Python, and valid on streaming frames.
 from __future__ import annotations
 
 import dataclasses
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -156,6 +157,34 @@ class Detector:
             return random_logistic(k, d, J, p.logistic_lambda, p.seed)
         raise ValueError(f"unknown init {p.init!r}")
 
+    def _fit_logistic(self, data: DataFrame, layout: SlotLayout, n: int):
+        p, spec = self.params, self.spec
+        return train_sgd(data, spec, layout, n, self._logistic_start(spec.d, layout.n_slots),
+                         max_iterations=p.max_iterations, minibatch_size=p.minibatch_size,
+                         reg=p.regularization_parameter, lr0=p.learning_rate_start,
+                         lr_speed=p.learning_rate_speed, radius=p.normalizing_radius,
+                         seed=p.seed, hash_kind=p.hash_kind, no_progress_tol=p.no_progress_tol,
+                         no_progress_steps=p.no_progress_steps)
+
+    def _fit_mixture(self, data: DataFrame, prof):
+        p, spec = self.params, self.spec
+        K = p.gaussian_num
+        if self.gmm_start is not None:
+            start = self.gmm_start.copy()
+        elif p.init == "given":
+            start = given_gmm(K, spec.d)
+        else:
+            var = np.array([(v or 0.0) + p.min_covar for v in prof.cont_var])
+            if p.kmeans_init == "hash":
+                means = hashed_kmeans_means(data, spec, K, p.seed, p.kmeans_max_iter)
+            elif p.kmeans_init == "kmeans||":
+                means = kmeans_means(data, spec, K, p.seed, p.kmeans_max_iter)
+            else:
+                raise ValueError(f"unknown kmeans_init {p.kmeans_init!r}")
+            start = start_params(means, var)
+        return train_em(data, spec, start, max_iter=p.em_max_iter, tol=p.em_tol, tol_on=p.em_tol_on,
+                        min_covar=p.min_covar)
+
     def fit(self, df: DataFrame) -> DetectorModel:
         p, spec = self.params, self.spec
         K = p.gaussian_num
@@ -173,30 +202,17 @@ class Detector:
         data = data.persist(StorageLevel.MEMORY_AND_DISK)
         hist = FitHistory()
         try:
-            sgd = train_sgd(data, spec, layout, n, self._logistic_start(spec.d, layout.n_slots),
-                            max_iterations=p.max_iterations, minibatch_size=p.minibatch_size,
-                            reg=p.regularization_parameter, lr0=p.learning_rate_start,
-                            lr_speed=p.learning_rate_speed, radius=p.normalizing_radius,
-                            seed=p.seed, hash_kind=p.hash_kind, no_progress_tol=p.no_progress_tol,
-                            no_progress_steps=p.no_progress_steps)
+            # The logistic model and the mixture do not depend on each other:
+            # their job chains run concurrently from two driver threads, so the
+            # small SGD jobs overlap the EM scans instead of adding to them.
+            with ThreadPoolExecutor(max_workers=2, thread_name_prefix="mixdetect-fit") as pool:
+                sgd_f = pool.submit(self._fit_logistic, data, layout, n)
+                em_f = pool.submit(self._fit_mixture, data, prof) if spec.d > 0 else None
+                sgd = sgd_f.result()
+                em = em_f.result() if em_f is not None else None
             hist.sgd, hist.sgd_converged = sgd.history, sgd.converged
             gmm = None
-            if spec.d > 0:
-                if self.gmm_start is not None:
-                    start = self.gmm_start.copy()
-                elif p.init == "given":
-                    start = given_gmm(K, spec.d)
-                else:
-                    var = np.array([(v or 0.0) + p.min_covar for v in prof.cont_var])
-                    if p.kmeans_init == "hash":
-                        means = hashed_kmeans_means(data, spec, K, p.seed, p.kmeans_max_iter)
-                    elif p.kmeans_init == "kmeans||":
-                        means = kmeans_means(data, spec, K, p.seed, p.kmeans_max_iter)
-                    else:
-                        raise ValueError(f"unknown kmeans_init {p.kmeans_init!r}")
-                    start = start_params(means, var)
-                em = train_em(data, spec, start, max_iter=p.em_max_iter, tol=p.em_tol, tol_on=p.em_tol_on,
-                              min_covar=p.min_covar)
+            if em is not None:
                 gmm = em.params
                 hist.em, hist.em_converged = em.history, em.converged
             model = DetectorModel(spec, layout, sgd.params, gmm, p, n, history=hist)
