@@ -244,7 +244,9 @@ def hashed_kmeans_means(df: DataFrame, spec: MixedSpec, K: int, seed: int, max_i
     xs = spec.cont_exprs()
     cand = (df.select(xx_hash(F.col(spec.row_id), 0, seed, 3).alias("__h"), F.col(spec.row_id).alias("__id"),
                       *[x.alias(f"__x{c}") for c, x in enumerate(xs)])
-            .orderBy("__h", "__id").limit(m).collect())  # <= m rows
+            # total order over row content: rows sharing a row_id (allowed) tie-break on
+            # their values, so the candidate set never depends on partitioning
+            .orderBy("__h", "__id", *[f"__x{c}" for c in range(len(xs))]).limit(m).collect())  # <= m rows
     X = np.array([[r[f"__x{c}"] for c in range(len(xs))] for r in cand], dtype=float)
     rng = np.random.default_rng(seed)
     centres = [X[rng.integers(len(X))]]

@@ -172,3 +172,15 @@ def test_fit_on_wide_array_input(spark):
     s = m.transform(df)
     assert s.where("is_anomaly").count() == int(df.count() * 0.1)
     assert s.agg(F.max(F.abs("log_p_cat"))).first()[0] == 0.0
+
+
+def test_t18_deterministic_with_duplicate_row_ids(spark):
+    """mixed_lines repeats row_id; the fit must still not depend on partitioning."""
+    from mixdetect.sources import MIXED_LINES_SPEC, mixed_lines
+
+    df = mixed_lines(spark, SF_SMALL)
+    p = QUICK.replace(gaussian_num=4, anomaly_ratio=0.2)
+    a = Detector(MIXED_LINES_SPEC, p).fit(df.repartition(1))
+    b = Detector(MIXED_LINES_SPEC, p).fit(df.repartition(6))
+    np.testing.assert_allclose(a.gmm.means, b.gmm.means, rtol=1e-9, atol=1e-12)
+    assert a.threshold == pytest.approx(b.threshold, rel=1e-9)
