@@ -255,11 +255,17 @@ def hashed_kmeans_means(df: DataFrame, spec: MixedSpec, K: int, seed: int, max_i
         tot = d2.sum()
         centres.append(X[rng.integers(len(X))] if tot <= 0 else X[rng.choice(len(X), p=d2 / tot)])
     C = np.array(centres)
+    d = C.shape[1]
     for _ in range(max_iter):
-        rows = lloyd_step_frame(df, spec, C).collect()  # <= K rows
         new = C.copy()
-        for r in rows:
-            new[int(r["component"])] = [r[f"centre{c}"] for c in range(C.shape[1])]
+        if K * (d + 1) <= GENERATED_STATS_LIMIT:
+            row = lloyd_sums_frame(df, spec, C).first()  # one row of K*(d+1) sums
+            for k in range(K):
+                if row[f"n{k}"]:
+                    new[k] = [row[f"s{k}_{c}"] / row[f"n{k}"] for c in range(d)]
+        else:
+            for r in lloyd_step_frame(df, spec, C).collect():  # <= K rows
+                new[int(r["component"])] = [r[f"centre{c}"] for c in range(d)]
         moved = float(np.sqrt(((new - C) ** 2).sum(axis=1)).max())
         C = new
         if moved < tol:
@@ -267,8 +273,7 @@ def hashed_kmeans_means(df: DataFrame, spec: MixedSpec, K: int, seed: int, max_i
     return C
 
 
-def lloyd_step_frame(df: DataFrame, spec: MixedSpec, centres: np.ndarray) -> DataFrame:
-    """One k-means step from given centres: assign to the nearest (first on ties), then average."""
+def _assigned(df: DataFrame, spec: MixedSpec, centres: np.ndarray) -> DataFrame:
     xs = S.cont_refs(spec)
     K, d = centres.shape
     dists = [S.add([f"({xs[c]} - {S.num(centres[m, c])}) * ({xs[c]} - {S.num(centres[m, c])})" for c in range(d)])
@@ -276,6 +281,20 @@ def lloyd_step_frame(df: DataFrame, spec: MixedSpec, centres: np.ndarray) -> Dat
     t = df.selectExpr(*[S.aliased(x, f"__x{c}") for c, x in enumerate(xs)],
                       *[S.aliased(e, f"__d{m}") for m, e in enumerate(dists)])
     arr = f"array({', '.join(f'__d{m}' for m in range(K))})"
-    t = t.selectExpr(*[f"__x{c}" for c in range(d)], f"CAST(array_position({arr}, array_min({arr})) - 1 AS INT) AS component")
-    return t.groupBy("component").agg(F.count(F.lit(1)).alias("n"),
+    return t.selectExpr(*[f"__x{c}" for c in range(d)],
+                        f"CAST(array_position({arr}, array_min({arr})) - 1 AS INT) AS component")
+
+
+def lloyd_sums_frame(df: DataFrame, spec: MixedSpec, centres: np.ndarray) -> DataFrame:
+    """One global aggregate: per-component counts and coordinate sums (no keyed shuffle)."""
+    K, d = centres.shape
+    aggs = [f"count(CASE WHEN component = {m} THEN 1 END) AS n{m}" for m in range(K)]
+    aggs += [f"sum(CASE WHEN component = {m} THEN __x{c} END) AS s{m}_{c}" for m in range(K) for c in range(d)]
+    return _assigned(df, spec, centres).selectExpr(*aggs)
+
+
+def lloyd_step_frame(df: DataFrame, spec: MixedSpec, centres: np.ndarray) -> DataFrame:
+    """One k-means step from given centres: assign to the nearest (first on ties), then average."""
+    d = centres.shape[1]
+    return _assigned(df, spec, centres).groupBy("component").agg(F.count(F.lit(1)).alias("n"),
                                       *[F.avg(f"__x{c}").alias(f"centre{c}") for c in range(d)])
