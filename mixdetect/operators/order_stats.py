@@ -138,9 +138,12 @@ def global_positions(df: DataFrame, order_cols: list[str], n: int | None = None,
         n_buckets = n_buckets_for(n)
     splits = bucket_splits(df, order_cols[0], n_buckets)
     b = with_bucket(df, order_cols[0], splits)
-    counts = {int(r["__bucket"]): int(r["c"])
-              for r in b.groupBy("__bucket").agg(F.count(F.lit(1)).alias("c")).collect()}  # <= n_buckets rows
     n_b = len(splits) - 1
+    if n_b == 1:  # one bucket: every offset is 0, no counting job needed
+        counts = {}
+    else:
+        counts = {int(r["__bucket"]): int(r["c"])
+                  for r in b.groupBy("__bucket").agg(F.count(F.lit(1)).alias("c")).collect()}  # <= n_buckets rows
     offsets, acc = [], 0
     for i in range(n_b + 1):
         offsets.append(acc)
@@ -167,8 +170,11 @@ def auc_frame(df: DataFrame, score: str | Column, label: str = "label", n_bucket
             n_buckets = n_buckets_for(n_distinct)
         splits = bucket_splits(g, "s", n_buckets)
         b = with_bucket(g, "s", splits)
-        tot = {int(r["__bucket"]): int(r["neg"] or 0)
-               for r in b.groupBy("__bucket").agg(F.sum("neg").alias("neg")).collect()}  # <= n_buckets rows
+        if len(splits) == 2:  # one bucket: no offsets to compute
+            tot = {}
+        else:
+            tot = {int(r["__bucket"]): int(r["neg"] or 0)
+                   for r in b.groupBy("__bucket").agg(F.sum("neg").alias("neg")).collect()}  # <= n_buckets rows
         offsets, acc = [], 0
         for i in range(len(splits)):
             offsets.append(acc)
