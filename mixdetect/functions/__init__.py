@@ -1,2 +1,2 @@
-from .columns import (log_sigmoid, logsumexp, modular_hash, rounded, row_hash, selection_cutoff,
-                      sigmoid, xx_hash)
+from .columns import modular_hash, pick_long, rounded, row_hash, selection_cutoff, xx_hash
+from . import sql

@@ -28,36 +28,12 @@ STREAM_SLOT = 1  # slot picked per row and step
 STREAM_FOLD = 2  # order of shuffled folds
 
 
-def lit(v: float) -> Column:
-    return F.lit(float(v))
-
-
 def add_all(cols: Sequence[Column]) -> Column:
     if not cols:
         return F.lit(0.0)
     return reduce(lambda a, b: a + b, cols)
 
 
-def log_sigmoid(m: Column) -> Column:
-    """log(1/(1+exp(-m))) without overflow for any finite m."""
-    return -(F.greatest(-m, F.lit(0.0)) + F.log(F.lit(1.0) + F.exp(-F.abs(m))))
-
-
-def sigmoid(m: Column) -> Column:
-    """1/(1+exp(-m)), evaluated on the side that cannot overflow."""
-    e = F.exp(-F.abs(m))
-    return F.when(m >= 0, F.lit(1.0) / (F.lit(1.0) + e)).otherwise(e / (F.lit(1.0) + e))
-
-
-def logsumexp(cols: Sequence[Column], mx: Column | None = None) -> Column:
-    """log(sum(exp(c))); pass ``mx`` = a column holding greatest(cols) to compute it once."""
-    if len(cols) == 1:
-        return cols[0]
-    if mx is None:
-        mx = F.greatest(*cols)
-    return mx + F.log(add_all([F.exp(c - mx) for c in cols]))
-
-
 def rounded(c: Column, digits: int) -> Column:
     """Round and fold -0.0 into 0.0 (so values hash equally across engines)."""
     return F.round(c, digits) + F.lit(0.0)
@@ -101,16 +77,7 @@ def selection_cutoff(fraction: float) -> int:
     return int(math.floor(f * HASH_MODULUS)) if f < 1.0 else HASH_MODULUS
 
 
-def literal_array(values: Sequence[float]) -> Column:
-    return F.array(*[F.lit(float(v)) for v in values])
-
-
-def pick(values: Sequence[float], index: Column) -> Column:
-    """values[index] for a 0-based integer column (null when out of range)."""
-    return F.try_element_at(literal_array(values), index.cast("int") + 1)
-
-
 def pick_long(values: Sequence[int], index: Column) -> Column:
-    """Exact integer version of :func:`pick` (counts and offsets stay bigint)."""
+    """values[index] for a 0-based integer column, as bigint (null when out of range)."""
     arr = F.array(*[F.lit(int(v)).cast("long") for v in values])
     return F.try_element_at(arr, index.cast("int") + 1)
