@@ -7,8 +7,8 @@
   counts, so one value holding a third of all rows costs nothing extra.  Once
   the band is small (bounded), a ``TakeOrderedAndProject`` finishes it.
 * :func:`global_positions` -- exact 0-based position of every row in a total
-  order: quantile bucket bounds, per-bucket counts (one small row per bucket)
-  turned into offsets, then a row number inside each bucket.
+  order: range partitions of the sort key (split even inside a hot key),
+  per-partition counts turned into offsets, local row numbers.
 * :func:`auc_frame` -- area under ROC with averaged ties: group by score
   (map-side combine), then a prefix sum of negatives over the score order
   built the same way as positions.
@@ -129,28 +129,34 @@ def global_positions(df: DataFrame, order_cols: list[str], n: int | None = None,
                      out: str = "pos") -> DataFrame:
     """Adds the exact 0-based position of each row in the order of ``order_cols``.
 
-    The first order column must be numeric; the columns together must be
-    unique (the caller appends the row key as a tie-break).
+    Ties (including many copies of one key) are broken by
+    ``monotonically_increasing_id``, so the order is total and a range
+    partitioner can split even a key that holds a third of all rows.  Plan:
+    ``repartitionByRange`` on the full sort key, sort within partitions, number
+    rows locally, checkpoint (the count pass and the position pass must see the
+    same partitions), per-partition counts -> offsets (<= n_buckets numbers).
+    For distinct keys the result does not depend on the input partitioning.
     """
-    if n is None:
-        n = df.count()
+    from ..plans.session import ensure_checkpoint_dir
+
     if n_buckets is None:
-        n_buckets = n_buckets_for(n)
-    splits = bucket_splits(df, order_cols[0], n_buckets)
-    b = with_bucket(df, order_cols[0], splits)
-    n_b = len(splits) - 1
-    if n_b == 1:  # one bucket: every offset is 0, no counting job needed
-        counts = {}
-    else:
-        counts = {int(r["__bucket"]): int(r["c"])
-                  for r in b.groupBy("__bucket").agg(F.count(F.lit(1)).alias("c")).collect()}  # <= n_buckets rows
+        n_buckets = n_buckets_for(df.count() if n is None else n)
+    keys = [*order_cols, "__tb"]
+    local_bits = 33  # monotonically_increasing_id = partition index << 33 | row index
+    t = (df.withColumn("__tb", F.monotonically_increasing_id())
+         .repartitionByRange(n_buckets, *keys).sortWithinPartitions(*keys)
+         .withColumn("__mid", F.monotonically_increasing_id()))
+    ensure_checkpoint_dir(df.sparkSession)
+    t = t.checkpoint(eager=True)
+    part = F.shiftright(F.col("__mid"), local_bits).cast("int")
+    counts = {int(r["p"]): int(r["c"])
+              for r in t.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("c")).collect()}  # <= n_buckets rows
     offsets, acc = [], 0
-    for i in range(n_b + 1):
+    for i in range(max(counts, default=0) + 1):
         offsets.append(acc)
         acc += counts.get(i, 0)
-    w = Window.partitionBy("__bucket").orderBy(*order_cols)
-    return (b.withColumn(out, (pick_long(offsets, F.col("__bucket")) + F.row_number().over(w) - 1))
-            .drop("__bucket"))
+    local = F.col("__mid").bitwiseAND(F.lit((1 << local_bits) - 1))
+    return t.withColumn(out, pick_long(offsets, part) + local).drop("__tb", "__mid")
 
 
 def auc_frame(df: DataFrame, score: str | Column, label: str = "label", n_buckets: int | None = None,

@@ -156,3 +156,20 @@ def test_cat_loglik_stable_for_huge_margins(spark):
     out = {r["row_id"]: r["log_p_cat"] for r in with_cat_loglik(df, p, spec, layout).collect()}
     assert out[1] == pytest.approx(0.0, abs=1e-12)  # slot 0 hot with margin +1000, slot 1 cold with -1000
     assert out[2] == pytest.approx(-2000.0)  # both slots wrong by a margin of 1000
+
+
+def test_global_positions_split_a_hot_key(spark):
+    """One key holds a third of all rows: positions stay exact and the copies
+    are spread over several range partitions instead of one task."""
+    base = mixed_orders(spark, SF_SMALL).select("row_id")
+    n = base.count()
+    hot = spark.range(n // 2).select(F.lit(7).cast("long").alias("row_id"))  # 1/3 of the union
+    df = base.unionByName(hot)
+    total = df.count()
+    pos = global_positions(df, ["row_id"], n_buckets=6)
+    got = pos.select("row_id", "pos").collect()
+    assert sorted(r["pos"] for r in got) == list(range(total))
+    ordered = [r["row_id"] for r in sorted(got, key=lambda r: r["pos"])]
+    assert ordered == sorted(ordered)
+    per_part = pos.where(F.col("row_id") == 7).groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(per_part) >= 2 and max(r["count"] for r in per_part) < total / 2
