@@ -68,7 +68,8 @@ def main() -> None:
     ]
     orders = mixed_orders(spark, sf)
     folds = fold_assignment(orders.select("row_id", "label"), 5, n_buckets=4)
-    sections.append(("k-fold positions: quantile buckets, row_number inside each bucket (4 buckets forced)", folds))
+    sections.append(("k-fold: positions = partition offset + local number, read from the checkpointed "
+                     "range-partitioned frame (repartitionByRange on row_id + tie-break; 4 partitions forced)", folds))
     with open(os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "PLANS.md"), "w") as fh:
         fh.write("# Physical plans of the main operators\n\n")
         fh.write(f"Generated by `tools/show_plans.py` on `{sf}` (AQE off to show the static plan; "
