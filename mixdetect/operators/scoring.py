@@ -26,15 +26,23 @@ def target_size(n: int, ratio: float) -> int:
 
 
 def threshold(scored: DataFrame, n: int, ratio: float, order: str = "score", tail: str = "low",
-              score: str = "score", label: str | None = "label") -> float | None:
+              score: str = "score", label: str | None = "label", exact: bool = True,
+              accuracy: int = 10_000) -> float | None:
     """Score of the k-th row, k = max(1, int(n * ratio)).
 
     order="score", tail="low": k-th smallest score (default; low density = anomalous).
     order="score", tail="high": k-th largest score.
     order="label_score": k-th row of the descending (label, score) order, the
     original behaviour (labels sort first).
+    exact=False: one ``percentile_approx`` pass instead (rank error <= n/accuracy).
     """
     k = target_size(n, ratio)
+    if not exact:
+        if order != "score":
+            raise ValueError("the approximate threshold supports order='score' only")
+        q = k / n if tail == "low" else (n - k + 1) / n
+        row = scored.agg(F.percentile_approx(F.col(score), float(min(1.0, q)), accuracy).alias("t")).first()
+        return None if row is None or row["t"] is None else float(row["t"])
     if order == "score":
         if tail == "low":
             return kth_smallest(scored, score, k, n)

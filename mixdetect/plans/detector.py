@@ -217,7 +217,8 @@ class Detector:
                 hist.em, hist.em_converged = em.history, em.converged
             model = DetectorModel(spec, layout, sgd.params, gmm, p, n, history=hist)
             scored = model.score(data)
-            model.threshold = threshold(scored, n, p.anomaly_ratio, p.order, p.tail, "score", spec.label)
+            model.threshold = threshold(scored, n, p.anomaly_ratio, p.order, p.tail, "score", spec.label,
+                                        exact=p.threshold_exact)
         finally:
             data.unpersist()
         return model

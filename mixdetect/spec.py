@@ -91,6 +91,7 @@ class DetectorParams:
     mode: str = "joint"
     order: str = "score"  # or "label_score"
     tail: str = "low"  # or "high"
+    threshold_exact: bool = True  # False: one percentile_approx pass
     on_unseen: str = "all_zero"  # or "error"
     # randomness
     init: str = "random"  # "random", "constant" (original), "given"

@@ -184,3 +184,16 @@ def test_t18_deterministic_with_duplicate_row_ids(spark):
     b = Detector(MIXED_LINES_SPEC, p).fit(df.repartition(6))
     np.testing.assert_allclose(a.gmm.means, b.gmm.means, rtol=1e-9, atol=1e-12)
     assert a.threshold == pytest.approx(b.threshold, rel=1e-9)
+
+
+def test_approximate_threshold_is_within_sketch_rank_error(spark):
+    df, m = _model(spark)
+    s = m.score(df).persist()
+    n = s.count()
+    exact = threshold(s, n, 0.05)
+    approx = threshold(s, n, 0.05, exact=False, accuracy=1000)
+    k = int(n * 0.05)
+    rank = s.where(F.col("score") <= approx).count()
+    assert abs(rank - k) <= n / 1000 + 1
+    assert s.where(F.col("score") <= exact).count() >= k
+    s.unpersist()
