@@ -17,8 +17,8 @@ from .functions.columns import rounded
 from .operators.encode import one_hot_long, profile, profile_frame, slot_layout
 from .operators.evaluate import fold_assignment, kfold_long
 from .operators.gmm import (component_logpdf_exprs, estep_frame_arrow, estep_frame_generated, kmeans_means,
-                            lloyd_step_frame, mstep, sparse_variance, variance_init_frame, with_cont_loglik,
-                            with_responsibilities, argmax_component, estep)
+                            lloyd_step_frame, sparse_variance, variance_init_frame, with_cont_loglik,
+                            with_responsibilities, argmax_component)
 from .operators.logistic import gradient, minibatch_fraction, minibatches, with_cat_loglik, with_margins
 from .operators.order_stats import auc_frame
 from .operators.scoring import (combined_score, flag_expr, interpolate_expr, score_range, target_size,
@@ -28,7 +28,7 @@ from .plans.em import train_em
 from .plans.sgd import history_frame, train_sgd
 from .sources.fixtures import (MIXED_EVENTS_SPEC, MIXED_ORDERS_SPEC, SPARSE_LINES_DIM, WIDE_EMBEDDINGS_SPEC,
                                mixed_events, mixed_orders, sparse_lines, wide_embeddings)
-from .spec import DetectorParams, GmmParams, MixedSpec, given_gmm, given_logistic
+from .spec import DetectorParams, GmmParams, given_gmm, given_logistic
 
 # Fixed values shared with the SQL oracles (FIXTURES.md section 3).
 LOGISTIC_K = 2
