@@ -70,6 +70,7 @@ class DetectorParams:
     threshold is taken (see README, behaviour decisions).
     """
 
+    # The original detector's defaults and constants (same results need the same values).
     subspace_dimension: int = 10
     regularization_parameter: float = 1.0
     learning_rate_start: float = 1.0
@@ -80,25 +81,23 @@ class DetectorParams:
     logistic_lambda: float = 1.0
     minibatch_size: int = 100
     anomaly_ratio: float = 0.1
-    # EM
     em_max_iter: int = 100
     em_tol: float = 1e-3
-    em_tol_on: str = "mean"  # "mean" (default) or "total" (original behaviour)
     min_covar: float = 1e-3
+    no_progress_tol: float = 1e-5
+    no_progress_steps: int = 10
+    # Options of this engine
+    em_tol_on: str = "mean"  # "mean" (default) or "total" (original behaviour)
     kmeans_max_iter: int = 20
     kmeans_init: str = "hash"  # "hash" (partition-independent) or "kmeans||" (Spark ML)
-    # scoring / threshold
-    mode: str = "joint"
-    order: str = "score"  # or "label_score"
-    tail: str = "low"  # or "high"
+    mode: str = "joint"  # or "product" (original)
+    order: str = "score"  # or "label_score" (original)
+    tail: str = "low"  # or "high" (original)
     threshold_exact: bool = True  # False: one percentile_approx pass
     on_unseen: str = "all_zero"  # or "error"
-    # randomness
     init: str = "random"  # "random", "constant" (original), "given"
     seed: int = 42
     hash_kind: str = "xxhash"  # "xxhash" or "modular" (SQL-portable)
-    no_progress_tol: float = 1e-5
-    no_progress_steps: int = 10
 
     def replace(self, **kw) -> "DetectorParams":
         unknown = set(kw) - {f.name for f in dataclasses.fields(self)}
