@@ -26,6 +26,10 @@ HASH_ADD = 12345
 STREAM_SELECT = 0  # minibatch membership
 STREAM_SLOT = 1  # slot picked per row and step
 STREAM_FOLD = 2  # order of shuffled folds
+STREAM_KMEANS = 3  # candidate rows of the k-means start
+STREAM_FIRST = 4  # first selected step of a row (geometric draw)
+
+UNIFORM_BITS = 53
 
 
 def add_all(cols: Sequence[Column]) -> Column:
@@ -81,3 +85,11 @@ def pick_long(values: Sequence[int], index: Column) -> Column:
     """values[index] for a 0-based integer column, as bigint (null when out of range)."""
     arr = F.array(*[F.lit(int(v)).cast("long") for v in values])
     return F.try_element_at(arr, index.cast("int") + 1)
+
+
+def uniform(row_id: Column, step: Column | int, seed: int, stream: int) -> Column:
+    """Seeded uniform in (0, 1) with 53 bits of resolution, from xxhash64 of (id, step, salt)."""
+    step_c = step if isinstance(step, Column) else F.lit(int(step))
+    h = F.xxhash64(row_id.cast("long"), step_c.cast("long"), F.lit(stream_salt(seed, stream)).cast("long"))
+    scale = float(1 << UNIFORM_BITS)
+    return (F.pmod(h, F.lit(1 << UNIFORM_BITS).cast("long")).cast("double") + F.lit(0.5)) / F.lit(scale)

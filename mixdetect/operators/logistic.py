@@ -10,12 +10,15 @@ a projection for scoring, one grouped aggregate per SGD step for training.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import sql as S
-from ..functions.columns import HASH_MODULUS, STREAM_SELECT, STREAM_SLOT, row_hash, selection_cutoff
+from ..functions.columns import (HASH_MODULUS, STREAM_FIRST, STREAM_SELECT, STREAM_SLOT, row_hash,
+                                 selection_cutoff, uniform)
 from ..spec import LogisticParams, MixedSpec, SlotLayout
 from .encode import unseen_count
 
@@ -93,22 +96,52 @@ def minibatch_fraction(n: int, minibatch_size: int) -> float:
 
 def minibatches(df: DataFrame, spec: MixedSpec, n_slots: int, steps: list[int], fraction: float,
                 seed: int, hash_kind: str) -> DataFrame:
-    """Every (step, row) pair the seeded hash selects, with the slot picked for it.
+    """Every (step, row) pair the seeded sampler selects, with the slot picked for it.
 
     One pass over the input for all steps: selection does not depend on the
     parameters, so drawing every minibatch up front gives the same rows as
-    drawing them one step at a time.  Output size ~ fraction * N * steps.
+    drawing them one step at a time.  Each row joins each step independently
+    with probability ``fraction``; output size ~ fraction * N * steps.
+
+    ``xxhash`` (production): one 53-bit uniform u0 per row decides whether the
+    row is drawn in any step (u0 < 1-(1-f)^S); for those few rows the first
+    step is the geometric draw ceil(ln(1-u0)/ln(1-f)) and each later step an
+    independent draw -- the same law as S independent Bernoulli(f) trials, at
+    one hash per row instead of S, and with no floor on f.
+    ``modular`` (SQL-portable, for oracles): one integer hash per (row, step)
+    against a cutoff of resolution 1/1000003.
     """
-    cutoff = selection_cutoff(fraction)
     rid = F.col(spec.row_id)
     cols = [spec.row_id, *spec.cat_cols] + ([spec.cont_array] if spec.cont_array else list(spec.cont_cols))
     base = df.select(*cols)
-    if len(steps) == 1:
-        stepped = base.withColumn("step", F.lit(int(steps[0])))
+    step_arr = F.array(*[F.lit(int(s)) for s in steps])
+    f = min(1.0, max(0.0, float(fraction)))
+    if hash_kind == "modular":
+        cutoff = selection_cutoff(f)
+        if f > 0 and cutoff == 0:
+            raise ValueError(f"fraction {f} is below the modular hash resolution; use hash_kind='xxhash'")
+        stepped = (base.withColumn("step", F.lit(int(steps[0]))) if len(steps) == 1
+                   else base.select("*", F.explode(step_arr).alias("step")))
+        if cutoff < HASH_MODULUS:
+            stepped = stepped.where(row_hash(hash_kind, rid, F.col("step"), seed, STREAM_SELECT) < cutoff)
+    elif hash_kind == "xxhash":
+        if f >= 1.0:
+            stepped = base.select("*", F.explode(step_arr).alias("step"))
+        elif f <= 0.0:
+            stepped = base.select("*", F.lit(int(steps[0])).alias("step")).where(F.lit(False))
+        else:
+            n_steps = len(steps)
+            log_keep = math.log1p(-f)
+            p_any = -math.expm1(n_steps * log_keep)
+            cand = base.select("*", uniform(rid, 0, seed, STREAM_FIRST).alias("__u0")).where(F.col("__u0") < p_any)
+            first = F.least(F.greatest(F.ceil(F.log1p(-F.col("__u0")) / log_keep), F.lit(1)), F.lit(n_steps))
+            t = cand.select("*", first.cast("int").alias("__g"), F.posexplode(step_arr).alias("__pos", "step"))
+            pos = F.col("__pos") + 1
+            keep = (pos == F.col("__g")) | ((pos > F.col("__g")) &
+                                            (uniform(rid, F.col("step"), seed, STREAM_SELECT) < f))
+            stepped = t.where(keep).drop("__u0", "__g", "__pos")
     else:
-        stepped = base.select("*", F.explode(F.array(*[F.lit(int(s)) for s in steps])).alias("step"))
-    if cutoff < HASH_MODULUS:
-        stepped = stepped.where(row_hash(hash_kind, rid, F.col("step"), seed, STREAM_SELECT) < cutoff)
+        raise ValueError(f"unknown hash kind {hash_kind!r}")
     return stepped.withColumn(
         "slot", (row_hash(hash_kind, rid, F.col("step"), seed, STREAM_SLOT) % max(1, n_slots)).cast("int"))
 
