@@ -173,3 +173,33 @@ def test_global_positions_split_a_hot_key(spark):
     assert ordered == sorted(ordered)
     per_part = pos.where(F.col("row_id") == 7).groupBy(F.spark_partition_id().alias("p")).count().collect()
     assert len(per_part) >= 2 and max(r["count"] for r in per_part) < total / 2
+
+
+def test_minibatch_sampler_follows_independent_bernoulli_law(spark):
+    from math import comb
+
+    from mixdetect.operators.logistic import minibatches
+
+    df = mixed_orders(spark, SF_MID)
+    n, steps = df.count(), 49
+    f = 100 / n
+    mb = minibatches(df, MIXED_ORDERS_SPEC, 12, list(range(1, steps + 1)), f, 7, "xxhash")
+    total = mb.count()
+    assert abs(total - n * f * steps) < 4 * (n * f * steps) ** 0.5
+    mult = {r[0]: r[1] for r in mb.groupBy("row_id").count().groupBy("count").count().collect()}
+    for m in (1, 2):
+        expected = n * comb(steps, m) * f ** m * (1 - f) ** (steps - m)
+        assert abs(mult.get(m, 0) - expected) < 5 * expected ** 0.5 + 2, (m, mult, expected)
+
+
+def test_minibatch_tiny_fraction_still_draws(spark):
+    """At 1e11 rows a 100-row minibatch is f = 1e-9: the production sampler has no floor on f."""
+    from mixdetect.operators.logistic import minibatches
+    from mixdetect.spec import MixedSpec
+
+    big = spark.range(2_000_000).select(F.col("id").alias("row_id"), F.lit(0).alias("c0"), F.lit(0.5).alias("x0"))
+    spec = MixedSpec(cat_cols=("c0",), cont_cols=("x0",), label=None)
+    k = minibatches(big, spec, 1, list(range(1, 50)), 1e-6, 42, "xxhash").count()
+    assert 50 <= k <= 160  # expected 98
+    with pytest.raises(ValueError, match="resolution"):
+        minibatches(big, spec, 1, [1, 2], 1e-7, 42, "modular")
