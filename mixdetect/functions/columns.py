@@ -93,3 +93,10 @@ def uniform(row_id: Column, step: Column | int, seed: int, stream: int) -> Colum
     h = F.xxhash64(row_id.cast("long"), step_c.cast("long"), F.lit(stream_salt(seed, stream)).cast("long"))
     scale = float(1 << UNIFORM_BITS)
     return (F.pmod(h, F.lit(1 << UNIFORM_BITS).cast("long")).cast("double") + F.lit(0.5)) / F.lit(scale)
+
+
+def full_hash(row_id: Column, step: Column | int, seed: int, stream: int) -> Column:
+    """The whole 64-bit xxhash64 of (id, step, salt): a random order with no
+    ties between distinct ids, however many rows there are."""
+    step_c = step if isinstance(step, Column) else F.lit(int(step))
+    return F.xxhash64(row_id.cast("long"), step_c.cast("long"), F.lit(stream_salt(seed, stream)).cast("long"))

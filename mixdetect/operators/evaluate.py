@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import STREAM_FOLD, row_hash
+from ..functions.columns import STREAM_FOLD, full_hash, row_hash
 from .order_stats import auc_frame, global_positions
 
 __all__ = ["auc_frame", "auc_evaluator", "fold_assignment", "kfold_long"]
@@ -34,7 +34,10 @@ def fold_assignment(df: DataFrame, k: int, shuffle: bool = False, seed: int = 42
     if n < k:
         raise ValueError(f"Cannot have number of splits n_splits={k} greater than the number of samples: n_samples={n}.")
     if shuffle:
-        t = df.withColumn("__h", row_hash(hash_kind, F.col(row_id), 0, seed, STREAM_FOLD))
+        # production: the full 64-bit hash (no ties at any size); modular: the SQL-portable one
+        h = (full_hash(F.col(row_id), 0, seed, STREAM_FOLD) if hash_kind == "xxhash"
+             else row_hash(hash_kind, F.col(row_id), 0, seed, STREAM_FOLD))
+        t = df.withColumn("__h", h)
         order = ["__h", row_id]
     else:
         t = df

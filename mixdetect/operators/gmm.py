@@ -238,11 +238,11 @@ def hashed_kmeans_means(df: DataFrame, spec: MixedSpec, K: int, seed: int, max_i
     (a TakeOrderedAndProject).  Then Lloyd steps over all rows, one generated
     aggregate each; an empty cluster keeps its centre.
     """
-    from ..functions.columns import STREAM_KMEANS, xx_hash
+    from ..functions.columns import STREAM_KMEANS, full_hash
 
     m = candidates or max(100, 10 * K)
     xs = spec.cont_exprs()
-    cand = (df.select(xx_hash(F.col(spec.row_id), 0, seed, STREAM_KMEANS).alias("__h"), F.col(spec.row_id).alias("__id"),
+    cand = (df.select(full_hash(F.col(spec.row_id), 0, seed, STREAM_KMEANS).alias("__h"), F.col(spec.row_id).alias("__id"),
                       *[x.alias(f"__x{c}") for c, x in enumerate(xs)])
             # total order over row content: rows sharing a row_id (allowed) tie-break on
             # their values, so the candidate set never depends on partitioning
