@@ -62,10 +62,42 @@ def with_cont_loglik(df: DataFrame, p: GmmParams, spec: MixedSpec, out: str = "l
     """Adds ``out`` = log p(x) under the mixture."""
     if spec.d == 0:
         return df.withColumn(out, F.lit(0.0))
+    if p.K * p.d > WIDE_EXPR_LIMIT:
+        return _cont_loglik_arrow(df, p, spec, out)
     cols = df.columns
     return with_weighted_logpdf(df, p, spec).selectExpr(*S.keep(cols), S.aliased(loglik_sql(p.K), out))
 
 
+WIDE_EXPR_LIMIT = 2048  # K*d generated terms; above it scoring runs on Arrow batches
+
+
+def _cont_loglik_arrow(df: DataFrame, p: GmmParams, spec: MixedSpec, out: str) -> DataFrame:
+    """log p(x) for very wide inputs: NumPy logsumexp per Arrow batch (mapInPandas, no shuffle)."""
+    from pyspark.sql import types as T
+
+    means, covars, weights = p.means.copy(), p.covars.copy(), p.weights.copy()
+    K, d = p.K, p.d
+    inv = 1.0 / covars
+    const = -0.5 * (d * LN_2PI + np.log(covars).sum(axis=1)) + np.log(weights)
+    array_col, cols = spec.cont_array, list(spec.cont_cols)
+    schema = T.StructType(df.schema.fields + [T.StructField(out, T.DoubleType())])
+
+    def fn(batches):
+        for pdf in batches:
+            if array_col:
+                X = np.stack(pdf[array_col].to_numpy()).astype(np.float64) if len(pdf) else np.zeros((0, d))
+            else:
+                X = pdf[cols].to_numpy(dtype=np.float64)
+            lp = np.empty((len(pdf), K))
+            for m in range(K):  # K passes of n x d, never n x K x d
+                lp[:, m] = const[m] - 0.5 * (((X - means[m]) ** 2) * inv[m]).sum(axis=1)
+            mx = lp.max(axis=1) if K else np.zeros(len(pdf))
+            pdf[out] = mx + np.log(np.exp(lp - mx[:, None]).sum(axis=1))
+            yield pdf
+
+    return df.mapInPandas(fn, schema)
+
+
 def with_responsibilities(df: DataFrame, p: GmmParams, spec: MixedSpec, prefix: str = "r") -> DataFrame:
     cols = df.columns
     t = with_weighted_logpdf(df, p, spec).selectExpr("*", S.aliased(loglik_sql(p.K), "__ll"))

@@ -67,12 +67,63 @@ def with_cat_loglik(df: DataFrame, params: LogisticParams, spec: MixedSpec, layo
     cols = S.keep(df.columns)
     if layout.n_slots == 0:
         return base.selectExpr(*cols, S.aliased("0.0D", out))
+    if params.k * layout.n_slots > WIDE_EXPR_LIMIT:
+        return _cat_loglik_arrow(base, params, spec, layout, out)
     t = with_h(base, params, spec)
     ms = [f"({z} * {w} / {S.num(params.lam)})" for z, w in zip(slot_sign_sql(layout), margin_sql(params, layout.n_slots))]
     t = t.selectExpr(*cols, *[S.aliased(m, f"__m{j}") for j, m in enumerate(ms)])
     return t.selectExpr(*cols, S.aliased(cat_loglik_sql(layout.n_slots), out))
 
 
+WIDE_EXPR_LIMIT = 4096  # k*J generated terms; above it scoring runs on Arrow batches
+CHUNK_CELLS = 4_000_000  # rows x slots held at once inside one Arrow batch
+
+
+def _cat_loglik_arrow(df: DataFrame, params: LogisticParams, spec: MixedSpec, layout: SlotLayout,
+                      out: str) -> DataFrame:
+    """log P(y|x) for very many slots: NumPy per Arrow batch (mapInPandas, no shuffle).
+
+    With m_j = w_j / lambda:  sum_j log sigmoid(z_j m_j) = sum_j log sigmoid(-m_j) + sum_(hot j) m_j,
+    evaluated in row chunks of at most CHUNK_CELLS margins.
+    """
+    from pyspark.sql import types as T
+
+    V, W, lam = params.V.copy(), params.W.copy(), float(params.lam)
+    d = V.shape[1] - 1
+    cats = list(layout.cat_cols)
+    offsets, widths = list(layout.offsets), list(layout.widths)
+    array_col, cont_cols = spec.cont_array, list(spec.cont_cols)
+    rows_per_chunk = max(1, CHUNK_CELLS // max(1, layout.n_slots))
+    schema = T.StructType(df.schema.fields + [T.StructField(out, T.DoubleType())])
+
+    def fn(batches):
+        import numpy as np
+
+        for pdf in batches:
+            n = len(pdf)
+            res = np.zeros(n)
+            if array_col:
+                X = np.stack(pdf[array_col].to_numpy()).astype(np.float64) if n else np.zeros((0, d))
+            else:
+                X = pdf[cont_cols].to_numpy(dtype=np.float64) if cont_cols else np.zeros((n, 0))
+            codes = [pdf[c].to_numpy() for c in cats]
+            for a in range(0, n, rows_per_chunk):
+                b = min(n, a + rows_per_chunk)
+                H = X[a:b] @ V[:, :d].T + V[:, d]
+                M = (H @ W) / lam
+                acc = -np.logaddexp(0.0, M).sum(axis=1)
+                rows = np.arange(b - a)
+                for code, off, w in zip(codes, offsets, widths):
+                    cc = code[a:b]
+                    ok = (cc >= 0) & (cc < w)
+                    acc[ok] += M[rows[ok], off + cc[ok].astype(np.int64)]
+                res[a:b] = acc
+            pdf[out] = res
+            yield pdf
+
+    return df.mapInPandas(fn, schema)
+
+
 def with_margins(df: DataFrame, params: LogisticParams, spec: MixedSpec, layout: SlotLayout,
                  keep: list[str], digits: int | None = None) -> DataFrame:
     """(keep.., h0.., w0..) -- the bilinear margins themselves."""

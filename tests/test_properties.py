@@ -203,3 +203,25 @@ def test_minibatch_tiny_fraction_still_draws(spark):
     assert 50 <= k <= 160  # expected 98
     with pytest.raises(ValueError, match="resolution"):
         minibatches(big, spec, 1, [1, 2], 1e-7, 42, "modular")
+
+
+def test_arrow_scoring_equals_expression_scoring(spark, monkeypatch):
+    """Very wide models score on Arrow batches; both paths give the same values."""
+    import mixdetect.operators.gmm as G
+    import mixdetect.operators.logistic as L
+
+    df = mixed_orders(spark, SF_SMALL)
+    spec = MIXED_ORDERS_SPEC
+    layout = slot_layout(profile(df, spec), spec)
+    m = DetectorModel(spec, layout, random_logistic(3, 2, layout.n_slots, 0.1, 5), given_gmm(3, 2), DetectorParams())
+    bad = df.withColumn("c1", F.when(F.col("row_id") % 97 == 0, 9).otherwise(F.col("c1")))  # unseen codes too
+    want = {r["row_id"]: (r["log_p_cont"], r["log_p_cat"]) for r in m.score(bad).collect()}
+    monkeypatch.setattr(L, "WIDE_EXPR_LIMIT", 0)
+    monkeypatch.setattr(G, "WIDE_EXPR_LIMIT", 0)
+    t = m.score(bad)
+    assert "MapInPandas" in t._jdf.queryExecution().executedPlan().toString()
+    got = {r["row_id"]: (r["log_p_cont"], r["log_p_cat"]) for r in t.collect()}
+    assert got.keys() == want.keys()
+    for k, (a, b) in want.items():
+        assert got[k][0] == pytest.approx(a, rel=1e-9, abs=1e-9)
+        assert got[k][1] == pytest.approx(b, rel=1e-9, abs=1e-9)
