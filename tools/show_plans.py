@@ -58,7 +58,7 @@ def main() -> None:
     sections = [
         ("Profile: one aggregate over the pruned scan", profile_frame(lines, spec)),
         ("Scoring + flag: one projection, no exchange, no Python", model.transform(lines)),
-        ("SGD draw: every step's minibatch in one pass (Generate + Filter in codegen)", mb),
+        ("SGD draw: one 53-bit hash per row prefilters at the scan; posexplode only for the drawn rows", mb),
         ("SGD step: gradient of one step's rows", gradient_global_frame(mb.where(F.col("step") == 1),
                                                                          model.logistic, spec, layout)),
         ("E-step, generated sums (K=4, d=4)", estep_frame_generated(lines, given_gmm(4, 4), spec)),
