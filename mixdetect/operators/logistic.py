@@ -184,7 +184,9 @@ def minibatches(df: DataFrame, spec: MixedSpec, n_slots: int, steps: list[int],
             n_steps = len(steps)
             log_keep = math.log1p(-f)
             p_any = -math.expm1(n_steps * log_keep)
-            cand = base.select("*", uniform(rid, 0, seed, STREAM_FIRST).alias("__u0")).where(F.col("__u0") < p_any)
+            # keyed on the draw's first step label, so a redraw (new labels) is independent
+            u0 = uniform(rid, int(steps[0]), seed, STREAM_FIRST)
+            cand = base.select("*", u0.alias("__u0")).where(F.col("__u0") < p_any)
             first = F.least(F.greatest(F.ceil(F.log1p(-F.col("__u0")) / log_keep), F.lit(1)), F.lit(n_steps))
             t = cand.select("*", first.cast("int").alias("__g"), F.posexplode(step_arr).alias("__pos", "step"))
             pos = F.col("__pos") + 1

@@ -1,10 +1,10 @@
 """The mixed-type density detector: fit -> model -> transform.
 
 ``Detector.fit`` runs: one profile aggregate (count, widths, validation,
-variances) -> persist the pruned input -> SGD (one draw pass + one small
-aggregate per step) -> KMeans start + EM (one aggregate per iteration) ->
-exact threshold over the training scores -> unpersist.  Only parameters and
-aggregate rows reach the driver.
+variances) -> persist the pruned input -> concurrently, SGD (one draw pass +
+one small aggregate per step) and k-means start + EM (one aggregate per
+iteration) -> exact threshold over the training scores -> unpersist.  Only
+parameters and aggregate rows reach the driver.
 
 ``DetectorModel.transform`` is a single projection with the parameters as
 literals: no shuffle, no Python, and valid on streaming frames.
