@@ -197,3 +197,17 @@ def test_approximate_threshold_is_within_sketch_rank_error(spark):
     assert abs(rank - k) <= n / 1000 + 1
     assert s.where(F.col("score") <= exact).count() >= k
     s.unpersist()
+
+
+def test_empty_minibatches_are_redrawn(spark):
+    """minibatch_size=1 leaves ~37% of steps empty at first; each is drawn again with a new salt."""
+    from mixdetect.plans.sgd import draw_minibatches
+
+    df = mixed_orders(spark, SF_SMALL)
+    spec = MIXED_ORDERS_SPEC
+    prof = profile(df, spec)
+    layout = slot_layout(prof, spec)
+    mb = draw_minibatches(df, spec, layout, prof.n, 41, 1, 3, "xxhash")
+    counts = {r["step"]: r["count"] for r in mb.groupBy("step").count().collect()}
+    assert sorted(counts) == list(range(1, 41))
+    assert sum(counts.values()) < 40 * 4  # still ~1 row per step, not whole copies of other steps
