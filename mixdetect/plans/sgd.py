@@ -14,6 +14,7 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -81,22 +82,32 @@ def train_sgd(df: DataFrame, spec: MixedSpec, layout: SlotLayout, n: int, start:
     mb = draw_minibatches(df, spec, layout, n, max_iterations, minibatch_size, seed, hash_kind, checkpoint)
     if mb is None:
         return SgdResult(params, history, False)
-    no_progress = 0
-    i = 1
-    while i < max_iterations and no_progress < no_progress_steps:
-        batch = mb.where(F.col("step") == i)
-        gW_sum, gV_sum, cnt = gradient(batch, params, spec, layout)
-        if cnt == 0:  # could not draw a non-empty batch
+    cached = None
+    if mb.rdd.getNumPartitions() == 1:
+        # A cached single-partition copy reports SinglePartition, so each step's
+        # aggregate runs as one stage with no exchange (a lost block is rebuilt
+        # from the checkpoint through a tiny shuffle).
+        cached = mb = mb.repartition(1).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        no_progress = 0
+        i = 1
+        while i < max_iterations and no_progress < no_progress_steps:
+            batch = mb.where(F.col("step") == i)
+            gW_sum, gV_sum, cnt = gradient(batch, params, spec, layout)
+            if cnt == 0:  # could not draw a non-empty batch
+                i += 1
+                continue
+            lr = lr0 / (1.0 + lr_speed * (i - 1))
+            gW = gW_sum / cnt
+            gV = gV_sum / cnt
+            progress = float(np.abs(gW).sum())
+            no_progress = no_progress + 1 if progress < no_progress_tol else 0
+            history.append((i, int(cnt), progress, lr))
+            params = regularised_update(params, gW, gV, lr, reg, radius)
             i += 1
-            continue
-        lr = lr0 / (1.0 + lr_speed * (i - 1))
-        gW = gW_sum / cnt
-        gV = gV_sum / cnt
-        progress = float(np.abs(gW).sum())
-        no_progress = no_progress + 1 if progress < no_progress_tol else 0
-        history.append((i, int(cnt), progress, lr))
-        params = regularised_update(params, gW, gV, lr, reg, radius)
-        i += 1
+    finally:
+        if cached is not None:
+            cached.unpersist()
     return SgdResult(params, history, no_progress >= no_progress_steps)
 
 
