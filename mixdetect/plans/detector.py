@@ -144,6 +144,17 @@ class Detector:
         self.logistic_start = logistic_start
         self.gmm_start = gmm_start
 
+    # parameter access under the original detector's method names
+    def set_params(self, **params) -> "Detector":
+        self.params = self.params.replace(**params)
+        return self
+
+    def get_params(self, deep: bool = True) -> dict:
+        return self.params.as_dict()
+
+    def get_param_names(self) -> list[str]:
+        return DetectorParams.param_names()
+
     def _logistic_start(self, d: int, J: int) -> LogisticParams:
         p = self.params
         if self.logistic_start is not None:

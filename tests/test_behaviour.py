@@ -211,3 +211,12 @@ def test_empty_minibatches_are_redrawn(spark):
     counts = {r["step"]: r["count"] for r in mb.groupBy("step").count().collect()}
     assert sorted(counts) == list(range(1, 41))
     assert sum(counts.values()) < 40 * 4  # still ~1 row per step, not whole copies of other steps
+
+
+def test_detector_parameter_methods():
+    d = Detector(MIXED_ORDERS_SPEC)
+    assert d.set_params(gaussian_num=2, anomaly_ratio=0.2) is d
+    assert d.get_params()["gaussian_num"] == 2 and d.params.anomaly_ratio == 0.2
+    assert "logistic_lambda" in d.get_param_names()
+    with pytest.raises(ValueError):
+        d.set_params(no_such_parameter=1)
