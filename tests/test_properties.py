@@ -225,3 +225,15 @@ def test_arrow_scoring_equals_expression_scoring(spark, monkeypatch):
     for k, (a, b) in want.items():
         assert got[k][0] == pytest.approx(a, rel=1e-9, abs=1e-9)
         assert got[k][1] == pytest.approx(b, rel=1e-9, abs=1e-9)
+
+
+def test_sql_double_literals_round_trip(spark):
+    """Generated expressions carry parameters as SQL text: every double must parse back exactly."""
+    from mixdetect.functions import sql as S
+
+    vals = [0.0, 1e-300, -1e-300, 1.5e-05, -2.5e20, 123456789.123, -0.4, 1 / 3, float("inf"), float("-inf"),
+            5e-324, 1.7976931348623157e308]
+    row = spark.range(1).selectExpr(*[f"{S.num(v)} AS v{i}" for i, v in enumerate(vals)],
+                                    f"typeof({S.num(0.5)}) AS t").first()
+    assert [row[f"v{i}"] for i in range(len(vals))] == vals
+    assert row["t"] == "double"
