@@ -1 +1 @@
-from .scoring import score_stream, score_stream_to_parquet, start_scoring_query
+from .scoring import score_stream, score_stream_to_parquet, start_anomaly_sink, start_scoring_query

@@ -57,3 +57,32 @@ def score_stream_to_parquet(model: DetectorModel, stream: DataFrame, name: str,
     if q.exception() is not None:
         raise q.exception()
     return spark.read.schema(out.schema).parquet(f"{base}/data")
+
+
+def start_anomaly_sink(model: DetectorModel, stream: DataFrame, path: str, name: str,
+                       trigger_available_now: bool = True) -> StreamingQuery:
+    """Write only the flagged rows of each micro-batch to ``path/batch_id=<id>``.
+
+    Each batch is scored once and cached, so the ``is_anomaly`` filter runs
+    above the cache instead of being pushed into the scoring projection (which
+    would evaluate the score twice).  A batch writes its own directory in
+    overwrite mode, so a retried batch replaces its output instead of adding
+    to it.
+    """
+    from pyspark import StorageLevel
+
+    base = ensure_checkpoint_dir(stream.sparkSession)
+    target = path.rstrip("/")
+
+    def write_batch(batch: DataFrame, batch_id: int) -> None:
+        scored = model.transform(batch).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            scored.where("is_anomaly").write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
+        finally:
+            scored.unpersist()
+
+    w = (stream.writeStream.foreachBatch(write_batch).queryName(name)
+         .option("checkpointLocation", f"{base.rstrip('/')}/stream-{name}"))
+    if trigger_available_now:
+        w = w.trigger(availableNow=True)
+    return w.start()

@@ -89,3 +89,24 @@ def test_model_save_load_roundtrip(spark):
     a = sorted(model.transform(df).select("row_id", "score", "is_anomaly").collect())
     b = sorted(back.transform(df).select("row_id", "score", "is_anomaly").collect())
     assert a == b
+
+
+def test_anomaly_sink_writes_exactly_the_flagged_rows(spark):
+    import uuid
+
+    from mixdetect.streaming import start_anomaly_sink
+
+    df = mixed_events(spark, SF_SMALL)
+    spec = MIXED_EVENTS_SPEC
+    layout = slot_layout(profile(df, spec), spec)
+    model = DetectorModel(spec, layout, given_logistic(2, 3, layout.n_slots, 0.1), given_gmm(3, 3),
+                          DetectorParams(), threshold=-3.0)
+    schema = spark.read.parquet(f"{SF_SMALL}/events.parquet").schema
+    stream = (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(SF_SMALL))
+    out = tempfile.mkdtemp(prefix="mixdetect-sink-")
+    q = start_anomaly_sink(model, mixed_events_from(stream), out, f"sink_{uuid.uuid4().hex[:8]}")
+    q.awaitTermination(120)
+    got = spark.read.parquet(out).select("row_id", "score")
+    want = model.transform(df).where("is_anomaly").select("row_id", "score")
+    assert want.count() > 0
+    assert sorted(got.collect()) == sorted(want.collect())
