@@ -21,6 +21,9 @@ def combined_score(log_p_cont: Column, log_p_cat: Column, mode: str) -> Column:
     raise ValueError(f"mode must be 'joint' or 'product', not {mode!r}")
 
 
+MAX_LABELS = 1000
+
+
 def target_size(n: int, ratio: float) -> int:
     return max(1, int(n * ratio))
 
@@ -52,7 +55,10 @@ def threshold(scored: DataFrame, n: int, ratio: float, order: str = "score", tai
     if order == "label_score":
         if label is None:
             raise ValueError("order='label_score' needs a label column")
-        counts = sorted(((r[0], int(r[1])) for r in scored.groupBy(label).count().collect()),  # few labels
+        groups = scored.groupBy(label).count().limit(MAX_LABELS + 1).collect()  # labels are class codes
+        if len(groups) > MAX_LABELS:
+            raise ValueError(f"order='label_score' needs a class label, found over {MAX_LABELS} distinct values")
+        counts = sorted(((r[0], int(r[1])) for r in groups),
                         key=lambda t: (t[0] is not None, t[0] if t[0] is not None else 0), reverse=True)
         remaining = k
         for lab, c in counts:

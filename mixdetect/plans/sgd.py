@@ -60,7 +60,7 @@ def draw_minibatches(df: DataFrame, spec: MixedSpec, layout: SlotLayout, n: int,
             e = minibatches(df, spec, layout.n_slots, [s + redraw * REDRAW_STRIDE], fraction, seed, hash_kind)
             e = e.withColumn("step", F.lit(s))
             extra = e if extra is None else extra.unionByName(e)
-        got = {int(r["step"]) for r in extra.groupBy("step").count().collect()}
+        got = {int(r["step"]) for r in extra.groupBy("step").count().collect()}  # <= steps rows
         if got:
             keep = extra.where(F.col("step").isin(sorted(got)))
             mb = mb.unionByName(keep)
