@@ -237,3 +237,19 @@ def test_sql_double_literals_round_trip(spark):
                                     f"typeof({S.num(0.5)}) AS t").first()
     assert [row[f"v{i}"] for i in range(len(vals))] == vals
     assert row["t"] == "double"
+
+
+def test_sgd_step_over_cached_single_partition_has_no_exchange(spark):
+    from mixdetect.operators.logistic import gradient_global_frame, minibatches
+
+    df = mixed_orders(spark, SF_SMALL)
+    spec = MIXED_ORDERS_SPEC
+    layout = slot_layout(profile(df, spec), spec)
+    mb = minibatches(df, spec, layout.n_slots, list(range(1, 10)), 0.1, 1, "xxhash").repartition(1).persist()
+    try:
+        plan = gradient_global_frame(mb.where(F.col("step") == 2), random_logistic(2, 2, layout.n_slots, 0.1, 1),
+                                     spec, layout)._jdf.queryExecution().executedPlan().toString()
+        top = plan.split("InMemoryRelation")[0]  # the cached plan's own shuffle is listed below it
+        assert "Exchange" not in top and "HashAggregate" in top
+    finally:
+        mb.unpersist()
