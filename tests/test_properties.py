@@ -247,6 +247,7 @@ def test_sgd_step_over_cached_single_partition_has_no_exchange(spark):
     layout = slot_layout(profile(df, spec), spec)
     mb = minibatches(df, spec, layout.n_slots, list(range(1, 10)), 0.1, 1, "xxhash").repartition(1).persist()
     try:
+        mb.count()  # materialised, the cached relation reports its single partition
         plan = gradient_global_frame(mb.where(F.col("step") == 2), random_logistic(2, 2, layout.n_slots, 0.1, 1),
                                      spec, layout)._jdf.queryExecution().executedPlan().toString()
         top = plan.split("InMemoryRelation")[0]  # the cached plan's own shuffle is listed below it
