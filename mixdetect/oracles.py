@@ -85,28 +85,34 @@ class Ctes:
 # building blocks
 # ---------------------------------------------------------------------------
 
-def long_parts(c: Ctes, fixture: str, cats: list[str], conts: list[str], intercept: bool = True) -> None:
-    c.add("fx", fixture)
+def long_parts(c: Ctes, fixture: str, cats: list[str], conts: list[str], intercept: bool = True,
+               ns: str = "") -> None:
+    """Fixture + long forms: ``cl`` (row, column, code), slot layout, ``xc``/``xl`` (row, dim, x).
+
+    ``ns`` prefixes every CTE name, so several fits can live in one query.
+    """
+    c.add(f"{ns}fx", fixture)
     if cats:
-        c.add("cl", "\nUNION ALL\n".join(f"SELECT row_id, {i} AS ci, {col} AS code FROM fx"
-                                          for i, col in enumerate(cats)))
-        c.add("wd", "SELECT ci, max(code) + 1 AS width FROM cl GROUP BY ci")
-        c.add("sl", "SELECT ci, width, coalesce(sum(width) OVER (ORDER BY ci ROWS BETWEEN UNBOUNDED PRECEDING "
-                    "AND 1 PRECEDING), 0) AS off FROM wd")
-        c.add("slots", "SELECT ci, v AS code, CAST(off + v AS INTEGER) AS j FROM "
-                       "(SELECT ci, off, unnest(range(width)) AS v FROM sl)")
-        c.add("jn", "SELECT count(*) AS J FROM slots")
-    parts = [f"SELECT row_id, {i} AS c, {col} AS x FROM fx" for i, col in enumerate(conts)]
-    c.add("xc", "\nUNION ALL\n".join(parts))
+        c.add(f"{ns}cl", "\nUNION ALL\n".join(f"SELECT row_id, {i} AS ci, {col} AS code FROM {ns}fx"
+                                               for i, col in enumerate(cats)))
+        c.add(f"{ns}wd", f"SELECT ci, max(code) + 1 AS width FROM {ns}cl GROUP BY ci")
+        c.add(f"{ns}sl", "SELECT ci, width, coalesce(sum(width) OVER (ORDER BY ci ROWS BETWEEN UNBOUNDED PRECEDING "
+                         f"AND 1 PRECEDING), 0) AS off FROM {ns}wd")
+        c.add(f"{ns}slots", "SELECT ci, v AS code, CAST(off + v AS INTEGER) AS j FROM "
+                            f"(SELECT ci, off, unnest(range(width)) AS v FROM {ns}sl)")
+        c.add(f"{ns}jn", f"SELECT count(*) AS J FROM {ns}slots")
+    parts = [f"SELECT row_id, {i} AS c, {col} AS x FROM {ns}fx" for i, col in enumerate(conts)]
+    c.add(f"{ns}xc", "\nUNION ALL\n".join(parts))
     if intercept:
-        c.add("xl", "SELECT row_id, c, x FROM xc UNION ALL SELECT row_id, " + str(len(conts)) + " AS c, 1.0E0 AS x FROM fx")
-    c.add("nn", "SELECT count(*) AS N FROM fx")
+        c.add(f"{ns}xl", f"SELECT row_id, c, x FROM {ns}xc UNION ALL SELECT row_id, {len(conts)} AS c, 1.0E0 AS x "
+                         f"FROM {ns}fx")
+    c.add(f"{ns}nn", f"SELECT count(*) AS N FROM {ns}fx")
 
 
-def given_logistic_ctes(c: Ctes, k: int, d: int, suffix: str = "0") -> None:
-    c.add(f"pv{suffix}", f"SELECT r, cc AS c, ((3*r + 5*cc) % 7 - 3) / 10.0E0 AS v "
-                         f"FROM range({k}) t1(r), range({d + 1}) t2(cc)")
-    c.add(f"pw{suffix}", f"SELECT r, j, ((5*r + 2*j) % 9 - 4) / 10.0E0 AS v FROM range({k}) t1(r), slots")
+def given_logistic_ctes(c: Ctes, k: int, d: int, suffix: str = "0", ns: str = "") -> None:
+    c.add(f"{ns}pv{suffix}", f"SELECT r, cc AS c, ((3*r + 5*cc) % 7 - 3) / 10.0E0 AS v "
+                             f"FROM range({k}) t1(r), range({d + 1}) t2(cc)")
+    c.add(f"{ns}pw{suffix}", f"SELECT r, j, ((5*r + 2*j) % 9 - 4) / 10.0E0 AS v FROM range({k}) t1(r), {ns}slots")
 
 
 def given_gmm_cte(c: Ctes, K: int, d: int, name: str = "gp0") -> None:
@@ -114,24 +120,29 @@ def given_gmm_cte(c: Ctes, K: int, d: int, name: str = "gp0") -> None:
                 f"FROM range({K}) t1(m), range({d}) t2(cc)")
 
 
-def logistic_ctes(c: Ctes, pv: str, pw: str, lam: float, p: str = "") -> str:
-    """Adds CTEs computing log P(y|x) per row; returns the name of (row_id, log_p_cat)."""
-    c.add(f"{p}h", f"SELECT xl.row_id, pv.r, sum(pv.v * xl.x) AS h FROM xl JOIN {pv} pv ON xl.c = pv.c "
+def logistic_ctes(c: Ctes, pv: str, pw: str, lam: float, p: str = "", data_ns: str = "",
+                  slots_ns: str | None = None) -> str:
+    """Adds CTEs computing log P(y|x) per row of ``data_ns``, with the slot layout of
+    ``slots_ns`` (default: the same); returns the name of (row_id, log_p_cat)."""
+    sn = data_ns if slots_ns is None else slots_ns
+    c.add(f"{p}h", f"SELECT xl.row_id, pv.r, sum(pv.v * xl.x) AS h FROM {data_ns}xl xl JOIN {pv} pv ON xl.c = pv.c "
                    "GROUP BY xl.row_id, pv.r")
     c.add(f"{p}w", f"SELECT h.row_id, pw.j, sum(h.h * pw.v) AS w FROM {p}h h JOIN {pw} pw ON h.r = pw.r "
                    "GROUP BY h.row_id, pw.j")
     c.add(f"{p}z", f"SELECT w.row_id, w.j, w.w, CASE WHEN cl.code = s.code THEN 1.0E0 ELSE -1.0E0 END AS z "
-                   f"FROM {p}w w JOIN slots s ON s.j = w.j JOIN cl ON cl.row_id = w.row_id AND cl.ci = s.ci")
+                   f"FROM {p}w w JOIN {sn}slots s ON s.j = w.j JOIN {data_ns}cl cl ON cl.row_id = w.row_id "
+                   "AND cl.ci = s.ci")
     c.add(f"{p}lpc", f"SELECT row_id, sum({logsig(f'z * w / {f(lam)}')}) AS log_p_cat FROM {p}z GROUP BY row_id")
     return f"{p}lpc"
 
 
-def gmm_ctes(c: Ctes, gp: str, d: int, p: str = "", with_weight: bool = True) -> tuple[str, str, str]:
+def gmm_ctes(c: Ctes, gp: str, d: int, p: str = "", with_weight: bool = True,
+             data_ns: str = "") -> tuple[str, str, str]:
     """Adds component log-densities, row loglik and responsibilities; returns their CTE names."""
     wt = " + ln(max(gp.wt))" if with_weight else ""
     c.add(f"{p}lp", f"SELECT xc.row_id, gp.m, -0.5E0 * ({d} * ln(2 * pi()) + sum(ln(gp.var))){wt} "
                     f"- 0.5E0 * sum((xc.x - gp.mu) * (xc.x - gp.mu) * (1.0E0 / gp.var)) AS lp "
-                    f"FROM xc JOIN {gp} gp ON xc.c = gp.c GROUP BY xc.row_id, gp.m")
+                    f"FROM {data_ns}xc xc JOIN {gp} gp ON xc.c = gp.c GROUP BY xc.row_id, gp.m")
     c.add(f"{p}ll", f"SELECT row_id, mx + ln(sum(exp(lp - mx))) AS ll FROM "
                     f"(SELECT row_id, lp, max(lp) OVER (PARTITION BY row_id) AS mx FROM {p}lp) GROUP BY row_id, mx")
     c.add(f"{p}rs", f"SELECT lp.row_id, lp.m, exp(lp.lp - ll.ll) AS r FROM {p}lp lp JOIN {p}ll ll "
@@ -139,11 +150,12 @@ def gmm_ctes(c: Ctes, gp: str, d: int, p: str = "", with_weight: bool = True) ->
     return f"{p}lp", f"{p}ll", f"{p}rs"
 
 
-def em_step_ctes(c: Ctes, gp_in: str, gp_out: str, d: int, min_covar: float = Q.MIN_COVAR) -> str:
+def em_step_ctes(c: Ctes, gp_in: str, gp_out: str, d: int, min_covar: float = Q.MIN_COVAR,
+                 data_ns: str = "") -> str:
     p = f"{gp_out}_"
-    _, ll, rs = gmm_ctes(c, gp_in, d, p)
+    _, ll, rs = gmm_ctes(c, gp_in, d, p, data_ns=data_ns)
     c.add(f"{p}es", f"SELECT rs.m, xc.c, sum(rs.r) AS n, sum(rs.r * xc.x) AS s1, sum(rs.r * xc.x * xc.x) AS s2 "
-                    f"FROM {rs} rs JOIN xc ON rs.row_id = xc.row_id GROUP BY rs.m, xc.c")
+                    f"FROM {rs} rs JOIN {data_ns}xc xc ON rs.row_id = xc.row_id GROUP BY rs.m, xc.c")
     mc = f(min_covar)
     c.add(f"{p}mv", f"SELECT es.m, es.c, es.n / (SELECT sum(n) FROM {p}es WHERE c = 0) AS wt, "
                     f"CASE WHEN es.n > 0 THEN es.s1 / es.n ELSE g.mu END AS mu, "
@@ -154,43 +166,47 @@ def em_step_ctes(c: Ctes, gp_in: str, gp_out: str, d: int, min_covar: float = Q.
 
 
 def sgd_ctes(c: Ctes, steps: int, lam: float, radius: float, k: int, d: int, seed: int = Q.SEED,
-             minibatch: int = Q.MINIBATCH, reg: float = Q.REG, lr0: float = Q.LR0, speed: float = Q.LR_SPEED) -> None:
-    """Unrolled SGD: params pv0/pw0 -> pv{steps}/pw{steps}; history rows in hist{t}."""
+             minibatch: int = Q.MINIBATCH, reg: float = Q.REG, lr0: float = Q.LR0, speed: float = Q.LR_SPEED,
+             ns: str = "") -> None:
+    """Unrolled SGD: params {ns}pv0/pw0 -> {ns}pv{steps}/pw{steps}; history rows in {ns}hist{t}."""
     P = HASH_MODULUS
     cutoff = (f"(SELECT CASE WHEN {minibatch} >= N THEN {P} "
-              f"ELSE CAST(floor(({f(minibatch)} / N) * {P}) AS BIGINT) END FROM nn)")
-    scale_w = f"(1.0E0 / sqrt((SELECT J FROM jn) * {k}))"
+              f"ELSE CAST(floor(({f(minibatch)} / N) * {P}) AS BIGINT) END FROM {ns}nn)")
+    scale_w = f"(1.0E0 / sqrt((SELECT J FROM {ns}jn) * {k}))"
     scale_v = f"(1.0E0 / sqrt({(d + 1) * k}))"
+    xl, cl, slots = f"{ns}xl xl", f"{ns}cl cl", f"{ns}slots s"
     for t in range(1, steps + 1):
-        pv, pw = f"pv{t - 1}", f"pw{t - 1}"
+        pv, pw = f"{ns}pv{t - 1}", f"{ns}pw{t - 1}"
+        n = lambda name: f"{ns}{name}{t}"
         lr = f"({f(lr0)} / (1.0E0 + {f(speed)} * {t - 1}))"
-        c.add(f"mb{t}", f"SELECT row_id, CAST({hsh('row_id', str(t), seed, STREAM_SLOT)} % (SELECT J FROM jn) AS INTEGER) "
-                        f"AS slot FROM fx WHERE {hsh('row_id', str(t), seed, STREAM_SELECT)} < {cutoff}")
-        c.add(f"n{t}", f"SELECT count(*) AS n FROM mb{t}")
-        c.add(f"hh{t}", f"SELECT mb.row_id, pv.r, sum(pv.v * xl.x) AS h FROM mb{t} mb JOIN xl ON xl.row_id = mb.row_id "
-                        f"JOIN {pv} pv ON pv.c = xl.c GROUP BY mb.row_id, pv.r")
-        c.add(f"ws{t}", f"SELECT mb.row_id, mb.slot, pw.r, pw.v AS wv FROM mb{t} mb JOIN {pw} pw ON pw.j = mb.slot")
-        c.add(f"ww{t}", f"SELECT hh.row_id, sum(hh.h * ws.wv) AS w FROM hh{t} hh JOIN ws{t} ws "
-                        f"ON ws.row_id = hh.row_id AND ws.r = hh.r GROUP BY hh.row_id")
+        c.add(n("mb"), f"SELECT row_id, CAST({hsh('row_id', str(t), seed, STREAM_SLOT)} % (SELECT J FROM {ns}jn) "
+                       f"AS INTEGER) AS slot FROM {ns}fx WHERE {hsh('row_id', str(t), seed, STREAM_SELECT)} < {cutoff}")
+        c.add(n("n"), f"SELECT count(*) AS n FROM {n('mb')}")
+        c.add(n("hh"), f"SELECT mb.row_id, pv.r, sum(pv.v * xl.x) AS h FROM {n('mb')} mb JOIN {xl} "
+                       f"ON xl.row_id = mb.row_id JOIN {pv} pv ON pv.c = xl.c GROUP BY mb.row_id, pv.r")
+        c.add(n("ws"), f"SELECT mb.row_id, mb.slot, pw.r, pw.v AS wv FROM {n('mb')} mb JOIN {pw} pw ON pw.j = mb.slot")
+        c.add(n("ww"), f"SELECT hh.row_id, sum(hh.h * ws.wv) AS w FROM {n('hh')} hh JOIN {n('ws')} ws "
+                       f"ON ws.row_id = hh.row_id AND ws.r = hh.r GROUP BY hh.row_id")
         z = "CASE WHEN cl.code = s.code THEN 1.0E0 ELSE -1.0E0 END"
-        c.add(f"zz{t}", f"SELECT mb.row_id, mb.slot, ww.w, {z} AS z FROM mb{t} mb JOIN ww{t} ww ON ww.row_id = mb.row_id "
-                        f"JOIN slots s ON s.j = mb.slot JOIN cl ON cl.row_id = mb.row_id AND cl.ci = s.ci")
-        c.add(f"gg{t}", f"SELECT row_id, slot, -{sig(f'(-z) * w / {f(lam)}')} * z AS g FROM zz{t}")
-        c.add(f"gw{t}", f"SELECT hh.r, gg.slot AS j, sum(gg.g * hh.h) / (SELECT n FROM n{t}) AS g "
-                        f"FROM gg{t} gg JOIN hh{t} hh ON hh.row_id = gg.row_id GROUP BY hh.r, gg.slot")
-        c.add(f"gv{t}", f"SELECT ws.r, xl.c, sum(gg.g * ws.wv * xl.x) / (SELECT n FROM n{t}) AS g "
-                        f"FROM gg{t} gg JOIN ws{t} ws ON ws.row_id = gg.row_id JOIN xl ON xl.row_id = gg.row_id "
-                        f"GROUP BY ws.r, xl.c")
-        c.add(f"wu{t}", f"SELECT pw.r, pw.j, pw.v - {lr} * (coalesce(g.g, 0.0E0) + 2.0E0 * {f(reg)} * {scale_w} * pw.v) AS v "
-                        f"FROM {pw} pw LEFT JOIN gw{t} g ON g.r = pw.r AND g.j = pw.j")
-        c.add(f"vu{t}", f"SELECT pv.r, pv.c, pv.v - {lr} * (coalesce(g.g, 0.0E0) + 2.0E0 * {f(reg)} * {scale_v} * pv.v) AS v "
-                        f"FROM {pv} pv LEFT JOIN gv{t} g ON g.r = pv.r AND g.c = pv.c")
+        c.add(n("zz"), f"SELECT mb.row_id, mb.slot, ww.w, {z} AS z FROM {n('mb')} mb JOIN {n('ww')} ww "
+                       f"ON ww.row_id = mb.row_id JOIN {slots} ON s.j = mb.slot JOIN {cl} ON cl.row_id = mb.row_id "
+                       "AND cl.ci = s.ci")
+        c.add(n("gg"), f"SELECT row_id, slot, -{sig(f'(-z) * w / {f(lam)}')} * z AS g FROM {n('zz')}")
+        c.add(n("gw"), f"SELECT hh.r, gg.slot AS j, sum(gg.g * hh.h) / (SELECT n FROM {n('n')}) AS g "
+                       f"FROM {n('gg')} gg JOIN {n('hh')} hh ON hh.row_id = gg.row_id GROUP BY hh.r, gg.slot")
+        c.add(n("gv"), f"SELECT ws.r, xl.c, sum(gg.g * ws.wv * xl.x) / (SELECT n FROM {n('n')}) AS g "
+                       f"FROM {n('gg')} gg JOIN {n('ws')} ws ON ws.row_id = gg.row_id JOIN {xl} ON xl.row_id = gg.row_id "
+                       f"GROUP BY ws.r, xl.c")
+        c.add(n("wu"), f"SELECT pw.r, pw.j, pw.v - {lr} * (coalesce(g.g, 0.0E0) + 2.0E0 * {f(reg)} * {scale_w} * pw.v) "
+                       f"AS v FROM {pw} pw LEFT JOIN {n('gw')} g ON g.r = pw.r AND g.j = pw.j")
+        c.add(n("vu"), f"SELECT pv.r, pv.c, pv.v - {lr} * (coalesce(g.g, 0.0E0) + 2.0E0 * {f(reg)} * {scale_v} * pv.v) "
+                       f"AS v FROM {pv} pv LEFT JOIN {n('gv')} g ON g.r = pv.r AND g.c = pv.c")
         for m, key in (("w", "j"), ("v", "c")):
-            c.add(f"p{m}{t}", f"SELECT u.r, u.{key}, CASE WHEN nm.norm > {f(radius)} THEN u.v * ({f(radius)} / nm.norm) "
-                              f"ELSE u.v END AS v FROM {m}u{t} u JOIN (SELECT {key}, sqrt(sum(v * v)) AS norm "
-                              f"FROM {m}u{t} GROUP BY {key}) nm ON nm.{key} = u.{key}")
-        c.add(f"hist{t}", f"SELECT CAST({t} AS INTEGER) AS iter, CAST((SELECT n FROM n{t}) AS BIGINT) AS n, "
-                          f"(SELECT sum(abs(g)) FROM gw{t}) AS grad_l1, {lr} AS lr")
+            c.add(n(f"p{m}"), f"SELECT u.r, u.{key}, CASE WHEN nm.norm > {f(radius)} THEN u.v * ({f(radius)} / nm.norm) "
+                              f"ELSE u.v END AS v FROM {n(m + 'u')} u JOIN (SELECT {key}, sqrt(sum(v * v)) AS norm "
+                              f"FROM {n(m + 'u')} GROUP BY {key}) nm ON nm.{key} = u.{key}")
+        c.add(n("hist"), f"SELECT CAST({t} AS INTEGER) AS iter, CAST((SELECT n FROM {n('n')}) AS BIGINT) AS n, "
+                         f"(SELECT sum(abs(g)) FROM {n('gw')}) AS grad_l1, {lr} AS lr")
 
 
 def pivot(source: str, key: str, col: str, names: list[tuple[int, str]], value: str, digits: int = Q.DIG) -> str:
