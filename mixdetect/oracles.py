@@ -594,6 +594,56 @@ def sql_fit_end_to_end_small() -> str:
                  "FROM sc")
 
 
+def _auc_ctes(c: Ctes, scores: str, p: str, digits: int) -> str:
+    """Rank AUC (ties averaged) of -score over (row_id, label, score); returns the CTE with auc, n1, n0."""
+    c.add(f"{p}ar", f"SELECT label, {rnd('-score', digits)} AS s FROM {scores} WHERE label IS NOT NULL")
+    c.add(f"{p}rk", f"SELECT label, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0E0 AS rk "
+                    f"FROM {p}ar")
+    c.add(f"{p}cnt", "SELECT CAST(sum(CASE WHEN label = 1 THEN 1 ELSE 0 END) AS BIGINT) AS n1, "
+                     f"CAST(sum(CASE WHEN label = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n0 FROM {p}ar")
+    auc = ("(sum(CASE WHEN rk.label = 1 THEN rk.rk ELSE 0 END) - cnt.n1 * (cnt.n1 + 1) / 2.0E0) "
+           "/ (CAST(cnt.n1 AS DOUBLE) * CAST(cnt.n0 AS DOUBLE))")
+    c.add(f"{p}auc", f"SELECT {rnd(auc)} AS auc, cnt.n1 AS n_pos, cnt.n0 AS n_neg FROM {p}rk rk, {p}cnt cnt "
+                     "GROUP BY cnt.n1, cnt.n0")
+    return f"{p}auc"
+
+
+def sql_cv_auc_small() -> str:
+    """Per fold: fit from the given start on the normal-only train rows (2 SGD + 2 EM
+    steps), score the held-out rows with the train slot layout, rank AUC."""
+    p = Q.SMALL_FIT
+    k, d = Q.FOLDS, len(ORDERS_CONTS)
+    steps = p.max_iterations - 1
+    c = Ctes()
+    c.add("fxa", ORDERS_SQL)
+    c.add("posa", "SELECT row_id, row_number() OVER (ORDER BY row_id) - 1 AS pos FROM fxa")
+    c.add("qra", f"SELECT count(*) // {k} AS q, count(*) % {k} AS r FROM fxa")
+    c.add("fa", "SELECT row_id, CAST(CASE WHEN pos < r * (q + 1) THEN pos // (q + 1) "
+                "ELSE r + (pos - r * (q + 1)) // q END AS INTEGER) AS fold FROM posa, qra")
+    outs = []
+    for fo in range(k):
+        tr, te = f"tr{fo}_", f"te{fo}_"
+        long_parts(c, f"SELECT fxa.* FROM fxa JOIN fa ON fa.row_id = fxa.row_id WHERE fa.fold <> {fo} "
+                      "AND coalesce(fxa.label <> 1, true)", ORDERS_CATS, ORDERS_CONTS, ns=tr)
+        given_logistic_ctes(c, p.subspace_dimension, d, ns=tr)
+        sgd_ctes(c, steps, p.logistic_lambda, p.normalizing_radius, p.subspace_dimension, d, seed=p.seed,
+                 minibatch=p.minibatch_size, reg=p.regularization_parameter, lr0=p.learning_rate_start,
+                 speed=p.learning_rate_speed, ns=tr)
+        given_gmm_cte(c, p.gaussian_num, d, name=f"{tr}gp0")
+        for t in range(1, p.em_max_iter + 1):
+            em_step_ctes(c, f"{tr}gp{t - 1}", f"{tr}gp{t}", d, p.min_covar, data_ns=tr)
+        long_parts(c, f"SELECT fxa.* FROM fxa JOIN fa ON fa.row_id = fxa.row_id WHERE fa.fold = {fo}",
+                   ORDERS_CATS, ORDERS_CONTS, ns=te)
+        lpc = logistic_ctes(c, f"{tr}pv{steps}", f"{tr}pw{steps}", p.logistic_lambda, p=f"{te}s_", data_ns=te,
+                            slots_ns=tr)
+        _, ll, _ = gmm_ctes(c, f"{tr}gp{p.em_max_iter}", d, p=f"{te}g_", data_ns=te)
+        c.add(f"{te}sc", f"SELECT x.row_id, x.label, g.ll + l.log_p_cat AS score FROM {te}fx x "
+                         f"JOIN {ll} g ON g.row_id = x.row_id JOIN {lpc} l ON l.row_id = x.row_id")
+        auc = _auc_ctes(c, f"{te}sc", te, Q.AGG_DIG)
+        outs.append(f"SELECT CAST({fo} AS INTEGER) AS fold, auc, n_pos, n_neg FROM {auc}")
+    return c.sql("\nUNION ALL\n".join(outs))
+
+
 ORACLES = {
     "mixed_split": sql_mixed_split,
     "validate_profile": sql_validate_profile,
@@ -633,6 +683,7 @@ ORACLES = {
     "kfold_shuffled": sql_kfold_shuffled,
     "kfold_normal_only": sql_kfold_normal_only,
     "fit_end_to_end_small": sql_fit_end_to_end_small,
+    "cv_auc_small": sql_cv_auc_small,
 }
 
 

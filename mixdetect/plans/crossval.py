@@ -13,8 +13,9 @@ from .detector import Detector
 
 
 def cross_validate(df: DataFrame, spec: MixedSpec, params: DetectorParams, k: int, shuffle: bool = False,
-                   normal_only: bool = False) -> DataFrame:
-    """(fold, auc, n_pos, n_neg) with AUC of -score (low density = anomaly)."""
+                   normal_only: bool = False, digits: int | None = None) -> DataFrame:
+    """(fold, auc, n_pos, n_neg) with AUC of -score (low density = anomaly);
+    ``digits`` rounds the scores before ranking."""
     assigned = fold_assignment(df, k, shuffle=shuffle, seed=params.seed, hash_kind=params.hash_kind,
                                row_id=spec.row_id).persist(StorageLevel.MEMORY_AND_DISK)
     out = None
@@ -26,7 +27,8 @@ def cross_validate(df: DataFrame, spec: MixedSpec, params: DetectorParams, k: in
             test = assigned.where(F.col("fold") == f)
             model = Detector(spec, params).fit(train.drop("fold"))
             scored = model.score(test.drop("fold"))
-            a = auc_frame(scored, -F.col("score"), spec.label).select(F.lit(f).alias("fold"), "auc", "n_pos", "n_neg")
+            a = (auc_frame(scored, -F.col("score"), spec.label, digits=digits)
+                 .select(F.lit(f).alias("fold"), "auc", "n_pos", "n_neg"))
             out = a if out is None else out.unionByName(a)
     finally:
         assigned.unpersist()

@@ -429,6 +429,16 @@ def q_cv_auc(spark, sf):
                           FOLDS, normal_only=True)
 
 
+def q_cv_auc_small(spark, sf):
+    """Five folds, each fitted from the given start (2 SGD + 2 EM steps) on its
+    normal-only train rows and scored on the held-out fold."""
+    from .plans.crossval import cross_validate
+
+    t = cross_validate(mixed_orders(spark, sf), MIXED_ORDERS_SPEC, SMALL_FIT, FOLDS, normal_only=True,
+                       digits=AGG_DIG)
+    return t.select(F.col("fold").cast("int").alias("fold"), _r(F.col("auc")).alias("auc"), "n_pos", "n_neg")
+
+
 QUERIES: dict[str, Query] = {
     "mixed_split": q_mixed_split,
     "validate_profile": q_validate_profile,
@@ -471,4 +481,5 @@ QUERIES: dict[str, Query] = {
     "fit_end_to_end": q_fit_end_to_end,
     "fit_end_to_end_small": q_fit_end_to_end_small,
     "cv_auc": q_cv_auc,
+    "cv_auc_small": q_cv_auc_small,
 }
