@@ -254,3 +254,20 @@ def test_sgd_step_over_cached_single_partition_has_no_exchange(spark):
         assert "Exchange" not in top and "HashAggregate" in top
     finally:
         mb.unpersist()
+
+
+def test_grouped_and_global_gradient_agree(spark, monkeypatch):
+    """k*J above the limit sums the gradient by groupBy(slot); both paths give the same numbers."""
+    import mixdetect.operators.logistic as L
+
+    df = mixed_orders(spark, SF_SMALL)
+    spec = MIXED_ORDERS_SPEC
+    layout = slot_layout(profile(df, spec), spec)
+    mb = L.minibatches(df, spec, layout.n_slots, [1, 2, 3], 0.2, 5, "xxhash").where(F.col("step") == 2)
+    p = random_logistic(3, 2, layout.n_slots, 0.1, 9)
+    gW1, gV1, n1 = L.gradient(mb, p, spec, layout)
+    monkeypatch.setattr(L, "GLOBAL_GRADIENT_LIMIT", 0)
+    gW2, gV2, n2 = L.gradient(mb, p, spec, layout)
+    assert n1 == n2 > 0
+    np.testing.assert_allclose(gW1, gW2, rtol=1e-12, atol=1e-12)
+    np.testing.assert_allclose(gV1, gV2, rtol=1e-12, atol=1e-12)
