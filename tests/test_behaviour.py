@@ -220,3 +220,14 @@ def test_detector_parameter_methods():
     assert "logistic_lambda" in d.get_param_names()
     with pytest.raises(ValueError):
         d.set_params(no_such_parameter=1)
+
+
+def test_memberships_and_infer_spec(spark):
+    from mixdetect import infer_spec
+
+    df, m = _model(spark)
+    assert infer_spec(df) == MixedSpec(cat_cols=("c0", "c1", "c2"), cont_cols=("x0", "x1"))
+    t = m.memberships(df)
+    row = t.agg(F.max(F.abs(F.col("r0") + F.col("r1") + F.col("r2") - 1.0)).alias("err"),
+                F.min("cluster").alias("lo"), F.max("cluster").alias("hi")).first()
+    assert row["err"] < 1e-12 and 0 <= row["lo"] <= row["hi"] <= 2
