@@ -199,10 +199,6 @@ class Detector:
     def fit(self, df: DataFrame) -> DetectorModel:
         p, spec = self.params, self.spec
         K = p.gaussian_num
-        prof = profile(df, spec)
-        validate(prof, spec, K if spec.d > 0 else None)
-        layout = slot_layout(prof, spec)
-        n = prof.n
         keep = spec.key_cols() + list(spec.cat_cols) + ([spec.cont_array] if spec.cont_array else list(spec.cont_cols))
         data = df.select(*keep)
         # ~100 passes read this frame: make it span every core when the source
@@ -213,6 +209,12 @@ class Detector:
         data = data.persist(StorageLevel.MEMORY_AND_DISK)
         hist = FitHistory()
         try:
+            # the profile is the first action on the cached frame: one source scan
+            # both fills the cache and answers every shape question
+            prof = profile(data, spec)
+            validate(prof, spec, K if spec.d > 0 else None)
+            layout = slot_layout(prof, spec)
+            n = prof.n
             # The logistic model and the mixture do not depend on each other:
             # their job chains run concurrently from two driver threads, so the
             # small SGD jobs overlap the EM scans instead of adding to them.
