@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import STREAM_FOLD, full_hash, row_hash
-from .order_stats import auc_frame, global_positions
+from .order_stats import auc_frame, positions_and_count
 
 __all__ = ["auc_frame", "auc_evaluator", "fold_assignment", "kfold_long"]
 
@@ -27,12 +27,8 @@ def fold_assignment(df: DataFrame, k: int, shuffle: bool = False, seed: int = 42
     Contiguous folds by ``row_id`` order (or by a seeded hash order when
     ``shuffle``); the first ``n mod k`` folds hold one extra row.
     """
-    if n is None:
-        n = df.count()
     if k < 2:
         raise ValueError("k must be at least 2")
-    if n < k:
-        raise ValueError(f"Cannot have number of splits n_splits={k} greater than the number of samples: n_samples={n}.")
     if shuffle:
         # production: the full 64-bit hash (no ties at any size); modular: the SQL-portable one
         h = (full_hash(F.col(row_id), 0, seed, STREAM_FOLD) if hash_kind == "xxhash"
@@ -42,7 +38,9 @@ def fold_assignment(df: DataFrame, k: int, shuffle: bool = False, seed: int = 42
     else:
         t = df
         order = [row_id]
-    t = global_positions(t, order, n=n, n_buckets=n_buckets, out="__pos")
+    t, n = positions_and_count(t, order, n=n, n_buckets=n_buckets, out="__pos")
+    if n < k:
+        raise ValueError(f"Cannot have number of splits n_splits={k} greater than the number of samples: n_samples={n}.")
     q, r = divmod(n, k)
     pos = F.col("__pos")
     big = r * (q + 1)

@@ -137,10 +137,23 @@ def global_positions(df: DataFrame, order_cols: list[str], n: int | None = None,
     same partitions), per-partition counts -> offsets (<= n_buckets numbers).
     For distinct keys the result does not depend on the input partitioning.
     """
+    return positions_and_count(df, order_cols, n, n_buckets, out)[0]
+
+
+def positions_and_count(df: DataFrame, order_cols: list[str], n: int | None = None, n_buckets: int | None = None,
+                        out: str = "pos") -> tuple[DataFrame, int]:
+    """:func:`global_positions` plus the row count, which the per-partition
+    counts give for free (no separate counting scan)."""
     from ..plans.session import ensure_checkpoint_dir
 
     if n_buckets is None:
-        n_buckets = n_buckets_for(df.count() if n is None else n)
+        if n is not None:
+            n_buckets = n_buckets_for(n)
+        else:  # about one range partition per input split
+            try:
+                n_buckets = max(1, min(MAX_BUCKETS, df.rdd.getNumPartitions()))
+            except Exception:  # noqa: BLE001 -- no RDD view (Spark Connect)
+                n_buckets = n_buckets_for(df.count())
     keys = [*order_cols, "__tb"]
     local_bits = 33  # monotonically_increasing_id = partition index << 33 | row index
     t = (df.withColumn("__tb", F.monotonically_increasing_id())
@@ -156,7 +169,7 @@ def global_positions(df: DataFrame, order_cols: list[str], n: int | None = None,
         offsets.append(acc)
         acc += counts.get(i, 0)
     local = F.col("__mid").bitwiseAND(F.lit((1 << local_bits) - 1))
-    return t.withColumn(out, pick_long(offsets, part) + local).drop("__tb", "__mid")
+    return t.withColumn(out, pick_long(offsets, part) + local).drop("__tb", "__mid"), acc
 
 
 def auc_frame(df: DataFrame, score: str | Column, label: str = "label", n_buckets: int | None = None,
