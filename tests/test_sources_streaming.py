@@ -110,3 +110,16 @@ def test_anomaly_sink_writes_exactly_the_flagged_rows(spark):
     want = model.transform(df).where("is_anomaly").select("row_id", "score")
     assert want.count() > 0
     assert sorted(got.collect()) == sorted(want.collect())
+
+
+def test_fit_and_evaluate_positional_csv(spark):
+    from mixdetect.plans.csv_job import fit_and_evaluate
+
+    path = tempfile.mkdtemp(prefix="mixdetect-csvjob-")
+    _positional(mixed_orders(spark, SF_SMALL)).write.mode("overwrite").option("header", True).csv(path)
+    p = DetectorParams(subspace_dimension=2, logistic_lambda=0.1, gaussian_num=3, max_iterations=6, em_max_iter=5,
+                       kmeans_max_iter=3, anomaly_ratio=0.2)
+    model, scored, auc = fit_and_evaluate(spark, path, first_continuous=3, params=p)
+    assert scored.where("is_anomaly").count() == int(1500 * 0.2)
+    row = auc.first()
+    assert 0.0 <= row["auc"] <= 1.0 and row["n_pos"] == 75 and row["n_neg"] == 1425
