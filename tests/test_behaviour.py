@@ -231,3 +231,37 @@ def test_memberships_and_infer_spec(spark):
     row = t.agg(F.max(F.abs(F.col("r0") + F.col("r1") + F.col("r2") - 1.0)).alias("err"),
                 F.min("cluster").alias("lo"), F.max("cluster").alias("hi")).first()
     assert row["err"] < 1e-12 and 0 <= row["lo"] <= row["hi"] <= 2
+
+
+def test_t6_em_returns_post_mstep_parameters(spark):
+    from mixdetect.operators.gmm import estep, mstep
+
+    df = mixed_events(spark, SF_SMALL)
+    start = given_gmm(3, 3)
+    res = train_em(df, MIXED_EVENTS_SPEC, start, max_iter=1, tol=-1.0)
+    want = mstep(estep(df, start, MIXED_EVENTS_SPEC), start, 1e-3)
+    np.testing.assert_allclose(res.params.means, want.means, rtol=1e-12)
+    np.testing.assert_allclose(res.params.covars, want.covars, rtol=1e-12)
+
+
+def test_t8_gradient_keeps_the_original_scaling(spark):
+    """One row, one slot: gradW[:, j] = -s z h and gradV = -s z W[:, j] (x) [x, 1], s = sigmoid(-z w / lambda),
+    with no extra 1/lambda factor."""
+    from mixdetect.operators.logistic import gradient
+    from mixdetect.spec import LogisticParams, SlotLayout
+
+    spec = MixedSpec(cat_cols=("c0",), cont_cols=("x0", "x1"), label=None)
+    layout = SlotLayout(("c0",), (3,))
+    row = spark.createDataFrame([(1, 2, 0.3, -0.7, 1)], "row_id long, c0 int, x0 double, x1 double, slot int")
+    p = LogisticParams(np.array([[0.2, -0.1, 0.3], [0.5, 0.4, -0.2]]),
+                       np.array([[0.1, -0.3, 0.6], [0.2, 0.7, -0.4]]), 0.25)
+    gW, gV, n = gradient(row, p, spec, layout)
+    x1 = np.array([0.3, -0.7, 1.0])
+    h = p.V @ x1
+    j, z = 1, -1.0  # slot 1 is not the row's hot slot (code 2)
+    w = h @ p.W[:, j]
+    s = 1.0 / (1.0 + np.exp(z * w / p.lam))
+    assert n == 1
+    np.testing.assert_allclose(gW[:, j], -s * z * h, rtol=1e-12)
+    np.testing.assert_allclose(np.delete(gW, j, axis=1), 0.0)
+    np.testing.assert_allclose(gV, -s * z * np.outer(p.W[:, j], x1), rtol=1e-12)
