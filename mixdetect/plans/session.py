@@ -51,6 +51,8 @@ def recommended_conf(cpus: int) -> dict[str, str]:
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.extraJavaOptions": jit,
         "spark.executor.extraJavaOptions": jit,
+        # the fit runs two job chains from two threads, each in its own pool
+        "spark.scheduler.mode": "FAIR",
         "spark.sql.shuffle.partitions": str(max(8, 2 * cpus)),
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
