@@ -12,7 +12,7 @@ WITH rows AS (
   SELECT source, CAST(SUM(size) AS BIGINT) AS source_size FROM rows GROUP BY source
 ), weighted AS (
   SELECT source, source_size,
-         CAST(1 + (ROW_NUMBER() OVER (ORDER BY CAST(source AS BLOB) NULLS LAST) - 1) % 3 AS DOUBLE) AS weight
+         CAST(1 + (ROW_NUMBER() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS DOUBLE) AS weight
   FROM sources
 ), sorted AS (
   SELECT *, COALESCE(SUM(3.0 * source_size) OVER w, 0) AS fixed_before,
@@ -22,7 +22,7 @@ WITH rows AS (
   WINDOW w AS (ORDER BY 3.0 * source_size / weight, weight, source_size, source NULLS LAST
                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), level AS (
-  SELECT MIN((total - fixed_before) / free_weight) AS water
+  SELECT ARG_MIN((total - fixed_before) / free_weight, fixed_before) AS water
   FROM sorted WHERE (total - fixed_before) / free_weight * weight < 3.0 * source_size
 ), targets AS (
   SELECT source, source_size, weight, LEAST(weight * COALESCE(water, 0), 3.0 * source_size) AS target

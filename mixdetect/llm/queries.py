@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import compression, lengths, mixing, simhash, warc
+from . import compression, hmm, lengths, mixing, simhash, warc
 from .common import documents
 
 
+def op1_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(documents(spark, sf_dir))
+
+
 def op2_token_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.length_table(documents(spark, sf_dir))
 
@@ -30,4 +34,4 @@ def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_token_lengths, op3_simhash_dedup, op4_compression_bands, op8_water_filling, op10_warc_round_trip)}
+    op1_hmm_scores, op2_token_lengths, op3_simhash_dedup, op4_compression_bands, op8_water_filling, op10_warc_round_trip)}
