@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import compression, decontam, hmm, lengths, mixing, simhash, warc
+from . import compression, decontam, hmm, lengths, mixing, repeats, simhash, warc
 from .common import documents
 
 
@@ -24,6 +24,10 @@ def op4_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression.score(documents(spark, sf_dir))
 
 
+def op5_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digests(documents(spark, sf_dir))
+
+
 def op6_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -38,4 +42,5 @@ def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_hmm_scores, op2_token_lengths, op3_simhash_dedup, op4_compression_bands, op6_template_decontamination, op8_water_filling, op10_warc_round_trip)}
+    op1_hmm_scores, op2_token_lengths, op3_simhash_dedup, op4_compression_bands, op5_suffix_repeats,
+    op6_template_decontamination, op8_water_filling, op10_warc_round_trip)}
