@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import compression, decontam, hmm, lengths, mixing, repeats, simhash, warc
+from . import compression, cotrain, decontam, hmm, langid, lengths, mixing, repeats, simhash, warc
 from .common import documents
 
 
@@ -32,6 +33,21 @@ def op6_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op7_language_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with all evidence, and documents, whose source stands for the host; models from the documents' languages."""
+    docs = documents(spark, sf_dir)
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    rows = langid.rows_of_pages(pages).unionByName(langid.rows_of_texts(docs).withColumn("markup", F.lit(False)))
+    rows = rows.withColumn("id", F.col("id").cast("long"))
+    tagged = rows.withColumn("id", F.struct(F.when(~F.col("markup"), F.col("id")).alias("doc_id"),
+                                            F.when(F.col("markup"), F.col("id")).alias("page_id")))
+    return langid.fuse(tagged, langid.fit_text(docs)).select("id.doc_id", "id.page_id", "*").drop("id")
+
+
+def op9_co_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cotrain.score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op8_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select(
         "doc_id", "source", "size", "source_size", "target", "copies", "taken")
@@ -43,4 +59,4 @@ def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_hmm_scores, op2_token_lengths, op3_simhash_dedup, op4_compression_bands, op5_suffix_repeats,
-    op6_template_decontamination, op8_water_filling, op10_warc_round_trip)}
+    op6_template_decontamination, op7_language_evidence, op8_water_filling, op9_co_training, op10_warc_round_trip)}
