@@ -14,7 +14,7 @@ bucket are sorted, so no source (however hot) passes through one task whole.
 Defined results: a null text has size 0, a null source is a source of its own
 (the last one), repeated rows count as separate documents, an empty table
 gives an empty mix, extra columns are ignored by ``mix`` and kept by
-``take_rows``.
+``mixed_rows``.
 """
 
 from __future__ import annotations
@@ -40,8 +40,7 @@ def ranked_weights(sizes: DataFrame, cycle: tuple[float, ...]) -> DataFrame:
                      .withColumn("__in", F.row_number().over(
                          Window.partitionBy("__part").orderBy(F.col("source").asc_nulls_last()))), "mix-sources")
     parts = ordered.groupBy("__part").agg(F.count("*").alias("__n"))
-    offsets = parts.alias("a").join(parts.alias("b"), F.col("b.__part") < F.col("a.__part"), "left").groupBy(
-        F.col("a.__part").alias("__p")).agg(F.coalesce(F.sum("b.__n"), F.lit(0)).alias("__before"))
+    offsets = parts.select(F.col("__part").alias("__p"), (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
     position = F.col("__in") - 1 + F.col("__before")
     weights = F.array(*[F.lit(float(w)) for w in cycle])
     return (ordered.join(offsets, F.col("__part") == F.col("__p"))
@@ -74,14 +73,14 @@ def water_fill(sources: DataFrame, total: float, max_epochs: float) -> DataFrame
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
         weight_cycle: tuple[float, ...] = (1.0, 2.0, 3.0), max_epochs: float = 3.0,
-        total: float | None = None, seed: int = 42) -> DataFrame:
+        total: float | None = None, seed: int = 42, order_id: Column | None = None) -> DataFrame:
     """One row per document: how often the mix repeats it.
 
     Returns doc_id, source, size, source_size, weight, target (words wanted
     from its source), copies and taken (= copies * size).  The total defaults
-    to all words.
+    to all words.  ``order_id`` is what the seeded order hashes, if not the id.
     """
-    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string")))
+    order = F.md5(F.concat_ws(":", F.lit(str(seed)), (F.col("doc_id") if order_id is None else order_id).cast("string")))
     rows = stored(
         docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.col(text_col).alias("__text"))
         .select("doc_id", "source", word_count(F.col("__text")).alias("size"), order.alias("__order"))
@@ -121,9 +120,23 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
-def take_rows(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The documents of the mix, each row repeated ``copies`` times (rows joined by id)."""
-    copies: Column = F.explode(F.sequence(F.lit(1), F.col("__copies")))
-    chosen = mixed.where("copies > 0").groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").alias("__copies"))
-    return (docs.join(chosen, F.col(id_col).eqNullSafe(F.col("__id"))).withColumn("__copy", copies)
-            .drop("__id", "__copies", "__copy"))
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The documents of the mix, all columns unchanged, each row as often as the mix repeats it.
+
+    Rows are matched by 128 hash bits of id, source and text.  Rows that agree
+    in all three are told apart by a number, so each gets its own copies.
+    """
+    def keys() -> list[Column]:
+        return [F.xxhash64(F.lit(k), F.col(id_col), F.col(source_col), F.col(text_col)).alias(f"__m{k}") for k in (1, 2)]
+
+    def numbered(df: DataFrame) -> DataFrame:
+        return df.withColumn("__n", F.row_number().over(Window.partitionBy("__m1", "__m2").orderBy("__m1")))
+
+    keyed = docs.select("*", *keys())
+    ids = keyed.select(F.struct("__m1", "__m2", id_col).alias("__id"), F.col(text_col).alias("__t"), F.col(source_col).alias("__s"))
+    chosen = (mix(ids, "__id", "__t", "__s", order_id=F.col("doc_id")[id_col], **options).where("copies > 0")
+              .select("doc_id.__m1", "doc_id.__m2", "copies"))
+    chosen = numbered(chosen).select(F.col("__m1").alias("__c1"), F.col("__m2").alias("__c2"), F.col("__n").alias("__cn"), "copies")
+    on = (F.col("__m1") == F.col("__c1")) & (F.col("__m2") == F.col("__c2")) & (F.col("__n") == F.col("__cn"))
+    return (numbered(keyed).join(chosen, on).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+            .select(*[F.col(c) for c in docs.columns]))
