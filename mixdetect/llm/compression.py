@@ -45,10 +45,10 @@ class Bands:
     """
 
     whole: tuple[tuple[float, float, float], ...] = (
-        (64, 0.0, 2.0), (256, 0.7, 2.6), (512, 1.0, 3.2), (1024, 1.15, 3.8), (4096, 1.25, 4.5),
-        (16384, 1.3, 5.5), (float("inf"), 1.3, 7.0))
+        (64, 0.0, 2.0), (256, 0.7, 2.6), (512, 1.1, 3.2), (1024, 1.25, 3.8), (4096, 1.4, 4.5),
+        (16384, 1.5, 5.5), (float("inf"), 1.5, 7.0))
     chunk_bytes: int = 1024
-    chunk_band: tuple[float, float] = (1.15, 4.5)
+    chunk_band: tuple[float, float] = (1.3, 4.5)
     bad_share: float = 0.5
     level: int = 3
 
