@@ -48,9 +48,9 @@ from .suffix import sort_suffixes
 LENGTH = 200
 K = 40
 WINDOW = LENGTH - K + 1  # K-byte strings in a window
-HOT = 50_000
+HOT = 200_000  # some 150 MB of a task
 #: Bytes that are hashed at once.
-SEGMENT = 4_000_000
+SEGMENT = 1_000_000
 #: Surroundings that a shard sorts at once (whole anchors).
 BLOCK = 100_000
 
@@ -102,7 +102,8 @@ def anchors(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.nda
             if size and size + n > SEGMENT:
                 yield _anchors(texts, pieces)
                 pieces, size = [], 0
-            pieces.append((k, first, n))
+            # a later segment starts one window early, to know the anchor that the segment before it has reported
+            pieces.append((k, first - 1, n + 1) if first else (k, first, n))
             size += n + LENGTH
     if pieces:
         yield _anchors(texts, pieces)
@@ -123,9 +124,11 @@ def _anchors(texts: list[bytes], pieces: list[tuple[int, int, int]]) -> tuple[np
     piece = np.searchsorted(starts, at, side="right") - 1
     text = np.array([p[0] for p in pieces], dtype=np.int64)[piece]
     position = at - starts[piece] + np.array([p[1] for p in pieces], dtype=np.int64)[piece]
-    hashes = h[at]
-    keep = np.concatenate(([True], (text[1:] != text[:-1]) | (position[1:] != position[:-1]))) if len(at) else slice(None)
-    return text[keep], position[keep], hashes[keep]
+    keep = np.concatenate(([True], (text[1:] != text[:-1]) | (position[1:] != position[:-1]))) if len(at) else np.zeros(0, dtype=bool)
+    for k, (_, first, _) in enumerate(pieces):
+        if first:
+            keep &= (piece != k) | (at != int(least[starts[k]] & np.uint64(0xFFFFFFFF)))
+    return text[keep], position[keep], h[at[keep]]
 
 
 def surroundings(text: bytes, at: int) -> tuple[int, bytes]:
@@ -184,16 +187,21 @@ def _surround(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("a", pa.int64()), ("f", pa.int64()), ("k1", pa.int64()), ("kp", pa.int64()), ("n", pa.int64()),
                         ("before", pa.int32()), ("s", pa.binary())])
     plain = zstandard.ZstdDecompressor()
+    sent: set[tuple[int, int]] = set()
     for b in batches:
-        sent: set[tuple[int, int]] = set()
         rows: list[tuple] = []
+        if len(sent) > 1_000_000:
+            sent.clear()
         for k1, z, places in zip(b.column("k1").to_pylist(), b.column("z"), b.column("places").to_pylist(), strict=True):
             text = plain.decompress(z.as_py())
+            copies: dict[tuple, int] = {}  # copies of the text that were scanned in other batches
             for p in places:
-                before, s = surroundings(text, p["kp"] & 0xFFFFFFFF)
-                key = (p["a"], p["f"])
-                rows.append((p["a"], p["f"], k1, p["kp"], p["n"], before, None if key in sent else s))
-                sent.add(key)
+                key = (p["a"], p["f"], p["kp"])
+                copies[key] = copies.get(key, 0) + p["n"]
+            for (a, f, kp), n in copies.items():
+                before, s = surroundings(text, kp & 0xFFFFFFFF)
+                rows.append((a, f, k1, kp, n, before, None if (a, f) in sent else s))
+                sent.add((a, f))
             if len(rows) > 20_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
                 rows = []
@@ -329,8 +337,9 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", hot: int = HOT) -> D
                .mapInArrow(_scan, "a long, f long, k1 long, kp long, n long"))
     found = stored(scanned, "repeats-anchors")
     again = found.groupBy("a").agg(F.sum("n").alias("total"), F.min("f").alias("least"), F.max("f").alias("most")).where("total > 1")
-    status = again.select(F.col("a").alias("b"), F.when(F.col("least") == F.col("most"), 0).when(F.col("total") > hot, 2)
-                          .otherwise(1).alias("status"))
+    # written, so that the join below has exchanges of its own and Spark can split a hot anchor in it
+    status = stored(again.select(F.col("a").alias("b"), F.when(F.col("least") == F.col("most"), 0).when(F.col("total") > hot, 2)
+                                 .otherwise(1).alias("status")), "repeats-status")
     met = stored(found.join(status, F.col("a") == F.col("b")).select("a", "f", "k1", "kp", "n", "status"), "repeats-met")
     _release(docs)
     whole = met.where("status = 0").select("k1", "kp", F.lit(0).cast("long").alias("lo"), F.lit(WINDOW - 1).cast("long").alias("hi"))
@@ -339,14 +348,12 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", hot: int = HOT) -> D
     def with_texts(places: DataFrame) -> DataFrame:
         """Places and their surroundings; the text joins the list of its places once."""
         per_text = places.groupBy(F.col("k1").alias("j1"), F.shiftleft(F.shiftrightunsigned("kp", 32), 32).alias("j2")).agg(
-            F.collect_set(F.struct("a", "f", "kp", "n")).alias("places"))
+            F.collect_list(F.struct("a", "f", "kp", "n")).alias("places"))
         joined = (texts.groupBy("k1", "k2").agg(F.first("z").alias("z"))
                   .join(per_text, (F.col("k1") == F.col("j1")) & (F.col("k2") == F.col("j2"))).select("k1", "z", "places"))
         return joined.mapInArrow(_surround, "a long, f long, k1 long, kp long, n long, before int, s binary")
 
-    # copies of a text in different batches are one place seen more than once
-    one = met.where("status = 1").groupBy("a", "f", "k1", "kp").agg(F.sum("n").alias("n"))
-    spans = stored(with_texts(one).repartition("a").sortWithinPartitions("a")
+    spans = stored(with_texts(met.where("status = 1")).repartition("a").sortWithinPartitions("a")
                    .mapInArrow(_resolve, "k1 long, kp long, lo long, hi long"), "repeats-spans").unionByName(whole)
     _release(docs)
 
