@@ -65,7 +65,8 @@ def with_canonical(df: DataFrame, text: str, out: str) -> DataFrame:
     n = F.regexp_replace(n, rf"(?<= ){_PUNCT}*({_NUMBER}{_UNIT}){_PUNCT}*(?= )", f"{OPEN}q$1{CLOSE}")
     n = F.regexp_replace(n, rf"({OPEN}n[^{CLOSE}]*{CLOSE} ){_PUNCT}*({_UNIT}){_PUNCT}*(?= )", f"$1{OPEN}u$2{CLOSE}")
     df = df.withColumn("__t", F.when(t.rlike("[0-9]"), n).otherwise(t))
-    return df.withColumn(out, F.lower(F.regexp_replace(t, _PUNCT + "++", ""))).drop("__t")
+    # punctuation goes, except inside a slot's value
+    return df.withColumn(out, F.lower(F.regexp_replace(t, rf"{_PUNCT}++(?![^ {OPEN}]*{CLOSE})", ""))).drop("__t")
 
 
 def template(words: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .decontam import _UNIT
+
 #: Closed form of the water filling: sources sorted by the level at which they reach their cap.
 OP8 = r"""
 WITH rows AS (
@@ -46,4 +48,61 @@ WITH rows AS (
 SELECT doc_id, source, size, source_size, target, copies, CAST(copies * size AS BIGINT) AS taken FROM copied
 """
 
-ORACLES = {"op8_water_filling": OP8}
+#: Word by word: kinds of words, windows as lists, slots by their least and largest partners.
+OP6 = r"""
+WITH sides AS (
+  SELECT 'd' AS side, CAST(ROW_NUMBER() OVER () AS BIGINT) AS rid, doc_id AS id, text FROM documents
+  UNION ALL SELECT 'b', CAST(ROW_NUMBER() OVER () AS BIGINT), item_id, text FROM (SELECT DISTINCT item_id, text FROM benchmark)
+), split AS (
+  SELECT side, rid, id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM sides WHERE text IS NOT NULL
+), raw AS (
+  SELECT side, rid, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM split
+), first_kinds AS (
+  SELECT *, CASE
+      WHEN i > 1 AND right(lag(w) OVER pos, 1) NOT IN ('.', '!', '?', ':')
+           AND regexp_full_match(w, '[^\p{L}\p{N}]*\p{Lu}\p{L}*[^\p{L}\p{N}]*') THEN 'p'
+      WHEN regexp_full_match(w, '[^\p{L}\p{N}]*{number}[^\p{L}\p{N}]*') THEN 'n'
+      WHEN regexp_full_match(w, '[^\p{L}\p{N}]*{number}{unit}[^\p{L}\p{N}]*') THEN 'q'
+      ELSE 'w' END AS kind1
+  FROM raw WINDOW pos AS (PARTITION BY side, rid ORDER BY i)
+), kinds AS (
+  SELECT side, rid, w, i, CASE WHEN kind1 = 'w' AND lag(kind1) OVER pos = 'n'
+      AND regexp_full_match(w, '[^\p{L}\p{N}]*{unit}[^\p{L}\p{N}]*') THEN 'u' ELSE kind1 END AS kind
+  FROM first_kinds WINDOW pos AS (PARTITION BY side, rid ORDER BY i)
+), words AS (
+  SELECT side, rid, CAST(i AS BIGINT) AS i, kind,
+         lower(CASE WHEN kind = 'w' THEN regexp_replace(w, '[^\p{L}\p{N}]', '', 'g')
+                    ELSE regexp_replace(w, '^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$', '', 'g') END) AS v
+  FROM kinds
+), texts AS (
+  SELECT side, rid, list(CASE WHEN kind = 'w' THEN '=' || v ELSE kind END ORDER BY i) AS t, COUNT(*) AS n FROM words GROUP BY side, rid
+), sizes AS (
+  SELECT DISTINCT LEAST(n, 8) AS k FROM texts WHERE side = 'b'
+), windows AS (
+  SELECT side, rid, k, p, list_slice(t, p, p + k - 1) AS win
+  FROM (SELECT side, rid, k, t, n, unnest(range(1, n - k + 2)) AS p FROM texts, sizes
+        WHERE n >= k AND (side = 'd' OR k = LEAST(n, 8)))
+), hits AS (
+  SELECT DISTINCT d.rid AS doc, b.rid AS item, d.p - b.p AS diag, unnest(range(b.p, b.p + b.k)) AS j
+  FROM windows d JOIN windows b ON d.side = 'd' AND b.side = 'b' AND d.k = b.k AND d.win = b.win
+  WHERE len(list_filter(b.win, lambda x: x[1] = '=' AND x <> '=')) >= LEAST(4, b.k)
+), pairs AS (
+  SELECT h.*, b.kind, b.v AS bv, d.v AS dv FROM hits h
+  JOIN words b ON b.side = 'b' AND b.rid = h.item AND b.i = h.j
+  JOIN words d ON d.side = 'd' AND d.rid = h.doc AND d.i = h.j + h.diag
+), judged AS (
+  SELECT *, kind = 'w' OR (MIN(dv) OVER bs = MAX(dv) OVER bs AND MIN(bv) OVER ds = MAX(bv) OVER ds) AS ok
+  FROM pairs WINDOW bs AS (PARTITION BY doc, item, diag, kind, bv), ds AS (PARTITION BY doc, item, diag, kind, dv)
+), covered AS (
+  SELECT doc, item, COUNT(DISTINCT j) AS covered FROM judged WHERE ok GROUP BY doc, item
+), found AS (
+  SELECT c.doc, COUNT(DISTINCT s.id) AS n_items, MAX(covered) AS covered_words, MIN(s.id) AS first_item
+  FROM covered c JOIN texts t ON t.side = 'b' AND t.rid = c.item JOIN sides s ON s.side = 'b' AND s.rid = c.item
+  WHERE covered >= LEAST(t.n, 13) GROUP BY c.doc
+)
+SELECT s.id AS doc_id, f.doc IS NOT NULL AS contaminated, CAST(COALESCE(n_items, 0) AS BIGINT) AS n_items,
+       CAST(COALESCE(covered_words, 0) AS BIGINT) AS covered_words, first_item
+FROM sides s LEFT JOIN found f ON s.rid = f.doc WHERE s.side = 'd'
+""".replace("{number}", "[0-9]+(?:[.,:/][0-9]+)*").replace("{unit}", _UNIT)
+
+ORACLES = {"op6_template_decontamination": OP6, "op8_water_filling": OP8}
