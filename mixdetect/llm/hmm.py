@@ -125,6 +125,13 @@ def class_sizes(counts: DataFrame, own: list[bytes]) -> np.ndarray:
 # -- encoding ----------------------------------------------------------------------------------
 
 
+class _Numbers(dict):
+    """Numbers of words; -1 for others."""
+
+    def __missing__(self, word: bytes) -> int:
+        return -1
+
+
 def encode(rows: DataFrame, head: list[bytes], head_c: np.ndarray, n_own: int, class_log: np.ndarray, n_train_docs: int) -> DataFrame:
     """rid, doc_id, held_out, sym (uint16 bytes), n_tokens, known, c_log (sum of log10(c+1) over known counts),
     in_class (log10 of words inside their classes, without rare words' counts), rare (words not in the head)."""
@@ -134,7 +141,7 @@ def encode(rows: DataFrame, head: list[bytes], head_c: np.ndarray, n_own: int, c
     def table() -> tuple:
         if not state:
             words, c = shared.value
-            state["at"] = {w: k for k, w in enumerate(words)}
+            state["at"] = _Numbers({w: k for k, w in enumerate(words)})
             state["log"] = np.log10(c + 1.0)
             symbol = np.arange(len(words), dtype=np.int64)
             symbol[n_own:] = [n_own + word_class(w) for w in words[n_own:]]
@@ -149,7 +156,7 @@ def encode(rows: DataFrame, head: list[bytes], head_c: np.ndarray, n_own: int, c
             syms, n_tokens, known, c_log, in_class, rare = [], [], [], [], [], []
             for t in b.column("text"):
                 words = words_of(t.as_py())
-                ids = np.fromiter((at.get(w, -1) for w in words), dtype=np.int64, count=len(words))
+                ids = np.fromiter(map(at.__getitem__, words), dtype=np.int64, count=len(words))
                 out = np.empty(len(words) + 1, dtype="<u2")
                 out[-1] = end
                 in_head = ids >= 0
@@ -313,17 +320,27 @@ def baum_welch_round(encoded: DataFrame, model: Model) -> tuple[dict[int, np.nda
     return sums, float(sums.pop(-3 - k)[0])
 
 
+def symbol_counts(encoded: DataFrame, n_symbols: int) -> np.ndarray:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(n_symbols, dtype=np.int64)
+        for b in batches:
+            if b.num_rows:
+                total += np.bincount(np.concatenate(_sequences(b.column(0))), minlength=n_symbols)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["sym", "n"])
+
+    counts = np.zeros(n_symbols)
+    for r in encoded.select("sym").mapInArrow(run, "sym long, n long").groupBy("sym").agg(F.sum("n").alias("n")).collect():
+        counts[r["sym"]] = r["n"]
+    return counts
+
+
 def train(encoded: DataFrame, n_symbols: int, p: HmmParams) -> tuple[Model, list[float]]:
     """The model after ``rounds`` rounds over all rows, and the segments' log-likelihood before each round.
 
-    A first round with the even model gives the overall symbol counts.
+    The start model is drawn around the overall symbol counts.
     """
-    even = Model.initial(np.zeros(n_symbols), HmmParams(states=1))
-    sums, _ = baum_welch_round(encoded, even)
-    counts = np.zeros(n_symbols)
-    for s, g in sums.items():
-        if s >= 0:
-            counts[s] = g[0]
+    counts = symbol_counts(encoded, n_symbols)
     overall = (counts + 1.0) / (counts + 1.0).sum()
     model, history = Model.initial(counts, p), []
     for _ in range(p.rounds if counts.sum() else 0):
