@@ -167,10 +167,12 @@ def _filesystem(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
 
 def train_dictionary(pages: DataFrame, id_col: str, payload_col: str) -> bytes:
     """Dictionary from at most DICTIONARY_ROWS payloads (in hash order) of at most DICTIONARY_ROW_BYTES."""
-    few = (pages.where(F.octet_length(payload_col).between(64, DICTIONARY_ROW_BYTES))
-           .select(F.xxhash64(F.col(id_col), F.length(payload_col)).alias("h"), F.col(payload_col).alias("p"))
-           .orderBy("h", "p").limit(DICTIONARY_ROWS).collect())
-    samples = [r["p"].encode("utf-8", "surrogatepass") for r in few]
+    sized = (pages.where(F.octet_length(payload_col).between(64, DICTIONARY_ROW_BYTES))
+             .select(F.xxhash64(F.col(id_col), F.col(payload_col)).alias("h"), F.col(payload_col).alias("p")))
+    # the hashes are chosen first, so that no task sends more payloads than are wanted
+    chosen = [r["h"] for r in sized.select("h").distinct().orderBy("h").limit(DICTIONARY_ROWS).collect()]
+    few = sized.where(F.col("h").isin(chosen)).dropDuplicates(["h"]).collect() if chosen else []
+    samples = [r["p"].encode("utf-8", "surrogatepass") for r in sorted(few, key=lambda r: r["h"])]
     if len(samples) < 16:
         return b""
     try:
