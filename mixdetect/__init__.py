@@ -3,6 +3,7 @@ and continuous columns, built on Spark DataFrames."""
 
 from .spec import DetectorParams, GmmParams, LogisticParams, MixedSpec, SlotLayout, infer_spec
 from .plans.detector import Detector, DetectorModel
+from .plans.estimators import ConditionalLogistic, ConditionalModel, Mixture, MixtureModel
 
-__all__ = ["Detector", "DetectorModel", "DetectorParams", "GmmParams", "LogisticParams", "MixedSpec",
-           "SlotLayout", "infer_spec"]
+__all__ = ["ConditionalLogistic", "ConditionalModel", "Detector", "DetectorModel", "DetectorParams", "GmmParams",
+           "LogisticParams", "MixedSpec", "Mixture", "MixtureModel", "SlotLayout", "infer_spec"]

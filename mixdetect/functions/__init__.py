@@ -1,2 +1,2 @@
-from .columns import modular_hash, pick_long, rounded, row_hash, selection_cutoff, xx_hash
+from .columns import modular_hash, rounded, row_hash, selection_cutoff, xx_hash
 from . import sql

@@ -16,11 +16,14 @@ from pyspark.sql import functions as F
 LN_2PI = math.log(2.0 * math.pi)
 
 # Fixed values of the portable row hash (used wherever a SQL oracle has to
-# reproduce a random choice): modulus, multipliers and additive constant.
-HASH_MODULUS = 1000003
-HASH_ID_MULT = 7919
-HASH_STEP_MULT = 104729
-HASH_ADD = 12345
+# reproduce a random choice).  Two primes just below 2^31, both 2 mod 3, so that
+# cubing permutes the residues; products of two residues stay below 2^62.
+HASH_PRIMES = (2147483579, 2147483549)
+HASH_ID_MULT = (1103515245, 1664525)
+HASH_STEP_MULT = (214013, 22695477)
+HASH_ADD = (12345, 1013904223)
+#: Hashes are in [0, HASH_RANGE), about 2^62.
+HASH_RANGE = HASH_PRIMES[0] * HASH_PRIMES[1]
 
 # Independent random streams drawn from one seed.
 STREAM_SELECT = 0  # minibatch membership
@@ -44,27 +47,36 @@ def rounded(c: Column, digits: int) -> Column:
 
 
 def stream_salt(seed: int, stream: int) -> int:
-    return 3 * int(seed) + int(stream)
+    """A number of its own for each seed and stream (there are fewer than 8 streams)."""
+    return 8 * int(seed) + int(stream)
+
+
+def _residue_hash(row_id: Column, step: Column, salt: int, half: int) -> Column:
+    """Two rounds of multiply, add and cube modulo one prime."""
+    p = HASH_PRIMES[half]
+
+    def cube(x: Column) -> Column:
+        return ((x * x) % p * x) % p
+
+    start = (((row_id % p + p) % p) * HASH_ID_MULT[half] + (step % p) * HASH_STEP_MULT[half] + (salt % p + p) % p) % p
+    return cube((cube(start) * HASH_STEP_MULT[half] + HASH_ADD[half]) % p)
 
 
 def modular_hash(row_id: Column, step: Column | int, seed: int, stream: int) -> Column:
-    """Portable integer hash in [0, HASH_MODULUS): same value in any SQL engine.
+    """Portable integer hash in [0, HASH_RANGE): same value in any SQL engine with 64-bit integers.
 
-    h0 = ((id % P) * 7919 + step * 104729 + salt) % P
-    h  = (h0 * h0 + 12345) % P
+    Different ids below HASH_RANGE differ modulo at least one of the primes, and
+    both rounds permute the residues, so they never collide.
     """
-    step_c = step if isinstance(step, Column) else F.lit(int(step))
-    h0 = ((row_id % HASH_MODULUS) * HASH_ID_MULT + step_c.cast("long") * HASH_STEP_MULT
-          + F.lit(stream_salt(seed, stream))) % HASH_MODULUS
-    return (h0 * h0 + HASH_ADD) % HASH_MODULUS
+    step_c = (step if isinstance(step, Column) else F.lit(int(step))).cast("long")
+    salt = stream_salt(seed, stream)
+    high, low = (_residue_hash(row_id.cast("long"), step_c, salt, half) for half in range(2))
+    return high * HASH_PRIMES[1] + low
 
 
 def xx_hash(row_id: Column, step: Column | int, seed: int, stream: int) -> Column:
-    """Production hash in [0, HASH_MODULUS): xxhash64 of (id, step, salt)."""
-    step_c = step if isinstance(step, Column) else F.lit(int(step))
-    return F.pmod(F.xxhash64(row_id.cast("long"), step_c.cast("long"),
-                             F.lit(stream_salt(seed, stream)).cast("long")),
-                  F.lit(HASH_MODULUS).cast("long"))
+    """Production hash in [0, HASH_RANGE): xxhash64 of (id, step, salt)."""
+    return F.pmod(full_hash(row_id, step, seed, stream), F.lit(HASH_RANGE).cast("long"))
 
 
 def row_hash(kind: str, row_id: Column, step: Column | int, seed: int, stream: int) -> Column:
@@ -78,13 +90,7 @@ def row_hash(kind: str, row_id: Column, step: Column | int, seed: int, stream: i
 def selection_cutoff(fraction: float) -> int:
     """Rows with hash < cutoff are kept; fraction 1 keeps every row."""
     f = min(1.0, max(0.0, float(fraction)))
-    return int(math.floor(f * HASH_MODULUS)) if f < 1.0 else HASH_MODULUS
-
-
-def pick_long(values: Sequence[int], index: Column) -> Column:
-    """values[index] for a 0-based integer column, as bigint (null when out of range)."""
-    arr = F.array(*[F.lit(int(v)).cast("long") for v in values])
-    return F.try_element_at(arr, index.cast("int") + 1)
+    return int(math.floor(f * float(HASH_RANGE))) if f < 1.0 else HASH_RANGE
 
 
 def uniform(row_id: Column, step: Column | int, seed: int, stream: int) -> Column:

@@ -25,6 +25,7 @@ class Profile:
     cat_nulls: tuple[int, ...]
     cont_var: tuple[float | None, ...]
     cont_bad: tuple[int, ...]
+    cont_inf: tuple[int, ...] = ()
 
 
 def profile_frame(df: DataFrame, spec: MixedSpec) -> DataFrame:
@@ -46,6 +47,7 @@ def profile_frame(df: DataFrame, spec: MixedSpec) -> DataFrame:
         aggs += [
             f"var_pop({x}) AS {S.ident(name + '_var')}",
             f"CAST(sum(CASE WHEN {x} IS NULL OR isnan({x}) THEN 1 ELSE 0 END) AS BIGINT) AS {S.ident(name + '_bad')}",
+            f"CAST(sum(CASE WHEN abs({x}) = double('infinity') THEN 1 ELSE 0 END) AS BIGINT) AS {S.ident(name + '_inf')}",
         ]
     return df.selectExpr(*aggs)
 
@@ -63,14 +65,15 @@ def profile(df: DataFrame, spec: MixedSpec) -> Profile:
         cat_nulls=tuple(int(row[f"{c}_nulls"] or 0) for c in cats),
         cont_var=tuple(row[f"{x}_var"] for x in conts),
         cont_bad=tuple(int(row[f"{x}_bad"] or 0) for x in conts),
+        cont_inf=tuple(int(row[f"{x}_inf"] or 0) for x in conts),
     )
 
 
 def validate(p: Profile, spec: MixedSpec, n_components: int | None = None) -> None:
     if p.n == 0:
-        raise ValueError("Dataset cannot be empty")
+        raise ValueError("the input has 0 rows; a fit needs at least one per component")
     if n_components is not None and p.n < n_components:
-        raise ValueError(f"Not possible to make ({n_components}) components from ({p.n}) datapoints")
+        raise ValueError(f"the input has {p.n} rows, too few for {n_components} components; lower gaussian_num or add rows")
     for c, bad, nulls in zip(spec.cat_cols, p.bad_codes, p.cat_nulls):
         if nulls:
             raise ValueError(f"categorical column {c!r} has {nulls} null values")
@@ -80,18 +83,15 @@ def validate(p: Profile, spec: MixedSpec, n_components: int | None = None) -> No
     for c, bad in zip(conts, p.cont_bad):
         if bad:
             raise ValueError(f"continuous column {c!r} has {bad} null or NaN values")
+    for c, infinite in zip(conts, p.cont_inf):
+        if infinite:
+            raise ValueError(f"continuous column {c!r} has {infinite} infinite values")
 
 
 def slot_layout(p: Profile, spec: MixedSpec) -> SlotLayout:
     return SlotLayout(tuple(spec.cat_cols), tuple(p.widths))
 
 
-def slot_layout_frame(df: DataFrame, spec: MixedSpec) -> DataFrame:
-    """(cat_col, offset, width): one aggregate, then a running sum over a few rows."""
-    p = profile(df, spec)
-    return slot_layout(p, spec).to_frame(df.sparkSession)
-
-
 # ---------------------------------------------------------------------------
 # One-hot
 # ---------------------------------------------------------------------------

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import STREAM_FOLD, full_hash, row_hash
-from .order_stats import auc_frame, positions_and_count
+from .order_stats import auc_frame, checkpointed_positions
 
-__all__ = ["auc_frame", "auc_evaluator", "fold_assignment", "kfold_long"]
+__all__ = ["assigned_folds", "auc_frame", "auc_evaluator", "fold_assignment", "hash_folds", "kfold_long"]
 
 
 def auc_evaluator(df: DataFrame, score: str, label: str = "label") -> float:
@@ -25,8 +25,20 @@ def fold_assignment(df: DataFrame, k: int, shuffle: bool = False, seed: int = 42
     """Adds ``fold``: test fold of each row, like scikit-learn's KFold.
 
     Contiguous folds by ``row_id`` order (or by a seeded hash order when
-    ``shuffle``); the first ``n mod k`` folds hold one extra row.
+    ``shuffle``); the first ``n mod k`` folds hold one extra row.  Where the
+    exact sizes do not matter, :func:`hash_folds` needs no shuffle.
     """
+    return assigned_folds(df, k, shuffle, seed, hash_kind, row_id, n, n_buckets)[0]
+
+
+def hash_folds(df: DataFrame, k: int, seed: int = 42, hash_kind: str = "xxhash", row_id: str = "row_id") -> DataFrame:
+    """Adds ``fold`` = seeded row hash mod k: a projection, with folds of nearly equal size."""
+    return df.withColumn("fold", (row_hash(hash_kind, F.col(row_id), 0, seed, STREAM_FOLD) % k).cast("int"))
+
+
+def assigned_folds(df: DataFrame, k: int, shuffle: bool = False, seed: int = 42, hash_kind: str = "xxhash",
+                   row_id: str = "row_id", n: int | None = None, n_buckets: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """:func:`fold_assignment` and the checkpointed frame under it."""
     if k < 2:
         raise ValueError("k must be at least 2")
     if shuffle:
@@ -38,15 +50,15 @@ def fold_assignment(df: DataFrame, k: int, shuffle: bool = False, seed: int = 42
     else:
         t = df
         order = [row_id]
-    t, n = positions_and_count(t, order, n=n, n_buckets=n_buckets, out="__pos")
+    t, n, checkpoint = checkpointed_positions(t, order, n=n, n_buckets=n_buckets, out="__pos")
     if n < k:
-        raise ValueError(f"Cannot have number of splits n_splits={k} greater than the number of samples: n_samples={n}.")
+        raise ValueError(f"{k} folds need at least {k} rows, the input has {n}")
     q, r = divmod(n, k)
     pos = F.col("__pos")
     big = r * (q + 1)
     fold = F.when(pos < big, F.floor(pos / (q + 1))).otherwise(F.lit(r) + F.floor((pos - big) / q)).cast("int")
     out = t.withColumn("fold", fold).drop("__pos")
-    return out.drop("__h") if shuffle else out
+    return (out.drop("__h") if shuffle else out), checkpoint
 
 
 def kfold_long(assigned: DataFrame, k: int, normal_only: bool = False, row_id: str = "row_id",

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import sql as S
-from ..functions.columns import LN_2PI
+from ..functions.columns import HASH_RANGE, LN_2PI, STREAM_KMEANS, row_hash
 from ..spec import GmmParams, MixedSpec
 
 GENERATED_STATS_LIMIT = 60
@@ -58,11 +58,16 @@ def loglik_sql(K: int) -> str:
     return f"({LP}max + ln({S.add([f'exp({LP}{m} - {LP}max)' for m in range(K)])}))"
 
 
-def with_cont_loglik(df: DataFrame, p: GmmParams, spec: MixedSpec, out: str = "log_p_cont") -> DataFrame:
-    """Adds ``out`` = log p(x) under the mixture."""
+def with_cont_loglik(df: DataFrame, p: GmmParams, spec: MixedSpec, out: str = "log_p_cont",
+                     wide_limit: int | None = None) -> DataFrame:
+    """Adds ``out`` = log p(x) under the mixture.
+
+    Mixtures of more than ``wide_limit`` (WIDE_EXPR_LIMIT) terms are evaluated
+    in Arrow batches instead of one generated expression, with the same answers.
+    """
     if spec.d == 0:
         return df.withColumn(out, F.lit(0.0))
-    if p.K * p.d > WIDE_EXPR_LIMIT:
+    if p.K * p.d > (WIDE_EXPR_LIMIT if wide_limit is None else wide_limit):
         return _cont_loglik_arrow(df, p, spec, out)
     cols = df.columns
     return with_weighted_logpdf(df, p, spec).selectExpr(*S.keep(cols), S.aliased(loglik_sql(p.K), out))
@@ -71,31 +76,52 @@ def with_cont_loglik(df: DataFrame, p: GmmParams, spec: MixedSpec, out: str = "l
 WIDE_EXPR_LIMIT = 2048  # K*d generated terms; above it scoring runs on Arrow batches
 
 
-def _cont_loglik_arrow(df: DataFrame, p: GmmParams, spec: MixedSpec, out: str) -> DataFrame:
-    """log p(x) for very wide inputs: NumPy logsumexp per Arrow batch (mapInPandas, no shuffle)."""
-    from pyspark.sql import types as T
+def feature_input(spec: MixedSpec) -> tuple[Column, Column]:
+    """(one column with all continuous features, whether it has no null): arguments for Arrow functions."""
+    if spec.cont_array:
+        c = F.col(spec.cont_array)
+        return c, F.coalesce(~F.exists(c, lambda x: x.isNull()), F.lit(False))
+    cols = [F.col(c).cast("double") for c in spec.cont_cols]
+    return F.array(*cols), F.array_position(F.array(*[c.isNull() for c in cols]), True) == 0
+
+
+def matrix(features: pd.Series, d: int) -> np.ndarray:
+    """Rows of an Arrow function's array column as an n x d matrix; a null row or value is NaN."""
+    out = np.full((len(features), d), np.nan)
+    for i, row in enumerate(features):
+        if row is not None and len(row) == d:
+            out[i] = row
+    return out
 
-    means, covars, weights = p.means.copy(), p.covars.copy(), p.weights.copy()
-    K, d = p.K, p.d
-    inv = 1.0 / covars
-    const = -0.5 * (d * LN_2PI + np.log(covars).sum(axis=1)) + np.log(weights)
-    array_col, cols = spec.cont_array, list(spec.cont_cols)
-    schema = T.StructType(df.schema.fields + [T.StructField(out, T.DoubleType())])
 
-    def fn(batches):
-        for pdf in batches:
-            if array_col:
-                X = np.stack(pdf[array_col].to_numpy()).astype(np.float64) if len(pdf) else np.zeros((0, d))
-            else:
-                X = pdf[cols].to_numpy(dtype=np.float64)
-            lp = np.empty((len(pdf), K))
-            for m in range(K):  # K passes of n x d, never n x K x d
-                lp[:, m] = const[m] - 0.5 * (((X - means[m]) ** 2) * inv[m]).sum(axis=1)
-            mx = lp.max(axis=1) if K else np.zeros(len(pdf))
-            pdf[out] = mx + np.log(np.exp(lp - mx[:, None]).sum(axis=1))
-            yield pdf
+def mixture_logpdf(X: np.ndarray, p: GmmParams) -> np.ndarray:
+    """n x K weighted component log-densities, in K passes of n x d."""
+    const = -0.5 * (p.d * LN_2PI + np.log(p.covars).sum(axis=1))
+    lp = np.empty((len(X), p.K))
+    with np.errstate(divide="ignore", over="ignore", invalid="ignore"):
+        const = const + np.log(p.weights)
+        for m in range(p.K):
+            lp[:, m] = const[m] - 0.5 * (((X - p.means[m]) ** 2) / p.covars[m]).sum(axis=1)
+    return lp
+
+
+def row_loglik(lp: np.ndarray) -> np.ndarray:
+    mx = lp.max(axis=1)
+    with np.errstate(invalid="ignore"):
+        return mx + np.log(np.exp(lp - mx[:, None]).sum(axis=1))
+
+
+def _cont_loglik_arrow(df: DataFrame, p: GmmParams, spec: MixedSpec, out: str) -> DataFrame:
+    """The same for very wide inputs: an Arrow function over the features alone, so that no other column leaves
+    the JVM.  A null feature gives null and a NaN gives NaN, as in the generated expression."""
+    p = p.copy()
+
+    @F.pandas_udf("double")
+    def loglik(features: pd.Series) -> pd.Series:
+        return pd.Series(row_loglik(mixture_logpdf(matrix(features, p.d), p)))
 
-    return df.mapInPandas(fn, schema)
+    features, whole = feature_input(spec)
+    return df.withColumn(out, F.when(whole, F.coalesce(loglik(features), F.lit(float("nan")))))  # Arrow returns NaN as null
 
 
 def with_responsibilities(df: DataFrame, p: GmmParams, spec: MixedSpec, prefix: str = "r") -> DataFrame:
@@ -115,7 +141,8 @@ def argmax_component(K: int, prefix: str = "r") -> Column:
 # ---------------------------------------------------------------------------
 
 class Stats:
-    """Sufficient statistics of one E-step."""
+    """Sufficient statistics of one E-step: s1 and s2 are sums of r (x - mean) and r (x - mean)^2 about the means
+    that went in, so that no large offset of the data cancels in the variances."""
 
     def __init__(self, ll: float, n: np.ndarray, s1: np.ndarray, s2: np.ndarray, rows: int):
         self.ll, self.n, self.s1, self.s2, self.rows = ll, n, s1, s2, rows
@@ -131,37 +158,32 @@ def estep_frame_generated(df: DataFrame, p: GmmParams, spec: MixedSpec) -> DataF
     t = t.selectExpr(*S.keep(src), "__ll", *[S.aliased(f"exp({LP}{m} - __ll)", f"__r{m}") for m in range(K)])
     aggs = ["count(1) AS rows", "sum(__ll) AS ll"]
     aggs += [f"sum(__r{m}) AS n{m}" for m in range(K)]
-    aggs += [f"sum(__r{m} * {xs[c]}) AS s1_{m}_{c}" for m in range(K) for c in range(d)]
-    aggs += [f"sum(__r{m} * {xs[c]} * {xs[c]}) AS s2_{m}_{c}" for m in range(K) for c in range(d)]
+    off = [[f"({xs[c]} - {S.num(p.means[m, c])})" for c in range(d)] for m in range(K)]
+    aggs += [f"sum(__r{m} * {off[m][c]}) AS s1_{m}_{c}" for m in range(K) for c in range(d)]
+    aggs += [f"sum(__r{m} * {off[m][c]} * {off[m][c]}) AS s2_{m}_{c}" for m in range(K) for c in range(d)]
     return t.selectExpr(*aggs)
 
 
 def _partial_sums_fn(p: GmmParams, spec: MixedSpec):
-    means, covars, weights = p.means.copy(), p.covars.copy(), p.weights.copy()
+    p = p.copy()
     K, d = p.K, p.d
-    inv = 1.0 / covars
-    const = -0.5 * (d * LN_2PI + np.log(covars).sum(axis=1)) + np.log(weights)
-    array_col = spec.cont_array
-    cols = list(spec.cont_cols)
 
     def fn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         acc = np.zeros(2 + K + 2 * K * d)
         for pdf in batches:
             if len(pdf) == 0:
                 continue
-            if array_col:
-                X = np.stack(pdf[array_col].to_numpy()).astype(np.float64)
-            else:
-                X = pdf[cols].to_numpy(dtype=np.float64)
-            lp = const[None, :] - 0.5 * (((X[:, None, :] - means[None, :, :]) ** 2) * inv[None, :, :]).sum(axis=2)
-            mx = lp.max(axis=1)
-            ll = mx + np.log(np.exp(lp - mx[:, None]).sum(axis=1))
+            X = matrix(pdf["features"], d)
+            lp = mixture_logpdf(X, p)
+            ll = row_loglik(lp)
             R = np.exp(lp - ll[:, None])
             acc[0] += len(pdf)
             acc[1] += ll.sum()
             acc[2:2 + K] += R.sum(axis=0)
-            acc[2 + K:2 + K + K * d] += (R.T @ X).ravel()
-            acc[2 + K + K * d:] += (R.T @ (X * X)).ravel()
+            for m in range(K):
+                off = X - p.means[m]
+                acc[2 + K + m * d:2 + K + (m + 1) * d] += R[:, m] @ off
+                acc[2 + K + (K + m) * d:2 + K + (K + m + 1) * d] += R[:, m] @ (off * off)
         yield pd.DataFrame({"i": np.arange(acc.size, dtype=np.int32), "v": acc})
 
     return fn
@@ -169,8 +191,7 @@ def _partial_sums_fn(p: GmmParams, spec: MixedSpec):
 
 def estep_frame_arrow(df: DataFrame, p: GmmParams, spec: MixedSpec) -> DataFrame:
     """Long (i, v) totals: per-partition NumPy partials, then a tiny groupBy."""
-    cols = [spec.cont_array] if spec.cont_array else list(spec.cont_cols)
-    return (df.select(*cols).mapInPandas(_partial_sums_fn(p, spec), "i int, v double")
+    return (df.select(feature_input(spec)[0].alias("features")).mapInPandas(_partial_sums_fn(p, spec), "i int, v double")
             .groupBy("i").agg(F.sum("v").alias("v")))
 
 
@@ -194,7 +215,7 @@ def estep(df: DataFrame, p: GmmParams, spec: MixedSpec, strategy: str = "auto")
 
 
 def mstep(st: Stats, old: GmmParams, min_covar: float) -> GmmParams:
-    """weights n_k / sum n, means s1/n_k, variances s2/n_k - mean^2 + min_covar.
+    """weights n_k / sum n; with the shift s1/n_k of a mean, variances s2/n_k - shift^2 + min_covar.
 
     A component with no mass keeps its previous mean and variance; a
     variance that cancellation drives to <= 0 is floored at ``min_covar``.
@@ -203,8 +224,9 @@ def mstep(st: Stats, old: GmmParams, min_covar: float) -> GmmParams:
     total = n.sum()
     weights = n / total if total > 0 else old.weights.copy()
     safe = np.where(n > 0, n, 1.0)
-    means = np.where((n > 0)[:, None], st.s1 / safe[:, None], old.means)
-    covars = np.where((n > 0)[:, None], st.s2 / safe[:, None] - means ** 2 + min_covar, old.covars)
+    shift = st.s1 / safe[:, None]
+    means = np.where((n > 0)[:, None], old.means + shift, old.means)
+    covars = np.where((n > 0)[:, None], st.s2 / safe[:, None] - shift ** 2 + min_covar, old.covars)
     covars = np.where(covars > 0, covars, min_covar)
     return GmmParams(weights, means, covars)
 
@@ -226,20 +248,23 @@ def sparse_variance(long_df: DataFrame, dim: int, min_covar: float = 1e-3, n_row
 
     N is the number of vectors (distinct ``row_id``), not of entries.  The
     result has all ``dim`` dimensions, so dimensions without entries get
-    variance 0 + floor.
+    variance 0 + floor.  An entry outside 0..dim-1 is an error.
     """
     spark = long_df.sparkSession
-    if n_rows is None:
-        n_rows = long_df.select(row_id).distinct().count()  # shuffle on row_id, one number back
+    outside = F.sum(F.when((F.col(idx) >= 0) & (F.col(idx) < dim), 0).otherwise(1)).alias("outside")
+    checked = long_df.agg(outside, *([F.countDistinct(row_id).alias("n")] if n_rows is None else [])).first()
+    if checked["outside"]:
+        raise ValueError(f"{checked['outside']} entries have an index outside 0..{dim - 1}")
+    n_rows = checked["n"] if n_rows is None else n_rows
     n = F.lit(float(n_rows))
-    # restricted to 0 <= idx < dim, ``sums`` has at most ``dim`` rows: a proven broadcast bound
-    sums = (long_df.where((F.col(idx) >= 0) & (F.col(idx) < dim)).groupBy(idx)
-            .agg(F.sum(value).alias("s1"), F.sum(F.col(value) * F.col(value)).alias("s2")))
+    # mean and variance of a dimension's entries, then put together with its zeros: nothing large cancels
+    own = (long_df.groupBy(idx).agg(F.count(value).cast("double").alias("k"), F.avg(value).alias("m"),
+                                    F.var_pop(value).alias("v")))
     dims = spark.range(dim).select(F.col("id").cast("int").alias(idx))
-    t = (dims.join(F.broadcast(sums), idx, "left")
-         .select(idx, F.coalesce("s1", F.lit(0.0)).alias("s1"), F.coalesce("s2", F.lit(0.0)).alias("s2")))
-    mean = F.col("s1") / n
-    return t.select(idx, (F.col("s2") / n - mean * mean + F.lit(min_covar)).alias("variance"))
+    t = dims.join(own, idx, "left")
+    mean = F.col("k") * F.col("m") / n
+    spread = F.col("k") * (F.col("v") + (F.col("m") - mean) * (F.col("m") - mean)) + (n - F.col("k")) * mean * mean
+    return t.select(idx, (F.coalesce(spread / n, F.lit(0.0)) + F.lit(min_covar)).alias("variance"))
 
 
 def kmeans_means(df: DataFrame, spec: MixedSpec, K: int, seed: int, max_iter: int = 100) -> np.ndarray:
@@ -261,33 +286,55 @@ def kmeans_means(df: DataFrame, spec: MixedSpec, K: int, seed: int, max_iter: in
     return centres
 
 
-def hashed_kmeans_means(df: DataFrame, spec: MixedSpec, K: int, seed: int, max_iter: int = 20,
-                        tol: float = 1e-4, candidates: int | None = None) -> np.ndarray:
-    """Partition-independent k-means start.
+KMEANS_ROUNDS = 5
 
-    Seeds: k-means++ (seeded NumPy) over a bounded candidate set, the
-    ``max(100, 10K)`` rows with the smallest seeded hash of ``row_id``
-    (a TakeOrderedAndProject).  Then Lloyd steps over all rows, one generated
-    aggregate each; an empty cluster keeps its centre.
-    """
-    from ..functions.columns import STREAM_KMEANS, full_hash
 
-    m = candidates or max(100, 10 * K)
-    xs = spec.cont_exprs()
-    cand = (df.select(full_hash(F.col(spec.row_id), 0, seed, STREAM_KMEANS).alias("__h"), F.col(spec.row_id).alias("__id"),
-                      *[x.alias(f"__x{c}") for c, x in enumerate(xs)])
-            # total order over row content: rows sharing a row_id (allowed) tie-break on
-            # their values, so the candidate set never depends on partitioning
-            .orderBy("__h", "__id", *[f"__x{c}" for c in range(len(xs))]).limit(m).collect())  # <= m rows
-    X = np.array([[r[f"__x{c}"] for c in range(len(xs))] for r in cand], dtype=float)
+def hashed_kmeans_means(df: DataFrame, spec: MixedSpec, K: int, seed: int, max_iter: int = 100, tol: float = 1e-4,
+                        hash_kind: str = "xxhash", rounds: int = KMEANS_ROUNDS, oversampling: float | None = None) -> np.ndarray:
+    """Partition-independent k-means|| start and Lloyd steps, over all rows.
+
+    The first seed is the row with the least seeded hash of ``row_id``.  In
+    each round every row becomes a candidate with probability
+    min(1, l d^2 / sum d^2), l = 2K by default, decided by its hash for that
+    round: some l rows are expected.  Candidates weigh the rows nearest to
+    them, and k-means++ (seeded NumPy) over the weighted candidates gives the
+    K seeds.  Lloyd steps follow until no centre moves by ``tol``; an empty
+    cluster keeps its centre.
+    """
+    xs = [x.cast("double") for x in spec.cont_exprs()]
+    d = len(xs)
+    rid = F.col(spec.row_id)
+
+    def draw(step: int) -> Column:
+        return (row_hash(hash_kind, rid, step, seed, STREAM_KMEANS).cast("double") + F.lit(0.5)) / F.lit(float(HASH_RANGE))
+
+    first = df.agg(F.min(F.struct(row_hash(hash_kind, rid, 0, seed, STREAM_KMEANS).alias("h"), rid.alias("id"), F.array(*xs).alias("x")))
+                   .alias("m")).first()["m"]
+    C = np.array([list(first["x"])], dtype=float)
+    for step in range(1, rounds + 1):
+        near = _nearest(df, spec, C, [spec.row_id])
+        cost = near.agg(F.sum("__d2").alias("c")).first()["c"] or 0.0
+        if cost <= 0:
+            break
+        chosen = (near.where(draw(step) < F.col("__d2") * F.lit((oversampling or 2.0 * K) / cost))
+                  .select(F.array(*[f"__x{c}" for c in range(d)]).alias("x")).distinct().collect())  # some 2K rows expected
+        if chosen:
+            C = np.unique(np.concatenate([C, np.array([list(r["x"]) for r in chosen], dtype=float)]), axis=0)
+    weight = np.zeros(len(C))
+    for r in _nearest(df, spec, C, []).groupBy("component").agg(F.count("*").alias("n")).collect():  # one row a candidate
+        weight[r["component"]] = r["n"]
     rng = np.random.default_rng(seed)
-    centres = [X[rng.integers(len(X))]]
+    centres = [C[rng.choice(len(C), p=weight / weight.sum())]]
     for _ in range(1, K):
-        d2 = np.min([((X - c) ** 2).sum(axis=1) for c in centres], axis=0)
-        tot = d2.sum()
-        centres.append(X[rng.integers(len(X))] if tot <= 0 else X[rng.choice(len(X), p=d2 / tot)])
-    C = np.array(centres)
-    d = C.shape[1]
+        d2 = weight * np.min([((C - c) ** 2).sum(axis=1) for c in centres], axis=0)
+        centres.append(C[rng.choice(len(C), p=d2 / d2.sum())] if d2.sum() > 0 else centres[len(centres) % len(C)])
+    return lloyd(df, spec, np.array(centres), max_iter, tol)
+
+
+def lloyd(df: DataFrame, spec: MixedSpec, centres: np.ndarray, max_iter: int, tol: float) -> np.ndarray:
+    """k-means steps over all rows until no centre moves by ``tol``."""
+    C = centres
+    K, d = C.shape
     for _ in range(max_iter):
         new = C.copy()
         if K * (d + 1) <= GENERATED_STATS_LIMIT:
@@ -305,6 +352,35 @@ def hashed_kmeans_means(df: DataFrame, spec: MixedSpec, K: int, seed: int, max_i
     return C
 
 
+def _nearest(df: DataFrame, spec: MixedSpec, centres: np.ndarray, keep: list[str]) -> DataFrame:
+    """(keep.., __x*, component, __d2): nearest centre (first on ties) and squared distance to it.
+
+    Few centres are literals of one expression, many are bound to an Arrow function.
+    """
+    xs = S.cont_refs(spec)
+    K, d = centres.shape
+    cols = S.keep(keep) + [S.aliased(x, f"__x{c}") for c, x in enumerate(xs)]
+    if K * d <= WIDE_EXPR_LIMIT // 8:
+        dists = [S.add([f"({x} - {S.num(centres[m, c])}) * ({x} - {S.num(centres[m, c])})" for c, x in enumerate(xs)])
+                 for m in range(K)]
+        t = df.selectExpr(*cols, f"array({', '.join(dists)}) AS __ds")
+        return t.selectExpr(*S.keep(keep), *[f"__x{c}" for c in range(d)], "array_min(__ds) AS __d2",
+                            "CAST(array_position(__ds, array_min(__ds)) - 1 AS INT) AS component")
+
+    @F.pandas_udf("component int, d2 double")
+    def nearest(features: pd.Series) -> pd.DataFrame:
+        X = matrix(features, d)
+        best, at = np.full(len(X), np.inf), np.zeros(len(X), dtype=np.int32)
+        for m in range(K):
+            dist = ((X - centres[m]) ** 2).sum(axis=1)
+            closer = dist < best
+            best[closer], at[closer] = dist[closer], m
+        return pd.DataFrame({"component": at, "d2": best})
+
+    t = df.select(*[F.col(k) for k in keep], *[F.expr(c) for c in cols[len(keep):]], nearest(feature_input(spec)[0]).alias("__n"))
+    return t.select(*keep, *[f"__x{c}" for c in range(d)], F.col("__n.d2").alias("__d2"), F.col("__n.component").alias("component"))
+
+
 def _assigned(df: DataFrame, spec: MixedSpec, centres: np.ndarray) -> DataFrame:
     xs = S.cont_refs(spec)
     K, d = centres.shape

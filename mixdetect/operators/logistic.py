@@ -13,14 +13,16 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import sql as S
-from ..functions.columns import (HASH_MODULUS, STREAM_FIRST, STREAM_SELECT, STREAM_SLOT, row_hash,
+from ..functions.columns import (HASH_RANGE, STREAM_FIRST, STREAM_SELECT, STREAM_SLOT, row_hash,
                                  selection_cutoff, uniform)
 from ..spec import LogisticParams, MixedSpec, SlotLayout
 from .encode import unseen_count
+from .gmm import feature_input, matrix
 
 H = "__h"
 
@@ -54,8 +56,12 @@ def cat_loglik_sql(n_slots: int) -> str:
 
 
 def with_cat_loglik(df: DataFrame, params: LogisticParams, spec: MixedSpec, layout: SlotLayout,
-                    out: str = "log_p_cat", on_unseen: str = "all_zero") -> DataFrame:
-    """Adds ``out`` = log P(y|x); drops the helper columns again."""
+                    out: str = "log_p_cat", on_unseen: str = "all_zero", wide_limit: int | None = None) -> DataFrame:
+    """Adds ``out`` = log P(y|x); drops the helper columns again.
+
+    Models of more than ``wide_limit`` (WIDE_EXPR_LIMIT) terms are evaluated in
+    Arrow batches instead of one generated expression, with the same answers.
+    """
     base = df
     if on_unseen == "error" and layout.cat_cols:
         base = base.withColumn("__unseen", unseen_count(layout))
@@ -67,7 +73,7 @@ def with_cat_loglik(df: DataFrame, params: LogisticParams, spec: MixedSpec, layo
     cols = S.keep(df.columns)
     if layout.n_slots == 0:
         return base.selectExpr(*cols, S.aliased("0.0D", out))
-    if params.k * layout.n_slots > WIDE_EXPR_LIMIT:
+    if params.k * layout.n_slots > (WIDE_EXPR_LIMIT if wide_limit is None else wide_limit):
         return _cat_loglik_arrow(base, params, spec, layout, out)
     t = with_h(base, params, spec)
     ms = [f"({z} * {w} / {S.num(params.lam)})" for z, w in zip(slot_sign_sql(layout), margin_sql(params, layout.n_slots))]
@@ -81,47 +87,37 @@ CHUNK_CELLS = 4_000_000  # rows x slots held at once inside one Arrow batch
 
 def _cat_loglik_arrow(df: DataFrame, params: LogisticParams, spec: MixedSpec, layout: SlotLayout,
                       out: str) -> DataFrame:
-    """log P(y|x) for very many slots: NumPy per Arrow batch (mapInPandas, no shuffle).
+    """log P(y|x) for very many slots: an Arrow function over features and codes alone.
 
     With m_j = w_j / lambda:  sum_j log sigmoid(z_j m_j) = sum_j log sigmoid(-m_j) + sum_(hot j) m_j,
-    evaluated in row chunks of at most CHUNK_CELLS margins.
+    evaluated in row chunks of at most CHUNK_CELLS margins.  As in the generated
+    expression, a null feature gives null, a NaN gives NaN, and a null,
+    fractional or unseen code lights no slot.
     """
-    from pyspark.sql import types as T
-
     V, W, lam = params.V.copy(), params.W.copy(), float(params.lam)
     d = V.shape[1] - 1
-    cats = list(layout.cat_cols)
     offsets, widths = list(layout.offsets), list(layout.widths)
-    array_col, cont_cols = spec.cont_array, list(spec.cont_cols)
     rows_per_chunk = max(1, CHUNK_CELLS // max(1, layout.n_slots))
-    schema = T.StructType(df.schema.fields + [T.StructField(out, T.DoubleType())])
-
-    def fn(batches):
-        import numpy as np
 
-        for pdf in batches:
-            n = len(pdf)
-            res = np.zeros(n)
-            if array_col:
-                X = np.stack(pdf[array_col].to_numpy()).astype(np.float64) if n else np.zeros((0, d))
-            else:
-                X = pdf[cont_cols].to_numpy(dtype=np.float64) if cont_cols else np.zeros((n, 0))
-            codes = [pdf[c].to_numpy() for c in cats]
-            for a in range(0, n, rows_per_chunk):
-                b = min(n, a + rows_per_chunk)
-                H = X[a:b] @ V[:, :d].T + V[:, d]
-                M = (H @ W) / lam
+    @F.pandas_udf("double")
+    def loglik(features: pd.Series, codes: pd.Series) -> pd.Series:
+        X, codes = matrix(features, d), matrix(codes, len(widths))
+        res = np.zeros(len(X))
+        for a in range(0, len(X), rows_per_chunk):
+            with np.errstate(invalid="ignore", over="ignore"):
+                M = ((X[a:a + rows_per_chunk] @ V[:, :d].T + V[:, d]) @ W) / lam
                 acc = -np.logaddexp(0.0, M).sum(axis=1)
-                rows = np.arange(b - a)
-                for code, off, w in zip(codes, offsets, widths):
-                    cc = code[a:b]
-                    ok = (cc >= 0) & (cc < w)
-                    acc[ok] += M[rows[ok], off + cc[ok].astype(np.int64)]
-                res[a:b] = acc
-            pdf[out] = res
-            yield pdf
+            rows = np.arange(len(M))
+            for i, (off, w) in enumerate(zip(offsets, widths)):
+                cc = codes[a:a + rows_per_chunk, i]
+                ok = (cc >= 0) & (cc < w) & (cc == np.floor(cc))
+                acc[ok] += M[rows[ok], off + cc[ok].astype(np.int64)]
+            res[a:a + rows_per_chunk] = acc
+        return pd.Series(res)
 
-    return df.mapInPandas(fn, schema)
+    features, whole = feature_input(spec)
+    codes = F.array(*[F.col(c).cast("double") for c in layout.cat_cols])
+    return df.withColumn(out, F.when(whole, F.coalesce(loglik(features, codes), F.lit(float("nan")))))  # Arrow returns NaN as null
 
 
 def with_margins(df: DataFrame, params: LogisticParams, spec: MixedSpec, layout: SlotLayout,
@@ -160,7 +156,7 @@ def minibatches(df: DataFrame, spec: MixedSpec, n_slots: int, steps: list[int],
     independent draw -- the same law as S independent Bernoulli(f) trials, at
     one hash per row instead of S, and with no floor on f.
     ``modular`` (SQL-portable, for oracles): one integer hash per (row, step)
-    against a cutoff of resolution 1/1000003.
+    against a cutoff.
     """
     rid = F.col(spec.row_id)
     cols = [spec.row_id, *spec.cat_cols] + ([spec.cont_array] if spec.cont_array else list(spec.cont_cols))
@@ -169,11 +165,9 @@ def minibatches(df: DataFrame, spec: MixedSpec, n_slots: int, steps: list[int],
     f = min(1.0, max(0.0, float(fraction)))
     if hash_kind == "modular":
         cutoff = selection_cutoff(f)
-        if f > 0 and cutoff == 0:
-            raise ValueError(f"fraction {f} is below the modular hash resolution; use hash_kind='xxhash'")
         stepped = (base.withColumn("step", F.lit(int(steps[0]))) if len(steps) == 1
                    else base.select("*", F.explode(step_arr).alias("step")))
-        if cutoff < HASH_MODULUS:
+        if cutoff < HASH_RANGE:
             stepped = stepped.where(row_hash(hash_kind, rid, F.col("step"), seed, STREAM_SELECT) < cutoff)
     elif hash_kind == "xxhash":
         if f >= 1.0:
@@ -207,6 +201,7 @@ def hot_slot_sql(layout: SlotLayout, slot: str = "slot") -> str:
 
 
 GLOBAL_GRADIENT_LIMIT = 256  # k*J conditional sums; above it, group by slot
+REFERENCE_GRADIENT_LIMIT = 4096  # k*J parameters as literals; above it, they are bound to an Arrow function
 
 
 def _gradient_rows(mb: DataFrame, params: LogisticParams, spec: MixedSpec, layout: SlotLayout) -> DataFrame:
@@ -252,13 +247,63 @@ def gradient_global_frame(mb: DataFrame, params: LogisticParams, spec: MixedSpec
     return t.selectExpr(*aggs)
 
 
-def gradient(mb: DataFrame, params: LogisticParams, spec: MixedSpec, layout: SlotLayout
+def gradient_arrow_frame(mb: DataFrame, params: LogisticParams, spec: MixedSpec, layout: SlotLayout) -> DataFrame:
+    """The same sums with the parameters bound by reference: (slot, n, s array) for the touched slots only.
+
+    ``s`` holds the k sums of gradW's column; slot -1 holds gradV row by row.
+    Each partition sums its rows, then the slots are summed.
+    """
+    V, W, lam, k = params.V.copy(), params.W.copy(), float(params.lam), params.k
+    d = V.shape[1] - 1
+    offsets, widths = np.array(layout.offsets), np.array(layout.widths)
+    features, _ = feature_input(spec)
+    codes = F.array(*[F.col(c).cast("double") for c in layout.cat_cols])
+
+    def fn(batches):
+        gV, total = np.zeros((k, d + 1)), 0
+        sums: dict[int, list] = {}
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            X = np.column_stack([matrix(pdf["features"], d), np.ones(len(pdf))])
+            slot, C = pdf["slot"].to_numpy(), matrix(pdf["codes"], len(widths))
+            hot = ((C >= 0) & (C < widths) & (slot[:, None] == C + offsets)).any(axis=1)
+            z = np.where(hot, 1.0, -1.0)
+            H, Ws = X @ V.T, W[:, slot].T
+            u = -z * (H * Ws).sum(axis=1) / lam
+            g = -np.where(u >= 0, 1.0 / (1.0 + np.exp(-np.abs(u))), np.exp(-np.abs(u)) / (1.0 + np.exp(-np.abs(u)))) * z
+            gV += (g[:, None] * Ws).T @ X
+            total += len(pdf)
+            for j, row in zip(slot.tolist(), g[:, None] * H):
+                got = sums.setdefault(j, [0, np.zeros(k)])
+                got[0] += 1
+                got[1] += row
+        keys = [-1, *sums]
+        yield pd.DataFrame({"slot": np.array(keys, dtype=np.int64), "n": [total, *(v[0] for v in sums.values())],
+                            "s": [gV.ravel(), *(v[1] for v in sums.values())]})
+
+    rows = mb.select(F.col("slot").cast("long").alias("slot"), features.alias("features"), codes.alias("codes"))
+    part = rows.mapInPandas(fn, "slot long, n long, s array<double>")
+    return (part.select("slot", "n", F.posexplode("s").alias("i", "v")).groupBy("slot", "i")
+            .agg(F.sum("n").alias("n"), F.sum("v").alias("v")))
+
+
+def gradient(mb: DataFrame, params: LogisticParams, spec: MixedSpec, layout: SlotLayout, strategy: str = "auto"
              ) -> tuple[np.ndarray, np.ndarray, int]:
-    """Summed (not yet averaged) gradW, gradV and the minibatch size."""
+    """Summed (not yet averaged) gradW, gradV and the minibatch size.
+
+    ``strategy`` says how the sums are made, not what they are: "global" (one
+    row), "grouped" (by slot) or "arrow" (parameters by reference, touched
+    slots only); "auto" chooses by the number of parameters.
+    """
     k, J, d1 = params.k, layout.n_slots, params.V.shape[1]
+    if strategy == "auto":
+        strategy = ("global" if k * J <= GLOBAL_GRADIENT_LIMIT else "grouped" if k * J <= REFERENCE_GRADIENT_LIMIT else "arrow")
+    if strategy not in ("global", "grouped", "arrow"):
+        raise ValueError(f"unknown gradient strategy {strategy!r}")
     gW = np.zeros((k, J))
     gV = np.zeros((k, d1))
-    if k * J <= GLOBAL_GRADIENT_LIMIT:
+    if strategy == "global":
         row = gradient_global_frame(mb, params, spec, layout).first()
         for r in range(k):
             for j in range(J):
@@ -267,6 +312,15 @@ def gradient(mb: DataFrame, params: LogisticParams, spec: MixedSpec, layout: Slo
                 gV[r, c] = row[f"gv{r}_{c}"] or 0.0
         return gW, gV, int(row["n"])
     n = 0
+    if strategy == "arrow":
+        for row in gradient_arrow_frame(mb, params, spec, layout).collect():  # <= k (J + d + 1) numbers
+            j, i, v = row["slot"], row["i"], row["v"]
+            if j < 0:
+                gV[i // d1, i % d1] += v
+                n = int(row["n"])
+            else:
+                gW[i, j] += v
+        return gW, gV, n
     for row in gradient_frame(mb, params, spec, layout).collect():  # <= J rows
         j = int(row["slot"])
         n += int(row["n"])

@@ -1,128 +1,85 @@
 """Exact order statistics without a single-task sort.
 
-* :func:`kth_smallest` -- exact k-th smallest value.  Each round asks a
-  quantile sketch (``percentile_approx``) for two values that bracket rank k,
-  then counts exactly where they fall; the band of candidate rows shrinks by
-  about the sketch accuracy per round.  Ties are answered directly by the
-  counts, so one value holding a third of all rows costs nothing extra.  Once
-  the band is small (bounded), a ``TakeOrderedAndProject`` finishes it.
+* :func:`kth_smallest` -- exact k-th smallest value by histogram narrowing:
+  the band that holds rank k is cut into equal cells, the cells are counted
+  (map-side combined, at most ``CELLS`` groups), and the cell of rank k, with
+  its exact least and largest value, is the next band.  It ends when a band is
+  one value; ties, however many, cost nothing extra.  The same few passes at
+  any size.
 * :func:`global_positions` -- exact 0-based position of every row in a total
-  order: range partitions of the sort key (split even inside a hot key),
-  per-partition counts turned into offsets, local row numbers.
+  order: range partitions of the sort key (split even inside a hot key), local
+  row numbers, and per-partition counts summed up to offsets.
 * :func:`auc_frame` -- area under ROC with averaged ties: group by score
-  (map-side combine), then a prefix sum of negatives over the score order
-  built the same way as positions.
+  (map-side combine), one range shuffle of the groups, and one row of sums per
+  range partition.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import pick_long
-
-FINAL_BAND_ROWS = 100_000
-SKETCH_ACCURACY = 10_000
+CELLS = 4096
 ROWS_PER_BUCKET = 2_000_000
-MAX_BUCKETS = 16384  # 1e11 rows -> ~6M rows per window task
 
 
-def kth_smallest(df: DataFrame, col: str | Column, k: int, n: int | None = None,
-                 final_band_rows: int = FINAL_BAND_ROWS, accuracy: int = SKETCH_ACCURACY) -> float | None:
-    """Exact value of rank ``k`` (1-based) in ascending order of ``col``; nulls/NaN ignored."""
+def kth_smallest(df: DataFrame, col: str | Column, k: int, n: int | None = None, cells: int = CELLS) -> float | None:
+    """Exact value of rank ``k`` (1-based) in ascending order of ``col``; nulls and NaN are not ranked.
+
+    ``n``, if given, is the number of ranked rows and only spares a count.
+    """
     c = F.col(col) if isinstance(col, str) else col
     # No filter on ``v``: pushed below the projection it would copy the whole
-    # score expression into the scan stage.  Nulls/NaN never satisfy the band
-    # comparisons and sort last, so ranks count valid values only.
-    v = df.select(c.cast("double").alias("v"))
-    if n is None:
-        n = int(v.agg(F.count(F.when(~F.isnan("v"), F.col("v"))).alias("n")).first()["n"])
-    if k < 1 or k > n:
+    # score expression into the scan stage.  Several passes follow, so the one
+    # value column is kept instead of being computed again.
+    v = df.select(c.cast("double").alias("v")).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _narrowed(v, int(k), cells)
+    finally:
+        v.unpersist()
+
+
+def _narrowed(v: DataFrame, rank: int, cells: int) -> float | None:
+    x = F.col("v")
+    valid = x.isNotNull() & ~F.isnan(x)
+    finite = valid & (F.abs(x) < F.lit(math.inf))
+    row = v.agg(F.sum(F.when(valid, 1).otherwise(0)).alias("n"),
+                F.sum(F.when(valid & (x == F.lit(-math.inf)), 1).otherwise(0)).alias("below"),
+                F.sum(F.when(finite, 1).otherwise(0)).alias("finite"),
+                F.min(F.when(finite, x)).alias("lo"), F.max(F.when(finite, x)).alias("hi")).first()
+    if rank < 1 or rank > (row["n"] or 0):
         return None
-    if n > final_band_rows:
-        # several passes follow: keep the one value column instead of recomputing it
-        v = v.persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            return _kth_in_band(v, k, n, final_band_rows, accuracy)
-        finally:
-            v.unpersist()
-    return _kth_in_band(v, k, n, final_band_rows, accuracy)
-
-
-def _kth_in_band(v: DataFrame, k: int, n: int, final_band_rows: int, accuracy: int) -> float | None:
-    preds: list[Column] = []
-    rank, size = int(k), int(n)
-    while size > final_band_rows:
-        band = v.where(_all(preds)) if preds else v
-        q = (rank - 0.5) / size
-        delta = 3.0 / accuracy
-        lo_q, hi_q = max(0.0, q - delta), min(1.0, q + delta)
-        a, b = band.agg(F.percentile_approx("v", [lo_q, hi_q], accuracy).alias("p")).first()["p"]
-        x = F.col("v")
-        cnt = band.agg(
-            F.sum(F.when(x < a, 1).otherwise(0)).alias("lt_a"), F.sum(F.when(x <= a, 1).otherwise(0)).alias("le_a"),
-            F.sum(F.when(x < b, 1).otherwise(0)).alias("lt_b"), F.sum(F.when(x <= b, 1).otherwise(0)).alias("le_b"),
-        ).first()
-        lt_a, le_a, lt_b, le_b = (int(cnt[f] or 0) for f in ("lt_a", "le_a", "lt_b", "le_b"))
-        if lt_a < rank <= le_a:
-            return float(a)
-        if lt_b < rank <= le_b:
-            return float(b)
-        if rank <= lt_a:
-            preds.append(x < a)
-            size = lt_a
-        elif rank <= lt_b:  # strictly between a and b
-            preds += [x > a, x < b]
-            rank -= le_a
-            size = lt_b - le_a
-        else:
-            preds.append(x > b)
-            rank -= le_b
-            size -= le_b
-    band = v.where(_all(preds)) if preds else v
-    row = band.orderBy(F.col("v").asc_nulls_last()).offset(rank - 1).limit(1).first()
-    return None if row is None else float(row["v"])
+    if rank <= row["below"]:
+        return -math.inf
+    rank -= row["below"]
+    if rank > row["finite"]:
+        return math.inf
+    lo, hi = row["lo"], row["hi"]
+    while lo < hi:
+        # halves, as the difference of two doubles may overflow
+        width = hi / 2 - lo / 2
+        share = (x / 2 - F.lit(lo / 2)) / F.lit(width) if width > 0 else F.when(x > F.lit(lo), 1.0).otherwise(0.0)
+        cell = F.least(F.floor(share * cells), F.lit(cells - 1)).cast("int")
+        found = (v.where((x >= F.lit(lo)) & (x <= F.lit(hi))).groupBy(cell.alias("cell"))
+                 .agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect())  # <= CELLS rows
+        for r in sorted(found, key=lambda r: r["cell"]):
+            if rank <= r["n"]:
+                lo, hi = r["lo"], r["hi"]
+                break
+            rank -= r["n"]
+    return float(lo)
 
 
 def kth_largest(df: DataFrame, col: str | Column, k: int, n: int | None = None, **kw) -> float | None:
     c = F.col(col) if isinstance(col, str) else col
     r = kth_smallest(df, -c, k, n, **kw)
-    return None if r is None else -r
-
-
-def _all(preds: list[Column]) -> Column:
-    out = preds[0]
-    for p in preds[1:]:
-        out = out & p
-    return out
-
-
-def n_buckets_for(n: int, rows_per_bucket: int = ROWS_PER_BUCKET) -> int:
-    return int(max(1, min(MAX_BUCKETS, math.ceil(n / rows_per_bucket))))
-
-
-def bucket_splits(df: DataFrame, key: str, n_buckets: int) -> list[float]:
-    """Strictly increasing Bucketizer splits from quantiles of ``key``."""
-    inner: list[float] = []
-    if n_buckets > 1:
-        qs = [i / n_buckets for i in range(1, n_buckets)]
-        vals = df.agg(F.percentile_approx(F.col(key).cast("double"), qs, max(SKETCH_ACCURACY, 20 * n_buckets))
-                      .alias("p")).first()["p"] or []
-        inner = sorted(set(float(x) for x in vals))
-    return [-math.inf, *inner, math.inf]
-
-
-def with_bucket(df: DataFrame, key: str, splits: list[float], out: str = "__bucket") -> DataFrame:
-    if len(splits) <= 2:
-        return df.withColumn(out, F.lit(0))
-    from pyspark.ml.feature import Bucketizer
-
-    t = df.withColumn("__bkey", F.col(key).cast("double"))
-    t = Bucketizer(splits=splits, inputCol="__bkey", outputCol=out, handleInvalid="keep").transform(t)
-    return t.drop("__bkey").withColumn(out, F.col(out).cast("int"))
+    return None if r is None else -r + 0.0
 
 
 def global_positions(df: DataFrame, order_cols: list[str], n: int | None = None, n_buckets: int | None = None,
@@ -134,86 +91,95 @@ def global_positions(df: DataFrame, order_cols: list[str], n: int | None = None,
     partitioner can split even a key that holds a third of all rows.  Plan:
     ``repartitionByRange`` on the full sort key, sort within partitions, number
     rows locally, checkpoint (the count pass and the position pass must see the
-    same partitions), per-partition counts -> offsets (<= n_buckets numbers).
+    same partitions), a running sum of one count per partition, joined back.
     For distinct keys the result does not depend on the input partitioning.
     """
-    return positions_and_count(df, order_cols, n, n_buckets, out)[0]
+    return checkpointed_positions(df, order_cols, n, n_buckets, out)[0]
+
 
+def checkpointed_positions(df: DataFrame, order_cols: list[str], n: int | None = None, n_buckets: int | None = None,
+                           out: str = "pos") -> tuple[DataFrame, int, DataFrame]:
+    """:func:`global_positions`, the row count, which the per-partition counts
+    give for free (no separate counting scan), and the checkpointed frame.
 
-def positions_and_count(df: DataFrame, order_cols: list[str], n: int | None = None, n_buckets: int | None = None,
-                        out: str = "pos") -> tuple[DataFrame, int]:
-    """:func:`global_positions` plus the row count, which the per-partition
-    counts give for free (no separate counting scan)."""
+    Partitions follow from the number of rows when ``n`` is known, else from
+    the session's shuffle partitions, which Spark coalesces by size.
+    """
     from ..plans.session import ensure_checkpoint_dir
 
-    if n_buckets is None:
-        if n is not None:
-            n_buckets = n_buckets_for(n)
-        else:  # about one range partition per input split
-            try:
-                n_buckets = max(1, min(MAX_BUCKETS, df.rdd.getNumPartitions()))
-            except Exception:  # noqa: BLE001 -- no RDD view (Spark Connect)
-                n_buckets = n_buckets_for(df.count())
+    if n_buckets is None and n is not None:
+        n_buckets = max(1, math.ceil(n / ROWS_PER_BUCKET))
     keys = [*order_cols, "__tb"]
     local_bits = 33  # monotonically_increasing_id = partition index << 33 | row index
-    t = (df.withColumn("__tb", F.monotonically_increasing_id())
-         .repartitionByRange(n_buckets, *keys).sortWithinPartitions(*keys)
-         .withColumn("__mid", F.monotonically_increasing_id()))
+    t = df.withColumn("__tb", F.monotonically_increasing_id())
+    t = t.repartitionByRange(n_buckets, *keys) if n_buckets else t.repartitionByRange(*keys)
+    t = t.sortWithinPartitions(*keys).withColumn("__mid", F.monotonically_increasing_id())
     ensure_checkpoint_dir(df.sparkSession)
     t = t.checkpoint(eager=True)
     part = F.shiftright(F.col("__mid"), local_bits).cast("int")
-    counts = {int(r["p"]): int(r["c"])
-              for r in t.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("c")).collect()}  # <= n_buckets rows
-    offsets, acc = [], 0
-    for i in range(max(counts, default=0) + 1):
-        offsets.append(acc)
-        acc += counts.get(i, 0)
+    counts = t.groupBy(part.alias("__p")).agg(F.count(F.lit(1)).alias("__c"))
+    # one row per partition
+    offsets = counts.select("__p", (F.sum("__c").over(Window.orderBy("__p")) - F.col("__c")).alias("__before"), "__c")
+    total = counts.agg(F.sum("__c").alias("n")).first()["n"] or 0
     local = F.col("__mid").bitwiseAND(F.lit((1 << local_bits) - 1))
-    return t.withColumn(out, pick_long(offsets, part) + local).drop("__tb", "__mid"), acc
+    placed = t.withColumn("__p0", part).join(F.broadcast(offsets.drop("__c")), F.col("__p0") == F.col("__p"))
+    return placed.withColumn(out, F.col("__before") + local).drop("__tb", "__mid", "__p0", "__p", "__before"), int(total), t
+
+
+def _ranked_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A range partition's sorted (s, pos, neg) rows to one row: first score, sums, and positives x negatives below them."""
+    first, pos, neg, c = None, 0, 0, 0.0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        p, q = (b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (1, 2))
+        if first is None:
+            first = b.column(0)[0].as_py()
+        below = neg + np.cumsum(q) - q
+        c += float((p * (below + 0.5 * q)).sum())
+        pos, neg = pos + int(p.sum()), neg + int(q.sum())
+    if first is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([first]), pa.array([pos]), pa.array([neg]), pa.array([c])], ["s", "pos", "neg", "c"])
 
 
 def auc_frame(df: DataFrame, score: str | Column, label: str = "label", n_buckets: int | None = None,
-              digits: int | None = None) -> DataFrame:
-    """One row: ``auc`` (higher score = label 1), ``n_pos``, ``n_neg``.  Ties count one half."""
+              digits: int | None = None, report: bool = False) -> DataFrame:
+    """One row: ``auc`` (higher score = label 1), ``n_pos``, ``n_neg``.  Ties count one half.
+
+    Rows with a null or NaN score or a null label are not ranked
+    (``report=True`` adds their number as ``n_unranked``); a label other than
+    0 and 1 is an error.
+    """
     s = F.col(score) if isinstance(score, str) else score
     if digits is not None:
         s = F.round(s, digits) + F.lit(0.0)
-    lab = F.col(label)
-    g = (df.select(s.cast("double").alias("s"), lab.alias("y")).where(F.col("y").isNotNull())
-         .groupBy("s").agg(F.sum(F.when(F.col("y") == 1, 1).otherwise(0)).cast("long").alias("pos"),
-                           F.sum(F.when(F.col("y") == 0, 1).otherwise(0)).cast("long").alias("neg")))
-    g = g.persist()
+    rows = df.select(s.cast("double").alias("s"), F.col(label).alias("y"))
+    ranked = F.col("s").isNotNull() & ~F.isnan("s") & F.col("y").isNotNull()
+    other = F.col("y").isNotNull() & ~F.col("y").isin(0, 1)
+    # rows out of the ranking meet in the group of the null score
+    g = rows.groupBy(F.when(ranked, F.col("s")).alias("s")).agg(
+        F.sum(F.when(ranked & (F.col("y") == 1), 1).otherwise(0)).cast("long").alias("pos"),
+        F.sum(F.when(ranked & (F.col("y") == 0), 1).otherwise(0)).cast("long").alias("neg"),
+        F.sum(F.when(~ranked, 1).otherwise(0)).cast("long").alias("out"),
+        F.sum(F.when(other, 1).otherwise(0)).cast("long").alias("other"))
+    g = g.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        n_distinct = g.count()
-        if n_buckets is None:
-            n_buckets = n_buckets_for(n_distinct)
-        splits = bucket_splits(g, "s", n_buckets)
-        b = with_bucket(g, "s", splits)
-        if len(splits) == 2:  # one bucket: no offsets to compute
-            tot = {}
-        else:
-            tot = {int(r["__bucket"]): int(r["neg"] or 0)
-                   for r in b.groupBy("__bucket").agg(F.sum("neg").alias("neg")).collect()}  # <= n_buckets rows
-        offsets, acc = [], 0
-        for i in range(len(splits)):
-            offsets.append(acc)
-            acc += tot.get(i, 0)
-        w = (Window.partitionBy("__bucket").orderBy("s")
-             .rowsBetween(Window.unboundedPreceding, -1))
-        below = pick_long(offsets, F.col("__bucket")) + F.coalesce(F.sum("neg").over(w), F.lit(0))
-        t = b.select("pos", "neg", (F.col("pos") * (below + F.col("neg") * 0.5)).alias("c"))
-        res = t.agg(F.sum("c").alias("c"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
-        res = res.select(
-            F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0),
-                   F.col("c") / (F.col("n_pos").cast("double") * F.col("n_neg").cast("double")))
-            .alias("auc"),
-            F.col("n_pos").cast("long").alias("n_pos"), F.col("n_neg").cast("long").alias("n_neg"))
-        return _materialise(res)
+        counts = g.agg(F.sum("out").alias("out"), F.sum("other").alias("other"), F.count("s").alias("n")).first()
+        if counts["other"]:
+            raise ValueError(f"{counts['other']} rows have a label other than 0 and 1")
+        parts = n_buckets or max(1, math.ceil(counts["n"] / ROWS_PER_BUCKET))
+        sums = (g.where("s is not null").select("s", "pos", "neg").repartitionByRange(parts, "s").sortWithinPartitions("s")
+                .mapInArrow(_ranked_sums, "s double, pos long, neg long, c double").collect())  # one row per partition
     finally:
         g.unpersist()
-
-
-def _materialise(res: DataFrame) -> DataFrame:
-    """A one-row result as a small frame, so the caller may drop the cache."""
-    row = res.first()
-    return res.sparkSession.createDataFrame([tuple(row)], res.schema)
+    below = total = 0.0
+    n_pos = n_neg = 0
+    for r in sorted(sums, key=lambda r: r["s"]):
+        total += r["c"] + r["pos"] * below
+        below += r["neg"]
+        n_pos, n_neg = n_pos + r["pos"], n_neg + r["neg"]
+    auc = total / (float(n_pos) * float(n_neg)) if n_pos and n_neg else None
+    row, schema = (auc, n_pos or (None if not sums else 0), n_neg or (None if not sums else 0)), "auc double, n_pos long, n_neg long"
+    if report:
+        row, schema = (*row, counts["out"] or 0), schema + ", n_unranked long"
+    return df.sparkSession.createDataFrame([row], schema)

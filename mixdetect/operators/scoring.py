@@ -6,6 +6,8 @@ threshold is an exact order statistic computed without a global sort.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,9 +23,6 @@ def combined_score(log_p_cont: Column, log_p_cat: Column, mode: str) -> Column:
     raise ValueError(f"mode must be 'joint' or 'product', not {mode!r}")
 
 
-MAX_LABELS = 1000
-
-
 def target_size(n: int, ratio: float) -> int:
     return max(1, int(n * ratio))
 
@@ -55,28 +54,26 @@ def threshold(scored: DataFrame, n: int, ratio: float, order: str = "score", tai
     if order == "label_score":
         if label is None:
             raise ValueError("order='label_score' needs a label column")
-        groups = scored.groupBy(label).count().limit(MAX_LABELS + 1).collect()  # labels are class codes
-        if len(groups) > MAX_LABELS:
-            raise ValueError(f"order='label_score' needs a class label, found over {MAX_LABELS} distinct values")
-        counts = sorted(((r[0], int(r[1])) for r in groups),
-                        key=lambda t: (t[0] is not None, t[0] if t[0] is not None else 0), reverse=True)
-        remaining = k
-        for lab, c in counts:
-            if remaining <= c:
-                grp = scored.where(F.col(label).isNull() if lab is None else (F.col(label) == lab))
-                return kth_largest(grp, score, remaining, c)
-            remaining -= c
-        return None
+        # labels are numeric class codes; rows without one come last
+        lab = F.col(label).cast("double")
+        known = scored.agg(F.count(lab).alias("n")).first()["n"]
+        if k > known:
+            return kth_largest(scored.where(F.col(label).isNull()), score, k - known)
+        code = kth_largest(scored, lab, k)
+        above = scored.agg(F.sum(F.when(lab > F.lit(code), 1).otherwise(0)).alias("n")).first()["n"]
+        return kth_largest(scored.where(lab == F.lit(code)), score, k - above)
     raise ValueError(f"order must be 'score' or 'label_score', not {order!r}")
 
 
 def flag_expr(score: Column, thr: float | None, tail: str = "low") -> Column:
-    """low tail: score <= threshold; high tail (original): score < threshold."""
-    if thr is None:
+    """low tail: score <= threshold; high tail (original): score < threshold.
+
+    A NaN score, which Spark orders above all numbers, is never flagged; nor is anything against a NaN threshold.
+    """
+    if thr is None or math.isnan(thr):
         return F.lit(False)
-    if tail == "low":
-        return score <= F.lit(float(thr))
-    return score < F.lit(float(thr))
+    below = score <= F.lit(float(thr)) if tail == "low" else score < F.lit(float(thr))
+    return below & ~F.isnan(score)
 
 
 def score_range(scored: DataFrame, score: str = "score") -> tuple[float | None, float | None]:

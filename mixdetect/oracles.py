@@ -10,7 +10,7 @@ so it shares no code path with the generated Spark expressions.
 from __future__ import annotations
 
 from . import queries as Q
-from .functions.columns import (HASH_ADD, HASH_ID_MULT, HASH_MODULUS, HASH_STEP_MULT, STREAM_FOLD, STREAM_SELECT,
+from .functions.columns import (HASH_ADD, HASH_ID_MULT, HASH_PRIMES, HASH_RANGE, HASH_STEP_MULT, STREAM_FOLD, STREAM_SELECT,
                                 STREAM_SLOT, stream_salt)
 
 # Fixture definitions (FIXTURES.md section 2).
@@ -63,9 +63,21 @@ def sig(m: str) -> str:
 
 
 def hsh(row_id: str, step: str, seed: int, stream: int) -> str:
-    P = HASH_MODULUS
-    h0 = f"((({row_id}) % {P}) * {HASH_ID_MULT} + ({step}) * {HASH_STEP_MULT} + {stream_salt(seed, stream)}) % {P}"
-    return f"((({h0}) * ({h0}) + {HASH_ADD}) % {P})"
+    """The portable hash; every intermediate value fits a BIGINT."""
+    halves = []
+    for p, m, t, add in zip(HASH_PRIMES, HASH_ID_MULT, HASH_STEP_MULT, HASH_ADD):
+        salt = stream_salt(seed, stream) % p
+        x = (f"((((CAST({row_id} AS BIGINT) % {p} + {p}) % {p}) * {m} + (CAST({step} AS BIGINT) % {p}) * {t} + {salt}) % {p})")
+        x = f"((({x} * {x}) % {p} * {x}) % {p})"
+        x = f"(({x} * {t} + {add}) % {p})"
+        halves.append(f"((({x} * {x}) % {p} * {x}) % {p})")
+    return f"({halves[0]} * {HASH_PRIMES[1]} + {halves[1]})"
+
+
+def cutoff_sql(minibatch: int, n: str) -> str:
+    """Hashes below it are in a minibatch."""
+    return (f"(SELECT CASE WHEN {minibatch} >= N THEN {HASH_RANGE} "
+            f"ELSE CAST(floor(({f(minibatch)} / N) * CAST({HASH_RANGE} AS DOUBLE)) AS BIGINT) END FROM {n})")
 
 
 class Ctes:
@@ -169,9 +181,7 @@ def sgd_ctes(c: Ctes, steps: int, lam: float, radius: float, k: int, d: int, see
              minibatch: int = Q.MINIBATCH, reg: float = Q.REG, lr0: float = Q.LR0, speed: float = Q.LR_SPEED,
              ns: str = "") -> None:
     """Unrolled SGD: params {ns}pv0/pw0 -> {ns}pv{steps}/pw{steps}; history rows in {ns}hist{t}."""
-    P = HASH_MODULUS
-    cutoff = (f"(SELECT CASE WHEN {minibatch} >= N THEN {P} "
-              f"ELSE CAST(floor(({f(minibatch)} / N) * {P}) AS BIGINT) END FROM {ns}nn)")
+    cutoff = cutoff_sql(minibatch, f"{ns}nn")
     scale_w = f"(1.0E0 / sqrt((SELECT J FROM {ns}jn) * {k}))"
     scale_v = f"(1.0E0 / sqrt({(d + 1) * k}))"
     xl, cl, slots = f"{ns}xl xl", f"{ns}cl cl", f"{ns}slots s"
@@ -244,7 +254,8 @@ def sql_validate_profile() -> str:
                   f" AS BIGINT) AS {cc}_bad"]
     for x in ORDERS_CONTS:
         parts += [f"{rnd(f'var_pop({x})')} AS {x}_var",
-                  f"CAST(sum(CASE WHEN {x} IS NULL OR isnan({x}) THEN 1 ELSE 0 END) AS BIGINT) AS {x}_bad"]
+                  f"CAST(sum(CASE WHEN {x} IS NULL OR isnan({x}) THEN 1 ELSE 0 END) AS BIGINT) AS {x}_bad",
+                  f"CAST(sum(CASE WHEN isinf({x}) THEN 1 ELSE 0 END) AS BIGINT) AS {x}_inf"]
     return f"SELECT {', '.join(parts)} FROM ({ORDERS_SQL})"
 
 
@@ -278,9 +289,7 @@ def sql_cat_likelihood() -> str:
 
 def sql_minibatch_sample() -> str:
     c = _orders()
-    P = HASH_MODULUS
-    cutoff = (f"(SELECT CASE WHEN {Q.MINIBATCH} >= N THEN {P} "
-              f"ELSE CAST(floor(({f(Q.MINIBATCH)} / N) * {P}) AS BIGINT) END FROM nn)")
+    cutoff = cutoff_sql(Q.MINIBATCH, "nn")
     return c.sql(f"SELECT CAST(step AS INTEGER) AS step, row_id, "
                  f"CAST({hsh('row_id', 'step', Q.SEED, STREAM_SLOT)} % (SELECT J FROM jn) AS INTEGER) AS slot "
                  f"FROM fx, range(1, {Q.SGD_STEPS + 1}) t(step) "
@@ -418,6 +427,12 @@ def sql_gmm_fit_3() -> str:
     return _em(3).sql(_gmm_params_out("gp3"))
 
 
+def sql_gmm_fit_offset() -> str:
+    """The fit without the offset: the same numbers, but for the rounding of the shifted column."""
+    out = ", ".join(f"{rnd(v, 6)} AS {n}" for v, n in (("wt", "weight"), ("mu", "mean"), ("var", "var")))
+    return _em(3).sql(f"SELECT CAST(m AS INTEGER) AS component, CAST(c AS INTEGER) AS dim, {out} FROM gp3")
+
+
 def sql_gmm_predict() -> str:
     c = _em(1)
     rs = _resp_sql(c, "gp1", "pr_")
@@ -608,6 +623,38 @@ def _auc_ctes(c: Ctes, scores: str, p: str, digits: int) -> str:
     return f"{p}auc"
 
 
+def _parity_ctes() -> Ctes:
+    """Constant start (0.5 everywhere), 2 SGD + 2 EM steps, product score."""
+    p = Q.PARITY_FIT
+    steps, d = p.max_iterations - 1, len(ORDERS_CONTS)
+    c = _orders()
+    c.add("pv0", f"SELECT r, cc AS c, 0.5E0 AS v FROM range({p.subspace_dimension}) t1(r), range({d + 1}) t2(cc)")
+    c.add("pw0", f"SELECT r, j, 0.5E0 AS v FROM range({p.subspace_dimension}) t1(r), slots")
+    sgd_ctes(c, steps, p.logistic_lambda, p.normalizing_radius, p.subspace_dimension, d, seed=p.seed,
+             minibatch=p.minibatch_size, reg=p.regularization_parameter, lr0=p.learning_rate_start,
+             speed=p.learning_rate_speed)
+    lpc = logistic_ctes(c, f"pv{steps}", f"pw{steps}", p.logistic_lambda, "fin_")
+    given_gmm_cte(c, p.gaussian_num, d)
+    for t in range(1, p.em_max_iter + 1):
+        em_step_ctes(c, f"gp{t - 1}", f"gp{t}", d, p.min_covar)
+    _, ll, _ = gmm_ctes(c, f"gp{p.em_max_iter}", d, "fing_")
+    c.add("sc", f"SELECT fx.row_id, fx.label, g.ll * l.log_p_cat AS score "
+                f"FROM fx JOIN {ll} g ON g.row_id = fx.row_id JOIN {lpc} l ON l.row_id = fx.row_id")
+    return c
+
+
+def sql_fit_parity_small() -> str:
+    c = _parity_ctes()
+    _threshold_ctes(c, Q.PARITY_RATIO, "label DESC, score DESC")
+    return c.sql(f"SELECT row_id, label, {rnd('score', Q.AGG_DIG)} AS score, score < (SELECT thr FROM th) AS is_anomaly FROM sc")
+
+
+def sql_auc_parity_small() -> str:
+    c = _parity_ctes()
+    c.add("neg", "SELECT label, -score AS score FROM sc")
+    return c.sql(f"SELECT auc, n_pos, n_neg FROM {_auc_ctes(c, 'neg', 'pa_', Q.AGG_DIG)}")
+
+
 def sql_cv_auc_small() -> str:
     """Per fold: fit from the given start on the normal-only train rows (2 SGD + 2 EM
     steps), score the held-out rows with the train slot layout, rank AUC."""
@@ -652,8 +699,11 @@ ORACLES = {
     "one_hot_long": sql_one_hot_long,
     "logistic_margin": sql_logistic_margin,
     "cat_likelihood": sql_cat_likelihood,
+    "cat_likelihood_arrow": sql_cat_likelihood,
     "minibatch_sample": sql_minibatch_sample,
     "sgd_gradient": sql_sgd_gradient,
+    "sgd_gradient_arrow": sql_sgd_gradient,
+    "sgd_gradient_grouped": sql_sgd_gradient,
     "sgd_fit_3": sql_sgd_fit_3,
     "sgd_history": sql_sgd_history,
     "gmm_var_init": sql_gmm_var_init,
@@ -661,12 +711,14 @@ ORACLES = {
     "kmeans_lloyd_step": sql_kmeans_lloyd_step,
     "gmm_component_logpdf": sql_gmm_component_logpdf,
     "gmm_loglik": sql_gmm_loglik,
+    "gmm_loglik_arrow": sql_gmm_loglik,
     "gmm_responsibilities": sql_gmm_responsibilities,
     "gmm_estep": sql_gmm_estep,
     "gmm_estep_wide": sql_gmm_estep_wide,
     "gmm_loglik_wide": sql_gmm_loglik_wide,
     "gmm_em_step": sql_gmm_em_step,
     "gmm_fit_3": sql_gmm_fit_3,
+    "gmm_fit_offset": sql_gmm_fit_offset,
     "gmm_predict": sql_gmm_predict,
     "gmm_assign": sql_gmm_assign,
     "score_product": sql_score_product,
@@ -679,10 +731,14 @@ ORACLES = {
     "predict_labels": sql_predict_labels,
     "predict_proba": sql_predict_proba,
     "auc": sql_auc,
+    "auc_many_ranges": sql_auc,
     "kfold_contiguous": sql_kfold_contiguous,
+    "kfold_many_ranges": sql_kfold_contiguous,
     "kfold_shuffled": sql_kfold_shuffled,
     "kfold_normal_only": sql_kfold_normal_only,
     "fit_end_to_end_small": sql_fit_end_to_end_small,
+    "auc_parity_small": sql_auc_parity_small,
+    "fit_parity_small": sql_fit_parity_small,
     "cv_auc_small": sql_cv_auc_small,
 }
 

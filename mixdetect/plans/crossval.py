@@ -2,34 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.evaluate import fold_assignment
+from ..operators.evaluate import assigned_folds
 from ..operators.order_stats import auc_frame
 from ..spec import DetectorParams, MixedSpec
 from .detector import Detector
+from .session import delete_checkpoint
 
 
 def cross_validate(df: DataFrame, spec: MixedSpec, params: DetectorParams, k: int, shuffle: bool = False,
                    normal_only: bool = False, digits: int | None = None) -> DataFrame:
     """(fold, auc, n_pos, n_neg) with AUC of -score (low density = anomaly);
-    ``digits`` rounds the scores before ranking."""
-    assigned = fold_assignment(df, k, shuffle=shuffle, seed=params.seed, hash_kind=params.hash_kind,
-                               row_id=spec.row_id).persist(StorageLevel.MEMORY_AND_DISK)
-    out = None
+    ``digits`` rounds the scores before ranking.
+
+    Only the columns of ``spec`` go through the range shuffle of the folds;
+    its checkpoint is read by all folds and deleted at the end.
+    """
+    keep = spec.key_cols() + list(spec.cat_cols) + ([spec.cont_array] if spec.cont_array else list(spec.cont_cols))
+    folds, checkpoint = assigned_folds(df.select(*dict.fromkeys(keep)), k, shuffle=shuffle, seed=params.seed,
+                                       hash_kind=params.hash_kind, row_id=spec.row_id)
+    rows = []
     try:
         for f in range(k):
-            train = assigned.where(F.col("fold") != f)
+            train = folds.where(F.col("fold") != f)
             if normal_only:
                 train = train.where(F.coalesce(F.col(spec.label) != 1, F.lit(True)))
-            test = assigned.where(F.col("fold") == f)
             model = Detector(spec, params).fit(train.drop("fold"))
-            scored = model.score(test.drop("fold"))
-            a = (auc_frame(scored, -F.col("score"), spec.label, digits=digits)
-                 .select(F.lit(f).alias("fold"), "auc", "n_pos", "n_neg"))
-            out = a if out is None else out.unionByName(a)
+            scored = model.score(folds.where(F.col("fold") == f).drop("fold"))
+            rows.append((f, *auc_frame(scored, -F.col("score"), spec.label, digits=digits).first()))
     finally:
-        assigned.unpersist()
-    return out
+        delete_checkpoint(checkpoint)
+    return df.sparkSession.createDataFrame(rows, "fold int, auc double, n_pos long, n_neg long")

@@ -17,14 +17,17 @@ def fit_and_evaluate(spark: SparkSession, path: str, first_continuous: int, para
     """Load a CSV whose first column is the label (categorical columns first),
     fit the detector, score every row and rank them by anomaly.
 
-    Returns (model, scored rows with ``is_anomaly``, one-row AUC of -score).
-    The parsed CSV is cached once: the fit, the scoring and the AUC read it;
-    the cache stays for the returned frames (``spark.catalog.clearCache()``
-    or the session's end releases it).
+    Returns (model, scored rows with ``is_anomaly``, one-row AUC).  Anomalies
+    are ranked by a low score where the threshold takes the low tail, and by
+    the raw score where it takes the high one, like the original.  The parsed
+    CSV is cached for the fit and the AUC; the returned rows read the file.
     """
     df, spec = read_positional_csv(spark, path, first_continuous, n_features=n_features)
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    model = Detector(spec, params).fit(df)
-    scored = model.transform(df)
-    auc = auc_frame(scored, -F.col("score"), spec.label)
-    return model, scored, auc
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        model = Detector(spec, params).fit(cached)
+        rank = -F.col("score") if params.tail == "low" else F.col("score")
+        auc = auc_frame(model.score(cached), rank, spec.label)
+    finally:
+        cached.unpersist()
+    return model, model.transform(df), auc

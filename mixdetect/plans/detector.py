@@ -13,7 +13,7 @@ literals: no shuffle, no Python, and valid on streaming frames.
 from __future__ import annotations
 
 import dataclasses
-from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import FIRST_EXCEPTION, ThreadPoolExecutor, wait
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -29,8 +29,8 @@ from ..operators.scoring import (combined_score, flag_expr, interpolate_expr, sc
 from ..spec import (DetectorParams, FitHistory, GmmParams, LogisticParams, MixedSpec, SlotLayout,
                     constant_logistic, given_gmm, given_logistic, random_logistic)
 from .em import start_params, train_em
-from .session import local_parallelism
-from .sgd import train_sgd
+from .session import delete_folder, local_parallelism
+from .sgd import MAX_SLOTS, history_frame, train_sgd
 
 
 @dataclass
@@ -97,11 +97,25 @@ class DetectorModel:
 
         meta = {"spec": dataclasses.asdict(self.spec), "params": self.params.as_dict(), "lam": self.logistic.lam,
                 "n_train": self.n_train, "threshold": self.threshold, "score_min": self.score_min,
-                "score_max": self.score_max}
+                "score_max": self.score_max, "has_gmm": self.gmm is not None,
+                "history": {"sgd": self.history.sgd, "em": self.history.em, "sgd_converged": self.history.sgd_converged,
+                            "em_converged": self.history.em_converged}}
         spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1) \
             .write.mode("overwrite").text(f"{path}/meta")
         for name, frame in self.parameter_frames(spark).items():
             frame.coalesce(1).write.mode("overwrite").parquet(f"{path}/{name}")
+        if self.gmm is None:  # a mixture that an earlier model left here is not this one's
+            delete_folder(spark, f"{path}/gmm")
+
+    def history_frames(self, spark) -> dict[str, DataFrame]:
+        """SGD steps (iter, n, grad_l1, lr), EM rounds (iter, total_loglik, mean_loglik) and why each part stopped."""
+        h = self.history
+        stops = [("sgd", len(h.sgd), bool(h.sgd_converged)), ("em", len(h.em), bool(h.em_converged))]
+        return {"sgd": history_frame(spark, h.sgd),
+                "em": spark.createDataFrame([(int(i), float(t), float(m)) for i, t, m in h.em],
+                                            "iter int, total_loglik double, mean_loglik double"),
+                "stops": spark.createDataFrame([(p, n, "converged" if c else "iteration limit" if n else "not run") for p, n, c in stops],
+                                               "part string, iterations int, reason string")}
 
     @classmethod
     def load(cls, spark, path: str) -> "DetectorModel":
@@ -121,19 +135,29 @@ class DetectorModel:
         for r in lg:
             (V if r["matrix"] == "V" else W)[r["r"], r["c"]] = r["value"]
         gmm = None
-        try:
+        if meta["has_gmm"]:
             g = spark.read.parquet(f"{path}/gmm").collect()  # K x d values
-        except Exception:  # noqa: BLE001 -- no continuous part saved
-            g = []
-        if g:
             K = 1 + max(r["component"] for r in g)
             gmm = GmmParams(np.zeros(K), np.zeros((K, spec.d)), np.zeros((K, spec.d)))
             for r in g:
                 gmm.weights[r["component"]] = r["weight"]
                 gmm.means[r["component"], r["dim"]] = r["mean"]
                 gmm.covars[r["component"], r["dim"]] = r["var"]
+        h = meta["history"]
+        history = FitHistory([tuple(x) for x in h["sgd"]], [tuple(x) for x in h["em"]])
+        history.sgd_converged, history.em_converged = h["sgd_converged"], h["em_converged"]
         return cls(spec, layout, LogisticParams(V, W, meta["lam"]), gmm, DetectorParams(**meta["params"]),
-                   meta["n_train"], meta["threshold"], meta["score_min"], meta["score_max"])
+                   meta["n_train"], meta["threshold"], meta["score_min"], meta["score_max"], history)
+
+
+FIT_GROUP = "mixdetect-fit"
+
+
+def _cancel(df: DataFrame) -> None:
+    try:
+        df.sparkSession.sparkContext.cancelJobGroup(FIT_GROUP)
+    except Exception:  # noqa: BLE001 -- Spark Connect: no job groups
+        pass
 
 
 def _use_pool(df: DataFrame, pool: str) -> None:
@@ -141,7 +165,9 @@ def _use_pool(df: DataFrame, pool: str) -> None:
     the one-task SGD jobs then interleave with the wide EM stages instead of
     queueing behind them (no effect under the default FIFO mode)."""
     try:
-        df.sparkSession.sparkContext.setLocalProperty("spark.scheduler.pool", pool)
+        sc = df.sparkSession.sparkContext
+        sc.setLocalProperty("spark.scheduler.pool", pool)
+        sc.setJobGroup(FIT_GROUP, pool)
     except Exception:  # noqa: BLE001 -- Spark Connect: no local properties
         pass
 
@@ -159,7 +185,7 @@ class Detector:
         self.params = self.params.replace(**params)
         return self
 
-    def get_params(self, deep: bool = True) -> dict:
+    def get_params(self) -> dict:
         return self.params.as_dict()
 
     def get_param_names(self) -> list[str]:
@@ -199,7 +225,7 @@ class Detector:
         else:
             var = np.array([(v or 0.0) + p.min_covar for v in prof.cont_var])
             if p.kmeans_init == "hash":
-                means = hashed_kmeans_means(data, spec, K, p.seed, p.kmeans_max_iter)
+                means = hashed_kmeans_means(data, spec, K, p.seed, p.kmeans_max_iter, hash_kind=p.hash_kind)
             elif p.kmeans_init == "kmeans||":
                 means = kmeans_means(data, spec, K, p.seed, p.kmeans_max_iter)
             else:
@@ -216,9 +242,7 @@ class Detector:
         # ~100 passes read this frame: make it span every core when the source
         # has fewer splits than that (a no-op for large inputs).
         par = local_parallelism(df.sparkSession)
-        if par is not None and data.rdd.getNumPartitions() < par:
-            data = data.repartition(par)
-        data = data.persist(StorageLevel.MEMORY_AND_DISK)
+        data = source = data.persist(StorageLevel.MEMORY_AND_DISK)
         hist = FitHistory()
         try:
             # the profile is the first action on the cached frame: one source scan
@@ -226,13 +250,21 @@ class Detector:
             prof = profile(data, spec)
             validate(prof, spec, K if spec.d > 0 else None)
             layout = slot_layout(prof, spec)
+            if layout.n_slots > MAX_SLOTS:
+                raise ValueError(f"the codes span {layout.n_slots} slots, more than {MAX_SLOTS}; codes are expected to be dense from 0")
             n = prof.n
+            if par is not None and data.rdd.getNumPartitions() < par:  # cached already: no job but this look
+                data = data.repartition(par).persist(StorageLevel.MEMORY_AND_DISK)
             # The logistic model and the mixture do not depend on each other:
             # their job chains run concurrently from two driver threads, so the
             # small SGD jobs overlap the EM scans instead of adding to them.
             with ThreadPoolExecutor(max_workers=2, thread_name_prefix="mixdetect-fit") as pool:
                 sgd_f = pool.submit(self._fit_logistic, data, layout, n)
                 em_f = pool.submit(self._fit_mixture, data, prof) if spec.d > 0 else None
+                chains = [f for f in (sgd_f, em_f) if f is not None]
+                done, running = wait(chains, return_when=FIRST_EXCEPTION)
+                if running and any(f.exception() for f in done):  # one has failed: the other need not go on
+                    _cancel(df)
                 sgd = sgd_f.result()
                 em = em_f.result() if em_f is not None else None
             hist.sgd, hist.sgd_converged = sgd.history, sgd.converged
@@ -246,4 +278,5 @@ class Detector:
                                         exact=p.threshold_exact)
         finally:
             data.unpersist()
+            source.unpersist()
         return model

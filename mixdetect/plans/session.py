@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -35,6 +35,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     raise RuntimeError("set spark.checkpoint.dir to a shared (distributed) folder")
 
 
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of intermediate results in the shared checkpoint folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def delete_checkpoint(df: DataFrame) -> None:
+    """Delete the files of a checkpointed frame that is not read any more."""
+    file = df._jdf.queryExecution().toRdd().getCheckpointFile()
+    if file.isDefined():
+        delete_folder(df.sparkSession, file.get())
+
+
 def recommended_conf(cpus: int) -> dict[str, str]:
     """Session settings the detector's plans are tuned for.
 

@@ -2,15 +2,15 @@
 
 Plan: one pass over the input draws the minibatches of *all* steps (row
 selection depends only on a seeded hash of (row_id, step), not on the
-parameters), the small result is checkpointed to the shared checkpoint
-folder, and each step is then one grouped aggregate over its own rows with
-the current parameters as literals.  Lineage never grows: the step plans
-read the checkpoint.
+parameters), the result goes to the shared checkpoint folder, and each step
+is then one aggregate over its own rows with the current parameters.  Lineage
+never grows: the step plans read the checkpoint.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,13 +18,14 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import STREAM_SELECT, row_hash
 from ..operators.logistic import gradient, minibatch_fraction, minibatches, regularised_update
 from ..spec import LogisticParams, MixedSpec, SlotLayout
-from .session import ensure_checkpoint_dir
+from .session import delete_folder, ensure_checkpoint_dir
 
-REDRAW_STRIDE = 1_000_000
 ROWS_PER_MB_PARTITION = 200_000
-MAX_REDRAWS = 20
+#: Slots that a model may have: its parameters are driver arrays of k x slots.
+MAX_SLOTS = 5_000_000
 
 
 @dataclass
@@ -35,72 +36,65 @@ class SgdResult:
 
 
 def draw_minibatches(df: DataFrame, spec: MixedSpec, layout: SlotLayout, n: int, max_iterations: int,
-                     minibatch_size: int, seed: int, hash_kind: str, checkpoint: bool = True) -> DataFrame:
-    """All minibatches at once: (step, row_id, features.., slot); steps 1..max_iterations-1."""
+                     minibatch_size: int, seed: int, hash_kind: str) -> tuple[DataFrame | None, str | None]:
+    """All minibatches at once: (step, row_id, features.., slot), steps 1..max_iterations-1; and the folder to
+    delete after use, if any.
+
+    Where they fit one partition they are checkpointed; otherwise they are
+    written partitioned by step, so that a step reads its own rows only.  A
+    step that draws no row takes the row with the least hash for that step.
+    """
     steps = list(range(1, max_iterations))
     if not steps:
-        return None
+        return None, None
     fraction = minibatch_fraction(n, minibatch_size)
-    # ~fraction*N*steps rows in all: one partition per 200k rows keeps each
-    # step's map stage at a task or a few, however many splits the input has.
-    expected = fraction * n * len(steps)
-    parts = int(max(1, min(max(1, layout.n_slots), math.ceil(expected / ROWS_PER_MB_PARTITION))))
-    mb = minibatches(df, spec, layout.n_slots, steps, fraction, seed, hash_kind).repartition(parts, "slot")
-    if checkpoint:
-        ensure_checkpoint_dir(df.sparkSession)
-        mb = mb.checkpoint(eager=True)
+    parts = max(1, math.ceil(fraction * n * len(steps) / ROWS_PER_MB_PARTITION))
+    base = ensure_checkpoint_dir(df.sparkSession).rstrip("/")
+    drawn = minibatches(df, spec, layout.n_slots, steps, fraction, seed, hash_kind)
+    folder = None
+    if parts == 1:
+        mb = drawn.repartition(1).checkpoint(eager=True)
+    else:
+        folder = f"{base}/minibatches-{uuid.uuid4().hex}"
+        salt = F.pmod(F.xxhash64(spec.row_id), F.lit(math.ceil(parts / len(steps))))
+        drawn.repartition(parts, "step", salt).write.partitionBy("step").parquet(folder)
+        mb = df.sparkSession.read.schema(drawn.schema).parquet(folder)
     counts = {int(r["step"]): int(r["count"]) for r in mb.groupBy("step").count().collect()}  # <= steps rows
-    empty = [s for s in steps if counts.get(s, 0) == 0]
-    redraw = 0
-    while empty and redraw < MAX_REDRAWS:
-        # an empty draw is drawn again with the next salt, like the original's resampling loop
-        redraw += 1
+    empty = [s for s in steps if not counts.get(s)]
+    if empty and n > 0:
+        least = [F.min(F.struct(row_hash(hash_kind, F.col(spec.row_id), s, seed, STREAM_SELECT).alias("h"),
+                                F.col(spec.row_id).alias("id"))).alias(f"m{s}") for s in empty]
+        row = df.agg(*least).first()
         extra = None
         for s in empty:
-            e = minibatches(df, spec, layout.n_slots, [s + redraw * REDRAW_STRIDE], fraction, seed, hash_kind)
-            e = e.withColumn("step", F.lit(s))
+            e = (minibatches(df.where(F.col(spec.row_id) == F.lit(row[f"m{s}"]["id"])).limit(1), spec, layout.n_slots, [s], 1.0,
+                             seed, hash_kind))
             extra = e if extra is None else extra.unionByName(e)
-        got = {int(r["step"]) for r in extra.groupBy("step").count().collect()}  # <= steps rows
-        if got:
-            keep = extra.where(F.col("step").isin(sorted(got)))
-            mb = mb.unionByName(keep)
-            mb = mb.repartition(parts, "slot")
-            if checkpoint:
-                mb = mb.checkpoint(eager=True)
-        empty = [s for s in empty if s not in got]
-    return mb
+        extra = extra.select(*mb.columns)
+        mb = mb.unionByName(extra).repartition(1).checkpoint(eager=True) if parts == 1 else mb.unionByName(extra.checkpoint(eager=True))
+    return mb, folder
 
 
 def train_sgd(df: DataFrame, spec: MixedSpec, layout: SlotLayout, n: int, start: LogisticParams, *,
               max_iterations: int, minibatch_size: int, reg: float, lr0: float, lr_speed: float, radius: float,
-              seed: int, hash_kind: str, no_progress_tol: float = 1e-5, no_progress_steps: int = 10,
-              checkpoint: bool = True) -> SgdResult:
+              seed: int, hash_kind: str, no_progress_tol: float = 1e-5, no_progress_steps: int = 10) -> SgdResult:
     params = start.copy()
     history: list[tuple[int, int, float, float]] = []
     if layout.n_slots == 0:  # all-continuous input: no categorical slot to model
         return SgdResult(params, history, False)
-    mb = draw_minibatches(df, spec, layout, n, max_iterations, minibatch_size, seed, hash_kind, checkpoint)
+    mb, folder = draw_minibatches(df, spec, layout, n, max_iterations, minibatch_size, seed, hash_kind)
     if mb is None:
         return SgdResult(params, history, False)
-    cached = None
-    try:
-        single = mb.rdd.getNumPartitions() == 1
-    except Exception:  # noqa: BLE001 -- no RDD view (Spark Connect): keep the checkpoint as is
-        single = False
-    if single:
-        # A cached single-partition copy reports SinglePartition, so each step's
-        # aggregate runs as one stage with no exchange (a lost block is rebuilt
-        # from the checkpoint through a tiny shuffle).
-        cached = mb = mb.repartition(1).persist(StorageLevel.MEMORY_AND_DISK)
+    # A cached single-partition copy reports SinglePartition, so each step's
+    # aggregate runs as one stage with no exchange (a lost block is rebuilt
+    # from the checkpoint through a tiny shuffle).
+    cached = mb = mb.repartition(1).persist(StorageLevel.MEMORY_AND_DISK) if folder is None else mb
     try:
         no_progress = 0
         i = 1
         while i < max_iterations and no_progress < no_progress_steps:
             batch = mb.where(F.col("step") == i)
             gW_sum, gV_sum, cnt = gradient(batch, params, spec, layout)
-            if cnt == 0:  # could not draw a non-empty batch
-                i += 1
-                continue
             lr = lr0 / (1.0 + lr_speed * (i - 1))
             gW = gW_sum / cnt
             gV = gV_sum / cnt
@@ -110,8 +104,10 @@ def train_sgd(df: DataFrame, spec: MixedSpec, layout: SlotLayout, n: int, start:
             params = regularised_update(params, gW, gV, lr, reg, radius)
             i += 1
     finally:
-        if cached is not None:
+        if folder is None:
             cached.unpersist()
+        else:
+            delete_folder(df.sparkSession, folder)
     return SgdResult(params, history, no_progress >= no_progress_steps)
 
 

@@ -16,8 +16,7 @@ from pyspark.sql import functions as F
 from .functions.columns import rounded
 from .operators.encode import one_hot_long, profile, profile_frame, slot_layout
 from .operators.evaluate import fold_assignment, kfold_long
-from .operators.gmm import (component_logpdf_exprs, estep_frame_arrow, estep_frame_generated, kmeans_means,
-                            lloyd_step_frame, sparse_variance, variance_init_frame, with_cont_loglik,
+from .operators.gmm import (component_logpdf_exprs, estep, kmeans_means, lloyd_step_frame, sparse_variance, variance_init_frame, with_cont_loglik,
                             with_responsibilities, argmax_component)
 from .operators.logistic import gradient, minibatch_fraction, minibatches, with_cat_loglik, with_margins
 from .operators.order_stats import auc_frame
@@ -62,19 +61,26 @@ def _r(c, digits=DIG):
 # ---------------------------------------------------------------------------
 
 def _orders(spark, sf):
+    return _profiled_orders(spark, sf)[:-1]
+
+
+def _profiled_orders(spark, sf):
     df = mixed_orders(spark, sf)
     spec = MIXED_ORDERS_SPEC
-    layout = slot_layout(profile(df, spec), spec)
-    lp = given_logistic(LOGISTIC_K, spec.d, layout.n_slots, LAMBDA)
-    gp = given_gmm(GMM_K, spec.d)
-    return df, spec, layout, lp, gp
+    p = profile(df, spec)
+    layout = slot_layout(p, spec)
+    return df, spec, layout, given_logistic(LOGISTIC_K, spec.d, layout.n_slots, LAMBDA), given_gmm(GMM_K, spec.d), p.n
 
 
 def _scored_orders(spark, sf, mode="joint"):
-    df, spec, layout, lp, gp = _orders(spark, sf)
+    return _scored_and_counted(spark, sf, mode)[0]
+
+
+def _scored_and_counted(spark, sf, mode):
+    df, spec, layout, lp, gp, n = _profiled_orders(spark, sf)
     t = with_cont_loglik(df, gp, spec, "log_p_cont")
     t = with_cat_loglik(t, lp, spec, layout, "log_p_cat")
-    return t.withColumn("score", combined_score(F.col("log_p_cont"), F.col("log_p_cat"), mode))
+    return t.withColumn("score", combined_score(F.col("log_p_cont"), F.col("log_p_cat"), mode)), n
 
 
 def _events(spark, sf):
@@ -148,23 +154,33 @@ def q_cat_likelihood(spark, sf):
                     _r(F.exp("log_p_cat")).alias("p_cat"))
 
 
-def _n_rows(df):
-    return df.count()
+def q_cat_likelihood_arrow(spark, sf):
+    """The Arrow form of the conditional likelihood, which very wide models take."""
+    df, spec, layout, lp, _ = _orders(spark, sf)
+    t = with_cat_loglik(df.select("row_id", *spec.cat_cols, *spec.cont_cols), lp, spec, layout, wide_limit=0)
+    return t.select("row_id", _r(F.col("log_p_cat")).alias("log_p_cat"),
+                    _r(F.exp("log_p_cat")).alias("p_cat"))
 
 
 def q_minibatch_sample(spark, sf):
-    df, spec, layout, _, _ = _orders(spark, sf)
-    n = _n_rows(df)
+    df, spec, layout, _, _, n = _profiled_orders(spark, sf)
     mb = minibatches(df, spec, layout.n_slots, list(range(1, SGD_STEPS + 1)), minibatch_fraction(n, MINIBATCH),
                      SEED, "modular")
     return mb.select(F.col("step").cast("int").alias("step"), "row_id", "slot")
 
 
-def q_sgd_gradient(spark, sf):
-    df, spec, layout, lp, _ = _orders(spark, sf)
-    n = _n_rows(df)
+def q_sgd_gradient_grouped(spark, sf):
+    return q_sgd_gradient(spark, sf, "grouped")
+
+
+def q_sgd_gradient_arrow(spark, sf):
+    return q_sgd_gradient(spark, sf, "arrow")
+
+
+def q_sgd_gradient(spark, sf, strategy="global"):
+    df, spec, layout, lp, _, n = _profiled_orders(spark, sf)
     mb = minibatches(df, spec, layout.n_slots, [1], minibatch_fraction(n, MINIBATCH), SEED, "modular")
-    gW, gV, cnt = gradient(mb, lp, spec, layout)
+    gW, gV, cnt = gradient(mb, lp, spec, layout, strategy)
     rows = [("V", r, c, float(gV[r, c] / cnt), cnt) for r in range(lp.k) for c in range(gV.shape[1])]
     rows += [("W", r, j, float(gW[r, j] / cnt), cnt) for r in range(lp.k) for j in range(gW.shape[1])]
     t = spark.createDataFrame(rows, "matrix string, r int, c int, value double, n long")
@@ -172,8 +188,7 @@ def q_sgd_gradient(spark, sf):
 
 
 def _sgd_fit(spark, sf, steps):
-    df, spec, layout, lp, _ = _orders(spark, sf)
-    n = _n_rows(df)
+    df, spec, layout, lp, _, n = _profiled_orders(spark, sf)
     return train_sgd(df, spec, layout, n, lp, max_iterations=steps + 1, minibatch_size=MINIBATCH, reg=REG,
                      lr0=LR0, lr_speed=LR_SPEED, radius=FIT3_RADIUS, seed=SEED, hash_kind="modular")
 
@@ -234,6 +249,12 @@ def q_gmm_loglik(spark, sf):
     return with_cont_loglik(df, gp, spec, "loglik").select("row_id", _r(F.col("loglik")).alias("loglik"))
 
 
+def q_gmm_loglik_arrow(spark, sf):
+    """The Arrow form of the mixture's log-likelihood, which very wide models take."""
+    df, spec, gp = _events(spark, sf)
+    return with_cont_loglik(df, gp, spec, "loglik", wide_limit=0).select("row_id", _r(F.col("loglik")).alias("loglik"))
+
+
 def q_gmm_responsibilities(spark, sf):
     df, spec, gp = _events(spark, sf)
     t = with_responsibilities(df, gp, spec, "r")
@@ -242,25 +263,21 @@ def q_gmm_responsibilities(spark, sf):
 
 def q_gmm_estep(spark, sf):
     df, spec, gp = _events(spark, sf)
-    row = estep_frame_generated(df, gp, spec).first()
-    rows = [(m, c, float(row[f"n{m}"]), float(row[f"s1_{m}_{c}"]), float(row[f"s2_{m}_{c}"]), float(row["ll"]))
-            for m in range(gp.K) for c in range(spec.d)]
-    t = spark.createDataFrame(rows, "component int, dim int, n double, s1 double, s2 double, ll double")
-    return t.select("component", "dim", *[_r(F.col(c), AGG_DIG).alias(c) for c in ("n", "s1", "s2", "ll")])
+    return _estep_rows(spark, estep(df, gp, spec, "generated"), gp)
 
 
 def q_gmm_estep_wide(spark, sf):
     df = wide_embeddings(spark, sf)
-    spec = WIDE_EMBEDDINGS_SPEC
-    gp = given_gmm(GMM_K, spec.d)
-    acc = np.zeros(2 + gp.K + 2 * gp.K * spec.d)
-    for r in estep_frame_arrow(df, gp, spec).collect():  # 2 + K + 2Kd rows
-        acc[int(r["i"])] = r["v"]
-    K, d = gp.K, spec.d
-    n = acc[2:2 + K]
-    s1 = acc[2 + K:2 + K + K * d].reshape(K, d)
-    s2 = acc[2 + K + K * d:].reshape(K, d)
-    rows = [(m, c, float(n[m]), float(s1[m, c]), float(s2[m, c]), float(acc[1])) for m in range(K) for c in range(d)]
+    gp = given_gmm(GMM_K, WIDE_EMBEDDINGS_SPEC.d)
+    return _estep_rows(spark, estep(df, gp, WIDE_EMBEDDINGS_SPEC, "arrow"), gp)
+
+
+def _estep_rows(spark, st, gp):
+    """Statistics about zero, from those about the means."""
+    n = st.n[:, None]
+    s1 = st.s1 + gp.means * n
+    s2 = st.s2 + 2 * gp.means * st.s1 + gp.means ** 2 * n
+    rows = [(m, c, float(st.n[m]), float(s1[m, c]), float(s2[m, c]), float(st.ll)) for m in range(gp.K) for c in range(gp.d)]
     t = spark.createDataFrame(rows, "component int, dim int, n double, s1 double, s2 double, ll double")
     return t.select("component", "dim", *[_r(F.col(c), AGG_DIG).alias(c) for c in ("n", "s1", "s2", "ll")])
 
@@ -280,6 +297,20 @@ def q_gmm_fit_3(spark, sf):
     return _rounded_gmm(_params_frame(spark, _gmm_rows(res.params)))
 
 
+OFFSET = 2.0 ** 20  # exact in doubles next to values of some 1e-10
+
+
+def q_gmm_fit_offset(spark, sf):
+    """Three EM steps on a column far from zero, with the means reported without the offset."""
+    df, spec, gp = _events(spark, sf)
+    shifted = df.withColumn("x0", F.col("x0") + F.lit(OFFSET))
+    gp.means[:, 0] += OFFSET
+    res = train_em(shifted, spec, gp, max_iter=3, tol=-1.0, min_covar=MIN_COVAR)
+    res.params.means[:, 0] -= OFFSET
+    t = _params_frame(spark, _gmm_rows(res.params))
+    return t.select("component", "dim", *[_r(F.col(c), 6).alias(c) for c in ("weight", "mean", "var")])
+
+
 def q_gmm_predict(spark, sf):
     df, spec, res = _em(spark, sf, 1)
     t = with_responsibilities(df, res.params, spec, "r")
@@ -312,7 +343,10 @@ def q_score_joint(spark, sf):
 def q_stream_score_events(spark, sf):
     """A3 on Structured Streaming: the events table read as a file stream,
     scored per micro-batch by the same projection as batch scoring."""
+    import uuid
+
     from .plans.detector import DetectorModel
+    from .plans.session import ensure_checkpoint_dir
     from .sources.fixtures import mixed_events_from, table
     from .streaming import score_stream_to_parquet
 
@@ -320,11 +354,12 @@ def q_stream_score_events(spark, sf):
     layout = slot_layout(profile(df, spec), spec)
     model = DetectorModel(spec, layout, given_logistic(LOGISTIC_K, spec.d, layout.n_slots, LAMBDA), gp,
                           DetectorParams())
-    stream = (spark.readStream.schema(table(spark, sf, "events").schema)
-              .option("pathGlobFilter", "events.parquet").parquet(sf))
+    # as a pattern the path may be one file or a folder of part files
+    stream = spark.readStream.schema(table(spark, sf, "events").schema).parquet(f"{sf}/events.parque[t]")
     cols = ["row_id", "label", _r(F.col("log_p_cont")).alias("log_p_cont"),
             _r(F.col("log_p_cat")).alias("log_p_cat"), _r(F.col("score")).alias("score")]
-    return score_stream_to_parquet(model, mixed_events_from(stream), "events", cols)
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/scored-events-{uuid.uuid4().hex}"
+    return score_stream_to_parquet(model, mixed_events_from(stream), f"{folder}/data", f"{folder}/progress", cols)
 
 
 def q_gmm_loglik_wide(spark, sf):
@@ -341,8 +376,7 @@ def q_topk_anomalies(spark, sf):
 
 
 def _thr(spark, sf, mode, ratio, order, tail):
-    s = _scored_orders(spark, sf, mode)
-    n = _n_rows(s)
+    s, n = _scored_and_counted(spark, sf, mode)
     return s, n, threshold(s, n, ratio, order, tail)
 
 
@@ -384,6 +418,18 @@ def q_auc(spark, sf):
     return a.select(_r(F.col("auc")).alias("auc"), "n_pos", "n_neg")
 
 
+def q_auc_many_ranges(spark, sf):
+    """AUC over many range partitions, as on large data."""
+    s = _scored_orders(spark, sf, "joint")
+    a = auc_frame(s, -F.col("score"), "label", n_buckets=13, digits=DIG)
+    return a.select(_r(F.col("auc")).alias("auc"), "n_pos", "n_neg")
+
+
+def q_kfold_many_ranges(spark, sf):
+    a = fold_assignment(mixed_orders(spark, sf).select("row_id", "label"), FOLDS, shuffle=False, n_buckets=11)
+    return kfold_long(a, FOLDS)
+
+
 def q_kfold_contiguous(spark, sf):
     a = fold_assignment(mixed_orders(spark, sf).select("row_id", "label"), FOLDS, shuffle=False)
     return kfold_long(a, FOLDS)
@@ -421,11 +467,34 @@ def q_fit_end_to_end_small(spark, sf):
     return model.transform(df).select("row_id", "label", _r(F.col("score"), FIT_DIG).alias("score"), "is_anomaly")
 
 
+PARITY_FIT = FIT_PARAMS.replace(init="constant", hash_kind="modular", max_iterations=3, em_max_iter=2, em_tol_on="total",
+                                mode="product", order="label_score", tail="high", anomaly_ratio=PARITY_RATIO,
+                                normalizing_radius=FIT3_RADIUS)
+
+
+def _parity_fit(spark, sf):
+    df = mixed_orders(spark, sf)
+    return df, Detector(MIXED_ORDERS_SPEC, PARITY_FIT, gmm_start=given_gmm(GMM_K, MIXED_ORDERS_SPEC.d)).fit(df)
+
+
+def q_fit_parity_small(spark, sf):
+    """The original's settings together: constant start, product score, label-first threshold, high tail."""
+    df, model = _parity_fit(spark, sf)
+    return model.transform(df).select("row_id", "label", _r(F.col("score"), AGG_DIG).alias("score"), "is_anomaly")
+
+
+def q_auc_parity_small(spark, sf):
+    """AUC of the raw product score, as the original evaluates it."""
+    df, model = _parity_fit(spark, sf)
+    a = auc_frame(model.score(df), "score", "label", digits=AGG_DIG)
+    return a.select(_r(F.col("auc")).alias("auc"), "n_pos", "n_neg")
+
+
 def q_cv_auc(spark, sf):
     from .plans.crossval import cross_validate
 
     df = mixed_orders(spark, sf)
-    return cross_validate(df, MIXED_ORDERS_SPEC, FIT_PARAMS.replace(max_iterations=20, em_max_iter=20),
+    return cross_validate(df, MIXED_ORDERS_SPEC, FIT_PARAMS,
                           FOLDS, normal_only=True)
 
 
@@ -447,8 +516,11 @@ QUERIES: dict[str, Query] = {
     "one_hot_long": q_one_hot_long,
     "logistic_margin": q_logistic_margin,
     "cat_likelihood": q_cat_likelihood,
+    "cat_likelihood_arrow": q_cat_likelihood_arrow,
     "minibatch_sample": q_minibatch_sample,
     "sgd_gradient": q_sgd_gradient,
+    "sgd_gradient_arrow": q_sgd_gradient_arrow,
+    "sgd_gradient_grouped": q_sgd_gradient_grouped,
     "sgd_fit_3": q_sgd_fit_3,
     "sgd_history": q_sgd_history,
     "gmm_var_init": q_gmm_var_init,
@@ -457,12 +529,14 @@ QUERIES: dict[str, Query] = {
     "gmm_kmeans_init": q_gmm_kmeans_init,
     "gmm_component_logpdf": q_gmm_component_logpdf,
     "gmm_loglik": q_gmm_loglik,
+    "gmm_loglik_arrow": q_gmm_loglik_arrow,
     "gmm_responsibilities": q_gmm_responsibilities,
     "gmm_estep": q_gmm_estep,
     "gmm_estep_wide": q_gmm_estep_wide,
     "gmm_loglik_wide": q_gmm_loglik_wide,
     "gmm_em_step": q_gmm_em_step,
     "gmm_fit_3": q_gmm_fit_3,
+    "gmm_fit_offset": q_gmm_fit_offset,
     "gmm_predict": q_gmm_predict,
     "gmm_assign": q_gmm_assign,
     "score_product": q_score_product,
@@ -475,11 +549,15 @@ QUERIES: dict[str, Query] = {
     "predict_labels": q_predict_labels,
     "predict_proba": q_predict_proba,
     "auc": q_auc,
+    "auc_many_ranges": q_auc_many_ranges,
     "kfold_contiguous": q_kfold_contiguous,
+    "kfold_many_ranges": q_kfold_many_ranges,
     "kfold_shuffled": q_kfold_shuffled,
     "kfold_normal_only": q_kfold_normal_only,
     "fit_end_to_end": q_fit_end_to_end,
     "fit_end_to_end_small": q_fit_end_to_end_small,
+    "auc_parity_small": q_auc_parity_small,
+    "fit_parity_small": q_fit_parity_small,
     "cv_auc": q_cv_auc,
     "cv_auc_small": q_cv_auc_small,
 }

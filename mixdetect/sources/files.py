@@ -1,50 +1,59 @@
 """File sources: positional CSV (label first) and libsvm.
 
 Both return ``(DataFrame, MixedSpec)`` in the canonical layout
-``row_id, label, c0.., x0..``.  Files carry no row key, so one is derived
-with ``monotonically_increasing_id`` -- stable for a given set of input
-splits, which is what recomputation after an executor loss sees.
+``row_id, label, c0.., x0..``.  Codes and labels stay as they were read
+(doubles), so that a fit's validation sees a fractional code instead of its
+whole part.  Rows are numbered by an id column if one is named; otherwise the
+id is a hash of the row's content, which does not depend on input splits.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..spec import MixedSpec
 
 
-def _canonical(df: DataFrame, label: str, cat_src: list[str], cont_src: list[str]) -> tuple[DataFrame, MixedSpec]:
+def _canonical(df: DataFrame, label: str, cat_src: list[str], cont_src: list[str],
+               id_col: str | None = None) -> tuple[DataFrame, MixedSpec]:
     cats = [f"c{i}" for i in range(len(cat_src))]
     conts = [f"x{i}" for i in range(len(cont_src))]
-    out = df.select(
-        F.monotonically_increasing_id().alias("row_id"),
-        F.col(label).cast("int").alias("label"),
-        *[F.col(s).cast("int").alias(c) for s, c in zip(cat_src, cats)],
-        *[F.col(s).cast("double").alias(c) for s, c in zip(cont_src, conts)],
-    )
+    given = [F.col(id_col).cast("long").alias("row_id")] if id_col else []
+    out = df.select(*given, F.col(label).cast("double").alias("label"),
+                    *[F.col(s).cast("double").alias(c) for s, c in zip([*cat_src, *cont_src], [*cats, *conts])])
+    if not id_col:
+        content = F.xxhash64("label", *cats, *conts)
+        # equal rows are told apart by an occurrence number; which of them has which makes no difference
+        nth = F.row_number().over(Window.partitionBy("__content").orderBy("__content"))
+        out = (out.withColumn("__content", content).withColumn("row_id", F.xxhash64(F.col("__content"), nth))
+               .select("row_id", "label", *cats, *conts))
     return out, MixedSpec(cat_cols=tuple(cats), cont_cols=tuple(conts))
 
 
 def read_positional_csv(spark: SparkSession, path: str, first_continuous: int,
-                        n_features: int | None = None, header: bool = True) -> tuple[DataFrame, MixedSpec]:
+                        n_features: int | None = None, header: bool = True,
+                        id_col: str | None = None) -> tuple[DataFrame, MixedSpec]:
     """CSV whose first column is ``label`` and whose feature columns are
     categorical up to ``first_continuous`` and continuous after it.
 
     With ``n_features`` given the schema is explicit (no inference pass over
-    the data); otherwise Spark infers it, like the original loader.
+    the data) and a header that names or orders its columns in another way is
+    an error; otherwise Spark infers it, like the original loader.  ``id_col``
+    names a column of row ids among an inferred file's columns.
     """
     reader = spark.read.option("header", header)
     if n_features is not None:
         fields = [T.StructField("label", T.DoubleType())]
         fields += [T.StructField(str(i), T.DoubleType()) for i in range(n_features)]
-        reader = reader.schema(T.StructType(fields))
+        # the header must agree with the schema, column by column
+        reader = reader.schema(T.StructType(fields)).option("enforceSchema", False)
     else:
         reader = reader.option("inferSchema", True)
     df = reader.csv(path)
-    label, *features = df.columns
-    return _canonical(df, label, features[:first_continuous], features[first_continuous:])
+    label, *features = [c for c in df.columns if c != id_col]
+    return _canonical(df, label, features[:first_continuous], features[first_continuous:], id_col)
 
 
 def read_libsvm(spark: SparkSession, path: str, n_features: int, first_continuous: int) -> tuple[DataFrame, MixedSpec]:

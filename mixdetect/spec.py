@@ -88,8 +88,8 @@ class DetectorParams:
     no_progress_steps: int = 10
     # Options of this engine
     em_tol_on: str = "mean"  # "mean" (default) or "total" (original behaviour)
-    kmeans_max_iter: int = 20
-    kmeans_init: str = "hash"  # "hash" (partition-independent) or "kmeans||" (Spark ML)
+    kmeans_max_iter: int = 100  # k-means default of the original's library
+    kmeans_init: str = "hash"  # "hash" (k-means|| by row hashes, partition-independent) or "kmeans||" (Spark ML)
     mode: str = "joint"  # or "product" (original)
     order: str = "score"  # or "label_score" (original)
     tail: str = "low"  # or "high" (original)

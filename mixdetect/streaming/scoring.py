@@ -19,17 +19,25 @@ def score_stream(model: DetectorModel, stream: DataFrame, only_anomalies: bool =
     return out.where("is_anomaly") if only_anomalies else out
 
 
+def _location(stream: DataFrame, checkpoint_location: str | None, name: str) -> str:
+    """Where a query keeps its progress.  A restarted application only finds it in a folder it names itself
+    (the session's checkpoint folder is another one for each application), so only local test sessions may leave it out."""
+    if checkpoint_location:
+        return checkpoint_location.rstrip("/")
+    if not stream.sparkSession.sparkContext.master.startswith("local"):
+        raise ValueError("name a checkpoint_location in shared storage, so that a restart can resume")
+    return f"{ensure_checkpoint_dir(stream.sparkSession).rstrip('/')}/stream-{name}"
+
+
 def start_scoring_query(model: DetectorModel, stream: DataFrame, sink: str, name: str,
                         path: str | None = None, trigger_available_now: bool = True,
-                        only_anomalies: bool = False) -> StreamingQuery:
+                        only_anomalies: bool = False, checkpoint_location: str | None = None) -> StreamingQuery:
     """Append scored rows to ``sink`` ("memory", "parquet", ...).
 
-    The streaming checkpoint lives under the session's shared checkpoint
-    folder so a restarted query resumes where it stopped.
+    A query restarted with the same ``checkpoint_location`` resumes where it stopped.
     """
-    base = ensure_checkpoint_dir(stream.sparkSession)
     w = (score_stream(model, stream, only_anomalies).writeStream.outputMode("append").format(sink)
-         .queryName(name).option("checkpointLocation", f"{base.rstrip('/')}/stream-{name}"))
+         .queryName(name).option("checkpointLocation", _location(stream, checkpoint_location, name)))
     if path is not None:
         w = w.option("path", path)
     if trigger_available_now:
@@ -37,42 +45,41 @@ def start_scoring_query(model: DetectorModel, stream: DataFrame, sink: str, name
     return w.start()
 
 
-def score_stream_to_parquet(model: DetectorModel, stream: DataFrame, name: str, columns: list | None = None):
-    """Run the scoring stream to completion (``availableNow``) into a parquet
-    table under the shared checkpoint folder and return that table.
+def score_stream_to_parquet(model: DetectorModel, stream: DataFrame, path: str, checkpoint_location: str,
+                            columns: list | None = None) -> DataFrame:
+    """Run the scoring stream over what there is (``availableNow``) into the Parquet table at ``path`` and return it.
 
     Nothing passes through the driver: micro-batches are written by the
-    executors, and the stream's own checkpoint makes a rerun resume.
+    executors.  Called again with the same two folders, it scores only new input.
     """
-    import uuid
-
-    spark = stream.sparkSession
-    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{name}-{uuid.uuid4().hex}"
     out = score_stream(model, stream)
     if columns is not None:
         out = out.select(*columns)
-    q = (out.writeStream.outputMode("append").format("parquet").option("path", f"{base}/data")
-         .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start())
+    q = (out.writeStream.outputMode("append").format("parquet").option("path", path)
+         .option("checkpointLocation", checkpoint_location).trigger(availableNow=True).start())
     q.awaitTermination()
     if q.exception() is not None:
         raise q.exception()
-    return spark.read.schema(out.schema).parquet(f"{base}/data")
+    return stream.sparkSession.read.schema(out.schema).parquet(path)
 
 
 def start_anomaly_sink(model: DetectorModel, stream: DataFrame, path: str, name: str,
-                       trigger_available_now: bool = True) -> StreamingQuery:
-    """Write only the flagged rows of each micro-batch to ``path/batch_id=<id>``.
+                       trigger_available_now: bool = True, checkpoint_location: str | None = None) -> StreamingQuery:
+    """Write only the flagged rows of each micro-batch to ``path/run=<query>/batch_id=<id>``.
 
     Each batch is scored once and cached, so the ``is_anomaly`` filter runs
     above the cache instead of being pushed into the scoring projection (which
     would evaluate the score twice).  A batch writes its own directory in
     overwrite mode, so a retried batch replaces its output instead of adding
-    to it.
+    to it; the directory also carries a hash of the checkpoint location, so a
+    query with another one, whose batches count from 0 again, overwrites nothing.
     """
+    import zlib
+
     from pyspark import StorageLevel
 
-    base = ensure_checkpoint_dir(stream.sparkSession)
-    target = path.rstrip("/")
+    location = _location(stream, checkpoint_location, name)
+    target = f"{path.rstrip('/')}/run={zlib.crc32(location.encode()):08x}"
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         scored = model.transform(batch).persist(StorageLevel.MEMORY_AND_DISK)
@@ -81,8 +88,7 @@ def start_anomaly_sink(model: DetectorModel, stream: DataFrame, path: str, name:
         finally:
             scored.unpersist()
 
-    w = (stream.writeStream.foreachBatch(write_batch).queryName(name)
-         .option("checkpointLocation", f"{base.rstrip('/')}/stream-{name}"))
+    w = stream.writeStream.foreachBatch(write_batch).queryName(name).option("checkpointLocation", location)
     if trigger_available_now:
         w = w.trigger(availableNow=True)
     return w.start()
