@@ -244,7 +244,8 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, k: int, radius: int) ->
     table = distinct.join(linked, F.col("fp") == F.col("node"), "left").select(
         F.col("fp").alias("__fp"), "n_exact", F.coalesce("root", "fp").alias("root"),
         F.when(F.col("node").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
-    return fps, table
+    # written, so that the join with the rows has exchanges of its own and a fingerprint of many copies is split in it
+    return fps, stored(table, "simhash-table")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE_WORDS,
