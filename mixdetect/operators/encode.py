@@ -28,6 +28,10 @@ class Profile:
     cont_inf: tuple[int, ...] = ()
 
 
+#: Codes at or above it (or NaN, or infinite) are no codes.
+MAX_CODE = "9.0E15D"
+
+
 def profile_frame(df: DataFrame, spec: MixedSpec) -> DataFrame:
     """The single-row profile aggregate (also registered as a query)."""
     from ..functions import sql as S
@@ -35,12 +39,14 @@ def profile_frame(df: DataFrame, spec: MixedSpec) -> DataFrame:
     aggs = ["count(1) AS n_rows"]
     for c in spec.cat_cols:
         v, dv = S.ident(c), f"CAST({S.ident(c)} AS DOUBLE)"
+        finite = f"CASE WHEN abs({dv}) < {MAX_CODE} THEN {v} END"
         aggs += [
-            f"CAST(min({v}) AS BIGINT) AS {S.ident(c + '_min')}",
-            f"CAST(max({v}) AS BIGINT) AS {S.ident(c + '_max')}",
-            f"coalesce(CAST(max({v}) AS BIGINT), -1) + 1 AS {S.ident(c + '_width')}",
+            f"CAST(min({finite}) AS BIGINT) AS {S.ident(c + '_min')}",
+            f"CAST(max({finite}) AS BIGINT) AS {S.ident(c + '_max')}",
+            f"coalesce(CAST(max({finite}) AS BIGINT), -1) + 1 AS {S.ident(c + '_width')}",
             f"CAST(sum(CASE WHEN {v} IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS {S.ident(c + '_nulls')}",
-            f"CAST(sum(CASE WHEN {v} < 0 OR {dv} != floor({dv}) THEN 1 ELSE 0 END) AS BIGINT) AS {S.ident(c + '_bad')}",
+            f"CAST(sum(CASE WHEN NOT ({dv} >= 0 AND {dv} < {MAX_CODE} AND {dv} = rint({dv})) THEN 1 ELSE 0 END) AS BIGINT) "
+            f"AS {S.ident(c + '_bad')}",
         ]
     names = spec.cont_cols if not spec.cont_array else [f"{spec.cont_array}_{j}" for j in range(spec.cont_dim)]
     for x, name in zip(S.cont_refs(spec), names):
@@ -52,7 +58,26 @@ def profile_frame(df: DataFrame, spec: MixedSpec) -> DataFrame:
     return df.selectExpr(*aggs)
 
 
-def profile(df: DataFrame, spec: MixedSpec) -> Profile:
+#: Dimensions of an array column from which they are profiled as rows instead of as columns of one aggregate.
+WIDE_PROFILE = 256
+
+
+def wide_profile_frame(df: DataFrame, array: str) -> DataFrame:
+    """(dim, var, bad, inf) of an array column: one map-side combined group per dimension."""
+    t = df.select(F.posexplode_outer(F.col(array).cast("array<double>")).alias("dim", "x"))
+    x = F.col("x")
+    return t.groupBy("dim").agg(F.var_pop("x").alias("var"), F.sum((x.isNull() | F.isnan(x)).cast("long")).alias("bad"),
+                                F.sum((F.abs(x) == float("inf")).cast("long")).alias("inf"))
+
+
+def profile(df: DataFrame, spec: MixedSpec, wide: int = WIDE_PROFILE) -> Profile:
+    if spec.cont_array and spec.cont_dim > wide:
+        rest = profile(df, MixedSpec(row_id=spec.row_id, label=spec.label, cat_cols=spec.cat_cols))
+        dims = {r["dim"]: r for r in wide_profile_frame(df, spec.cont_array).collect()}  # <= dimensions + 1 rows
+        missing = dims[None]["bad"] if None in dims else 0  # rows without an array
+        got = [dims.get(j) for j in range(spec.cont_dim)]
+        return Profile(rest.n, rest.widths, rest.cat_min, rest.bad_codes, rest.cat_nulls, tuple(r and r["var"] for r in got),
+                       tuple(missing + (r["bad"] if r else rest.n) for r in got), tuple(int(r["inf"] or 0) if r else 0 for r in got))
     row = profile_frame(df, spec).first()
     n = int(row["n_rows"])
     cats = spec.cat_cols

@@ -124,7 +124,19 @@ def _cont_loglik_arrow(df: DataFrame, p: GmmParams, spec: MixedSpec, out: str) -
     return df.withColumn(out, F.when(whole, F.coalesce(loglik(features), F.lit(float("nan")))))  # Arrow returns NaN as null
 
 
-def with_responsibilities(df: DataFrame, p: GmmParams, spec: MixedSpec, prefix: str = "r") -> DataFrame:
+def with_responsibilities(df: DataFrame, p: GmmParams, spec: MixedSpec, prefix: str = "r", wide_limit: int | None = None) -> DataFrame:
+    """Adds ``r0``.. (``prefix``), the components' posterior probabilities; very wide mixtures run on Arrow batches."""
+    if p.K * p.d > (WIDE_EXPR_LIMIT if wide_limit is None else wide_limit):
+        p = p.copy()
+
+        @F.pandas_udf("array<double>")
+        def posterior(features: pd.Series) -> pd.Series:
+            lp = mixture_logpdf(matrix(features, p.d), p)
+            return pd.Series(list(np.exp(lp - row_loglik(lp)[:, None])))
+
+        features, whole = feature_input(spec)
+        t = df.withColumn("__r", F.when(whole, posterior(features)))
+        return t.select(*df.columns, *[F.col("__r")[m].alias(f"{prefix}{m}") for m in range(p.K)])
     cols = df.columns
     t = with_weighted_logpdf(df, p, spec).selectExpr("*", S.aliased(loglik_sql(p.K), "__ll"))
     return t.selectExpr(*S.keep(cols), *[S.aliased(f"exp({LP}{m} - __ll)", f"{prefix}{m}") for m in range(p.K)])
@@ -297,9 +309,10 @@ def hashed_kmeans_means(df: DataFrame, spec: MixedSpec, K: int, seed: int, max_i
     each round every row becomes a candidate with probability
     min(1, l d^2 / sum d^2), l = 2K by default, decided by its hash for that
     round: some l rows are expected.  Candidates weigh the rows nearest to
-    them, and k-means++ (seeded NumPy) over the weighted candidates gives the
-    K seeds.  Lloyd steps follow until no centre moves by ``tol``; an empty
-    cluster keeps its centre.
+    them; the heaviest one is the first seed, and each further seed is the
+    candidate with the largest weight x squared distance to the seeds before.
+    Lloyd steps follow until no centre moves by ``tol``; an empty cluster
+    keeps its centre.
     """
     xs = [x.cast("double") for x in spec.cont_exprs()]
     d = len(xs)
@@ -323,11 +336,10 @@ def hashed_kmeans_means(df: DataFrame, spec: MixedSpec, K: int, seed: int, max_i
     weight = np.zeros(len(C))
     for r in _nearest(df, spec, C, []).groupBy("component").agg(F.count("*").alias("n")).collect():  # one row a candidate
         weight[r["component"]] = r["n"]
-    rng = np.random.default_rng(seed)
-    centres = [C[rng.choice(len(C), p=weight / weight.sum())]]
+    centres = [C[np.argmax(weight)]]
     for _ in range(1, K):
-        d2 = weight * np.min([((C - c) ** 2).sum(axis=1) for c in centres], axis=0)
-        centres.append(C[rng.choice(len(C), p=d2 / d2.sum())] if d2.sum() > 0 else centres[len(centres) % len(C)])
+        gain = weight * np.min([((C - c) ** 2).sum(axis=1) for c in centres], axis=0)
+        centres.append(C[np.argmax(gain)])  # with fewer distinct points than K, some are seeds twice
     return lloyd(df, spec, np.array(centres), max_iter, tol)
 
 

@@ -10,8 +10,9 @@ so it shares no code path with the generated Spark expressions.
 from __future__ import annotations
 
 from . import queries as Q
-from .functions.columns import (HASH_ADD, HASH_ID_MULT, HASH_PRIMES, HASH_RANGE, HASH_STEP_MULT, STREAM_FOLD, STREAM_SELECT,
-                                STREAM_SLOT, stream_salt)
+from .functions.columns import (HASH_ADD, HASH_ID_MULT, HASH_PRIMES, HASH_RANGE, HASH_STEP_MULT, STREAM_FOLD, STREAM_KMEANS,
+                                STREAM_SELECT, STREAM_SLOT, stream_salt)
+from .spec import random_logistic
 
 # Fixture definitions (FIXTURES.md section 2).
 ORDERS_SQL = """WITH b AS (SELECT o_orderkey AS row_id,
@@ -83,6 +84,7 @@ def cutoff_sql(minibatch: int, n: str) -> str:
 class Ctes:
     def __init__(self):
         self.items: list[tuple[str, str]] = []
+        self.recursive = False
 
     def add(self, name: str, sql: str) -> "Ctes":
         self.items.append((name, sql))
@@ -90,7 +92,7 @@ class Ctes:
 
     def sql(self, final: str) -> str:
         body = ",\n".join(f"{n} AS (\n{s}\n)" for n, s in self.items)
-        return f"WITH {body}\n{final}"
+        return f"WITH {'RECURSIVE ' if self.recursive else ''}{body}\n{final}"
 
 
 # ---------------------------------------------------------------------------
@@ -219,6 +221,155 @@ def sgd_ctes(c: Ctes, steps: int, lam: float, radius: float, k: int, d: int, see
                          f"(SELECT sum(abs(g)) FROM {n('gw')}) AS grad_l1, {lr} AS lr")
 
 
+# -- fits that run to their end: each is a recursion over one row of state ------------------------------
+
+
+def kmeans_ctes(c: Ctes, K: int, conts: list[str], seed: int, max_iter: int = 100, tol: float = 1e-4, rounds: int = 5,
+                ns: str = "") -> str:
+    """k-means|| start and Lloyd steps over {ns}fx; returns the CTE with the final centres k{m}_{c} in one row."""
+    c.recursive = True
+    xs, cx = ", ".join(conts), ", ".join(f"p.{x}" for x in conts)
+
+    def dist(a: str, b: str) -> str:
+        return " + ".join(f"({a}.{x} - {b}.{x}) * ({a}.{x} - {b}.{x})" for x in conts)
+
+    c.add(f"{ns}ca0", f"SELECT {xs} FROM {ns}fx ORDER BY {hsh('row_id', '0', seed, STREAM_KMEANS)}, row_id LIMIT 1")
+    for t in range(1, rounds + 1):
+        c.add(f"{ns}cd{t}", f"SELECT p.row_id, {cx}, min({dist('p', 'q')}) AS d2 FROM {ns}fx p, {ns}ca{t - 1} q GROUP BY p.row_id, {cx}")
+        draw = f"((CAST({hsh('row_id', str(t), seed, STREAM_KMEANS)} AS DOUBLE) + 0.5E0) / CAST({HASH_RANGE} AS DOUBLE))"
+        c.add(f"{ns}ca{t}", f"SELECT {xs} FROM {ns}ca{t - 1} UNION SELECT {xs} FROM {ns}cd{t}, (SELECT sum(d2) AS cost FROM {ns}cd{t}) "
+                            f"WHERE cost > 0 AND {draw} < d2 * ({f(2.0 * K)} / cost)")
+    near = ", ".join(f"q.{x} AS q{x}" for x in conts)
+    qs = ", ".join(f"q{x}" for x in conts)
+    c.add(f"{ns}cn", f"SELECT {qs}, row_number() OVER (PARTITION BY row_id ORDER BY d2, {qs}) AS rn FROM "
+                     f"(SELECT p.row_id, {near}, {dist('p', 'q')} AS d2 FROM {ns}fx p, {ns}ca{rounds} q)")
+    named = ", ".join(f"q{x} AS {x}" for x in conts)
+    c.add(f"{ns}cw", f"SELECT {named}, CAST(count(*) AS DOUBLE) AS wt FROM {ns}cn WHERE rn = 1 GROUP BY {qs}")
+    c.add(f"{ns}se0", f"SELECT {xs} FROM {ns}cw ORDER BY wt DESC, {xs} LIMIT 1")
+    for m in range(1, K):
+        least = ", ".join(f"({dist('p', f's{k}')})" for k in range(m))
+        gain = f"least({least})" if m > 1 else least
+        c.add(f"{ns}se{m}", f"SELECT {cx} FROM {ns}cw p, {', '.join(f'{ns}se{k} s{k}' for k in range(m))} "
+                            f"ORDER BY p.wt * {gain} DESC, {cx} LIMIT 1")
+    cells = [(m, i) for m in range(K) for i in range(len(conts))]
+    start = ", ".join(f"s{m}.{conts[i]} AS k{m}_{i}" for m, i in cells)
+    state = ", ".join(f"k{m}_{i}" for m, i in cells)
+    d = [" + ".join(f"({x} - k{m}_{i}) * ({x} - k{m}_{i})" for i, x in enumerate(conts)) for m in range(K)]
+    near_case = " ".join(f"WHEN {' AND '.join(f'd{m} <= d{o}' for o in range(m + 1, K))} THEN {m}" for m in range(K - 1))
+    new = ", ".join(f"coalesce(avg(CASE WHEN a = {m} THEN {conts[i]} END), k{m}_{i}) AS n{m}_{i}" for m, i in cells)
+    moved = [f"sqrt({' + '.join(f'(n{m}_{i} - k{m}_{i}) * (n{m}_{i} - k{m}_{i})' for i in range(len(conts)))})" for m in range(K)]
+    c.add(f"{ns}km", f"SELECT 0 AS it, 1.0E300 AS moved, {start} FROM {', '.join(f'{ns}se{m} s{m}' for m in range(K))}\n"
+                     f"UNION ALL SELECT it + 1, greatest({', '.join(moved)}), {', '.join(f'n{m}_{i}' for m, i in cells)} FROM (\n"
+                     f"SELECT it, {state}, {new} FROM (SELECT *, CASE {near_case} ELSE {K - 1} END AS a FROM (\n"
+                     f"SELECT s.*, {xs}, {', '.join(f'{e} AS d{m}' for m, e in enumerate(d))} FROM {ns}km s, {ns}fx\n"
+                     f"WHERE s.moved >= {f(tol)} AND s.it < {max_iter})) GROUP BY it, {state})")
+    c.add(f"{ns}kmf", f"SELECT {state} FROM {ns}km ORDER BY it DESC LIMIT 1")
+    return f"{ns}kmf"
+
+
+def em_fit_ctes(c: Ctes, K: int, conts: list[str], centres: str, max_iter: int, tol: float, min_covar: float, ns: str = "") -> str:
+    """EM from centres and column variances until the mean log-likelihood settles; returns the CTE (m, c, wt, mu, var)."""
+    c.recursive = True
+    d, cells = len(conts), [(m, i) for m in range(K) for i in range(len(conts))]
+    names = [f"w{m}" for m in range(K)] + [f"u{m}_{i}" for m, i in cells] + [f"v{m}_{i}" for m, i in cells]
+    first = ([f"1.0E0 / {K}"] * K + [f"k{m}_{i}" for m, i in cells]
+             + [f"(SELECT var_pop({conts[i]}) + {f(min_covar)} FROM {ns}fx)" for m, i in cells])
+    lp = [f"ln(w{m}) - 0.5E0 * ({d} * ln(2 * pi()) + {' + '.join(f'ln(v{m}_{i})' for i in range(d))}) - 0.5E0 * ("
+          + " + ".join(f"({x} - u{m}_{i}) * ({x} - u{m}_{i}) / v{m}_{i}" for i, x in enumerate(conts)) + ")" for m in range(K)]
+    sums = [f"sum(exp(l{m} - ll)) AS n{m}" for m in range(K)]
+    sums += [f"sum(exp(l{m} - ll) * ({conts[i]} - u{m}_{i})) AS a{m}_{i}" for m, i in cells]
+    sums += [f"sum(exp(l{m} - ll) * ({conts[i]} - u{m}_{i}) * ({conts[i]} - u{m}_{i})) AS b{m}_{i}" for m, i in cells]
+    var = {(m, i): f"(b{m}_{i} / n{m} - (a{m}_{i} / n{m}) * (a{m}_{i} / n{m}) + {f(min_covar)})" for m, i in cells}
+    total = " + ".join(f"n{m}" for m in range(K))
+    nxt = ([f"n{m} / ({total})" for m in range(K)] + [f"CASE WHEN n{m} > 0 THEN u{m}_{i} + a{m}_{i} / n{m} ELSE u{m}_{i} END" for m, i in cells]
+           + [f"CASE WHEN n{m} > 0 THEN CASE WHEN {var[m, i]} > 0 THEN {var[m, i]} ELSE {f(min_covar)} END ELSE v{m}_{i} END" for m, i in cells])
+    state = ", ".join(names)
+    mx = f"greatest({', '.join(f'l{m}' for m in range(K))})"
+    inner = (f"SELECT *, mx + ln({' + '.join(f'exp(l{m} - mx)' for m in range(K))}) AS ll FROM (SELECT *, {mx} AS mx FROM (\n"
+             f"SELECT s.*, {', '.join(conts)}, {', '.join(f'{e} AS l{m}' for m, e in enumerate(lp))} FROM {ns}em s, {ns}fx\n"
+             f"WHERE NOT s.done AND s.it < {max_iter}))")
+    c.add(f"{ns}em", f"SELECT 0 AS it, CAST(NULL AS DOUBLE) AS prev, false AS done, "
+                     f"{', '.join(f'{e} AS {n}' for e, n in zip(first, names))} FROM {centres}\n"
+                     f"UNION ALL SELECT it + 1, cur, coalesce(abs(cur - prev) < {f(tol)}, false), {', '.join(nxt)} FROM (\n"
+                     f"SELECT it, prev, {state}, avg(ll) AS cur, {', '.join(sums)} FROM ({inner}) GROUP BY it, prev, {state})")
+    c.add(f"{ns}emf", f"SELECT * FROM {ns}em ORDER BY it DESC LIMIT 1")
+    out = f"{ns}emp"
+    c.add(out, "\nUNION ALL\n".join(f"SELECT {m} AS m, {i} AS c, w{m} AS wt, u{m}_{i} AS mu, v{m}_{i} AS var FROM {ns}emf" for m, i in cells))
+    return out
+
+
+def sgd_fit_ctes(c: Ctes, p, start, cats: list[str], conts: list[str], ns: str = "") -> tuple[str, str]:
+    """All SGD steps from given parameters (k x (d+1) and k x J numbers); returns the CTEs (r, c, v) and (r, j, v)."""
+    c.recursive = True
+    k, d1 = start.V.shape
+    J = start.W.shape[1]
+    xs = [*conts, "1.0E0"]
+    vs, ws = [(r, i) for r in range(k) for i in range(d1)], [(r, j) for r in range(k) for j in range(J)]
+    hot = " OR ".join(f"slot = {col} + (SELECT off FROM {ns}sl WHERE ci = {i})" for i, col in enumerate(cats))
+    c.add(f"{ns}mb", f"SELECT step, row_id, slot, {', '.join(conts)}, CASE WHEN {hot} THEN 1.0E0 ELSE -1.0E0 END AS z FROM ("
+                     f"SELECT CAST(t.step AS INTEGER) AS step, fx.*, CAST({hsh('row_id', 't.step', p.seed, STREAM_SLOT)} % (SELECT J FROM {ns}jn) "
+                     f"AS INTEGER) AS slot FROM {ns}fx fx, range(1, {p.max_iterations}) t(step) "
+                     f"WHERE {hsh('row_id', 't.step', p.seed, STREAM_SELECT)} < {cutoff_sql(p.minibatch_size, f'{ns}nn')})")
+    state = [f"v{r}_{i}" for r, i in vs] + [f"w{r}_{j}" for r, j in ws]
+    first = [f(start.V[r, i]) for r, i in vs] + [f(start.W[r, j]) for r, j in ws]
+    h = [" + ".join(f"v{r}_{i} * {x}" for i, x in enumerate(xs)) for r in range(k)]
+    own = [f"CASE slot {' '.join(f'WHEN {j} THEN w{r}_{j}' for j in range(J))} END" for r in range(k)]
+    margin = " + ".join(f"h{r} * o{r}" for r in range(k))
+    rows = (f"SELECT *, -{sig(f'(-z) * m / {f(p.logistic_lambda)}')} * z AS g FROM (SELECT *, {margin} AS m FROM ("
+            f"SELECT s.*, mb.slot, mb.z, {', '.join(f'mb.{x}' for x in conts)}, {', '.join(f'{e} AS h{r}' for r, e in enumerate(h))}, "
+            f"{', '.join(f'{e} AS o{r}' for r, e in enumerate(own))} FROM {ns}sg s JOIN {ns}mb mb ON mb.step = s.it "
+            f"WHERE s.idle < {p.no_progress_steps} AND s.it < {p.max_iterations}))")
+    sums = [f"sum(g * o{r} * {xs[i]}) / count(*) AS gv{r}_{i}" for r, i in vs]
+    sums += [f"coalesce(sum(CASE WHEN slot = {j} THEN g * h{r} END), 0.0E0) / count(*) AS gw{r}_{j}" for r, j in ws]
+    lr = f"({f(p.learning_rate_start)} / (1.0E0 + {f(p.learning_rate_speed)} * (it - 1)))"
+    reg = f(p.regularization_parameter)
+    pull = {"v": f"(1.0E0 / sqrt({d1 * k}))", "w": f"(1.0E0 / sqrt({J * k}))"}
+    moved = [f"{a}{r}_{i} - {lr} * (g{a}{r}_{i} + 2.0E0 * {reg} * {pull[a]} * {a}{r}_{i}) AS n{a}{r}_{i}"
+             for a, cells in (("v", vs), ("w", ws)) for r, i in cells]
+    norms = [f"sqrt({' + '.join(f'n{a}{r}_{i} * n{a}{r}_{i}' for r in range(k))}) AS q{a}{i}" for a, m in (("v", d1), ("w", J)) for i in range(m)]
+    radius = f(p.normalizing_radius)
+    nxt = [f"CASE WHEN q{a}{i} > {radius} THEN n{a}{r}_{i} * ({radius} / q{a}{i}) ELSE n{a}{r}_{i} END"
+           for a, cells in (("v", vs), ("w", ws)) for r, i in cells]
+    progress = " + ".join(f"abs(gw{r}_{j})" for r, j in ws)
+    c.add(f"{ns}sg", f"SELECT 1 AS it, 0 AS idle, {', '.join(f'{e} AS {n}' for e, n in zip(first, state))}\n"
+                     f"UNION ALL SELECT it + 1, CASE WHEN {progress} < {f(p.no_progress_tol)} THEN idle + 1 ELSE 0 END, {', '.join(nxt)} FROM (\n"
+                     f"SELECT *, {', '.join(norms)} FROM (SELECT *, {', '.join(moved)} FROM (\n"
+                     f"SELECT it, idle, {', '.join(state)}, {', '.join(sums)} FROM ({rows}) GROUP BY it, idle, {', '.join(state)})))")
+    c.add(f"{ns}sgf", f"SELECT * FROM {ns}sg ORDER BY it DESC LIMIT 1")
+    c.add(f"{ns}pvf", " UNION ALL ".join(f"SELECT {r} AS r, {i} AS c, v{r}_{i} AS v FROM {ns}sgf" for r, i in vs))
+    c.add(f"{ns}pwf", " UNION ALL ".join(f"SELECT {r} AS r, {j} AS j, w{r}_{j} AS v FROM {ns}sgf" for r, j in ws))
+    return f"{ns}pvf", f"{ns}pwf"
+
+
+def full_fit_ctes(c: Ctes, p, ns: str = "") -> tuple[str, str, str]:
+    """The default fit on mixed_orders rows {ns}fx: CTEs of V, W and the mixture."""
+    d = len(ORDERS_CONTS)
+    start = random_logistic(p.subspace_dimension, d, ORDERS_SLOTS, p.logistic_lambda, p.seed)
+    pv, pw = sgd_fit_ctes(c, p, start, ORDERS_CATS, ORDERS_CONTS, ns)
+    centres = kmeans_ctes(c, p.gaussian_num, ORDERS_CONTS, p.seed, p.kmeans_max_iter, ns=ns)
+    return pv, pw, em_fit_ctes(c, p.gaussian_num, ORDERS_CONTS, centres, p.em_max_iter, p.em_tol, p.min_covar, ns)
+
+
+def sql_gmm_kmeans_init() -> str:
+    c = _events()
+    out = kmeans_ctes(c, Q.GMM_K, EVENTS_CONTS, Q.SEED)
+    return c.sql("\nUNION ALL\n".join(
+        f"SELECT CAST({m} AS INTEGER) AS component, "
+        + ", ".join(f"{rnd(f'k{m}_{i}', Q.AGG_DIG)} AS centre{i}" for i in range(len(EVENTS_CONTS))) + f" FROM {out}" for m in range(Q.GMM_K)))
+
+
+def sql_fit_end_to_end() -> str:
+    p, d = Q.FULL_FIT, len(ORDERS_CONTS)
+    c = _orders()
+    pv, pw, gp = full_fit_ctes(c, p)
+    lpc = logistic_ctes(c, pv, pw, p.logistic_lambda, "fin_")
+    _, ll, _ = gmm_ctes(c, gp, d, "fing_")
+    c.add("sc", f"SELECT fx.row_id, fx.label, g.ll + l.log_p_cat AS score "
+                f"FROM fx JOIN {ll} g ON g.row_id = fx.row_id JOIN {lpc} l ON l.row_id = fx.row_id")
+    _threshold_ctes(c, p.anomaly_ratio, "score ASC")
+    return c.sql(f"SELECT row_id, label, {rnd('score', Q.SCORE_DIG)} AS score, score <= (SELECT thr FROM th) AS is_anomaly FROM sc")
+
+
 def pivot(source: str, key: str, col: str, names: list[tuple[int, str]], value: str, digits: int = Q.DIG) -> str:
     cols = ", ".join(f"{rnd(f'max(CASE WHEN {col} = {i} THEN {value} END)', digits)} AS {n}" for i, n in names)
     return f"SELECT {key}, {cols} FROM {source} GROUP BY {key}"
@@ -655,12 +806,30 @@ def sql_auc_parity_small() -> str:
     return c.sql(f"SELECT auc, n_pos, n_neg FROM {_auc_ctes(c, 'neg', 'pa_', Q.AGG_DIG)}")
 
 
+def _small_fit(c: Ctes, ns: str) -> tuple[str, str, str]:
+    p, d = Q.SMALL_FIT, len(ORDERS_CONTS)
+    steps = p.max_iterations - 1
+    given_logistic_ctes(c, p.subspace_dimension, d, ns=ns)
+    sgd_ctes(c, steps, p.logistic_lambda, p.normalizing_radius, p.subspace_dimension, d, seed=p.seed,
+             minibatch=p.minibatch_size, reg=p.regularization_parameter, lr0=p.learning_rate_start,
+             speed=p.learning_rate_speed, ns=ns)
+    given_gmm_cte(c, p.gaussian_num, d, name=f"{ns}gp0")
+    for t in range(1, p.em_max_iter + 1):
+        em_step_ctes(c, f"{ns}gp{t - 1}", f"{ns}gp{t}", d, p.min_covar, data_ns=ns)
+    return f"{ns}pv{steps}", f"{ns}pw{steps}", f"{ns}gp{p.em_max_iter}"
+
+
+def sql_cv_auc() -> str:
+    return _cv(Q.FULL_FIT, lambda c, ns: full_fit_ctes(c, Q.FULL_FIT, ns), Q.SCORE_DIG, Q.SCORE_DIG)
+
+
 def sql_cv_auc_small() -> str:
-    """Per fold: fit from the given start on the normal-only train rows (2 SGD + 2 EM
-    steps), score the held-out rows with the train slot layout, rank AUC."""
-    p = Q.SMALL_FIT
+    return _cv(Q.SMALL_FIT, _small_fit, Q.AGG_DIG, Q.DIG)
+
+
+def _cv(p, fit, digits: int, out_digits: int) -> str:
+    """Per fold: fit on the normal-only train rows, score the held-out rows with the train slot layout, rank AUC."""
     k, d = Q.FOLDS, len(ORDERS_CONTS)
-    steps = p.max_iterations - 1
     c = Ctes()
     c.add("fxa", ORDERS_SQL)
     c.add("posa", "SELECT row_id, row_number() OVER (ORDER BY row_id) - 1 AS pos FROM fxa")
@@ -672,22 +841,15 @@ def sql_cv_auc_small() -> str:
         tr, te = f"tr{fo}_", f"te{fo}_"
         long_parts(c, f"SELECT fxa.* FROM fxa JOIN fa ON fa.row_id = fxa.row_id WHERE fa.fold <> {fo} "
                       "AND coalesce(fxa.label <> 1, true)", ORDERS_CATS, ORDERS_CONTS, ns=tr)
-        given_logistic_ctes(c, p.subspace_dimension, d, ns=tr)
-        sgd_ctes(c, steps, p.logistic_lambda, p.normalizing_radius, p.subspace_dimension, d, seed=p.seed,
-                 minibatch=p.minibatch_size, reg=p.regularization_parameter, lr0=p.learning_rate_start,
-                 speed=p.learning_rate_speed, ns=tr)
-        given_gmm_cte(c, p.gaussian_num, d, name=f"{tr}gp0")
-        for t in range(1, p.em_max_iter + 1):
-            em_step_ctes(c, f"{tr}gp{t - 1}", f"{tr}gp{t}", d, p.min_covar, data_ns=tr)
+        pv, pw, gp = fit(c, tr)
         long_parts(c, f"SELECT fxa.* FROM fxa JOIN fa ON fa.row_id = fxa.row_id WHERE fa.fold = {fo}",
                    ORDERS_CATS, ORDERS_CONTS, ns=te)
-        lpc = logistic_ctes(c, f"{tr}pv{steps}", f"{tr}pw{steps}", p.logistic_lambda, p=f"{te}s_", data_ns=te,
-                            slots_ns=tr)
-        _, ll, _ = gmm_ctes(c, f"{tr}gp{p.em_max_iter}", d, p=f"{te}g_", data_ns=te)
+        lpc = logistic_ctes(c, pv, pw, p.logistic_lambda, p=f"{te}s_", data_ns=te, slots_ns=tr)
+        _, ll, _ = gmm_ctes(c, gp, d, p=f"{te}g_", data_ns=te)
         c.add(f"{te}sc", f"SELECT x.row_id, x.label, g.ll + l.log_p_cat AS score FROM {te}fx x "
                          f"JOIN {ll} g ON g.row_id = x.row_id JOIN {lpc} l ON l.row_id = x.row_id")
-        auc = _auc_ctes(c, f"{te}sc", te, Q.AGG_DIG)
-        outs.append(f"SELECT CAST({fo} AS INTEGER) AS fold, auc, n_pos, n_neg FROM {auc}")
+        auc = _auc_ctes(c, f"{te}sc", te, digits)
+        outs.append(f"SELECT CAST({fo} AS INTEGER) AS fold, {rnd('auc', out_digits)} AS auc, n_pos, n_neg FROM {auc}")
     return c.sql("\nUNION ALL\n".join(outs))
 
 
@@ -709,6 +871,7 @@ ORACLES = {
     "gmm_var_init": sql_gmm_var_init,
     "sparse_variance": sql_sparse_variance,
     "kmeans_lloyd_step": sql_kmeans_lloyd_step,
+    "gmm_kmeans_init": sql_gmm_kmeans_init,
     "gmm_component_logpdf": sql_gmm_component_logpdf,
     "gmm_loglik": sql_gmm_loglik,
     "gmm_loglik_arrow": sql_gmm_loglik,
@@ -736,7 +899,9 @@ ORACLES = {
     "kfold_many_ranges": sql_kfold_contiguous,
     "kfold_shuffled": sql_kfold_shuffled,
     "kfold_normal_only": sql_kfold_normal_only,
+    "fit_end_to_end": sql_fit_end_to_end,
     "fit_end_to_end_small": sql_fit_end_to_end_small,
+    "cv_auc": sql_cv_auc,
     "auc_parity_small": sql_auc_parity_small,
     "fit_parity_small": sql_fit_parity_small,
     "cv_auc_small": sql_cv_auc_small,

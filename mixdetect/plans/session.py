@@ -43,7 +43,7 @@ def delete_folder(spark: SparkSession, folder: str) -> None:
 
 def delete_checkpoint(df: DataFrame) -> None:
     """Delete the files of a checkpointed frame that is not read any more."""
-    file = df._jdf.queryExecution().toRdd().getCheckpointFile()
+    file = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
     if file.isDefined():
         delete_folder(df.sparkSession, file.get())
 

@@ -37,28 +37,27 @@ class SgdResult:
 
 def draw_minibatches(df: DataFrame, spec: MixedSpec, layout: SlotLayout, n: int, max_iterations: int,
                      minibatch_size: int, seed: int, hash_kind: str) -> tuple[DataFrame | None, str | None]:
-    """All minibatches at once: (step, row_id, features.., slot), steps 1..max_iterations-1; and the folder to
-    delete after use, if any.
+    """All minibatches at once: (step, row_id, features.., slot), steps 1..max_iterations-1; and the folder that
+    holds them, to delete after use.
 
-    Where they fit one partition they are checkpointed; otherwise they are
-    written partitioned by step, so that a step reads its own rows only.  A
-    step that draws no row takes the row with the least hash for that step.
+    They are written to the shared checkpoint folder: to one file where they
+    are few, otherwise partitioned by step, so that a step reads its own rows
+    only.  A step that draws no row takes the row with the least hash for it.
     """
     steps = list(range(1, max_iterations))
     if not steps:
         return None, None
+    spark = df.sparkSession
     fraction = minibatch_fraction(n, minibatch_size)
     parts = max(1, math.ceil(fraction * n * len(steps) / ROWS_PER_MB_PARTITION))
-    base = ensure_checkpoint_dir(df.sparkSession).rstrip("/")
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/minibatches-{uuid.uuid4().hex}"
     drawn = minibatches(df, spec, layout.n_slots, steps, fraction, seed, hash_kind)
-    folder = None
     if parts == 1:
-        mb = drawn.repartition(1).checkpoint(eager=True)
+        drawn.repartition(1).write.parquet(folder)
     else:
-        folder = f"{base}/minibatches-{uuid.uuid4().hex}"
         salt = F.pmod(F.xxhash64(spec.row_id), F.lit(math.ceil(parts / len(steps))))
         drawn.repartition(parts, "step", salt).write.partitionBy("step").parquet(folder)
-        mb = df.sparkSession.read.schema(drawn.schema).parquet(folder)
+    mb = spark.read.schema(drawn.schema).parquet(folder)
     counts = {int(r["step"]): int(r["count"]) for r in mb.groupBy("step").count().collect()}  # <= steps rows
     empty = [s for s in steps if not counts.get(s)]
     if empty and n > 0:
@@ -70,8 +69,9 @@ def draw_minibatches(df: DataFrame, spec: MixedSpec, layout: SlotLayout, n: int,
             e = (minibatches(df.where(F.col(spec.row_id) == F.lit(row[f"m{s}"]["id"])).limit(1), spec, layout.n_slots, [s], 1.0,
                              seed, hash_kind))
             extra = e if extra is None else extra.unionByName(e)
-        extra = extra.select(*mb.columns)
-        mb = mb.unionByName(extra).repartition(1).checkpoint(eager=True) if parts == 1 else mb.unionByName(extra.checkpoint(eager=True))
+        extra = extra.repartition(1)
+        (extra.write if parts == 1 else extra.write.partitionBy("step")).mode("append").parquet(folder)
+        mb = spark.read.schema(drawn.schema).parquet(folder)
     return mb, folder
 
 
@@ -85,10 +85,11 @@ def train_sgd(df: DataFrame, spec: MixedSpec, layout: SlotLayout, n: int, start:
     mb, folder = draw_minibatches(df, spec, layout, n, max_iterations, minibatch_size, seed, hash_kind)
     if mb is None:
         return SgdResult(params, history, False)
-    # A cached single-partition copy reports SinglePartition, so each step's
-    # aggregate runs as one stage with no exchange (a lost block is rebuilt
-    # from the checkpoint through a tiny shuffle).
-    cached = mb = mb.repartition(1).persist(StorageLevel.MEMORY_AND_DISK) if folder is None else mb
+    # A cached single-partition copy of few rows reports SinglePartition, so each
+    # step's aggregate runs as one stage with no exchange (a lost block is read again).
+    few = minibatch_fraction(n, minibatch_size) * n * max_iterations <= ROWS_PER_MB_PARTITION
+    if few:
+        mb = mb.repartition(1).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         no_progress = 0
         i = 1
@@ -104,10 +105,9 @@ def train_sgd(df: DataFrame, spec: MixedSpec, layout: SlotLayout, n: int, start:
             params = regularised_update(params, gW, gV, lr, reg, radius)
             i += 1
     finally:
-        if folder is None:
-            cached.unpersist()
-        else:
-            delete_folder(df.sparkSession, folder)
+        if few:
+            mb.unpersist()
+        delete_folder(df.sparkSession, folder)
     return SgdResult(params, history, no_progress >= no_progress_steps)
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .functions.columns import rounded
 from .operators.encode import one_hot_long, profile, profile_frame, slot_layout
 from .operators.evaluate import fold_assignment, kfold_long
-from .operators.gmm import (component_logpdf_exprs, estep, kmeans_means, lloyd_step_frame, sparse_variance, variance_init_frame, with_cont_loglik,
+from .operators.gmm import (component_logpdf_exprs, estep, hashed_kmeans_means, lloyd_step_frame, sparse_variance, variance_init_frame, with_cont_loglik,
                             with_responsibilities, argmax_component)
 from .operators.logistic import gradient, minibatch_fraction, minibatches, with_cat_loglik, with_margins
 from .operators.order_stats import auc_frame
@@ -48,6 +48,7 @@ FOLDS = 5
 DIG = 9  # row-level values from given parameters
 FIT_DIG = 7  # values downstream of fitted parameters (aggregate sums feed them)
 AGG_DIG = 6  # sums over many rows
+SCORE_DIG = 4  # scores of fits that run to convergence
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -232,10 +233,11 @@ def q_kmeans_lloyd_step(spark, sf):
 
 def q_gmm_kmeans_init(spark, sf):
     df, spec, _ = _events(spark, sf)
-    centres = kmeans_means(df, spec, GMM_K, SEED)
+    centres = hashed_kmeans_means(df, spec, GMM_K, SEED, hash_kind="modular")
     rows = [(m, *[float(v) for v in centres[m]]) for m in range(centres.shape[0])]
     schema = "component int, " + ", ".join(f"centre{c} double" for c in range(spec.d))
-    return spark.createDataFrame(rows, schema)
+    return spark.createDataFrame(rows, schema).select("component", *[_r(F.col(f"centre{c}"), AGG_DIG).alias(f"centre{c}")
+                                                                     for c in range(spec.d)])
 
 
 def q_gmm_component_logpdf(spark, sf):
@@ -451,10 +453,13 @@ FIT_PARAMS = DetectorParams(subspace_dimension=LOGISTIC_K, logistic_lambda=LAMBD
                             anomaly_ratio=FLAG_RATIO, seed=SEED)
 
 
+FULL_FIT = FIT_PARAMS.replace(hash_kind="modular")  # the whole default fit, with row choices that SQL can follow
+
+
 def q_fit_end_to_end(spark, sf):
     df = mixed_orders(spark, sf)
-    model = Detector(MIXED_ORDERS_SPEC, FIT_PARAMS).fit(df)
-    return model.transform(df).select("row_id", "label", _r(F.col("score")).alias("score"), "is_anomaly")
+    model = Detector(MIXED_ORDERS_SPEC, FULL_FIT).fit(df)
+    return model.transform(df).select("row_id", "label", _r(F.col("score"), SCORE_DIG).alias("score"), "is_anomaly")
 
 
 SMALL_FIT = FIT_PARAMS.replace(init="given", hash_kind="modular", max_iterations=3, em_max_iter=2,
@@ -494,8 +499,8 @@ def q_cv_auc(spark, sf):
     from .plans.crossval import cross_validate
 
     df = mixed_orders(spark, sf)
-    return cross_validate(df, MIXED_ORDERS_SPEC, FIT_PARAMS,
-                          FOLDS, normal_only=True)
+    t = cross_validate(df, MIXED_ORDERS_SPEC, FULL_FIT, FOLDS, normal_only=True, digits=SCORE_DIG)
+    return t.select("fold", _r(F.col("auc"), SCORE_DIG).alias("auc"), "n_pos", "n_neg")
 
 
 def q_cv_auc_small(spark, sf):
