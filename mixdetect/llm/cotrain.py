@@ -43,6 +43,7 @@ class CoTraining:
     rounds: int = 3
     confident: float = 0.9  # least probability of a pseudo-label
     calibration: int = 5  # every so many labelled rows calibrates and is never fitted
+    little: float = 16.0  # content features at which a text's evidence counts half
     l2: float = 1e-3
     steps: int = 80
     seed: int = 42
@@ -227,8 +228,11 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     # of the views' log-odds, the prior's are counted once
     z = [F.col(f"z{i}") * a + c for i, (a, c) in enumerate(scales)]
     chance = lambda x: 1.0 / (1.0 + F.exp(-x))
-    flagged = features.withColumn("labelled", F.col("y").isNotNull())
-    return (_scored(flagged, models, "doc_id long, labelled boolean")
+    n = F.octet_length("content") / 2
+    flagged = features.select("*", F.col("y").isNotNull().alias("labelled"), (n / (n + p.little)).alias("weight"))
+    # a text of few words says little: its log-odds are drawn towards the prior's
+    z[0] = prior + (z[0] - prior) * F.col("weight")
+    return (_scored(flagged, models, "doc_id long, labelled boolean, weight double")
             .select("doc_id", "labelled", chance(z[0]).alias("text_score"), chance(z[1]).alias("meta_score"),
                     chance(z[0] + z[1] - prior).alias("score"))
             .withColumn("kept", F.col("score") >= threshold))
