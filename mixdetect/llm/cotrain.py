@@ -149,12 +149,18 @@ def _scored(features: DataFrame, models: tuple[Linear, Linear], columns: str) ->
     return features.mapInArrow(run, f"{columns}, z0 double, z1 double")
 
 
-def _labelled_sample(features: DataFrame, p: CoTraining) -> list:
-    out = []
-    for y in (0, 1):
-        out += (features.where(F.col("y") == y).orderBy(F.xxhash64(F.lit(p.seed), "row")).limit(p.max_labelled)
-                .select("row", "y", "content", "meta").collect())
-    return out
+def _labelled_sample(raw: DataFrame, marked: DataFrame, p: CoTraining) -> list:
+    """At most ``max_labelled`` rows a class, in hash order; chosen by row number, then joined to their features."""
+    order = F.xxhash64(F.lit(p.seed), "r")
+    chosen = None
+    for r in marked.groupBy("y").agg(F.count("*").alias("n")).collect():  # two classes
+        some = min(1.0, 2.0 * p.max_labelled / r["n"])  # a hash cut first, so that tasks hand on few rows
+        part = marked.where((F.col("y") == r["y"]) & (F.pmod(order, F.lit(1 << 30)) < int(some * (1 << 30)))).orderBy(order).limit(p.max_labelled)
+        chosen = part if chosen is None else chosen.unionByName(part)
+    if chosen is None:
+        return []
+    return sorted(raw.join(F.broadcast(chosen), F.col("row") == F.col("r")).select("row", "y", "content", "meta").collect(),
+                  key=lambda r: r["row"])
 
 
 def _most_confident(scored: DataFrame, view: int, y: int, p: CoTraining) -> list[int]:
@@ -183,7 +189,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     marked = stored(narrow, "cotrain-labelled")
     features = raw.join(marked.hint("shuffle_hash") if marked.count() > 200_000 else F.broadcast(marked),
                         F.col("row") == F.col("r"), "left").drop("r")
-    sample = _labelled_sample(raw.join(marked, F.col("row") == F.col("r")), p)
+    sample = _labelled_sample(raw, marked, p)
     y = np.array([r["y"] for r in sample], dtype=np.float64)
     if len(sample) < 2 or y.min() == y.max():
         share = float(y.mean()) if len(y) else 0.5
