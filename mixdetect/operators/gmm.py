@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -94,6 +95,23 @@ def matrix(features: pd.Series, d: int) -> np.ndarray:
     return out
 
 
+def feature_frame(df: DataFrame, spec: MixedSpec) -> DataFrame:
+    """The continuous columns alone, as doubles: input of partition-wise Arrow functions."""
+    if spec.cont_array:
+        return df.select(F.col(spec.cont_array).cast("array<double>").alias("features"))
+    return df.select(*[F.col(c).cast("double").alias(c) for c in spec.cont_cols])
+
+
+def batch_matrix(batch: pa.RecordBatch, d: int, is_array: bool) -> np.ndarray:
+    """Rows of a batch of :func:`feature_frame` as an n x d matrix; nulls are NaN."""
+    if not is_array:
+        return np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype(np.float64, copy=False)
+    flat = batch.column(0).flatten()
+    if batch.column(0).null_count == 0 and flat.null_count == 0 and len(flat) == batch.num_rows * d:
+        return flat.to_numpy().reshape(-1, d)
+    return matrix(batch.column(0).to_pandas(), d)
+
+
 def mixture_logpdf(X: np.ndarray, p: GmmParams) -> np.ndarray:
     """n x K weighted component log-densities, in K passes of n x d."""
     const = -0.5 * (p.d * LN_2PI + np.log(p.covars).sum(axis=1))
@@ -180,30 +198,32 @@ def _partial_sums_fn(p: GmmParams, spec: MixedSpec):
     p = p.copy()
     K, d = p.K, p.d
 
-    def fn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    is_array = bool(spec.cont_array)
+
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         acc = np.zeros(2 + K + 2 * K * d)
-        for pdf in batches:
-            if len(pdf) == 0:
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            X = matrix(pdf["features"], d)
+            X = batch_matrix(batch, d, is_array)
             lp = mixture_logpdf(X, p)
             ll = row_loglik(lp)
             R = np.exp(lp - ll[:, None])
-            acc[0] += len(pdf)
+            acc[0] += len(X)
             acc[1] += ll.sum()
             acc[2:2 + K] += R.sum(axis=0)
             for m in range(K):
                 off = X - p.means[m]
                 acc[2 + K + m * d:2 + K + (m + 1) * d] += R[:, m] @ off
                 acc[2 + K + (K + m) * d:2 + K + (K + m + 1) * d] += R[:, m] @ (off * off)
-        yield pd.DataFrame({"i": np.arange(acc.size, dtype=np.int32), "v": acc})
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(acc.size, dtype=np.int32)), pa.array(acc)], ["i", "v"])
 
     return fn
 
 
 def estep_frame_arrow(df: DataFrame, p: GmmParams, spec: MixedSpec) -> DataFrame:
     """Long (i, v) totals: per-partition NumPy partials, then a tiny groupBy."""
-    return (df.select(feature_input(spec)[0].alias("features")).mapInPandas(_partial_sums_fn(p, spec), "i int, v double")
+    return (feature_frame(df, spec).mapInArrow(_partial_sums_fn(p, spec), "i int, v double")
             .groupBy("i").agg(F.sum("v").alias("v")))
 
 
@@ -311,7 +331,7 @@ def hashed_kmeans_means(df: DataFrame, spec: MixedSpec, K: int, seed: int, max_i
     round: some l rows are expected.  Candidates weigh the rows nearest to
     them; the heaviest one is the first seed, and each further seed is the
     candidate with the largest weight x squared distance to the seeds before.
-    Lloyd steps follow until no centre moves by ``tol``; an empty cluster
+    Lloyd steps over the weighted candidates, then over all rows, follow until no centre moves by ``tol``; an empty cluster
     keeps its centre.
     """
     xs = [x.cast("double") for x in spec.cont_exprs()]
@@ -340,7 +360,23 @@ def hashed_kmeans_means(df: DataFrame, spec: MixedSpec, K: int, seed: int, max_i
     for _ in range(1, K):
         gain = weight * np.min([((C - c) ** 2).sum(axis=1) for c in centres], axis=0)
         centres.append(C[np.argmax(gain)])  # with fewer distinct points than K, some are seeds twice
-    return lloyd(df, spec, np.array(centres), max_iter, tol)
+    seeds = _weighted_lloyd(C, weight, np.array(centres), max_iter, tol)
+    return lloyd(df, spec, seeds, max_iter, tol)
+
+
+def _weighted_lloyd(points: np.ndarray, weight: np.ndarray, centres: np.ndarray, max_iter: int, tol: float) -> np.ndarray:
+    """k-means steps over the few weighted candidates: most of the way, without a pass over the rows."""
+    for _ in range(max_iter):
+        at = np.argmin(((points[:, None, :] - centres[None, :, :]) ** 2).sum(axis=2), axis=1)
+        new = centres.copy()
+        for m in range(len(centres)):
+            if weight[at == m].sum() > 0:
+                new[m] = (weight[at == m, None] * points[at == m]).sum(axis=0) / weight[at == m].sum()
+        moved = float(np.sqrt(((new - centres) ** 2).sum(axis=1)).max())
+        centres = new
+        if moved < tol:
+            break
+    return centres
 
 
 def lloyd(df: DataFrame, spec: MixedSpec, centres: np.ndarray, max_iter: int, tol: float) -> np.ndarray:
@@ -355,8 +391,11 @@ def lloyd(df: DataFrame, spec: MixedSpec, centres: np.ndarray, max_iter: int, to
                 if row[f"n{k}"]:
                     new[k] = [row[f"s{k}_{c}"] / row[f"n{k}"] for c in range(d)]
         else:
-            for r in lloyd_step_frame(df, spec, C).collect():  # <= K rows
-                new[int(r["component"])] = [r[f"centre{c}"] for c in range(d)]
+            sums = np.zeros(K * (d + 1))
+            for r in lloyd_sums_arrow_frame(df, spec, C).collect():  # K (d + 1) rows
+                sums[r["i"]] = r["v"]
+            n, shift = sums[:K], sums[K:].reshape(K, d)
+            new[n > 0] += shift[n > 0] / n[n > 0, None]
         moved = float(np.sqrt(((new - C) ** 2).sum(axis=1)).max())
         C = new
         if moved < tol:
@@ -413,6 +452,37 @@ def lloyd_sums_frame(df: DataFrame, spec: MixedSpec, centres: np.ndarray) -> Dat
     return _assigned(df, spec, centres).selectExpr(*aggs)
 
 
+def lloyd_sums_arrow_frame(df: DataFrame, spec: MixedSpec, centres: np.ndarray) -> DataFrame:
+    """Long (i, v): counts of the K clusters, then the sums of their rows' offsets from the centres.
+
+    For many centres or dimensions: the centres are bound by reference, NumPy
+    sums per partition, then a small groupBy.
+    """
+    C, is_array = centres.copy(), bool(spec.cont_array)
+    K, d = C.shape
+
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, shift = np.zeros(K), np.zeros((K, d))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            X = batch_matrix(batch, d, is_array)
+            best, at = np.full(len(X), np.inf), np.zeros(len(X), dtype=np.int64)
+            for m in range(K):
+                dist = np.zeros(len(X))
+                for c in range(d):
+                    dist += (X[:, c] - C[m, c]) * (X[:, c] - C[m, c])
+                closer = dist < best
+                best[closer], at[closer] = dist[closer], m
+            n += np.bincount(at, minlength=K)
+            for c in range(d):
+                shift[:, c] += np.bincount(at, weights=X[:, c] - C[at, c], minlength=K)
+        v = np.concatenate([n, shift.ravel()])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(v), dtype=np.int32)), pa.array(v)], ["i", "v"])
+
+    return feature_frame(df, spec).mapInArrow(fn, "i int, v double").groupBy("i").agg(F.sum("v").alias("v"))
+
+
 def lloyd_step_frame(df: DataFrame, spec: MixedSpec, centres: np.ndarray) -> DataFrame:
     """One k-means step from given centres: assign to the nearest (first on ties), then average."""
     d = centres.shape[1]

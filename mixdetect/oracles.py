@@ -256,13 +256,22 @@ def kmeans_ctes(c: Ctes, K: int, conts: list[str], seed: int, max_iter: int = 10
     state = ", ".join(f"k{m}_{i}" for m, i in cells)
     d = [" + ".join(f"({x} - k{m}_{i}) * ({x} - k{m}_{i})" for i, x in enumerate(conts)) for m in range(K)]
     near_case = " ".join(f"WHEN {' AND '.join(f'd{m} <= d{o}' for o in range(m + 1, K))} THEN {m}" for m in range(K - 1))
-    new = ", ".join(f"coalesce(avg(CASE WHEN a = {m} THEN {conts[i]} END), k{m}_{i}) AS n{m}_{i}" for m, i in cells)
     moved = [f"sqrt({' + '.join(f'(n{m}_{i} - k{m}_{i}) * (n{m}_{i} - k{m}_{i})' for i in range(len(conts)))})" for m in range(K)]
-    c.add(f"{ns}km", f"SELECT 0 AS it, 1.0E300 AS moved, {start} FROM {', '.join(f'{ns}se{m} s{m}' for m in range(K))}\n"
-                     f"UNION ALL SELECT it + 1, greatest({', '.join(moved)}), {', '.join(f'n{m}_{i}' for m, i in cells)} FROM (\n"
-                     f"SELECT it, {state}, {new} FROM (SELECT *, CASE {near_case} ELSE {K - 1} END AS a FROM (\n"
-                     f"SELECT s.*, {xs}, {', '.join(f'{e} AS d{m}' for m, e in enumerate(d))} FROM {ns}km s, {ns}fx\n"
-                     f"WHERE s.moved >= {f(tol)} AND s.it < {max_iter})) GROUP BY it, {state})")
+
+    def steps(name: str, base: str, rows: str, mean: str) -> None:
+        """k-means steps over ``rows`` from the centres of ``base``; ``mean`` is of {x} over the rows where {own}."""
+        new = ", ".join(f"coalesce({mean.format(x=conts[i], own=f'a = {m}')}, k{m}_{i}) AS n{m}_{i}" for m, i in cells)
+        c.add(name, f"SELECT 0 AS it, 1.0E300 AS moved, {base}\n"
+                    f"UNION ALL SELECT it + 1, greatest({', '.join(moved)}), {', '.join(f'n{m}_{i}' for m, i in cells)} FROM (\n"
+                    f"SELECT it, {state}, {new} FROM (SELECT *, CASE {near_case} ELSE {K - 1} END AS a FROM (\n"
+                    f"SELECT s.*, r.*, {', '.join(f'{e} AS d{m}' for m, e in enumerate(d))} FROM {name} s, {rows} r\n"
+                    f"WHERE s.moved >= {f(tol)} AND s.it < {max_iter})) GROUP BY it, {state})")
+
+    steps(f"{ns}kw", f"{start} FROM {', '.join(f'{ns}se{m} s{m}' for m in range(K))}", f"{ns}cw",
+          "sum(CASE WHEN {own} THEN wt * {x} END) / sum(CASE WHEN {own} THEN wt END)")
+    c.add(f"{ns}kwf", f"SELECT {state} FROM {ns}kw ORDER BY it DESC LIMIT 1")
+    c.add(f"{ns}xs", f"SELECT {xs} FROM {ns}fx")
+    steps(f"{ns}km", f"{state} FROM {ns}kwf", f"{ns}xs", "avg(CASE WHEN {own} THEN {x} END)")
     c.add(f"{ns}kmf", f"SELECT {state} FROM {ns}km ORDER BY it DESC LIMIT 1")
     return f"{ns}kmf"
 

@@ -179,6 +179,16 @@ def test_sparse_variance_checks_and_centres(spark):
         sparse_variance(df.union(spark.createDataFrame([(2, 9, 5.0)], df.schema)), 3)
 
 
+def test_lloyd_forms_agree(spark, monkeypatch):
+    import mixdetect.operators.gmm as G
+
+    df = mixed_events(spark, SF_SMALL)
+    start = np.array([[0.1, 0.2, 0.3], [0.5, 0.5, 0.5], [0.9, 0.8, 0.7]])
+    one = G.lloyd(df, MIXED_EVENTS_SPEC, start, 5, -1.0)
+    monkeypatch.setattr(G, "GENERATED_STATS_LIMIT", 0)
+    np.testing.assert_allclose(one, G.lloyd(df, MIXED_EVENTS_SPEC, start, 5, -1.0), rtol=1e-9)
+
+
 def test_kmeans_start_sees_all_rows_and_no_partitions(spark):
     rng = np.random.default_rng(1)
     x = np.concatenate([rng.normal(size=(3000, 2)), rng.normal(size=(12, 2)) + 500])  # a rare far cluster

@@ -66,6 +66,9 @@ def main() -> None:
          estep_frame_arrow(wide_embeddings(spark, sf), given_gmm(3, 64), WIDE_EMBEDDINGS_SPEC)),
         ("Top-k report", model.score(lines).orderBy("score", "row_id").limit(20)),
     ]
+    cell = F.least(F.floor((F.col("score") + 100.0) / 50.0 * 4096), F.lit(4095)).cast("int")
+    sections.append(("Threshold: one narrowing pass counts the cells of a band (map-side combined)",
+                     model.score(lines).groupBy(cell.alias("cell")).agg(F.count("*"), F.min("score"), F.max("score"))))
     orders = mixed_orders(spark, sf)
     folds = fold_assignment(orders.select("row_id", "label"), 5, n_buckets=4)
     sections.append(("k-fold: positions = partition offset + local number, read from the checkpointed "
@@ -78,8 +81,8 @@ def main() -> None:
             fh.write(f"## {title}\n\n```\n{plan_text(df)}\n```\n\n")
         a = auc_frame(model.score(lines), -F.col("score"), "label")
         fh.write("## AUC\n\n`auc_frame` returns a one-row result; its working plan is a `groupBy(score)` "
-                 "(partial + final aggregate), quantile bucket bounds, and a window partitioned by bucket. "
-                 f"Result on this input: `{a.first().asDict()}`.\n")
+                 "(partial + final aggregate), one range exchange of the groups, a sort within partitions, and one row "
+                 f"of sums per partition. Result on this input: `{a.first().asDict()}`.\n")
     spark.stop()
 
 
