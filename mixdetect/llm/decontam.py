@@ -16,9 +16,11 @@ give one of 2k), and only the places that matched are ever exploded to words.
 
 Defined results: a null or empty text is clean; an empty benchmark leaves all
 documents clean; repeated rows are judged alike; items shorter than a window
-are matched by windows of their own length; windows with fewer than
-``min_fixed`` ordinary words (or all of a shorter window's) do not count, as
-slots alone identify nothing; extra columns are kept by ``drop_contaminated``.
+are matched by windows of their own length; benchmark windows with fewer than
+``min_fixed`` ordinary words (or all of a shorter window's) are matched by
+their exact words, slot values included and case aside, as slots alone
+identify nothing (nor do windows without a letter or digit, which do not
+count); extra columns are kept by ``drop_contaminated``.
 """
 
 from __future__ import annotations
@@ -46,6 +48,24 @@ _UNIT = "(?i:" + "|".join(sorted(UNITS, key=lambda u: (-len(u), u))) + ")"
 _NUMBER = r"[0-9]+(?:[.,:/][0-9]+)*"
 
 
+def _spaced(df: DataFrame, text: str) -> DataFrame:
+    """Adds ``__t``: the words of the text with one space before, between and after them."""
+    t = F.col("__t")
+    marked = F.contains(t, F.lit(OPEN)) | F.contains(t, F.lit(CLOSE))
+    df = df.withColumn("__t", F.coalesce(F.col(text), F.lit("")))
+    df = df.withColumn("__t", F.when(marked, F.translate(t, OPEN + CLOSE, "??")).otherwise(t))
+    # only white space that is not a single space already is rewritten
+    df = df.withColumn("__t", F.regexp_replace(t, r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+", " "))
+    return df.withColumn("__t", F.concat(F.lit(" "), F.trim(t), F.lit(" ")))
+
+
+def with_exact(df: DataFrame, text: str, out: str) -> DataFrame:
+    """Adds the text's words, space-joined between two spaces, lower-cased, without outer punctuation (one of punctuation alone stays)."""
+    t = F.col("__t")
+    df = _spaced(df, text).withColumn("__t", F.regexp_replace(t, rf"(?<= ){_PUNCT}++(?=[\p{{L}}\p{{N}}])", ""))
+    return df.withColumn(out, F.lower(F.regexp_replace(t, rf"(?<=[\p{{L}}\p{{N}}]){_PUNCT}++(?= )", ""))).drop("__t")
+
+
 def with_canonical(df: DataFrame, text: str, out: str) -> DataFrame:
     """Adds the text's words, space-joined between two spaces, lower-cased, with slots as OPEN type value CLOSE.
 
@@ -53,12 +73,7 @@ def with_canonical(df: DataFrame, text: str, out: str) -> DataFrame:
     alone is empty).  Each step is a column, so that none is computed twice.
     """
     t = F.col("__t")
-    marked = F.contains(t, F.lit(OPEN)) | F.contains(t, F.lit(CLOSE))
-    df = df.withColumn("__t", F.coalesce(F.col(text), F.lit("")))
-    df = df.withColumn("__t", F.when(marked, F.translate(t, OPEN + CLOSE, "??")).otherwise(t))
-    # only white space that is not a single space already is rewritten
-    df = df.withColumn("__t", F.regexp_replace(t, r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+", " "))
-    df = df.withColumn("__t", F.concat(F.lit(" "), F.trim(t), F.lit(" ")))
+    df = _spaced(df, text)
     # a capitalised word is a name unless it opens the text or a sentence
     df = df.withColumn("__t", F.regexp_replace(t, rf"(?<=[^ .!?:] ){_PUNCT}*+(\p{{Lu}}\p{{L}}*+){_PUNCT}*+(?= )", f"{OPEN}p$1{CLOSE}"))
     n = F.regexp_replace(t, rf"(?<= ){_PUNCT}*({_NUMBER}){_PUNCT}*(?= )", f"{OPEN}n$1{CLOSE}")
@@ -121,41 +136,64 @@ def _prepared(df: DataFrame, text: str, keep: list) -> DataFrame:
     return canon.withColumn("__template", template(_inner("__canon")))
 
 
+def _join_windows(doc_side: DataFrame, bench_win: DataFrame, k: int) -> DataFrame:
+    """Places where windows of k words meet, of documents with a ``__template`` and stored windows of the benchmark."""
+    side = F.broadcast(bench_win) if bench_win.count() <= BROADCAST_WINDOWS else bench_win
+    return (_windows(doc_side, ["__k1", "__k2"], k, "__i").join(side, "__hash")
+            .select("__k1", "__k2", "__item", (F.col("__i") - F.col("__j")).alias("__diag"), "__j", F.lit(k).alias("__len")))
+
+
+def _by_word(found: DataFrame, docs: DataFrame, id_col: str, text_col: str, form, name: str) -> tuple[DataFrame, DataFrame]:
+    """The places word by word (with __i, the document's word), and all words (__doc) of their documents in the given form."""
+    places = stored(found.select("__k1", "__k2", "__item", "__diag",
+                                 F.explode(F.sequence(F.col("__j"), F.col("__j") + F.col("__len") - 1)).alias("__j")).distinct(),
+                    f"decontam-{name}places")
+    hit_docs = stored(places.select("__k1", "__k2").distinct(), f"decontam-{name}docs")
+    doc_words = (matching(docs.withColumns({f"__k{i + 1}": c for i, c in enumerate(_keys(id_col, text_col))}), hit_docs)
+                 .select("__k1", "__k2", F.col(text_col).alias("__text")).dropDuplicates(["__k1", "__k2"])
+                 .transform(form, "__text", "__form")
+                 .select("__k1", "__k2", F.posexplode(_split(F.col("__form"))).alias("__i", "__doc")))
+    return places.withColumn("__i", (F.col("__diag") + F.col("__j")).cast("int")), doc_words
+
+
 def matches(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
             item_text_col: str = "text", window: int = WINDOW, min_words: int = MIN_WORDS, min_fixed: int = MIN_FIXED) -> DataFrame:
     """(__k1, __k2, item_id, covered): contaminated documents by key, with each item and its consistent words."""
     items = stored(bench.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("__text"))
                    .select("item_id", F.xxhash64(F.lit(1), "item_id", "__text").alias("__item"), "__text").dropDuplicates(["__item"])
                    .transform(with_canonical, "__text", "__canon").withColumn("__words", _split(F.col("__canon")))
-                   .select("item_id", "__item", "__canon", "__words", F.size("__words").alias("n_words"))
+                   .transform(with_exact, "__text", "__exact")
+                   .select("item_id", "__item", "__canon", "__exact", "__words", F.size("__words").alias("n_words"))
                    .where("n_words > 0"), "decontam-items")
     item_words = items.select("item_id", "__item", "n_words", F.posexplode("__words").alias("__j", "__bench"))
     sizes = [r["k"] for r in items.select(F.least("n_words", F.lit(window)).alias("k")).distinct().collect()]  # at most `window` values
     prepared = _prepared(docs, text_col, _keys(id_col, text_col))
+    verbatim = (docs.select(*_keys(id_col, text_col), F.col(text_col).alias("__text")).transform(with_exact, "__text", "__exact")
+                .withColumn("__template", _inner("__exact")))
     fixed = F.size(F.filter(F.col("__part"), lambda w: ~F.startswith(w, F.lit(OPEN)) & (w != "")))
-    found = None
+    written = F.exists(F.slice(_split(F.col("__exact")), F.col("__j") + 1, F.size("__part")), lambda w: w.rlike(r"[\p{L}\p{N}]"))
+    found = same = None
     for k in sorted(sizes):
         of_size = items.where((F.col("n_words") >= k) if k == window else (F.col("n_words") == k))
-        bench_win = (_windows(of_size.withColumn("__template", template(_inner("__canon"))), ["__item", "__words"], k, "__j")
-                     .withColumn("__part", F.slice("__words", F.col("__j") + 1, F.lit(k)))
-                     .where(fixed >= min(min_fixed, k)).select("__item", "__j", "__hash"))
-        bench_win = stored(bench_win, f"decontam-windows-{k}")
-        side = F.broadcast(bench_win) if bench_win.count() <= BROADCAST_WINDOWS else bench_win
-        hits = (_windows(prepared, ["__k1", "__k2"], k, "__i").join(side, "__hash")
-                .select("__k1", "__k2", "__item", (F.col("__i") - F.col("__j")).alias("__diag"), "__j", F.lit(k).alias("__len")))
+
+        def bench_windows(form: Column, of_size: DataFrame = of_size, k: int = k) -> DataFrame:
+            return (_windows(of_size.withColumn("__template", form), ["__item", "__words", "__exact"], k, "__j")
+                    .withColumn("__part", F.slice("__words", F.col("__j") + 1, F.lit(k))))
+
+        bench_win = stored(bench_windows(template(_inner("__canon"))).where(fixed >= min(min_fixed, k))
+                           .select("__item", "__j", "__hash"), f"decontam-windows-{k}")
+        hits = _join_windows(prepared, bench_win, k)
         found = hits if found is None else found.unionByName(hits)
+        # windows of too few ordinary words: the same words, slot values included
+        exact_win = stored(bench_windows(_inner("__exact")).where((fixed < min(min_fixed, k)) & written)
+                           .select("__item", "__j", "__hash"), f"decontam-exact-windows-{k}")
+        if exact_win.count():
+            hits = _join_windows(verbatim, exact_win, k)
+            same = hits if same is None else same.unionByName(hits)
     if found is None:
         return docs.sparkSession.createDataFrame([], "__k1 long, __k2 long, item_id long, covered long")
     # places that matched, word by word
-    places = stored(found.select("__k1", "__k2", "__item", "__diag",
-                                 F.explode(F.sequence(F.col("__j"), F.col("__j") + F.col("__len") - 1)).alias("__j")).distinct(),
-                    "decontam-places")
-    hit_docs = stored(places.select("__k1", "__k2").distinct(), "decontam-docs")
-    doc_words = (matching(docs.withColumns({f"__k{i + 1}": c for i, c in enumerate(_keys(id_col, text_col))}), hit_docs)
-                 .select("__k1", "__k2", F.col(text_col).alias("__text")).dropDuplicates(["__k1", "__k2"])
-                 .transform(with_canonical, "__text", "__canon")
-                 .select("__k1", "__k2", F.posexplode(_split(F.col("__canon"))).alias("__i", "__doc")))
-    place = places.withColumn("__i", (F.col("__diag") + F.col("__j")).cast("int"))
+    place, doc_words = _by_word(found, docs, id_col, text_col, with_canonical, "")
     pairs = (place.join(doc_words, ["__k1", "__k2", "__i"])
              .join(item_words, ["__item", "__j"])
              .where(template(F.col("__doc")) == template(F.col("__bench"))))
@@ -169,6 +207,11 @@ def matches(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col:
                                       & (F.min("__bench").over(doc_side) == F.max("__bench").over(doc_side))).alias("__ok"))
     good = (pairs.where(~slot).select(*on, "item_id", "n_words", "__j")
             .unionByName(slots.where("__ok").drop("__ok")))
+    if same is not None:
+        place, doc_words = _by_word(same, docs, id_col, text_col, with_exact, "exact-")
+        exact_words = items.select("__item", "item_id", "n_words", F.posexplode(_split(F.col("__exact"))).alias("__j", "__bench"))
+        good = good.unionByName(place.join(doc_words, ["__k1", "__k2", "__i"]).join(exact_words, ["__item", "__j"])
+                                .where("__doc = __bench").select(*on, "item_id", "n_words", "__j"))
     return (good.select("__k1", "__k2", "__item", "item_id", "n_words", "__j").distinct()
             .groupBy("__k1", "__k2", "__item", "item_id", "n_words").agg(F.count("*").alias("covered"))
             .where(F.col("covered") >= F.least(F.col("n_words"), F.lit(min_words)))

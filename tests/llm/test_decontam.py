@@ -84,6 +84,17 @@ def test_short_items_and_empty_tables(frame, bench, prose):
     assert decontam.drop_contaminated(frame([]), bench([])).count() == 0
 
 
+def test_slot_heavy_items_by_their_exact_words(frame, bench, prose):
+    items = ["Compute the sum 12 + 35 + 47 + 58 + 61 + 73 + 84 + 96 + 105 + 116 + 127 .",
+             "What Is The Boiling Point Of Pure Water At Sea Level When Measured In Degrees Celsius And Kelvin",
+             "PARIS LONDON BERLIN", "| --- | --- | --- | --- | --- | --- | --- | --- |"]
+    other = items[0].replace("35", "36").replace("61", "62").replace("84", "85").replace("116", "117")
+    rows = [f"{prose(20)} {items[0]} {prose(20)}", f"{prose(20)} {items[1].lower()}, {prose(20)}", items[1].upper() + "?",
+            f"({items[2].title()}) {prose(9)}", other, items[0].replace("+", "-"), items[3], prose(40)]
+    got = found(decontam.contamination(frame(rows), bench(items)))
+    assert [got[k][2] for k in range(len(rows))] == [0, 1, 1, 2, None, None, None, None]
+
+
 def test_wide_tables_take_the_same_way(frame, bench, prose, monkeypatch):
     rng = random.Random(4)
     items = [prose(rng.randint(10, 40)) for _ in range(12)]
