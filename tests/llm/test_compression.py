@@ -46,6 +46,22 @@ def test_bands(frame, prose):
     assert sorted(r.doc_id for r in left.collect()) == list(range(7)) and left.columns == frame([]).columns
 
 
+def noise_words(rng, n, kind):
+    word = {"base64": lambda: base64.b64encode(rng.randbytes(9)).decode(),
+            "printable": lambda: "".join(chr(rng.randrange(33, 127)) for _ in range(9))}[kind]
+    return " ".join(word() for _ in range(n // 10 + 1))[:n]
+
+
+def test_noise_of_each_short_band(frame, prose):
+    rng = random.Random(6)
+    sizes = [140, 160, 161, 200, 230, 256, 257, 320, 321, 400, 401, 512, 513, 800, 1024]
+    rows = [noise_words(rng, n, kind) for n in sizes for kind in ("base64", "printable")]
+    clean = [prose(400).encode()[:n].decode(errors="ignore") for n in sizes]
+    out = {r.doc_id: r for r in compression.score(frame(rows + clean)).collect()}
+    assert not any(r.base_failed for r in out.values())
+    assert [out[k].kept for k in range(len(out))] == [False] * len(rows) + [True] * len(clean)
+
+
 def test_repeat_words_both_encodings():
     rng = random.Random(5)
     for size in (5, 300, 9000):
