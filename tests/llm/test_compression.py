@@ -62,6 +62,25 @@ def test_noise_of_each_short_band(frame, prose):
     assert [out[k].kept for k in range(len(out))] == [False] * len(rows) + [True] * len(clean)
 
 
+def test_long_texts_that_are_partly_noise_or_template(frame, prose):
+    rng = random.Random(8)
+    fill = {"noise": lambda n: noise_words(rng, n, "base64"),
+            "template": lambda n: " ".join(f"buy cheap pills {rng.randrange(10 ** 6)} now" for _ in range(n // 20))}
+
+    def mixed(size, share, kind):
+        words = prose(size // 4).split()
+        clean, at = " ".join(words).encode()[:int(size * (1 - share))].decode(errors="ignore"), rng.randrange(size // 3)
+        return f"{clean[:at]} {fill[kind](int(size * share))} {clean[at:]}"
+
+    cases = [(size, share, kind) for size in (10_240, 20_480, 60_000) for share in (0.2, 0.3, 0.45) for kind in fill]
+    cases += [(300_000, 0.03, kind) for kind in fill]
+    rows = [mixed(*c) for c in cases] + [prose(size // 6) for size in (10_240, 20_480, 60_000, 300_000)]
+    out = {r.doc_id: r for r in compression.score(frame(rows)).collect()}
+    assert not any(r.base_failed for r in out.values())
+    assert [c for k, c in enumerate(cases) if out[k].kept] == []
+    assert all(out[k].kept for k in range(len(cases), len(rows)))
+
+
 def test_repeat_words_both_encodings():
     rng = random.Random(5)
     for size in (5, 300, 9000):
