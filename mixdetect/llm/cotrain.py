@@ -4,11 +4,14 @@ One classifier sees the content of a text (hashed words and word shapes), the
 other its metadata (source, language, length).  Both start from a bounded
 sample of labelled rows.  In each round every unlabelled document is scored by
 both; the documents about which one view is most confident become training
-rows of the other.  At the end each view is calibrated on labelled rows that
+rows of the other: one of each distinct feature set, none that the other view
+has already or that equals a labelled row of the sample, and from all cells of
+equal metadata in turn, so that neither copies nor a large cell fill the
+exchange and every round hands over new rows.  At the end each view is calibrated on labelled rows that
 no fit has seen, the calibrated views are combined, and all documents scored.
 
-Features are written once; a round is one pass over them without a shuffle,
-plus a top-k.  On the driver are only the labelled sample (``max_labelled``
+Features are written once; a round is one pass over them, a shuffle of numbers
+(hashes and logits) to distinct feature sets, and a top-k of each cell.  On the driver are only the labelled sample (``max_labelled``
 rows a class), the exchanged rows (``exchange`` a class, view and round) and
 two weight vectors of fixed size.
 
@@ -28,7 +31,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -159,14 +162,19 @@ def _labelled_sample(raw: DataFrame, marked: DataFrame, p: CoTraining) -> list:
         chosen = part if chosen is None else chosen.unionByName(part)
     if chosen is None:
         return []
-    return sorted(raw.join(F.broadcast(chosen), F.col("row") == F.col("r")).select("row", "y", "content", "meta").collect(),
+    return sorted(raw.join(F.broadcast(chosen), F.col("row") == F.col("r")).select("row", "y", "content", "meta", "same").collect(),
                   key=lambda r: r["row"])
 
 
-def _most_confident(scored: DataFrame, view: int, y: int, p: CoTraining) -> list[int]:
+def _most_confident(scored: DataFrame, view: int, y: int, taken: DataFrame, p: CoTraining) -> list[Row]:
+    """(row, same) of the best of each cell, then the second of each, and so on; ``taken`` has the feature sets left out."""
     z = F.col(f"z{view}") if y else -F.col(f"z{view}")
     least = float(np.log(p.confident / (1 - p.confident)))
-    return [r["row"] for r in scored.where(z >= least).orderBy(z.desc(), F.xxhash64("row")).limit(p.exchange).select("row").collect()]
+    order = [z.desc(), F.xxhash64("row")]
+    # a place limit on a row number cuts each task's rows before the shuffle, so a large cell is no large task
+    best = (scored.where(z >= least).join(F.broadcast(taken), "same", "left_anti")
+            .withColumn("place", F.row_number().over(Window.partitionBy("cell").orderBy(*order))).where(F.col("place") <= p.exchange))
+    return best.orderBy("place", *order).limit(p.exchange).select("row", "same").collect()
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
@@ -184,7 +192,8 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
              .agg(F.min(label_col).alias("y"), F.max(label_col).alias("__most")).where("y = __most and id is not null").select("id", "y"))
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"),
                        F.col(text_col).alias("text"), metadata_features(docs, list(metadata)).alias("meta"))
-    raw = stored(rows.mapInArrow(extract, "row long, doc_id long, content binary, meta array<long>"), "cotrain-features")
+    found = rows.mapInArrow(extract, "row long, doc_id long, content binary, meta array<long>")
+    raw = stored(found.withColumns({"cell": F.xxhash64("meta"), "same": F.xxhash64("content", "meta")}), "cotrain-features")
     narrow = raw.select("row", "doc_id").join(known, F.col("doc_id") == F.col("id")).select(F.col("row").alias("r"), "y")
     marked = stored(narrow, "cotrain-labelled")
     features = raw.join(marked.hint("shuffle_hash") if marked.count() > 200_000 else F.broadcast(marked),
@@ -201,20 +210,22 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     views = [[np.frombuffer(bytes(r["content"]), dtype="<u2") for r in sample], [np.array(r["meta"], dtype=np.int64) for r in sample]]
     fitted = np.flatnonzero(~held)
     training = [([v[k] for k in fitted], list(y[fitted]), [1.0] * len(fitted)) for v in views]
-    used: list[set[int]] = [set(), set()]
+    used = [{r["same"] for r in sample} for _ in views]
 
     def fit_views() -> tuple[Linear, Linear]:
         return tuple(fit(t[0], np.array(t[1]), np.array(t[2]), p) for t in training)
 
     models = fit_views()
     for _ in range(p.rounds):
-        scored = stored(_scored(features.where("y is null"), models, "row long"), "cotrain-round")
+        scored = stored(_scored(features.where("y is null"), models, "row long, cell long, same long").groupBy("same").agg(
+            F.min("row").alias("row"), *[F.first(c).alias(c) for c in ("cell", "z0", "z1")]), "cotrain-round")
         moved: list[dict[int, float]] = [{}, {}]
         for teacher in (0, 1):
+            taken = raw.sparkSession.createDataFrame([(k,) for k in used[1 - teacher]], "same long")
             for label in (0, 1):
-                for row in _most_confident(scored, teacher, label, p):
-                    if row not in used[1 - teacher]:
-                        moved[1 - teacher][row] = float(label)
+                for r in _most_confident(scored, teacher, label, taken, p):
+                    moved[1 - teacher][r["row"]] = float(label)
+                    used[1 - teacher].add(r["same"])
         asked = sorted(set(moved[0]) | set(moved[1]))
         if not asked:
             break
@@ -223,7 +234,6 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             own = (np.frombuffer(bytes(r["content"]), dtype="<u2"), np.array(r["meta"], dtype=np.int64))
             for pupil in (0, 1):
                 if r["row"] in moved[pupil]:
-                    used[pupil].add(r["row"])
                     for into, value in zip(training[pupil], (own[pupil], moved[pupil][r["row"]], 0.5), strict=True):
                         into.append(value)
         models = fit_views()

@@ -50,6 +50,32 @@ def test_learns_and_views_teach_each_other(corpus):
     assert np.allclose(out.sort_values("doc_id").score, again.sort_values("doc_id").score)
 
 
+def test_copies_and_a_large_cell_leave_room_for_others(spark, monkeypatch):
+    rng = random.Random(3)
+
+    def text(y):
+        return " ".join(f"{'gb'[1 - y]}{rng.randrange(40)}" for _ in range(20))
+
+    rows = [(k, text(k % 2), "en", f"{k % 2}s{k % 6}", 100) for k in range(160)]
+    rows += [(1000 + k, " ".join(f"g{j}" for j in range(40)), "en", "1s1", 100) for k in range(300)]  # copies
+    rows += [(2000 + k, text(1), "en", "1s3", 100) for k in range(300)]  # a large cell
+    rows += [(3000 + k, text(k % 2), "en", f"{k % 2}s{k % 6}", 100) for k in range(180)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    fitted, fit = [], cotrain.fit
+    monkeypatch.setattr(cotrain, "fit", lambda x, y, w, p: fitted.append(([r.tobytes() for r in x], list(y), list(w))) or fit(x, y, w, p))
+    p = cotrain.CoTraining(exchange=20, rounds=3, confident=0.55)
+    cotrain.score(docs, spark.createDataFrame([(k, k % 2, 0) for k in range(160)], LABELS), params=p).collect()
+    sizes = [[sum(w == 0.5 for w in call[2]) for call in fitted[view::2]] for view in (0, 1)]
+    assert sizes == [[0, 40, 80, 120]] * 2
+    text_rows, y, w = fitted[-2]
+    handed = [x for x, weight in zip(text_rows, w) if weight == 0.5]
+    assert len(set(handed)) == len(handed)
+    cells, y, w = fitted[-1]
+    good = [x for x, label, weight in zip(cells, y, w) if weight == 0.5 and label]
+    # 20 a round over three cells: six or seven of each
+    assert len(set(good)) == 3 and all(18 <= good.count(x) <= 21 for x in set(good))
+
+
 def test_odd_rows(spark, frame, prose):
     rows = [(k, f"{'good' if k % 2 else 'bad!!'} {prose(10)}", f"s{k % 2}") for k in range(60)]
     rows += [(100, None, None), (101, "", "s1"), (None, "good good", "s1"), (7, "good again", "s1"), (102, "x " * 200_000, "s0")]
