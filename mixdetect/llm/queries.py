@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import compression, cotrain, decontam, hmm, langid, lengths, mixing, repeats, simhash, warc
+from . import compression, cotrain, decontam, hmm, langid, lengths, mixing, pieces, repeats, simhash, warc
 from .common import documents
 
 
@@ -57,6 +57,11 @@ def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet")).drop("archive", "offset")
 
 
+def op11_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(documents(spark, sf_dir))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_hmm_scores, op2_token_lengths, op3_simhash_dedup, op4_compression_bands, op5_suffix_repeats,
-    op6_template_decontamination, op7_language_evidence, op8_water_filling, op9_co_training, op10_warc_round_trip)}
+    op6_template_decontamination, op7_language_evidence, op8_water_filling, op9_co_training, op10_warc_round_trip,
+    op11_sentence_pieces)}
