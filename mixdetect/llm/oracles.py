@@ -105,4 +105,28 @@ SELECT s.id AS doc_id, f.doc IS NOT NULL AS contaminated, CAST(COALESCE(n_items,
 FROM sides s LEFT JOIN found f ON s.rid = f.doc WHERE s.side = 'd'
 """.replace("{number}", "[0-9]+(?:[.,:/][0-9]+)*").replace("{unit}", _UNIT)
 
-ORACLES = {"op6_template_decontamination": OP6, "op8_water_filling": OP8}
+#: All scores of the anchors, without lists or thresholds.
+OP12 = r"""
+WITH vecs AS (
+  SELECT DISTINCT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.id AS anchor_id, r.id, a.label = r.label AS same,
+         CAST(list_sum(list_transform(list_zip(a.v, r.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM vecs a JOIN vecs r ON a.id <> r.id WHERE a.id % 100 = 0
+), positives AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY ROW_NUMBER() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+)
+SELECT p.anchor_id, p.positive_id,
+       CAST(ROW_NUMBER() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.id) AS INTEGER) AS rank,
+       s.id AS negative_id, p.positive_score, s.score AS negative_score
+FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT s.same
+  AND 80 * p.positive_score <= 100 * s.score AND 100 * s.score <= 100 * p.positive_score
+QUALIFY rank <= 5
+"""
+
+ORACLES = {"op6_template_decontamination": OP6, "op8_water_filling": OP8, "op12_hard_negatives": OP12}
