@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import compression, cotrain, decontam, hmm, langid, lengths, mixing, negatives, pieces, repeats, simhash, warc
+from . import align, compression, cotrain, decontam, hmm, langid, lengths, mixing, negatives, pieces, repeats, simhash, warc
 from .common import documents
 
 
@@ -67,7 +67,11 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("id") % 100 == 0, moved)
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.link_digests(documents(spark, sf_dir))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_hmm_scores, op2_token_lengths, op3_simhash_dedup, op4_compression_bands, op5_suffix_repeats,
     op6_template_decontamination, op7_language_evidence, op8_water_filling, op9_co_training, op10_warc_round_trip,
-    op11_sentence_pieces, op12_hard_negatives)}
+    op11_sentence_pieces, op12_hard_negatives, op13_token_alignment)}
