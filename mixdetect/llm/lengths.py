@@ -12,7 +12,9 @@ broadcast (a vocabulary of under ``MAX_VOCABULARY_BYTES``, checked).
 Defined results: a null or empty text has length 0 and counts; repeated rows
 count each; an empty table gives an empty histogram; extra columns are
 ignored.  A text is encoded in pieces cut before white space, where the
-pre-tokenizer always cuts, so a very long text needs little memory.
+pre-tokenizer always cuts, so a very long text needs little memory; a run of
+white space of any length is merged as one pre-token, apart from its last
+character, which goes with what follows.
 """
 
 from __future__ import annotations
@@ -36,7 +38,13 @@ PIECE = 1_000_000
 #: Lengths per block of the two-level suffix sums.
 BLOCK = 1024
 
-_CUT = re.compile(r"(?<=\S)(?=\s)")
+#: Fixed value: the characters that the pattern takes as white space.
+SPACE = "\\t-\\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Characters of white space from which a run is not given to the pattern, which looks back over all of it.
+RUN = 10_000
+
+_CUT = re.compile(f"(?<=[^{SPACE}])(?=[{SPACE}])")
+_LONG_RUN = re.compile(f"[{SPACE}]{{{RUN},}}")
 
 
 @functools.lru_cache(maxsize=2)
@@ -61,7 +69,19 @@ def pieces(text: str, size: int = PIECE):
 
 
 def encoded_length(text: str | None, enc) -> int:
-    return sum(len(enc.encode_ordinary(p)) for p in pieces(text)) if text else 0
+    if not text:
+        return 0
+    n = start = 0
+    for run in _LONG_RUN.finditer(text):
+        # the pattern's own cut: all but the last character, or all at the end of the text
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        n += _ordinary(text[start:run.start()], enc) + len(enc._encode_single_piece(text[run.start():end].encode()))
+        start = end
+    return n + _ordinary(text[start:], enc)
+
+
+def _ordinary(text: str, enc) -> int:
+    return sum(len(enc.encode_ordinary(p)) for p in pieces(text))
 
 
 def with_lengths(docs: DataFrame, text_col: str = "text", tokenizer: str = TOKENIZER, name: str = "n_tokens") -> DataFrame:

@@ -38,3 +38,26 @@ def test_pieces_change_nothing(enc):
 def test_empty(frame):
     table = lengths.length_table(frame([]))
     assert table.count() == 0 and lengths.truncated_totals(table, [5]).collect()[0].truncated_total == 0
+
+
+def test_long_runs_of_white_space_and_letters(enc, monkeypatch):
+    for run in (" ", "\n", "\t", " \n", "\u3000"):
+        for before, after in (("", ""), ("prose, ", "more"), ("x", " y z"), ("12", "\x1c!")):
+            text = before + run * 300 + after
+            want = len(enc.encode_ordinary(text))
+            monkeypatch.setattr(lengths, "_LONG_RUN", lengths.re.compile(f"[{lengths.SPACE}]{{20,}}"))
+            assert lengths.encoded_length(text, enc) == want
+            monkeypatch.undo()
+    assert lengths.encoded_length("so " + " " * 5_000_000 + "much", enc) == 5_000_000 + 2  # this vocabulary has no longer token of spaces
+    assert lengths.encoded_length("\n" * 5_000_000, enc) == 2_500_000
+    assert lengths.encoded_length("a" * 5_000_000, enc) == len(enc.encode_ordinary("a" * 5_000_000))
+
+
+def test_separators_that_only_python_takes_as_white_space(enc):
+    text = "!\x1c!\x1d " * 50
+    assert sum(len(enc.encode_ordinary(p)) for p in lengths.pieces(text, 3)) == len(enc.encode_ordinary(text))
+
+
+def test_table_with_megabytes_of_white_space(frame):
+    rows = [" " * 1_200_000, "word" + "\n" * 1_200_000 + "word", "short"]
+    assert {r.length: r.n_docs for r in lengths.length_table(frame(rows)).collect()} == {1_200_000: 1, 600_003: 1, 1: 1}
