@@ -17,8 +17,10 @@ of all pages is no hot key.
 Defined results: a page without text, declaration or address falls back on
 what it has, at last on the overall prior; null values are evidence of their
 own kind ("none declared"), not errors; repeated rows count each; an empty
-table gives an empty result, and without any labelled document the fit fails
-with a ValueError; extra columns are ignored.
+table gives an empty result; without any labelled document there is no
+language to choose, and every page's language is null; a page whose text has
+no trigram has no ``text_lang``; extra columns are ignored.  Languages beyond
+the ``max_languages`` with most documents form one class, ``OTHER``.
 """
 
 from __future__ import annotations
@@ -37,6 +39,8 @@ from .common import join_by_key, stored
 
 BINS_LOG2 = 15
 MAX_LANGUAGES = 200
+#: Class of the documents in all other languages.
+OTHER = "other"
 #: Trigrams hashed at once.
 BLOCK = 4_000_000
 
@@ -73,9 +77,18 @@ def visible(html: str | None) -> str:
     return _INVISIBLE.sub(" ", html or "")
 
 
-def fit_text(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> TextModel:
-    """Trigram models of all languages in ``lang_col``, from all documents."""
-    labelled = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+def fit_text(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_languages: int = MAX_LANGUAGES) -> TextModel:
+    """Trigram models of the languages in ``lang_col``, from all documents."""
+    sizes = docs.where(F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n"))
+    names = [r["lang"] for r in sizes.orderBy(F.desc("n"), "lang").limit(max_languages + 1).collect()]
+    if not names:
+        return TextModel((), np.zeros((1 << BINS_LOG2, 0), dtype=np.float32))
+    lang = F.col(lang_col).cast("string")
+    if len(names) > max_languages:
+        names = [*[n for n in names[:max_languages - 1] if n != OTHER], OTHER]
+        lang = F.when(lang.isin(names), lang).otherwise(F.lit(OTHER))
+    names = tuple(sorted(names))
+    labelled = docs.where(F.col(lang_col).isNotNull()).select(lang.alias("lang"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -92,14 +105,10 @@ def fit_text(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
 
     counts = labelled.mapInArrow(run, "lang string, bin long, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n"))
     counts = stored(counts, "langid-trigrams")
-    names = tuple(sorted(r["lang"] for r in counts.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect()))
-    if not names or len(names) > MAX_LANGUAGES:
-        raise ValueError(f"between 1 and {MAX_LANGUAGES} languages are needed, the labels have "
-                         f"{'none' if not names else 'more'}")
     at = {name: k for k, name in enumerate(names)}
     table = np.full((1 << BINS_LOG2, len(names)), 0.5)
-    for r in counts.collect():  # at most bins x languages rows
-        table[r["bin"], at[r["lang"]]] += r["n"]
+    found = counts.toArrow()  # at most bins x max_languages rows
+    table[found.column("bin").to_numpy(), [at[x] for x in found.column("lang").to_pylist()]] += found.column("n").to_numpy()
     return TextModel(names, np.log(table / table.sum(axis=0)).astype(np.float32))
 
 
@@ -134,6 +143,9 @@ def rows_of_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def fuse(rows: DataFrame, model: TextModel, evidence: Evidence = Evidence()) -> DataFrame:
     """id, host, declared, text_lang, lang, confidence (posterior of lang), and p_<language> for each language."""
     k = range(len(model.languages))
+    if not model.languages:
+        none = F.lit(None).cast("string")
+        return rows.select("id", "host", "declared", none.alias("text_lang"), none.alias("lang"), F.lit(None).cast("double").alias("confidence"))
     shared = rows.sparkSession.sparkContext.broadcast(model)
     cap = evidence.text_cap
 
@@ -187,6 +199,6 @@ def fuse(rows: DataFrame, model: TextModel, evidence: Evidence = Evidence()) ->
             out = F.when(cols[i] == top, model.languages[i]).otherwise(out)
         return out
 
-    return scored.select("id", "host", "declared", first_of([F.col("ll")[i] for i in k], F.array_max("ll")).alias("text_lang"),
+    return scored.select("id", "host", "declared", F.when(F.array_min("ll") < 0, first_of([F.col("ll")[i] for i in k], F.array_max("ll"))).alias("text_lang"),
                          first_of([F.col(f"z{i}") for i in k], F.col("__best")).alias("lang"), (1.0 / norm).alias("confidence"),
                          *[(weight[i] / norm).alias(f"p_{model.languages[i]}") for i in k])

@@ -101,8 +101,23 @@ def test_documents_and_empty(spark, frame, pages, model):
     got = {r.id: r.lang for r in langid.fuse(langid.rows_of_texts(docs), model).collect()}
     assert len(got) == 12 and got[50] == "de" and all(got[k] == "de" for k in range(10))
     assert langid.fuse(langid.rows_of_pages(pages([])), model).count() == 0
-    with pytest.raises(ValueError, match="none"):
-        langid.fit_text(spark.createDataFrame([("x", None)], "text string, lang string"))
+    nothing = langid.fit_text(spark.createDataFrame([("x", None)], "text string, lang string"))
+    assert nothing.languages == ()
+    assert [(r.id, r.lang, r.confidence) for r in langid.fuse(langid.rows_of_pages(pages([(1, "http://a.b", "x")])), nothing).collect()] == [(1, None, None)]
+
+
+def test_more_languages_than_the_limit(spark, pages):
+    rng = random.Random(6)
+    rows = [(text(lang, 40, rng), lang) for lang in LANGS for _ in range(9)] + [(f"zq{k} xw{k} " * 9, f"tag{k}") for k in range(250)]
+    model = langid.fit_text(spark.createDataFrame(rows, "text string, lang string"), max_languages=4)
+    assert model.languages == ("de", "en", "fr", langid.OTHER)
+    got = {r.id: r.lang for r in langid.fuse(langid.rows_of_pages(pages([(1, None, text("de", 40, rng)), (2, None, "zq7 xw7 " * 20)])), model).collect()}
+    assert got == {1: "de", 2: langid.OTHER}
+
+
+def test_text_without_a_trigram_has_no_text_language(pages, model):
+    got = {r.id: r.text_lang for r in langid.fuse(langid.rows_of_pages(pages([(1, None, ""), (2, None, None), (3, None, "der die das und")])), model).collect()}
+    assert got[1] is None and got[2] is None and got[3] == "de"
 
 
 def test_held_out_accuracy(spark):
