@@ -19,6 +19,8 @@ gives an empty mix, extra columns are ignored by ``mix`` and kept by
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -114,7 +116,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
                                  .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     edge = joined.where(F.col("__bucket") == F.col("__edge")).withColumn("__run", running).withColumn(
         "copies", F.col("__whole") + (F.col("__run") - F.col("size") / 2 <= F.col("__left")).cast("int")).drop("__run")
-    limit = F.lit(int(max_epochs))
+    limit = F.lit(math.ceil(max_epochs))  # the target itself bounds the source's words
     return below.unionByName(edge).withColumn("copies", F.least(F.col("copies"), limit)).select(
         "doc_id", "source", "size", "source_size", "weight", "target", "copies",
         (F.col("copies") * F.col("size")).cast("long").alias("taken"))

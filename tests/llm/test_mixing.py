@@ -54,3 +54,11 @@ def test_empty_and_mixed_rows(frame, clashing):
     assert mixed.columns == docs.columns
     total = mixing.mix(docs).agg(F.sum("copies").alias("n")).first()["n"]
     assert mixed.count() == total
+
+
+def test_fractional_caps(frame):
+    rows = [(k, "one two three four five", "small") for k in range(200)] + [(1000 + k, "word " * 5, "large") for k in range(4000)]
+    for cap in (0.5, 2.5):
+        got = mixing.mix(frame(rows), max_epochs=cap, weight_cycle=(1.0, 30.0)).collect()
+        small = [r for r in got if r.source == "small"]
+        assert small[0].target == cap * 1000 and abs(sum(r.taken for r in small) - cap * 1000) <= 5
