@@ -129,4 +129,17 @@ FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT s.same
 QUALIFY rank <= 5
 """
 
-ORACLES = {"op6_template_decontamination": OP6, "op8_water_filling": OP8, "op12_hard_negatives": OP12}
+#: Equal payloads by their digest.
+OP10 = r"""
+WITH payloads AS (
+  SELECT page_id, CAST(strlen(COALESCE(html, '')) AS BIGINT) AS payload_bytes, sha1(COALESCE(html, '')) AS payload_digest FROM pages
+), firsts AS (
+  SELECT payload_digest, MAX(page_id) AS first_id FROM payloads WHERE payload_bytes >= 1000 GROUP BY payload_digest
+)
+SELECT p.page_id, p.payload_bytes, p.payload_digest,
+       CASE WHEN f.first_id > p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN f.first_id > p.page_id THEN f.first_id END AS refers_to
+FROM payloads p LEFT JOIN firsts f ON p.payload_bytes >= 1000 AND f.payload_digest = p.payload_digest
+"""
+
+ORACLES = {"op6_template_decontamination": OP6, "op8_water_filling": OP8, "op10_warc_round_trip": OP10, "op12_hard_negatives": OP12}
