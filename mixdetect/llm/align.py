@@ -31,6 +31,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +43,7 @@ from .pieces import MARKER, MODEL, chunk_ids, read_bounded, tokenizer_path
 
 TOKENIZER = "byte_bpe_50k.json"
 #: Chunks a task's table holds, and characters of the longest chunk in it.
-TABLE_CHUNKS = 200_000
+TABLE_CHUNKS = 400_000
 LONG_CHUNK = 256
 #: Characters of new chunks aligned at once.
 ALIGNED_AT_ONCE = 2_000_000
@@ -82,7 +83,8 @@ class TokenizerPair:
         self.a_bytes = [self._a_entry(vocabulary.get(i, ""), alphabet) for i in range(max(vocabulary) + 1)]
         self.b_bytes = [self._b_entry(i) for i in range(self.b.get_piece_size())]
         self.a_length, self.b_length = (np.array([len(x) for x in side], dtype=np.int64) for side in (self.a_bytes, self.b_bytes))
-        self.a_text, self.b_text = (np.array([str(i) for i in range(len(side))], dtype=object) for side in (self.a_bytes, self.b_bytes))
+        written = [str(i) for side in (self.a_bytes, self.b_bytes) for i in range(len(side))]
+        self.signs = np.array([[mark + w for w in written] for mark in "\n;|,"], dtype=object)  # ids of A, then of B, after each mark
 
     @staticmethod
     def _a_entry(token: str, alphabet: dict[str, int]) -> bytes:
@@ -99,7 +101,11 @@ class TokenizerPair:
     def encode(self, found: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """Ids of both sides for chunks that a space goes before."""
         a = [e.ids for e in self.a.encode_batch_fast([" " + c for c in found], add_special_tokens=False)]
-        return a, [chunk_ids(self.b, c) for c in found]
+        b = self.b.encode(found, num_threads=1)
+        for i, c in enumerate(found):
+            if not c:
+                b[i] = chunk_ids(self.b, c)
+        return a, b
 
 
 _loaded: dict[tuple[int, int], TokenizerPair] = {}
@@ -114,17 +120,37 @@ def tokenizer_pair(a_json: bytes, b_model: bytes) -> TokenizerPair:
     return _loaded[key]
 
 
-@dataclass(frozen=True)
+@dataclass
 class Aligned:
-    """A chunk's tokens, groups and links; pairs are distinct, ``times`` says how often each is linked."""
+    """Chunks with their tokens, groups and links, a row each; -1 tokens where a side does not spell out the chunk."""
 
-    n_a: int
-    n_b: int
-    n_groups: int
-    n_links: int
-    groups: str  # a1,a2|b1;a3|b2,b3
-    pairs: np.ndarray  # A id * size of B's vocabulary + B id
-    times: np.ndarray
+    numbers: np.ndarray  # n_a, n_b, n_groups, n_links
+    groups: list[str]  # a1,a2|b1;a3|b2,b3
+    first: np.ndarray  # of a chunk's pairs; one more than chunks
+    pairs: np.ndarray  # distinct in a chunk: A id * size of B's vocabulary + B id
+    times: np.ndarray  # links of the pair
+
+    @classmethod
+    def none(cls) -> "Aligned":
+        empty = np.zeros(0, dtype=np.int64)
+        return cls(np.zeros((0, 4), dtype=np.int64), [], np.zeros(1, dtype=np.int64), empty, empty)
+
+    def pick(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row of ``rows``, pair, times) of these chunks' pairs."""
+        n = self.first[rows + 1] - self.first[rows]
+        at = np.repeat(self.first[rows] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return np.repeat(np.arange(len(rows)), n), self.pairs[at], self.times[at]
+
+    def take(self, rows: np.ndarray) -> "Aligned":
+        of, pairs, times = self.pick(rows)
+        first = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(rows)))])
+        return Aligned(self.numbers[rows], [self.groups[i] for i in rows], first, pairs, times)
+
+    def extend(self, other: "Aligned") -> None:
+        self.numbers = np.concatenate([self.numbers, other.numbers])
+        self.groups += other.groups
+        self.first = np.concatenate([self.first, other.first[1:] + self.first[-1]])
+        self.pairs, self.times = np.concatenate([self.pairs, other.pairs]), np.concatenate([self.times, other.times])
 
 
 def _distinct(group: np.ndarray, ids: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -141,25 +167,29 @@ def coalesce(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return order, np.concatenate([np.zeros(min(1, len(order)), dtype=np.int64), np.cumsum(breaks)])
 
 
-def align(pair: TokenizerPair, found: list[str]) -> list[Aligned | None]:
-    """Chunks aligned together; None where a side does not spell out the chunk."""
-    out: list[Aligned | None] = [None] * len(found)
+def align(pair: TokenizerPair, found: list[str]) -> Aligned:
+    """Chunks aligned together, on one line of bytes."""
     both = pair.encode(found)
     raw = [b" " + c.encode("utf-8", "surrogatepass") for c in found]
-    good = [i for i, (r, a, b) in enumerate(zip(raw, *both, strict=True))
-            if b"".join([pair.a_bytes[x] for x in a]) == r and b"".join([pair.b_bytes[x] for x in b]) == r]
-    if not good:
+    spelled = np.ones(len(found), dtype=bool)
+    for tokens, entries in zip(both, (pair.a_bytes, pair.b_bytes), strict=True):
+        parts = [b"".join(map(entries.__getitem__, t)) for t in tokens]
+        if parts != raw:
+            spelled &= [x == r for x, r in zip(parts, raw, strict=True)]
+    good = np.flatnonzero(spelled)
+    out = Aligned(np.full((len(found), 4), -1, dtype=np.int64), [""] * len(found), np.zeros(len(found) + 1, dtype=np.int64),
+                  np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
+    if not len(good):
         return out
-    ids, ends, chunk = [], [], []
-    for tokens, length in zip(both, (pair.a_length, pair.b_length), strict=True):
-        flat = np.concatenate([np.array(tokens[i], dtype=np.int64) for i in good])
-        ids.append(flat)
-        ends.append(np.cumsum(length[flat]))  # chunk after chunk, on one line of bytes
-        chunk.append(np.repeat(np.arange(len(good)), [len(tokens[i]) for i in good]))
-    all_ends = np.concatenate(ends)
-    starts = all_ends - np.concatenate([pair.a_length[ids[0]], pair.b_length[ids[1]]])
+    chosen = both if len(good) == len(found) else [[side[i] for i in good] for side in both]
+    size = [np.array([len(t) for t in side], dtype=np.int64) for side in chosen]
+    ids = [np.fromiter(chain.from_iterable(side), dtype=np.int64, count=n.sum()) for side, n in zip(chosen, size, strict=True)]
+    chunk = [np.repeat(np.arange(len(good)), n) for n in size]
+    length = np.concatenate([pair.a_length[ids[0]], pair.b_length[ids[1]]])
     n_a = len(ids[0])
-    order, group = coalesce(starts, all_ends)
+    ends = np.concatenate([np.cumsum(length[:n_a]), np.cumsum(length[n_a:])])
+    starts = ends - length
+    order, group = coalesce(starts, ends)
     of = np.empty(len(order), dtype=np.int64)
     of[order] = group
     of_a, of_b = of[:n_a], of[n_a:]
@@ -169,78 +199,91 @@ def align(pair: TokenizerPair, found: list[str]) -> list[Aligned | None]:
     chunk_of_group[of_a] = chunk[0]
     in_a, in_b = np.bincount(of_a, minlength=n_groups), np.bincount(of_b, minlength=n_groups)
     groups = np.bincount(chunk_of_group, minlength=len(good))
-    links = np.zeros(len(good), dtype=np.int64)
-    np.add.at(links, chunk_of_group, in_a * in_b)
+    links = np.add.reduceat(in_a * in_b, np.cumsum(groups) - groups)
 
     # distinct ids of both sides, every one of a group's A ids with every one of its B ids
     ga, ua, ca = _distinct(of_a, ids[0], len(pair.a_bytes))
     gb, ub, cb = _distinct(of_b, ids[1], pair.n_b)
     width = np.bincount(gb, minlength=n_groups)
-    first = np.concatenate([[0], np.cumsum(width)[:-1]])
-    left = np.repeat(np.arange(len(ga)), width[ga])
-    right = first[ga][left] + (np.arange(len(left)) - np.repeat(np.cumsum(width[ga]) - width[ga], width[ga]))
-    linked, times = ua[left] * pair.n_b + ub[right], ca[left] * cb[right]
-    at = chunk_of_group[ga[left]]
-    by = np.lexsort((linked, at))
-    at, linked, times = at[by], linked[by], times[by]
-    new = np.concatenate([[True], (at[1:] != at[:-1]) | (linked[1:] != linked[:-1])])
-    where = np.flatnonzero(new)
-    times = np.add.reduceat(times, where)
-    at, linked = at[where], linked[where]
-    cuts = np.searchsorted(at, np.arange(len(good) + 1))
-
-    # the written form: a comma before a token of the same group and side, a bar where the side changes
-    side = np.concatenate([np.zeros(n_a, dtype=np.int64), np.ones(len(ids[1]), dtype=np.int64)])
-    text = np.concatenate([pair.a_text[ids[0]], pair.b_text[ids[1]]])
-    written = np.lexsort((starts, side, of))
-    same = np.concatenate([[False], of[written][1:] == of[written][:-1]])
-    turned = np.concatenate([[False], side[written][1:] != side[written][:-1]])
-    mark = np.array([";", ",", "|"], dtype=object)[np.where(same, np.where(turned, 2, 1), 0)]
-    signs = (mark + text[written]).tolist()
-    ends_at = np.cumsum(np.bincount(chunk[0], minlength=len(good)) + np.bincount(chunk[1], minlength=len(good)))
-    begin = 0
-    for n, i in enumerate(good):
-        out[i] = Aligned(len(both[0][i]), len(both[1][i]), int(groups[n]), int(links[n]), "".join(signs[begin:ends_at[n]])[1:],
-                         linked[cuts[n]:cuts[n + 1]], times[cuts[n]:cuts[n + 1]])
-        begin = ends_at[n]
+    first = np.cumsum(width) - width
+    n = width[ga]
+    left = np.repeat(np.arange(len(ga)), n)
+    right = np.repeat(first[ga] - (np.cumsum(n) - n), n) + np.arange(len(left))
+    out_pairs = summed_pairs(chunk_of_group[ga[left]], ua[left] * pair.n_b + ub[right], ca[left] * cb[right])
+    out.pairs, out.times = out_pairs[1:]
+    out.first = np.concatenate([[0], np.cumsum(np.bincount(good[out_pairs[0]], minlength=len(found)))])
+    out.numbers[good] = np.column_stack([*size, groups, links])
+
+    # the written form: a line for a chunk, ; between groups, a comma within a side, a bar between sides
+    in_b_side = np.arange(len(of)) >= n_a
+    written = np.lexsort((starts, in_b_side, of))
+    g, second, c = of[written], in_b_side[written], chunk_of_group[of[written]]
+    mark = np.where(c[1:] != c[:-1], 0, np.where(g[1:] != g[:-1], 1, np.where(second[1:] != second[:-1], 2, 3)))
+    token = np.concatenate([ids[0], ids[1] + len(pair.a_bytes)])[written]
+    lines = "".join(pair.signs[np.concatenate([[0], mark]), token].tolist())[1:].split("\n")
+    for i, line in zip(good.tolist(), lines, strict=True):
+        out.groups[i] = line
     return out
 
 
-class AlignedTable(dict):
-    """chunk -> Aligned or None, of the chunks met so far."""
+def summed_pairs(of: np.ndarray, pairs: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(of, pair, times), with the times of equal ones summed, in order."""
+    if not len(of):
+        return of, pairs, times
+    by = np.lexsort((pairs, of))
+    of, pairs, times = of[by], pairs[by], times[by]
+    new = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (pairs[1:] != pairs[:-1])]))
+    return of[new], pairs[new], np.add.reduceat(times, new)
+
+
+class AlignedTable:
+    """The chunks met so far, aligned once each; a full table keeps the more frequent half."""
 
     def __init__(self, pair: TokenizerPair, limit: int = TABLE_CHUNKS):
-        super().__init__()
         self.pair, self.limit = pair, limit
-
-    def documents(self, texts: list[list[str]]) -> list[list[Aligned | None]]:
-        """Each text's chunks, aligned."""
-        new = list({c for text in texts for c in text if c not in self})
-        if len(self) + len(new) > self.limit:
-            self.clear()
-            new = list({c for text in texts for c in text})
+        self.at: dict[str, int] = {}
+        self.aligned, self.used = Aligned.none(), np.zeros(0, dtype=np.int64)
+
+    def _shrink(self) -> None:
+        names = list(self.at)
+        again = np.array([i for i in np.flatnonzero(self.used > 1).tolist() if len(names[i]) <= LONG_CHUNK], dtype=np.int64)
+        kept = again[np.argsort(-self.used[again], kind="stable")[:self.limit // 2]]
+        self.aligned, self.used = self.aligned.take(kept), self.used[kept] // 2
+        self.at = {names[i]: n for n, i in enumerate(kept.tolist())}
+
+    def documents(self, texts: list[str | None]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """(numbers, groups) of each text, and the (text, pair, times) of all; zeros where a text has no tokens."""
+        found = [chunks(t or "") for t in texts]
+        new = list(set(chain.from_iterable(found)).difference(self.at))
+        if len(self.at) + len(new) > self.limit or sum(map(len, new)) > ALIGNED_AT_ONCE:
+            self._shrink()
+            new = list(set(chain.from_iterable(found)).difference(self.at))
         start, size = 0, 0
         for end, c in enumerate(new, 1):
             size += len(c)
             if size >= ALIGNED_AT_ONCE or end == len(new):
-                self.update(zip(new[start:end], align(self.pair, new[start:end]), strict=True))
+                self.aligned.extend(align(self.pair, new[start:end]))
+                self.at.update(zip(new[start:end], range(len(self.at), len(self.at) + end - start), strict=True))
                 start, size = end, 0
-        out = [[self[c] for c in text] for text in texts]
-        for c in new:
-            if len(c) > LONG_CHUNK:
-                del self[c]
-        return out
-
-
-def summed(parts: list[Aligned | None]) -> tuple:
-    """(n_a, n_b, n_groups, n_links, groups, pairs, times) of a document from its chunks; no tokens where a chunk has none."""
-    if not parts or any(p is None for p in parts):
-        return 0, 0, 0, 0, "", [], []
-    pairs, where = np.unique(np.concatenate([p.pairs for p in parts]), return_inverse=True)
-    times = np.zeros(len(pairs), dtype=np.int64)
-    np.add.at(times, where, np.concatenate([p.times for p in parts]))
-    return (sum(p.n_a for p in parts), sum(p.n_b for p in parts), sum(p.n_groups for p in parts), sum(p.n_links for p in parts),
-            ";".join([p.groups for p in parts]), pairs, times)
+        self.used = np.concatenate([self.used, np.zeros(len(new), dtype=np.int64)])
+
+        n = np.array([len(text) for text in found], dtype=np.int64)
+        at = list(map(self.at.__getitem__, chain.from_iterable(found)))
+        rows, of = np.array(at, dtype=np.int64), np.repeat(np.arange(len(found)), n)
+        self.used += np.bincount(rows, minlength=len(self.used))
+        numbers = np.zeros((len(found), 4), dtype=np.int64)
+        some = np.flatnonzero(n)
+        if len(some):
+            numbers[some] = np.add.reduceat(self.aligned.numbers[rows], (np.cumsum(n) - n)[some], axis=0)
+        whole = n > 0
+        whole[of[self.aligned.numbers[rows, 0] < 0]] = False
+        numbers[~whole] = 0
+        stop = np.cumsum(n).tolist()
+        written = list(map(self.aligned.groups.__getitem__, at))
+        groups = [";".join(written[end - k:end]) if w else "" for end, k, w in zip(stop, n.tolist(), whole.tolist(), strict=True)]
+        rows, of = rows[whole[of]], of[whole[of]]
+        chunk, pairs, times = self.aligned.pick(rows)
+        return numbers, groups, *summed_pairs(of[chunk], pairs, times)
 
 
 #: Texts taken from an Arrow batch at once, and their characters.
@@ -271,21 +314,25 @@ def alignments(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shared = docs.sparkSession.sparkContext.broadcast(files)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import gc
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         table = AlignedTable(tokenizer_pair(*shared.value))
+        gc.disable()  # no cycles arise here, and the collector would walk over the whole table again and again
         for batch in batches:
             at = 0
             for texts in _runs(batch.column(1)):
-                rows = [summed(parts) for parts in table.documents([chunks(t or "") for t in texts])]
-                numbers = [pa.array([r[k] for r in rows], pa.int64()) for k in range(4)]
-                groups = [hashlib.sha256(r[4].encode()).hexdigest() if digest and r[0] else r[4] for r in rows]
+                numbers, groups, of, pairs, times = table.documents(texts)
+                if digest:
+                    groups = [g and hashlib.sha256(g.encode()).hexdigest() for g in groups]
+                cuts = pa.array(np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(texts)))]), pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, len(texts)), *numbers, pa.array(groups, pa.string()),
-                     *[pa.array([r[k] for r in rows], pa.list_(pa.int64())) for k in (5, 6)]],
+                    [batch.column(0).slice(at, len(texts)), *map(pa.array, np.ascontiguousarray(numbers.T)), pa.array(groups, pa.string()),
+                     *[pa.ListArray.from_arrays(cuts, pa.array(x)) for x in (pairs, times)]],
                     [id_col, "n_a", "n_b", "n_groups", "n_links", "groups", "pairs", "times"])
                 at += len(texts)
+        gc.enable()
 
     picked = docs.select(docs[id_col], docs[text_col].cast("string"))
     return picked.mapInArrow(run, f"`{id_col}` {picked.dtypes[0][1]}, n_a long, n_b long, n_groups long, n_links long, groups string, "
