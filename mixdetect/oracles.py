@@ -506,6 +506,36 @@ def sql_sparse_variance() -> str:
     return c.sql(f"SELECT d.idx, {rnd(expr)} AS variance FROM dims d LEFT JOIN sums s ON s.idx = d.idx, nn n")
 
 
+def _sparse(iters: int = 1) -> Ctes:
+    """The sparse vectors with their zeros, seven rows a vector."""
+    c = Ctes()
+    c.add("sp", SPARSE_SQL)
+    c.add("ids", "SELECT DISTINCT row_id FROM sp")
+    c.add("xc", "SELECT i.row_id, CAST(t.c AS INTEGER) AS c, coalesce(sp.value, 0.0E0) / 50.0E0 AS x FROM ids i CROSS JOIN range(7) t(c) "
+                "LEFT JOIN sp ON sp.row_id = i.row_id AND sp.idx = t.c")
+    given_gmm_cte(c, Q.GMM_K, 7)
+    for t in range(1, iters + 1):
+        em_step_ctes(c, f"gp{t - 1}", f"gp{t}", 7)
+    return c
+
+
+def sql_gmm_estep_sparse() -> str:
+    return _estep_out(_sparse(), "gp1_es", "gp1_ll")
+
+
+def sql_gmm_fit_sparse_3() -> str:
+    return _sparse(3).sql(_gmm_params_out("gp3"))
+
+
+def sql_gmm_predict_sparse() -> str:
+    c = _sparse()
+    c.add("wide", pivot("gp1_rs", "row_id", "m", [(m, f"r{m}") for m in range(Q.GMM_K)], "r"))
+    c.add("best", "SELECT rs.row_id, CAST(min(rs.m) AS INTEGER) AS component FROM gp1_rs rs JOIN "
+                  "(SELECT row_id, max(r) AS mr FROM gp1_rs GROUP BY row_id) b ON b.row_id = rs.row_id AND rs.r = b.mr GROUP BY rs.row_id")
+    return c.sql(f"SELECT w.*, {rnd('l.ll')} AS loglik, b.component FROM wide w JOIN gp1_ll l ON l.row_id = w.row_id "
+                 "JOIN best b ON b.row_id = w.row_id")
+
+
 def sql_kmeans_lloyd_step() -> str:
     K, d = Q.GMM_K, len(EVENTS_CONTS)
     dist = {m: " + ".join(f"({x} - {f((m + 0.5) / K)}) * ({x} - {f((m + 0.5) / K)})" for x in EVENTS_CONTS)
@@ -888,6 +918,9 @@ ORACLES = {
     "gmm_estep": sql_gmm_estep,
     "gmm_estep_wide": sql_gmm_estep_wide,
     "gmm_loglik_wide": sql_gmm_loglik_wide,
+    "gmm_estep_sparse": sql_gmm_estep_sparse,
+    "gmm_fit_sparse_3": sql_gmm_fit_sparse_3,
+    "gmm_predict_sparse": sql_gmm_predict_sparse,
     "gmm_em_step": sql_gmm_em_step,
     "gmm_fit_3": sql_gmm_fit_3,
     "gmm_fit_offset": sql_gmm_fit_offset,

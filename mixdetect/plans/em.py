@@ -10,9 +10,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 from ..operators.gmm import estep, mstep
+from ..operators.sparse_gmm import sparse_estep
 from ..spec import GmmParams, MixedSpec
 
 
@@ -29,8 +31,8 @@ def start_params(means: np.ndarray, variances: np.ndarray) -> GmmParams:
     return GmmParams(np.full(K, 1.0 / K), np.asarray(means, dtype=float), np.tile(variances, (K, 1)))
 
 
-def train_em(df: DataFrame, spec: MixedSpec, start: GmmParams, *, max_iter: int = 100, tol: float = 1e-3,
-             tol_on: str = "mean", min_covar: float = 1e-3, strategy: str = "auto") -> EmResult:
+def iterate_em(step, start: GmmParams, *, max_iter: int, tol: float, tol_on: str, min_covar: float) -> EmResult:
+    """EM from ``start``; ``step`` gives the statistics of an E-step under given parameters."""
     if tol_on not in ("mean", "total"):
         raise ValueError("tol_on must be 'mean' or 'total'")
     params = start.copy()
@@ -38,7 +40,7 @@ def train_em(df: DataFrame, spec: MixedSpec, start: GmmParams, *, max_iter: int
     prev = None
     converged = False
     for it in range(max_iter):
-        st = estep(df, params, spec, strategy)
+        st = step(params)
         params = mstep(st, params, min_covar)
         cur = st.ll if tol_on == "total" else st.ll / max(1, st.rows)
         history.append((it, st.ll, st.ll / max(1, st.rows)))
@@ -47,3 +49,18 @@ def train_em(df: DataFrame, spec: MixedSpec, start: GmmParams, *, max_iter: int
             break
         prev = cur
     return EmResult(params, history, converged)
+
+
+def train_em(df: DataFrame, spec: MixedSpec, start: GmmParams, *, max_iter: int = 100, tol: float = 1e-3,
+             tol_on: str = "mean", min_covar: float = 1e-3, strategy: str = "auto") -> EmResult:
+    return iterate_em(lambda p: estep(df, p, spec, strategy), start, max_iter=max_iter, tol=tol, tol_on=tol_on, min_covar=min_covar)
+
+
+def train_em_sparse(rows: DataFrame, start: GmmParams, *, max_iter: int = 100, tol: float = 1e-3, tol_on: str = "mean",
+                    min_covar: float = 1e-3) -> EmResult:
+    """EM over sparse rows (row_id, indices, values), which are kept for all passes."""
+    rows = rows.select("indices", "values").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return iterate_em(lambda p: sparse_estep(rows, p), start, max_iter=max_iter, tol=tol, tol_on=tol_on, min_covar=min_covar)
+    finally:
+        rows.unpersist()

@@ -20,10 +20,11 @@ from .operators.gmm import (component_logpdf_exprs, estep, hashed_kmeans_means,
                             with_responsibilities, argmax_component)
 from .operators.logistic import gradient, minibatch_fraction, minibatches, with_cat_loglik, with_margins
 from .operators.order_stats import auc_frame
+from .operators.sparse_gmm import sparse_estep, sparse_rows, with_sparse_responsibilities
 from .operators.scoring import (combined_score, flag_expr, interpolate_expr, score_range, target_size,
                                 threshold, top_k)
 from .plans.detector import Detector
-from .plans.em import train_em
+from .plans.em import train_em, train_em_sparse
 from .plans.sgd import history_frame, train_sgd
 from .sources.fixtures import (MIXED_EVENTS_SPEC, MIXED_ORDERS_SPEC, SPARSE_LINES_DIM, WIDE_EMBEDDINGS_SPEC,
                                mixed_events, mixed_orders, sparse_lines, wide_embeddings)
@@ -274,6 +275,27 @@ def q_gmm_estep_wide(spark, sf):
     return _estep_rows(spark, estep(df, gp, WIDE_EMBEDDINGS_SPEC, "arrow"), gp)
 
 
+def _sparse_rows(spark, sf):
+    """Sparse vectors of up to seven quantities, as shares of the largest."""
+    return sparse_rows(sparse_lines(spark, sf).withColumn("value", F.col("value") / 50.0)), given_gmm(GMM_K, SPARSE_LINES_DIM)
+
+
+def q_gmm_estep_sparse(spark, sf):
+    rows, gp = _sparse_rows(spark, sf)
+    return _estep_rows(spark, sparse_estep(rows, gp), gp)
+
+
+def q_gmm_fit_sparse_3(spark, sf):
+    rows, gp = _sparse_rows(spark, sf)
+    return _rounded_gmm(_params_frame(spark, _gmm_rows(train_em_sparse(rows, gp, max_iter=3, tol=-1.0, min_covar=MIN_COVAR).params)))
+
+
+def q_gmm_predict_sparse(spark, sf):
+    rows, gp = _sparse_rows(spark, sf)
+    t = with_sparse_responsibilities(rows, gp)
+    return t.select("row_id", _r(F.col("loglik")).alias("loglik"), *[_r(F.col(f"r{m}")).alias(f"r{m}") for m in range(gp.K)], "component")
+
+
 def _estep_rows(spark, st, gp):
     """Statistics about zero, from those about the means."""
     n = st.n[:, None]
@@ -538,6 +560,9 @@ QUERIES: dict[str, Query] = {
     "gmm_responsibilities": q_gmm_responsibilities,
     "gmm_estep": q_gmm_estep,
     "gmm_estep_wide": q_gmm_estep_wide,
+    "gmm_estep_sparse": q_gmm_estep_sparse,
+    "gmm_fit_sparse_3": q_gmm_fit_sparse_3,
+    "gmm_predict_sparse": q_gmm_predict_sparse,
     "gmm_loglik_wide": q_gmm_loglik_wide,
     "gmm_em_step": q_gmm_em_step,
     "gmm_fit_3": q_gmm_fit_3,
