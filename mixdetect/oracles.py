@@ -85,13 +85,16 @@ class Ctes:
     def __init__(self):
         self.items: list[tuple[str, str]] = []
         self.recursive = False
+        self.kept: set[str] = set()  # computed once, where a recursion would compute them again in every step
 
-    def add(self, name: str, sql: str) -> "Ctes":
+    def add(self, name: str, sql: str, keep: bool = False) -> "Ctes":
         self.items.append((name, sql))
+        if keep:
+            self.kept.add(name)
         return self
 
     def sql(self, final: str) -> str:
-        body = ",\n".join(f"{n} AS (\n{s}\n)" for n, s in self.items)
+        body = ",\n".join(f"{n} AS {'MATERIALIZED ' if n in self.kept else ''}(\n{s}\n)" for n, s in self.items)
         return f"WITH {'RECURSIVE ' if self.recursive else ''}{body}\n{final}"
 
 
@@ -270,7 +273,7 @@ def kmeans_ctes(c: Ctes, K: int, conts: list[str], seed: int, max_iter: int = 10
     steps(f"{ns}kw", f"{start} FROM {', '.join(f'{ns}se{m} s{m}' for m in range(K))}", f"{ns}cw",
           "sum(CASE WHEN {own} THEN wt * {x} END) / sum(CASE WHEN {own} THEN wt END)")
     c.add(f"{ns}kwf", f"SELECT {state} FROM {ns}kw ORDER BY it DESC LIMIT 1")
-    c.add(f"{ns}xs", f"SELECT {xs} FROM {ns}fx")
+    c.add(f"{ns}xs", f"SELECT {xs} FROM {ns}fx", keep=True)
     steps(f"{ns}km", f"{state} FROM {ns}kwf", f"{ns}xs", "avg(CASE WHEN {own} THEN {x} END)")
     c.add(f"{ns}kmf", f"SELECT {state} FROM {ns}km ORDER BY it DESC LIMIT 1")
     return f"{ns}kmf"
@@ -295,7 +298,7 @@ def em_fit_ctes(c: Ctes, K: int, conts: list[str], centres: str, max_iter: int,
     state = ", ".join(names)
     mx = f"greatest({', '.join(f'l{m}' for m in range(K))})"
     inner = (f"SELECT *, mx + ln({' + '.join(f'exp(l{m} - mx)' for m in range(K))}) AS ll FROM (SELECT *, {mx} AS mx FROM (\n"
-             f"SELECT s.*, {', '.join(conts)}, {', '.join(f'{e} AS l{m}' for m, e in enumerate(lp))} FROM {ns}em s, {ns}fx\n"
+             f"SELECT s.*, {', '.join(conts)}, {', '.join(f'{e} AS l{m}' for m, e in enumerate(lp))} FROM {ns}em s, {ns}xs\n"
              f"WHERE NOT s.done AND s.it < {max_iter}))")
     c.add(f"{ns}em", f"SELECT 0 AS it, CAST(NULL AS DOUBLE) AS prev, false AS done, "
                      f"{', '.join(f'{e} AS {n}' for e, n in zip(first, names))} FROM {centres}\n"
@@ -318,7 +321,7 @@ def sgd_fit_ctes(c: Ctes, p, start, cats: list[str], conts: list[str], ns: str =
     c.add(f"{ns}mb", f"SELECT step, row_id, slot, {', '.join(conts)}, CASE WHEN {hot} THEN 1.0E0 ELSE -1.0E0 END AS z FROM ("
                      f"SELECT CAST(t.step AS INTEGER) AS step, fx.*, CAST({hsh('row_id', 't.step', p.seed, STREAM_SLOT)} % (SELECT J FROM {ns}jn) "
                      f"AS INTEGER) AS slot FROM {ns}fx fx, range(1, {p.max_iterations}) t(step) "
-                     f"WHERE {hsh('row_id', 't.step', p.seed, STREAM_SELECT)} < {cutoff_sql(p.minibatch_size, f'{ns}nn')})")
+                     f"WHERE {hsh('row_id', 't.step', p.seed, STREAM_SELECT)} < {cutoff_sql(p.minibatch_size, f'{ns}nn')})", keep=True)
     state = [f"v{r}_{i}" for r, i in vs] + [f"w{r}_{j}" for r, j in ws]
     first = [f(start.V[r, i]) for r, i in vs] + [f(start.W[r, j]) for r, j in ws]
     h = [" + ".join(f"v{r}_{i} * {x}" for i, x in enumerate(xs)) for r in range(k)]
