@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import sql as S
-from ..functions.columns import HASH_RANGE, LN_2PI, STREAM_KMEANS, row_hash
+from ..functions.columns import LN_2PI
 from ..spec import GmmParams, MixedSpec
 
 GENERATED_STATS_LIMIT = 60
@@ -88,8 +88,11 @@ def feature_input(spec: MixedSpec) -> tuple[Column, Column]:
 
 def matrix(features: pd.Series, d: int) -> np.ndarray:
     """Rows of an Arrow function's array column as an n x d matrix; a null row or value is NaN."""
+    rows = features.to_list()
+    if rows and all(r is not None and len(r) == d for r in rows):
+        return np.concatenate(rows).astype(np.float64, copy=False).reshape(len(rows), d) if d else np.empty((len(rows), 0))
     out = np.full((len(features), d), np.nan)
-    for i, row in enumerate(features):
+    for i, row in enumerate(rows):
         if row is not None and len(row) == d:
             out[i] = row
     return out
@@ -334,34 +337,10 @@ def hashed_kmeans_means(df: DataFrame, spec: MixedSpec, K: int, seed: int, max_i
     Lloyd steps over the weighted candidates, then over all rows, follow until no centre moves by ``tol``; an empty cluster
     keeps its centre.
     """
-    xs = [x.cast("double") for x in spec.cont_exprs()]
-    d = len(xs)
-    rid = F.col(spec.row_id)
-
-    def draw(step: int) -> Column:
-        return (row_hash(hash_kind, rid, step, seed, STREAM_KMEANS).cast("double") + F.lit(0.5)) / F.lit(float(HASH_RANGE))
-
-    first = df.agg(F.min(F.struct(row_hash(hash_kind, rid, 0, seed, STREAM_KMEANS).alias("h"), rid.alias("id"), F.array(*xs).alias("x")))
-                   .alias("m")).first()["m"]
-    C = np.array([list(first["x"])], dtype=float)
-    for step in range(1, rounds + 1):
-        near = _nearest(df, spec, C, [spec.row_id])
-        cost = near.agg(F.sum("__d2").alias("c")).first()["c"] or 0.0
-        if cost <= 0:
-            break
-        chosen = (near.where(draw(step) < F.col("__d2") * F.lit((oversampling or 2.0 * K) / cost))
-                  .select(F.array(*[f"__x{c}" for c in range(d)]).alias("x")).distinct().collect())  # some 2K rows expected
-        if chosen:
-            C = np.unique(np.concatenate([C, np.array([list(r["x"]) for r in chosen], dtype=float)]), axis=0)
-    weight = np.zeros(len(C))
-    for r in _nearest(df, spec, C, []).groupBy("component").agg(F.count("*").alias("n")).collect():  # one row a candidate
-        weight[r["component"]] = r["n"]
-    centres = [C[np.argmax(weight)]]
-    for _ in range(1, K):
-        gain = weight * np.min([((C - c) ** 2).sum(axis=1) for c in centres], axis=0)
-        centres.append(C[np.argmax(gain)])  # with fewer distinct points than K, some are seeds twice
-    seeds = _weighted_lloyd(C, weight, np.array(centres), max_iter, tol)
-    return lloyd(df, spec, seeds, max_iter, tol)
+    from .packed import kmeans_draws, kmeans_start, packed_rows
+
+    with packed_rows(df, spec, draws=kmeans_draws(spec, seed, hash_kind, rounds)) as packed:
+        return kmeans_start(df, packed, spec, K, seed, max_iter, hash_kind, tol=tol, oversampling=oversampling)[0]
 
 
 def _weighted_lloyd(points: np.ndarray, weight: np.ndarray, centres: np.ndarray, max_iter: int, tol: float) -> np.ndarray:
@@ -381,55 +360,10 @@ def _weighted_lloyd(points: np.ndarray, weight: np.ndarray, centres: np.ndarray,
 
 def lloyd(df: DataFrame, spec: MixedSpec, centres: np.ndarray, max_iter: int, tol: float) -> np.ndarray:
     """k-means steps over all rows until no centre moves by ``tol``."""
-    C = centres
-    K, d = C.shape
-    for _ in range(max_iter):
-        new = C.copy()
-        if K * (d + 1) <= GENERATED_STATS_LIMIT:
-            row = lloyd_sums_frame(df, spec, C).first()  # one row of K*(d+1) sums
-            for k in range(K):
-                if row[f"n{k}"]:
-                    new[k] = [row[f"s{k}_{c}"] / row[f"n{k}"] for c in range(d)]
-        else:
-            sums = np.zeros(K * (d + 1))
-            for r in lloyd_sums_arrow_frame(df, spec, C).collect():  # K (d + 1) rows
-                sums[r["i"]] = r["v"]
-            n, shift = sums[:K], sums[K:].reshape(K, d)
-            new[n > 0] += shift[n > 0] / n[n > 0, None]
-        moved = float(np.sqrt(((new - C) ** 2).sum(axis=1)).max())
-        C = new
-        if moved < tol:
-            break
-    return C
-
+    from .packed import ALL, packed_lloyd, packed_rows
 
-def _nearest(df: DataFrame, spec: MixedSpec, centres: np.ndarray, keep: list[str]) -> DataFrame:
-    """(keep.., __x*, component, __d2): nearest centre (first on ties) and squared distance to it.
-
-    Few centres are literals of one expression, many are bound to an Arrow function.
-    """
-    xs = S.cont_refs(spec)
-    K, d = centres.shape
-    cols = S.keep(keep) + [S.aliased(x, f"__x{c}") for c, x in enumerate(xs)]
-    if K * d <= WIDE_EXPR_LIMIT // 8:
-        dists = [S.add([f"({x} - {S.num(centres[m, c])}) * ({x} - {S.num(centres[m, c])})" for c, x in enumerate(xs)])
-                 for m in range(K)]
-        t = df.selectExpr(*cols, f"array({', '.join(dists)}) AS __ds")
-        return t.selectExpr(*S.keep(keep), *[f"__x{c}" for c in range(d)], "array_min(__ds) AS __d2",
-                            "CAST(array_position(__ds, array_min(__ds)) - 1 AS INT) AS component")
-
-    @F.pandas_udf("component int, d2 double")
-    def nearest(features: pd.Series) -> pd.DataFrame:
-        X = matrix(features, d)
-        best, at = np.full(len(X), np.inf), np.zeros(len(X), dtype=np.int32)
-        for m in range(K):
-            dist = ((X - centres[m]) ** 2).sum(axis=1)
-            closer = dist < best
-            best[closer], at[closer] = dist[closer], m
-        return pd.DataFrame({"component": at, "d2": best})
-
-    t = df.select(*[F.col(k) for k in keep], *[F.expr(c) for c in cols[len(keep):]], nearest(feature_input(spec)[0]).alias("__n"))
-    return t.select(*keep, *[f"__x{c}" for c in range(d)], F.col("__n.d2").alias("__d2"), F.col("__n.component").alias("component"))
+    with packed_rows(df, spec) as packed:
+        return packed_lloyd(packed, [centres], [ALL], max_iter, tol)[0]
 
 
 def _assigned(df: DataFrame, spec: MixedSpec, centres: np.ndarray) -> DataFrame:
@@ -444,45 +378,6 @@ def _assigned(df: DataFrame, spec: MixedSpec, centres: np.ndarray) -> DataFrame:
                         f"CAST(array_position({arr}, array_min({arr})) - 1 AS INT) AS component")
 
 
-def lloyd_sums_frame(df: DataFrame, spec: MixedSpec, centres: np.ndarray) -> DataFrame:
-    """One global aggregate: per-component counts and coordinate sums (no keyed shuffle)."""
-    K, d = centres.shape
-    aggs = [f"count(CASE WHEN component = {m} THEN 1 END) AS n{m}" for m in range(K)]
-    aggs += [f"sum(CASE WHEN component = {m} THEN __x{c} END) AS s{m}_{c}" for m in range(K) for c in range(d)]
-    return _assigned(df, spec, centres).selectExpr(*aggs)
-
-
-def lloyd_sums_arrow_frame(df: DataFrame, spec: MixedSpec, centres: np.ndarray) -> DataFrame:
-    """Long (i, v): counts of the K clusters, then the sums of their rows' offsets from the centres.
-
-    For many centres or dimensions: the centres are bound by reference, NumPy
-    sums per partition, then a small groupBy.
-    """
-    C, is_array = centres.copy(), bool(spec.cont_array)
-    K, d = C.shape
-
-    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, shift = np.zeros(K), np.zeros((K, d))
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            X = batch_matrix(batch, d, is_array)
-            best, at = np.full(len(X), np.inf), np.zeros(len(X), dtype=np.int64)
-            for m in range(K):
-                dist = np.zeros(len(X))
-                for c in range(d):
-                    dist += (X[:, c] - C[m, c]) * (X[:, c] - C[m, c])
-                closer = dist < best
-                best[closer], at[closer] = dist[closer], m
-            n += np.bincount(at, minlength=K)
-            for c in range(d):
-                shift[:, c] += np.bincount(at, weights=X[:, c] - C[at, c], minlength=K)
-        v = np.concatenate([n, shift.ravel()])
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(v), dtype=np.int32)), pa.array(v)], ["i", "v"])
-
-    return feature_frame(df, spec).mapInArrow(fn, "i int, v double").groupBy("i").agg(F.sum("v").alias("v"))
-
-
 def lloyd_step_frame(df: DataFrame, spec: MixedSpec, centres: np.ndarray) -> DataFrame:
     """One k-means step from given centres: assign to the nearest (first on ties), then average."""
     d = centres.shape[1]

@@ -247,14 +247,27 @@ def gradient_global_frame(mb: DataFrame, params: LogisticParams, spec: MixedSpec
     return t.selectExpr(*aggs)
 
 
+def partial_gradient(X: np.ndarray, slot: np.ndarray, hot: np.ndarray, params: LogisticParams) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(gradV, touched slots, their columns of gradW, rows) summed over rows ``X`` = [x, 1] with the slot picked for each."""
+    z = np.where(hot, 1.0, -1.0)
+    H, Ws = X @ params.V.T, params.W[:, slot].T
+    u = -z * (H * Ws).sum(axis=1) / params.lam
+    small = np.exp(-np.abs(u))
+    g = -np.where(u >= 0, 1.0 / (1.0 + small), small / (1.0 + small)) * z
+    touched, at = np.unique(slot, return_inverse=True)
+    weighted = g[:, None] * H
+    gW = np.array([np.bincount(at, weights=weighted[:, r], minlength=len(touched)) for r in range(params.k)]).reshape(params.k, len(touched))
+    return (g[:, None] * Ws).T @ X, touched, gW, len(X)
+
+
 def gradient_arrow_frame(mb: DataFrame, params: LogisticParams, spec: MixedSpec, layout: SlotLayout) -> DataFrame:
     """The same sums with the parameters bound by reference: (slot, n, s array) for the touched slots only.
 
     ``s`` holds the k sums of gradW's column; slot -1 holds gradV row by row.
     Each partition sums its rows, then the slots are summed.
     """
-    V, W, lam, k = params.V.copy(), params.W.copy(), float(params.lam), params.k
-    d = V.shape[1] - 1
+    params, k = params.copy(), params.k
+    d = params.V.shape[1] - 1
     offsets, widths = np.array(layout.offsets), np.array(layout.widths)
     features, _ = feature_input(spec)
     codes = F.array(*[F.col(c).cast("double") for c in layout.cat_cols])
@@ -268,16 +281,13 @@ def gradient_arrow_frame(mb: DataFrame, params: LogisticParams, spec: MixedSpec,
             X = np.column_stack([matrix(pdf["features"], d), np.ones(len(pdf))])
             slot, C = pdf["slot"].to_numpy(), matrix(pdf["codes"], len(widths))
             hot = ((C >= 0) & (C < widths) & (slot[:, None] == C + offsets)).any(axis=1)
-            z = np.where(hot, 1.0, -1.0)
-            H, Ws = X @ V.T, W[:, slot].T
-            u = -z * (H * Ws).sum(axis=1) / lam
-            g = -np.where(u >= 0, 1.0 / (1.0 + np.exp(-np.abs(u))), np.exp(-np.abs(u)) / (1.0 + np.exp(-np.abs(u)))) * z
-            gV += (g[:, None] * Ws).T @ X
-            total += len(pdf)
-            for j, row in zip(slot.tolist(), g[:, None] * H):
+            own, touched, gW, n = partial_gradient(X, slot, hot, params)
+            gV += own
+            total += n
+            for j, column, count in zip(touched.tolist(), gW.T, np.unique(slot, return_counts=True)[1].tolist()):
                 got = sums.setdefault(j, [0, np.zeros(k)])
-                got[0] += 1
-                got[1] += row
+                got[0] += count
+                got[1] += column
         keys = [-1, *sums]
         yield pd.DataFrame({"slot": np.array(keys, dtype=np.int64), "n": [total, *(v[0] for v in sums.values())],
                             "s": [gV.ravel(), *(v[1] for v in sums.values())]})

@@ -22,13 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.encode import profile, slot_layout, validate
-from ..operators.gmm import (argmax_component, hashed_kmeans_means, kmeans_means, with_cont_loglik,
-                             with_responsibilities)
+from ..operators.gmm import argmax_component, kmeans_means, with_cont_loglik, with_responsibilities
 from ..operators.logistic import with_cat_loglik
+from ..operators.packed import ALL, kmeans_draws, kmeans_start, packed_rows
 from ..operators.scoring import (combined_score, flag_expr, interpolate_expr, score_range, threshold)
 from ..spec import (DetectorParams, FitHistory, GmmParams, LogisticParams, MixedSpec, SlotLayout,
                     constant_logistic, given_gmm, given_logistic, random_logistic)
-from .em import start_params, train_em
+from .em import EmResult, start_params, train_em_packed
 from .session import delete_folder, local_parallelism
 from .sgd import MAX_SLOTS, history_frame, train_sgd
 
@@ -214,25 +214,25 @@ class Detector:
                          seed=p.seed, hash_kind=p.hash_kind, no_progress_tol=p.no_progress_tol,
                          no_progress_steps=p.no_progress_steps)
 
-    def _fit_mixture(self, data: DataFrame, prof):
+    def _fit_mixtures(self, data: DataFrame, variances: list, part: str | None = None, left_out: tuple[int, ...] = (ALL,)) -> list[EmResult]:
+        """The mixture of every model, one for each part left out, in shared passes."""
         p, spec = self.params, self.spec
         _use_pool(data, "mixdetect-mixture")
-        K = p.gaussian_num
-        if self.gmm_start is not None:
-            start = self.gmm_start.copy()
-        elif p.init == "given":
-            start = given_gmm(K, spec.d)
-        else:
-            var = np.array([(v or 0.0) + p.min_covar for v in prof.cont_var])
-            if p.kmeans_init == "hash":
-                means = hashed_kmeans_means(data, spec, K, p.seed, p.kmeans_max_iter, hash_kind=p.hash_kind)
-            elif p.kmeans_init == "kmeans||":
-                means = kmeans_means(data, spec, K, p.seed, p.kmeans_max_iter)
+        K, left_out = p.gaussian_num, list(left_out)
+        given = self.gmm_start if self.gmm_start is not None else given_gmm(K, spec.d) if p.init == "given" else None
+        if given is None and p.kmeans_init not in ("hash", "kmeans||"):
+            raise ValueError(f"unknown kmeans_init {p.kmeans_init!r}")
+        draws = kmeans_draws(spec, p.seed, p.hash_kind) if given is None and p.kmeans_init == "hash" else []
+        with packed_rows(data, spec, part, draws) as packed:
+            if given is not None:
+                starts = [given.copy() for _ in left_out]
             else:
-                raise ValueError(f"unknown kmeans_init {p.kmeans_init!r}")
-            start = start_params(means, var)
-        return train_em(data, spec, start, max_iter=p.em_max_iter, tol=p.em_tol, tol_on=p.em_tol_on,
-                        min_covar=p.min_covar)
+                if draws:
+                    means = kmeans_start(data, packed, spec, K, p.seed, p.kmeans_max_iter, p.hash_kind, part, left_out)
+                else:
+                    means = [kmeans_means(data if f == ALL else data.where(F.col(part) != f), spec, K, p.seed, p.kmeans_max_iter) for f in left_out]
+                starts = [start_params(m, np.array([(x or 0.0) + p.min_covar for x in var])) for m, var in zip(means, variances, strict=True)]
+            return train_em_packed(packed, starts, left_out, max_iter=p.em_max_iter, tol=p.em_tol, tol_on=p.em_tol_on, min_covar=p.min_covar)
 
     def fit(self, df: DataFrame) -> DetectorModel:
         p, spec = self.params, self.spec
@@ -260,13 +260,13 @@ class Detector:
             # small SGD jobs overlap the EM scans instead of adding to them.
             with ThreadPoolExecutor(max_workers=2, thread_name_prefix="mixdetect-fit") as pool:
                 sgd_f = pool.submit(self._fit_logistic, data, layout, n)
-                em_f = pool.submit(self._fit_mixture, data, prof) if spec.d > 0 else None
+                em_f = pool.submit(self._fit_mixtures, data, [prof.cont_var]) if spec.d > 0 else None
                 chains = [f for f in (sgd_f, em_f) if f is not None]
                 done, running = wait(chains, return_when=FIRST_EXCEPTION)
                 if running and any(f.exception() for f in done):  # one has failed: the other need not go on
                     _cancel(df)
                 sgd = sgd_f.result()
-                em = em_f.result() if em_f is not None else None
+                em = em_f.result()[0] if em_f is not None else None
             hist.sgd, hist.sgd_converged = sgd.history, sgd.converged
             gmm = None
             if em is not None:

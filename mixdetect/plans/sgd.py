@@ -1,27 +1,41 @@
 """Minibatch SGD for the conditional logistic model.
 
-Plan: one pass over the input draws the minibatches of *all* steps (row
-selection depends only on a seeded hash of (row_id, step), not on the
-parameters), the result goes to the shared checkpoint folder, and each step
-is then one aggregate over its own rows with the current parameters.  Lineage
-never grows: the step plans read the checkpoint.
+Plan: one job draws the minibatches of *all* steps (row selection depends only
+on a seeded hash of (row_id, step), not on the parameters) and writes them to
+the shared checkpoint folder.  The steps then run inside one more job:
+
+* while the drawn rows are few (``ROWS_PER_MB_PARTITION``), in one task;
+* beyond that, in a barrier stage whose tasks hold a share of every step's rows
+  each, add up their own gradients and exchange them by ``allGather``; all make
+  the same update.  A lost task restarts the stage from the written rows;
+* where a barrier stage cannot run (more tasks than slots, or executors that
+  are allocated dynamically), each step is an aggregate job of its own.
+
+Several models (one per fold left out) share the jobs; each has its own layout,
+sample, parameters and stop rule.
 """
 
 from __future__ import annotations
 
+import base64
 import math
+import pickle
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark import StorageLevel
+import pyarrow as pa
+from pyspark import BarrierTaskContext, StorageLevel, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import STREAM_SELECT, row_hash
-from ..operators.logistic import gradient, minibatch_fraction, minibatches, regularised_update
+from ..operators.gmm import batch_matrix, feature_frame
+from ..operators.logistic import (gradient, hot_slot_sql, minibatch_fraction, minibatches, partial_gradient, regularised_update)
+from ..operators.packed import ALL
 from ..spec import LogisticParams, MixedSpec, SlotLayout
-from .session import delete_folder, ensure_checkpoint_dir
+from .session import delete_folder, ensure_checkpoint_dir, local_parallelism
 
 ROWS_PER_MB_PARTITION = 200_000
 #: Slots that a model may have: its parameters are driver arrays of k x slots.
@@ -35,10 +49,58 @@ class SgdResult:
     converged: bool
 
 
-def draw_minibatches(df: DataFrame, spec: MixedSpec, layout: SlotLayout, n: int, max_iterations: int,
-                     minibatch_size: int, seed: int, hash_kind: str) -> tuple[DataFrame | None, str | None]:
-    """All minibatches at once: (step, row_id, features.., slot), steps 1..max_iterations-1; and the folder that
-    holds them, to delete after use.
+@dataclass(frozen=True)
+class SgdModel:
+    """A model to train: its slots, its number of rows, its start, and the part of the rows that it leaves out."""
+
+    layout: SlotLayout
+    n: int
+    start: LogisticParams
+    left_out: int = ALL
+
+
+@dataclass(frozen=True)
+class Schedule:
+    max_iterations: int
+    reg: float
+    lr0: float
+    lr_speed: float
+    radius: float
+    no_progress_tol: float = 1e-5
+    no_progress_steps: int = 10
+
+
+class Trainer:
+    """One model's parameters, history and stop rule."""
+
+    def __init__(self, start: LogisticParams, schedule: Schedule):
+        self.params, self.schedule = start.copy(), schedule
+        self.history: list[tuple[int, int, float, float]] = []
+        self.no_progress = 0
+
+    @property
+    def stopped(self) -> bool:
+        return self.no_progress >= self.schedule.no_progress_steps
+
+    def step(self, i: int, gW: np.ndarray, gV: np.ndarray, n: int) -> None:
+        """Step ``i`` with the summed gradients of ``n`` rows."""
+        s = self.schedule
+        lr = s.lr0 / (1.0 + s.lr_speed * (i - 1))
+        gW, gV = gW / n, gV / n
+        progress = float(np.abs(gW).sum())
+        self.no_progress = self.no_progress + 1 if progress < s.no_progress_tol else 0
+        self.history.append((i, int(n), progress, lr))
+        self.params = regularised_update(self.params, gW, gV, lr, s.reg, s.radius)
+
+
+def _own(df: DataFrame, part: str | None, model: SgdModel) -> DataFrame:
+    return df if model.left_out == ALL else df.where(F.col(part) != model.left_out)
+
+
+def draw_models(df: DataFrame, spec: MixedSpec, models: list[SgdModel], part: str | None, max_iterations: int, minibatch_size: int,
+                seed: int, hash_kind: str) -> tuple[DataFrame | None, str | None]:
+    """All minibatches of all models: (model, step, row_id, features.., slot, hot), steps 1..max_iterations-1; and the
+    folder that holds them, to delete after use.
 
     They are written to the shared checkpoint folder: to one file where they
     are few, otherwise partitioned by step, so that a step reads its own rows
@@ -48,67 +110,155 @@ def draw_minibatches(df: DataFrame, spec: MixedSpec, layout: SlotLayout, n: int,
     if not steps:
         return None, None
     spark = df.sparkSession
-    fraction = minibatch_fraction(n, minibatch_size)
-    parts = max(1, math.ceil(fraction * n * len(steps) / ROWS_PER_MB_PARTITION))
+    fractions = [minibatch_fraction(m.n, minibatch_size) for m in models]
+    parts = max(1, math.ceil(sum(f * m.n for f, m in zip(fractions, models)) * len(steps) / ROWS_PER_MB_PARTITION))
     folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/minibatches-{uuid.uuid4().hex}"
-    drawn = minibatches(df, spec, layout.n_slots, steps, fraction, seed, hash_kind)
+
+    def rows(source: DataFrame, k: int, of_steps: list[int], fraction: float) -> DataFrame:
+        hot = F.coalesce(F.expr(hot_slot_sql(models[k].layout)), F.lit(False))
+        return (minibatches(source, spec, models[k].layout.n_slots, of_steps, fraction, seed, hash_kind)
+                .withColumn("hot", hot).withColumn("model", F.lit(k)))
+
+    drawn = None
+    for k, m in enumerate(models):
+        own = rows(_own(df, part, m), k, steps, fractions[k])
+        drawn = own if drawn is None else drawn.unionByName(own)
     if parts == 1:
         drawn.repartition(1).write.parquet(folder)
     else:
         salt = F.pmod(F.xxhash64(spec.row_id), F.lit(math.ceil(parts / len(steps))))
         drawn.repartition(parts, "step", salt).write.partitionBy("step").parquet(folder)
     mb = spark.read.schema(drawn.schema).parquet(folder)
-    counts = {int(r["step"]): int(r["count"]) for r in mb.groupBy("step").count().collect()}  # <= steps rows
-    empty = [s for s in steps if not counts.get(s)]
-    if empty and n > 0:
+    counts = {(r["model"], r["step"]): r["count"] for r in mb.groupBy("model", "step").count().collect()}  # <= models x steps rows
+    extra = None
+    for k, m in enumerate(models):
+        empty = [s for s in steps if not counts.get((k, s))]
+        if not empty or not m.n:
+            continue
+        own = _own(df, part, m)
         least = [F.min(F.struct(row_hash(hash_kind, F.col(spec.row_id), s, seed, STREAM_SELECT).alias("h"),
                                 F.col(spec.row_id).alias("id"))).alias(f"m{s}") for s in empty]
-        row = df.agg(*least).first()
-        extra = None
+        found = own.agg(*least).first()
         for s in empty:
-            e = (minibatches(df.where(F.col(spec.row_id) == F.lit(row[f"m{s}"]["id"])).limit(1), spec, layout.n_slots, [s], 1.0,
-                             seed, hash_kind))
-            extra = e if extra is None else extra.unionByName(e)
+            one = rows(own.where(F.col(spec.row_id) == F.lit(found[f"m{s}"]["id"])).limit(1), k, [s], 1.0)
+            extra = one if extra is None else extra.unionByName(one)
+    if extra is not None:
         extra = extra.repartition(1)
         (extra.write if parts == 1 else extra.write.partitionBy("step")).mode("append").parquet(folder)
         mb = spark.read.schema(drawn.schema).parquet(folder)
     return mb, folder
 
 
-def train_sgd(df: DataFrame, spec: MixedSpec, layout: SlotLayout, n: int, start: LogisticParams, *,
-              max_iterations: int, minibatch_size: int, reg: float, lr0: float, lr_speed: float, radius: float,
-              seed: int, hash_kind: str, no_progress_tol: float = 1e-5, no_progress_steps: int = 10) -> SgdResult:
-    params = start.copy()
-    history: list[tuple[int, int, float, float]] = []
-    if layout.n_slots == 0:  # all-continuous input: no categorical slot to model
-        return SgdResult(params, history, False)
-    mb, folder = draw_minibatches(df, spec, layout, n, max_iterations, minibatch_size, seed, hash_kind)
-    if mb is None:
-        return SgdResult(params, history, False)
-    # A cached single-partition copy of few rows reports SinglePartition, so each
-    # step's aggregate runs as one stage with no exchange (a lost block is read again).
-    few = minibatch_fraction(n, minibatch_size) * n * max_iterations <= ROWS_PER_MB_PARTITION
-    if few:
-        mb = mb.repartition(1).persist(StorageLevel.MEMORY_AND_DISK)
+def draw_minibatches(df: DataFrame, spec: MixedSpec, layout: SlotLayout, n: int, max_iterations: int,
+                     minibatch_size: int, seed: int, hash_kind: str) -> tuple[DataFrame | None, str | None]:
+    """:func:`draw_models` for one model of all rows."""
+    one = SgdModel(layout, n, LogisticParams(np.zeros((1, spec.d + 1)), np.zeros((1, layout.n_slots)), 1.0))
+    return draw_models(df, spec, [one], None, max_iterations, minibatch_size, seed, hash_kind)
+
+
+def _loop_in_one_job(mb: DataFrame, spec: MixedSpec, starts: list[LogisticParams], schedule: Schedule, tasks: int, barrier: bool) -> list[SgdResult]:
+    """All steps of all models in one job of ``tasks`` tasks that each hold a share of the rows."""
+    width, d, is_array = len(feature_frame(mb, spec).columns) if spec.d else 0, spec.d, bool(spec.cont_array)
+    features = [F.col(spec.cont_array).cast("array<double>").alias("features")] if is_array else [F.col(c).cast("double") for c in spec.cont_cols]
+    rows = mb.select(*features, F.col("model").alias("__model"), F.col("step").cast("int").alias("__step"), F.col("slot").alias("__slot"),
+                     F.col("hot").alias("__hot"), F.col(spec.row_id).alias("__row"))
+    starts = [p.copy() for p in starts]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        X, keys = [np.empty((0, d + 1))], [np.empty((4, 0), dtype=np.int64)]
+        for b in batches:
+            own = batch_matrix(b.select(range(width)), d, is_array) if d else np.empty((b.num_rows, 0))
+            X.append(np.column_stack([own, np.ones(b.num_rows)]))
+            keys.append(np.array([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns[width:width + 4]]))
+        X, keys = np.concatenate(X), np.concatenate(keys, axis=1)
+        order = np.lexsort((keys[1], keys[0]))
+        X, (model, step, slot, hot) = X[order], keys[:, order]
+        at = model * schedule.max_iterations + step
+        trainers = [Trainer(p, schedule) for p in starts]
+        context = BarrierTaskContext.get() if barrier else None
+        for i in range(1, schedule.max_iterations):
+            running = [m for m, t in enumerate(trainers) if not t.stopped]
+            if not running:
+                break
+            mine = []
+            for m in running:
+                a, b = np.searchsorted(at, [m * schedule.max_iterations + i, m * schedule.max_iterations + i + 1])
+                mine.append(partial_gradient(X[a:b], slot[a:b], hot[a:b].astype(bool), trainers[m].params))
+            parts = [mine]
+            if context is not None:  # the same gradients in the same order everywhere, hence the same update
+                parts = [pickle.loads(base64.b64decode(x)) for x in context.allGather(base64.b64encode(pickle.dumps(mine)).decode())]
+            for k, m in enumerate(running):
+                gW, gV, n = np.zeros_like(trainers[m].params.W), np.zeros_like(trainers[m].params.V), 0
+                for part in parts:
+                    own_V, slots, own_W, own_n = part[k]
+                    gV += own_V
+                    gW[:, slots] += own_W
+                    n += own_n
+                trainers[m].step(i, gW, gV, n)
+        if TaskContext.get().partitionId() == 0:
+            cells = [[t.params.V.tobytes() for t in trainers], [t.params.W.tobytes() for t in trainers],
+                     [np.array(t.history, dtype=float).tobytes() for t in trainers]]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(trainers)), pa.int32()), *[pa.array(c, pa.binary()) for c in cells],
+                                              pa.array([t.stopped for t in trainers])], ["model", "v", "w", "history", "converged"])
+
+    dealt = rows.repartition(tasks) if tasks == 1 else rows.repartition(tasks, F.xxhash64("__row", "__step"))
+    found = dealt.mapInArrow(run, "model int, v binary, w binary, history binary, converged boolean", barrier=barrier).collect()  # one row a model
+    out = []
+    for r, p in zip(sorted(found, key=lambda r: r["model"]), starts, strict=True):
+        history = np.frombuffer(r["history"]).reshape(-1, 4)
+        params = LogisticParams(np.frombuffer(r["v"]).reshape(p.V.shape).copy(), np.frombuffer(r["w"]).reshape(p.W.shape).copy(), p.lam)
+        out.append(SgdResult(params, [(int(a), int(b), float(c), float(e)) for a, b, c, e in history], r["converged"]))
+    return out
+
+
+def _loop_of_jobs(mb: DataFrame, spec: MixedSpec, models: list[SgdModel], schedule: Schedule) -> list[SgdResult]:
+    """One aggregate job for each step of each model."""
+    out = []
+    for k, m in enumerate(models):
+        trainer = Trainer(m.start, schedule)
+        for i in range(1, schedule.max_iterations):
+            if trainer.stopped:
+                break
+            gW, gV, n = gradient(mb.where((F.col("model") == k) & (F.col("step") == i)), trainer.params, spec, m.layout)
+            trainer.step(i, gW, gV, n)
+        out.append(SgdResult(trainer.params, trainer.history, trainer.stopped))
+    return out
+
+
+def loop_form(spark, rows: float) -> tuple[str, int]:
+    """How the steps over that many drawn rows run, and in how many tasks."""
+    tasks = max(1, math.ceil(rows / ROWS_PER_MB_PARTITION))
+    if tasks == 1:
+        return "task", 1
+    dynamic = str(spark.conf.get("spark.dynamicAllocation.enabled", "false")).lower() == "true"
+    return ("barrier" if tasks <= (local_parallelism(spark) or 0) and not dynamic else "jobs"), tasks
+
+
+def train_sgd_models(df: DataFrame, spec: MixedSpec, models: list[SgdModel], part: str | None = None, *, minibatch_size: int, seed: int,
+                     hash_kind: str, loop: str = "auto", tasks: int | None = None, **schedule) -> list[SgdResult]:
+    """Train every model on its rows of ``df``; ``loop`` is "auto", "task", "barrier" (of ``tasks`` tasks) or "jobs", with the same results."""
+    plan = Schedule(**schedule)
+    if loop not in ("auto", "task", "barrier", "jobs"):
+        raise ValueError(f"unknown loop {loop!r}")
+    # all-continuous input: no categorical slot to model
+    if all(m.layout.n_slots == 0 for m in models) or plan.max_iterations <= 1:
+        return [SgdResult(m.start.copy(), [], False) for m in models]
+    mb, folder = draw_models(df, spec, models, part, plan.max_iterations, minibatch_size, seed, hash_kind)
     try:
-        no_progress = 0
-        i = 1
-        while i < max_iterations and no_progress < no_progress_steps:
-            batch = mb.where(F.col("step") == i)
-            gW_sum, gV_sum, cnt = gradient(batch, params, spec, layout)
-            lr = lr0 / (1.0 + lr_speed * (i - 1))
-            gW = gW_sum / cnt
-            gV = gV_sum / cnt
-            progress = float(np.abs(gW).sum())
-            no_progress = no_progress + 1 if progress < no_progress_tol else 0
-            history.append((i, int(cnt), progress, lr))
-            params = regularised_update(params, gW, gV, lr, reg, radius)
-            i += 1
+        if loop == "auto":
+            loop, tasks = loop_form(df.sparkSession, sum(minibatch_fraction(m.n, minibatch_size) * m.n for m in models) * (plan.max_iterations - 1))
+        if loop != "jobs":
+            return _loop_in_one_job(mb, spec, [m.start for m in models], plan, tasks or 1 if loop == "barrier" else 1, loop == "barrier")
+        mb = mb.persist(StorageLevel.MEMORY_AND_DISK) if sum(m.n for m in models) <= ROWS_PER_MB_PARTITION else mb
+        return _loop_of_jobs(mb, spec, models, plan)
     finally:
-        if few:
-            mb.unpersist()
+        mb.unpersist()
         delete_folder(df.sparkSession, folder)
-    return SgdResult(params, history, no_progress >= no_progress_steps)
+
+
+def train_sgd(df: DataFrame, spec: MixedSpec, layout: SlotLayout, n: int, start: LogisticParams, **options) -> SgdResult:
+    """Train one model on all rows; options as in :func:`train_sgd_models`."""
+    return train_sgd_models(df, spec, [SgdModel(layout, n, start)], **options)[0]
 
 
 def history_frame(spark, history: list[tuple[int, int, float, float]]) -> DataFrame:
