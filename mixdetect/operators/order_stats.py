@@ -98,20 +98,24 @@ def global_positions(df: DataFrame, order_cols: list[str], n: int | None = None,
 
 
 def checkpointed_positions(df: DataFrame, order_cols: list[str], n: int | None = None, n_buckets: int | None = None,
-                           out: str = "pos") -> tuple[DataFrame, int, DataFrame]:
+                           out: str = "pos") -> tuple[DataFrame, int, DataFrame | None]:
     """:func:`global_positions`, the row count, which the per-partition counts
-    give for free (no separate counting scan), and the checkpointed frame.
+    give for free, and the checkpointed frame.
 
-    Partitions follow from the number of rows when ``n`` is known, else from
-    the session's shuffle partitions, which Spark coalesces by size.
+    Partitions follow from the number of rows.  One bucket's worth of rows is
+    numbered by a window in one task; it needs no checkpoint (None).
     """
     from ..plans.session import ensure_checkpoint_dir
 
-    if n_buckets is None and n is not None:
+    if n_buckets is None:
+        n = df.count() if n is None else n
         n_buckets = max(1, math.ceil(n / ROWS_PER_BUCKET))
     keys = [*order_cols, "__tb"]
     local_bits = 33  # monotonically_increasing_id = partition index << 33 | row index
     t = df.withColumn("__tb", F.monotonically_increasing_id())
+    if n is not None and n_buckets == 1:
+        place = F.row_number().over(Window.orderBy(*keys)) - 1
+        return t.withColumn(out, place.cast("long")).drop("__tb"), int(n), None
     t = t.repartitionByRange(n_buckets, *keys) if n_buckets else t.repartitionByRange(*keys)
     t = t.sortWithinPartitions(*keys).withColumn("__mid", F.monotonically_increasing_id())
     ensure_checkpoint_dir(df.sparkSession)
@@ -154,22 +158,28 @@ def auc_frame(df: DataFrame, score: str | Column, label: str = "label", n_bucket
     if digits is not None:
         s = F.round(s, digits) + F.lit(0.0)
     rows = df.select(s.cast("double").alias("s"), F.col(label).alias("y"))
-    ranked = F.col("s").isNotNull() & ~F.isnan("s") & F.col("y").isNotNull()
-    other = F.col("y").isNotNull() & ~F.col("y").isin(0, 1)
-    # rows out of the ranking meet in the group of the null score
-    g = rows.groupBy(F.when(ranked, F.col("s")).alias("s")).agg(
-        F.sum(F.when(ranked & (F.col("y") == 1), 1).otherwise(0)).cast("long").alias("pos"),
-        F.sum(F.when(ranked & (F.col("y") == 0), 1).otherwise(0)).cast("long").alias("neg"),
-        F.sum(F.when(~ranked, 1).otherwise(0)).cast("long").alias("out"),
-        F.sum(F.when(other, 1).otherwise(0)).cast("long").alias("other"))
+    y = F.col("y")
+    # the score stands once in this plan, as the key; the sums look at the label alone
+    g = rows.groupBy("s").agg(F.sum(F.when(y == 1, 1).otherwise(0)).cast("long").alias("pos"),
+                              F.sum(F.when(y == 0, 1).otherwise(0)).cast("long").alias("neg"), F.count("*").alias("rows"),
+                              F.sum(F.when(y.isNotNull() & ~y.isin(0, 1), 1).otherwise(0)).cast("long").alias("other"))
     g = g.persist(StorageLevel.MEMORY_AND_DISK)
+    ranked = F.col("s").isNotNull() & ~F.isnan("s")
     try:
-        counts = g.agg(F.sum("out").alias("out"), F.sum("other").alias("other"), F.count("s").alias("n")).first()
+        counts = g.agg(F.sum(F.when(ranked, F.col("rows") - F.col("pos") - F.col("neg")).otherwise(F.col("rows"))).alias("out"),
+                       F.sum("other").alias("other"), F.sum(ranked.cast("long")).alias("n")).first()
         if counts["other"]:
             raise ValueError(f"{counts['other']} rows have a label other than 0 and 1")
-        parts = n_buckets or max(1, math.ceil(counts["n"] / ROWS_PER_BUCKET))
-        sums = (g.where("s is not null").select("s", "pos", "neg").repartitionByRange(parts, "s").sortWithinPartitions("s")
-                .mapInArrow(_ranked_sums, "s double, pos long, neg long, c double").collect())  # one row per partition
+        parts = n_buckets or max(1, math.ceil((counts["n"] or 0) / ROWS_PER_BUCKET))
+        own = g.where(ranked).select("s", "pos", "neg")
+        if parts == 1:
+            below = F.sum("neg").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("neg")
+            row = own.select("s", "pos", "neg", (F.col("pos") * (below + 0.5 * F.col("neg"))).alias("c")).agg(
+                F.min("s").alias("s"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.sum("c").alias("c")).first()
+            sums = [row] if row["pos"] is not None else []
+        else:
+            sums = (own.repartitionByRange(parts, "s").sortWithinPartitions("s")
+                    .mapInArrow(_ranked_sums, "s double, pos long, neg long, c double").collect())  # one row per partition
     finally:
         g.unpersist()
     below = total = 0.0

@@ -41,8 +41,10 @@ def delete_folder(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
-def delete_checkpoint(df: DataFrame) -> None:
-    """Delete the files of a checkpointed frame that is not read any more."""
+def delete_checkpoint(df: DataFrame | None) -> None:
+    """Delete the files of a checkpointed frame (if any) that is not read any more."""
+    if df is None:
+        return
     file = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
     if file.isDefined():
         delete_folder(df.sparkSession, file.get())
