@@ -325,7 +325,8 @@ KMEANS_ROUNDS = 5
 
 
 def hashed_kmeans_means(df: DataFrame, spec: MixedSpec, K: int, seed: int, max_iter: int = 100, tol: float = 1e-4,
-                        hash_kind: str = "xxhash", rounds: int = KMEANS_ROUNDS, oversampling: float | None = None) -> np.ndarray:
+                        hash_kind: str = "xxhash", rounds: int = KMEANS_ROUNDS, oversampling: float | None = None,
+                        form: str = "auto") -> np.ndarray:
     """Partition-independent k-means|| start and Lloyd steps, over all rows.
 
     The first seed is the row with the least seeded hash of ``row_id``.  In
@@ -337,10 +338,10 @@ def hashed_kmeans_means(df: DataFrame, spec: MixedSpec, K: int, seed: int, max_i
     Lloyd steps over the weighted candidates, then over all rows, follow until no centre moves by ``tol``; an empty cluster
     keeps its centre.
     """
-    from .packed import kmeans_draws, kmeans_start, packed_rows
+    from .packed import ALL, kmeans_draws, packed_kmeans, packed_rows, run_passes
 
     with packed_rows(df, spec, draws=kmeans_draws(spec, seed, hash_kind, rounds)) as packed:
-        return kmeans_start(df, packed, spec, K, seed, max_iter, hash_kind, tol=tol, oversampling=oversampling)[0]
+        return run_passes(packed, lambda passes: packed_kmeans(passes, [ALL], K, max_iter, tol, oversampling), form)[0]
 
 
 def _weighted_lloyd(points: np.ndarray, weight: np.ndarray, centres: np.ndarray, max_iter: int, tol: float) -> np.ndarray:
@@ -358,12 +359,12 @@ def _weighted_lloyd(points: np.ndarray, weight: np.ndarray, centres: np.ndarray,
     return centres
 
 
-def lloyd(df: DataFrame, spec: MixedSpec, centres: np.ndarray, max_iter: int, tol: float) -> np.ndarray:
+def lloyd(df: DataFrame, spec: MixedSpec, centres: np.ndarray, max_iter: int, tol: float, form: str = "auto") -> np.ndarray:
     """k-means steps over all rows until no centre moves by ``tol``."""
-    from .packed import ALL, packed_lloyd, packed_rows
+    from .packed import ALL, packed_lloyd, packed_rows, run_passes
 
     with packed_rows(df, spec) as packed:
-        return packed_lloyd(packed, [centres], [ALL], max_iter, tol)[0]
+        return run_passes(packed, lambda passes: packed_lloyd(passes, [centres], [ALL], max_iter, tol), form)[0]
 
 
 def _assigned(df: DataFrame, spec: MixedSpec, centres: np.ndarray) -> DataFrame:

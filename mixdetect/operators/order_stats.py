@@ -163,25 +163,25 @@ def auc_frame(df: DataFrame, score: str | Column, label: str = "label", n_bucket
     g = rows.groupBy("s").agg(F.sum(F.when(y == 1, 1).otherwise(0)).cast("long").alias("pos"),
                               F.sum(F.when(y == 0, 1).otherwise(0)).cast("long").alias("neg"), F.count("*").alias("rows"),
                               F.sum(F.when(y.isNotNull() & ~y.isin(0, 1), 1).otherwise(0)).cast("long").alias("other"))
-    g = g.persist(StorageLevel.MEMORY_AND_DISK)
     ranked = F.col("s").isNotNull() & ~F.isnan("s")
-    try:
-        counts = g.agg(F.sum(F.when(ranked, F.col("rows") - F.col("pos") - F.col("neg")).otherwise(F.col("rows"))).alias("out"),
-                       F.sum("other").alias("other"), F.sum(ranked.cast("long")).alias("n")).first()
-        if counts["other"]:
-            raise ValueError(f"{counts['other']} rows have a label other than 0 and 1")
-        parts = n_buckets or max(1, math.ceil((counts["n"] or 0) / ROWS_PER_BUCKET))
-        own = g.where(ranked).select("s", "pos", "neg")
-        if parts == 1:
-            below = F.sum("neg").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("neg")
-            row = own.select("s", "pos", "neg", (F.col("pos") * (below + 0.5 * F.col("neg"))).alias("c")).agg(
-                F.min("s").alias("s"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.sum("c").alias("c")).first()
-            sums = [row] if row["pos"] is not None else []
-        else:
-            sums = (own.repartitionByRange(parts, "s").sortWithinPartitions("s")
+    left = [F.sum(F.when(ranked, F.col("rows") - F.col("pos") - F.col("neg")).otherwise(F.col("rows"))).alias("out"), F.sum("other").alias("other")]
+    own = [F.when(ranked, F.col(c)).otherwise(0) for c in ("pos", "neg")]
+    if n_buckets is None and df.select(label).count() <= ROWS_PER_BUCKET:  # few rows: all in one job
+        below = F.sum(own[1]).over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - own[1]
+        counts = (g.select("*", (own[0] * (below + 0.5 * own[1])).alias("c"))
+                  .agg(*left, F.min(F.when(ranked, F.col("s"))).alias("s"), F.sum(own[0]).alias("pos"), F.sum(own[1]).alias("neg"), F.sum("c").alias("c")).first())
+        sums = [] if counts["s"] is None else [counts]
+    else:
+        g = g.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            counts = g.agg(*left, F.sum(ranked.cast("long")).alias("n")).first()
+            parts = n_buckets or max(1, math.ceil((counts["n"] or 0) / ROWS_PER_BUCKET))
+            sums = (g.where(ranked).select("s", "pos", "neg").repartitionByRange(parts, "s").sortWithinPartitions("s")
                     .mapInArrow(_ranked_sums, "s double, pos long, neg long, c double").collect())  # one row per partition
-    finally:
-        g.unpersist()
+        finally:
+            g.unpersist()
+    if counts["other"]:
+        raise ValueError(f"{counts['other']} rows have a label other than 0 and 1")
     below = total = 0.0
     n_pos = n_neg = 0
     for r in sorted(sums, key=lambda r: r["s"]):

@@ -8,6 +8,14 @@ persisted, and a pass is a fixed Arrow function to which the parameters are
 bound: its plan has no generated class that depends on them.  Each partition
 returns its sums, which are added up per position.
 
+An algorithm is written against :class:`Passes` (sums over all rows, candidate
+rows) and does not see how they are made.  :func:`run_passes` chooses: up to
+``TASK_ROWS`` rows the whole algorithm runs inside one task of one job; beyond
+that each pass is a job of one stage over the persisted frame, whose partitions
+return their sums to the driver while those are few, and add them up by a
+shuffle otherwise.  The results are the same.  (A barrier stage with
+``allGather`` was measured at one second an exchange, four times a job.)
+
 Several models may share the passes.  A row carries the number of its part (its
 fold); a model reads all rows but those of the part it leaves out.  Every pass
 serves all models that have not yet stopped.
@@ -15,6 +23,7 @@ serves all models that have not yet stopped.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
@@ -81,20 +90,136 @@ def _blocks(packed: Packed, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple
             yield x.reshape(packed.d, n), part, draws[0].reshape(-1, n) if draws else None
 
 
-def block_sums(packed: Packed, visit: Callable, size: int) -> np.ndarray:
-    """``size`` sums: ``visit(sums, X, part)`` adds a block's."""
+class Passes:
+    """Passes over all rows: ``sums`` adds up what ``visit(sums, X, part)`` adds per block, ``drawn`` returns candidate rows."""
+
+    d: int
+    rounds: int
+
+    def sums(self, visit: Callable, size: int) -> np.ndarray:
+        raise NotImplementedError
+
+    def drawn(self, step: int, C: list[np.ndarray], left_out: list[int], share: list[float]) -> list[np.ndarray]:
+        """Per model the distinct rows whose uniform is below ``share`` times the squared distance to the nearest candidate."""
+        raise NotImplementedError
+
+    def first(self, left_out: list[int]) -> list[np.ndarray]:
+        """Per model the row with the least uniform of round 0."""
+        raise NotImplementedError
+
+
+def _draw(X: np.ndarray, part: np.ndarray, draws: np.ndarray, step: int, C: list[np.ndarray], left_out: list[int], share: list[float]) -> list[np.ndarray]:
+    out = []
+    for c, skip, s in zip(C, left_out, share, strict=True):
+        rows, u = (X, draws[step]) if skip == ALL else (X[:, part != skip], draws[step][part != skip])
+        out.append(rows[:, u < _nearest(rows, c)[0] * s].T)
+    return out
+
+
+def _least(X: np.ndarray, part: np.ndarray, draws: np.ndarray, left_out: list[int]) -> list[tuple]:
+    """Per model (uniform, row) of the row with the least uniform of round 0, ties by its values; None without rows."""
+    out = []
+    for skip in left_out:
+        rows, u = (X, draws[0]) if skip == ALL else (X[:, part != skip], draws[0][part != skip])
+        ties = rows[:, u == u.min()] if u.size else None
+        out.append(None if ties is None else (float(u.min()), tuple(min(map(tuple, ties.T.tolist())))))
+    return out
+
+
+def _first_of(found: list[list[tuple]]) -> list[np.ndarray]:
+    return [np.array([min(f[k] for f in found if f[k] is not None)[1]], dtype=float) for k in range(len(found[0]))]
+
+
+class JobPasses(Passes):
+    """A Spark job for each pass."""
+
+    def __init__(self, packed: Packed, partitions: int):
+        self.packed, self.partitions, self.d, self.rounds = packed, partitions, packed.d, packed.rounds
+
+    def sums(self, visit, size):
+        shape = Packed(None, self.d, self.rounds)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(size)
+            for X, part, _ in _blocks(shape, batches):
+                visit(total, X, part)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(size, dtype=np.int32)), pa.array(total)], ["i", "v"])
+
+        parts = self.packed.frame.select("n", "x", "part").mapInArrow(run, "i int, v double")
+        direct = self.partitions * size <= DRIVER_SUMS
+        got = (parts if direct else parts.groupBy("i").agg(F.sum("v").alias("v"))).toArrow()
+        return np.bincount(got.column("i").to_numpy(), weights=got.column("v").to_numpy(), minlength=size)
+
+    def drawn(self, step, C, left_out, share):
+        shape = Packed(None, self.d, self.rounds)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for X, part, draws in _blocks(shape, batches):
+                for m, hit in enumerate(_draw(X, part, draws, step, C, left_out, share)):
+                    if len(hit):
+                        flat = pa.ListArray.from_arrays(np.arange(0, hit.size + 1, hit.shape[1], dtype=np.int32), pa.array(hit.ravel()))
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hit), m, dtype=np.int32)), flat], ["m", "x"])
+
+        got = self.packed.frame.mapInArrow(run, "m int, x array<double>").toArrow()  # some 2K rows a model expected
+        m, x = got.column("m").to_numpy(), got.column("x").to_pylist()
+        return [np.unique(np.array([row for i, row in zip(m, x) if i == k], dtype=float).reshape(-1, self.d), axis=0) for k in range(len(C))]
+
+
+    def first(self, left_out):
+        shape = Packed(None, self.d, self.rounds)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found = [_least(X, part, draws, left_out) for X, part, draws in _blocks(shape, batches)]
+            best = [min((f[k] for f in found if f[k] is not None), default=None) for k in range(len(left_out))]
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(best)], pa.binary())], ["best"])  # one row a partition
+
+        return _first_of([pickle.loads(r["best"]) for r in self.packed.frame.mapInArrow(run, "best binary").collect()])
+
+
+class TaskPasses(Passes):
+    """Inside the one task that holds all blocks."""
+
+    def __init__(self, blocks: list, d: int, rounds: int):
+        self.blocks, self.d, self.rounds = blocks, d, rounds
+
+    def sums(self, visit, size):
+        total = np.zeros(size)
+        for X, part, _ in self.blocks:
+            visit(total, X, part)
+        return total
+
+    def drawn(self, step, C, left_out, share):
+        found = [_draw(X, part, draws, step, C, left_out, share) for X, part, draws in self.blocks]
+        return [np.unique(np.concatenate([f[k] for f in found]), axis=0) for k in range(len(C))]
+
+
+    def first(self, left_out):
+        return _first_of([_least(X, part, draws, left_out) for X, part, draws in self.blocks])
+
+
+#: Rows, and packed bytes, up to which one task runs an algorithm.
+TASK_ROWS, TASK_BYTES = 1_000_000, 64_000_000
+#: Numbers that the partitions of a pass may send to the driver.
+DRIVER_SUMS = 1_000_000
+
+
+def run_passes(packed: Packed, algorithm: Callable[[Passes], object], form: str = "auto"):
+    """``algorithm(passes)``, in one task ("task") while the rows are few, else with a job for each pass ("passes")."""
+    # fills the cache
+    row = packed.frame.select("n", F.spark_partition_id().alias("p")).agg(F.sum("n").alias("n"), F.max("p").alias("last")).first()
+    n, partitions = row["n"] or 0, (row["last"] or 0) + 1
+    if form == "auto":
+        form = "task" if n <= TASK_ROWS and n * (packed.d + packed.rounds + 1) * 8 <= TASK_BYTES else "passes"
+    if form == "passes":
+        return algorithm(JobPasses(packed, partitions))
     shape = Packed(None, packed.d, packed.rounds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(size)
-        for X, part, _ in _blocks(shape, batches):
-            visit(sums, X, part)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size, dtype=np.int32)), pa.array(sums)], ["i", "v"])
-
-    got = packed.frame.select("n", "x", "part").mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow()
-    out = np.zeros(size)
-    out[got.column("i").to_numpy()] = got.column("v").to_numpy()
-    return out
+        blocks = [tuple(None if a is None else a.copy() for a in b) for b in _blocks(shape, batches)]
+        result = algorithm(TaskPasses(blocks, shape.d, shape.rounds))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(result)], pa.binary())], ["result"])
+
+    return pickle.loads(packed.frame.repartition(1).mapInArrow(run, "result binary").first()["result"])  # parameters
 
 
 def _rows_of(X: np.ndarray, part: np.ndarray, left_out: int) -> np.ndarray:
@@ -138,7 +263,7 @@ def _add_estep(sums: np.ndarray, X: np.ndarray, p: GmmParams) -> None:
             sums[2 + K + (K + m) * d + c] += weighted @ off
 
 
-def packed_estep(packed: Packed, params: list[GmmParams], left_out: list[int]) -> list[Stats]:
+def packed_estep(passes: Passes, params: list[GmmParams], left_out: list[int]) -> list[Stats]:
     """One E-step of every model in one pass."""
     params = [p.copy() for p in params]
     at = _offsets([2 + p.K + 2 * p.K * p.d for p in params])
@@ -147,7 +272,7 @@ def packed_estep(packed: Packed, params: list[GmmParams], left_out: list[int]) -
         for p, skip, a, b in zip(params, left_out, at, at[1:]):
             _add_estep(sums[a:b], _rows_of(X, part, skip), p)
 
-    total, out = block_sums(packed, visit, at[-1]), []
+    total, out = passes.sums(visit, at[-1]), []
     for p, a, b in zip(params, at, at[1:]):
         s, K, d = total[a:b], p.K, p.d
         out.append(Stats(float(s[1]), s[2:2 + K], s[2 + K:2 + K + K * d].reshape(K, d), s[2 + K + K * d:].reshape(K, d), int(round(s[0]))))
@@ -157,9 +282,9 @@ def packed_estep(packed: Packed, params: list[GmmParams], left_out: list[int]) -
 # -- k-means start -------------------------------------------------------------------------------
 
 def kmeans_draws(spec: MixedSpec, seed: int, hash_kind: str, rounds: int = KMEANS_ROUNDS) -> list[Column]:
-    """A row's uniform number for each round of candidates."""
+    """A row's uniform numbers: for the choice of the first candidate, and for each round of candidates."""
     return [(row_hash(hash_kind, F.col(spec.row_id), t, seed, STREAM_KMEANS).cast("double") + F.lit(0.5)) / F.lit(float(HASH_RANGE))
-            for t in range(1, rounds + 1)]
+            for t in range(rounds + 1)]
 
 
 def _nearest(X: np.ndarray, C: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -174,34 +299,6 @@ def _nearest(X: np.ndarray, C: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return best, at
 
 
-def _first_rows(df: DataFrame, spec: MixedSpec, part: str | None, left_out: list[int], seed: int, hash_kind: str) -> list[np.ndarray]:
-    """For each model the row with the least hash."""
-    rid = F.col(spec.row_id)
-    row = F.struct(row_hash(hash_kind, rid, 0, seed, STREAM_KMEANS).alias("h"), rid.alias("id"),
-                   F.array(*[x.cast("double") for x in spec.cont_exprs()]).alias("x"))
-    mine = [row if skip == ALL else F.when(F.col(part) != skip, row) for skip in left_out]
-    got = df.agg(*[F.min(r).alias(f"m{i}") for i, r in enumerate(mine)]).first()
-    return [np.array([list(r["x"])], dtype=float) for r in got]
-
-
-def _drawn(packed: Packed, step: int, C: list[np.ndarray], left_out: list[int], share: list[float]) -> list[np.ndarray]:
-    """Rows drawn as candidates: those whose uniform is below ``share`` times the squared distance to the nearest candidate."""
-    shape = Packed(None, packed.d, packed.rounds)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for X, part, draws in _blocks(shape, batches):
-            for m, (c, skip, s) in enumerate(zip(C, left_out, share, strict=True)):
-                rows, u = (X, draws[step - 1]) if skip == ALL else (X[:, part != skip], draws[step - 1][part != skip])
-                hit = rows[:, u < _nearest(rows, c)[0] * s]
-                if hit.shape[1]:
-                    flat = pa.ListArray.from_arrays(np.arange(0, hit.size + 1, len(hit), dtype=np.int32), pa.array(hit.T.ravel()))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(hit.shape[1], m, dtype=np.int32)), flat], ["m", "x"])
-
-    got = packed.frame.mapInArrow(run, "m int, x array<double>").distinct().toArrow()  # some 2K rows a model expected
-    m, x = got.column("m").to_numpy(), got.column("x").to_pylist()
-    return [np.array([row for i, row in zip(m, x) if i == k], dtype=float).reshape(-1, packed.d) for k in range(len(C))]
-
-
 def _seeds(C: np.ndarray, weight: np.ndarray, K: int, max_iter: int, tol: float) -> np.ndarray:
     """The heaviest candidate, then always the one of the largest weight x squared distance; moved by steps over the candidates."""
     centres = [C[np.argmax(weight)]]
@@ -211,12 +308,12 @@ def _seeds(C: np.ndarray, weight: np.ndarray, K: int, max_iter: int, tol: float)
     return _weighted_lloyd(C, weight, np.array(centres), max_iter, tol)
 
 
-def packed_kmeans(packed: Packed, first: list[np.ndarray], left_out: list[int], K: int, max_iter: int = 100, tol: float = 1e-4,
+def packed_kmeans(passes: Passes, left_out: list[int], K: int, max_iter: int = 100, tol: float = 1e-4,
                   oversampling: float | None = None) -> list[np.ndarray]:
     """k-means start and Lloyd steps of every model over all its rows; see ``gmm.hashed_kmeans_means`` for the rule."""
-    C, d = list(first), packed.d
+    C = passes.first(left_out)
     running = list(range(len(C)))
-    for step in range(1, packed.rounds + 1):
+    for step in range(1, passes.rounds):
         own = [C[f] for f in running]
         skip = [left_out[f] for f in running]
 
@@ -224,12 +321,12 @@ def packed_kmeans(packed: Packed, first: list[np.ndarray], left_out: list[int],
             for i, (c, s) in enumerate(zip(own, skip)):
                 sums[i] += _nearest(_rows_of(X, part, s), c)[0].sum()
 
-        costs = block_sums(packed, cost, len(running))
+        costs = passes.sums(cost, len(running))
         running = [f for f, c in zip(running, costs) if c > 0]
         if not running:
             break
         share = [(oversampling or 2.0 * K) / c for c in costs if c > 0]
-        for f, new in zip(running, _drawn(packed, step, [C[f] for f in running], [left_out[f] for f in running], share)):
+        for f, new in zip(running, passes.drawn(step, [C[f] for f in running], [left_out[f] for f in running], share)):
             if len(new):
                 C[f] = np.unique(np.concatenate([C[f], new]), axis=0)
 
@@ -239,12 +336,12 @@ def packed_kmeans(packed: Packed, first: list[np.ndarray], left_out: list[int],
         for c, s, a, b in zip(C, left_out, at, at[1:]):
             sums[a:b] += np.bincount(_nearest(_rows_of(X, part, s), c)[1], minlength=len(c))
 
-    weights = block_sums(packed, weigh, at[-1])
+    weights = passes.sums(weigh, at[-1])
     centres = [_seeds(c, weights[a:b], K, max_iter, tol) for c, a, b in zip(C, at, at[1:])]
-    return packed_lloyd(packed, centres, left_out, max_iter, tol) if d else centres
+    return packed_lloyd(passes, centres, left_out, max_iter, tol)
 
 
-def packed_lloyd(packed: Packed, centres: list[np.ndarray], left_out: list[int], max_iter: int, tol: float) -> list[np.ndarray]:
+def packed_lloyd(passes: Passes, centres: list[np.ndarray], left_out: list[int], max_iter: int, tol: float) -> list[np.ndarray]:
     """k-means steps over all rows until no centre of a model moves by ``tol``; an empty cluster keeps its centre."""
     C = [c.copy() for c in centres]
     K, d = C[0].shape
@@ -262,7 +359,7 @@ def packed_lloyd(packed: Packed, centres: list[np.ndarray], left_out: list[int],
                 for j in range(d):
                     mine[K + j::d] += np.bincount(at, weights=rows[j] - c[at, j], minlength=K)
 
-        total = block_sums(packed, visit, size * len(running))
+        total = passes.sums(visit, size * len(running))
         still = []
         for i, f in enumerate(running):
             s = total[i * size:(i + 1) * size]
@@ -277,10 +374,3 @@ def packed_lloyd(packed: Packed, centres: list[np.ndarray], left_out: list[int],
         if not running:
             break
     return C
-
-
-def kmeans_start(df: DataFrame, packed: Packed, spec: MixedSpec, K: int, seed: int, max_iter: int, hash_kind: str,
-                 part: str | None = None, left_out: list[int] = (ALL,), tol: float = 1e-4, oversampling: float | None = None) -> list[np.ndarray]:
-    """Start means of every model; ``packed`` holds the rows of ``df`` with :func:`kmeans_draws`."""
-    first = _first_rows(df, spec, part, list(left_out), seed, hash_kind)
-    return packed_kmeans(packed, first, list(left_out), K, max_iter, tol, oversampling)

@@ -24,11 +24,11 @@ from pyspark.sql import functions as F
 from ..operators.encode import profile, slot_layout, validate
 from ..operators.gmm import argmax_component, kmeans_means, with_cont_loglik, with_responsibilities
 from ..operators.logistic import with_cat_loglik
-from ..operators.packed import ALL, kmeans_draws, kmeans_start, packed_rows
+from ..operators.packed import ALL, kmeans_draws, packed_kmeans, packed_rows, run_passes
 from ..operators.scoring import (combined_score, flag_expr, interpolate_expr, score_range, threshold)
 from ..spec import (DetectorParams, FitHistory, GmmParams, LogisticParams, MixedSpec, SlotLayout,
                     constant_logistic, given_gmm, given_logistic, random_logistic)
-from .em import EmResult, start_params, train_em_packed
+from .em import EmResult, em_passes, start_params
 from .session import delete_folder, local_parallelism
 from .sgd import MAX_SLOTS, history_frame, train_sgd
 
@@ -223,16 +223,23 @@ class Detector:
         if given is None and p.kmeans_init not in ("hash", "kmeans||"):
             raise ValueError(f"unknown kmeans_init {p.kmeans_init!r}")
         draws = kmeans_draws(spec, p.seed, p.hash_kind) if given is None and p.kmeans_init == "hash" else []
-        with packed_rows(data, spec, part, draws) as packed:
+        options = {"max_iter": p.em_max_iter, "tol": p.em_tol, "tol_on": p.em_tol_on, "min_covar": p.min_covar}
+        spread = [np.array([(x or 0.0) + p.min_covar for x in var]) for var in variances]
+        means = None
+        if given is None and not draws:
+            means = [kmeans_means(data if f == ALL else data.where(F.col(part) != f), spec, K, p.seed, p.kmeans_max_iter) for f in left_out]
+        kmeans_max_iter = p.kmeans_max_iter
+
+        def fitted(passes):
             if given is not None:
                 starts = [given.copy() for _ in left_out]
             else:
-                if draws:
-                    means = kmeans_start(data, packed, spec, K, p.seed, p.kmeans_max_iter, p.hash_kind, part, left_out)
-                else:
-                    means = [kmeans_means(data if f == ALL else data.where(F.col(part) != f), spec, K, p.seed, p.kmeans_max_iter) for f in left_out]
-                starts = [start_params(m, np.array([(x or 0.0) + p.min_covar for x in var])) for m, var in zip(means, variances, strict=True)]
-            return train_em_packed(packed, starts, left_out, max_iter=p.em_max_iter, tol=p.em_tol, tol_on=p.em_tol_on, min_covar=p.min_covar)
+                centres = packed_kmeans(passes, left_out, K, kmeans_max_iter) if means is None else means
+                starts = [start_params(c, v) for c, v in zip(centres, spread, strict=True)]
+            return em_passes(passes, starts, left_out, **options)
+
+        with packed_rows(data, spec, part, draws) as packed:
+            return run_passes(packed, fitted)
 
     def fit(self, df: DataFrame) -> DetectorModel:
         p, spec = self.params, self.spec

@@ -1,8 +1,9 @@
 """EM for the diagonal Gaussian mixture: one aggregate job per iteration.
 
 The continuous columns are packed into persisted matrix blocks once; each
-iteration binds its parameters to one fixed pass over them (``operators.packed``),
-so nothing is compiled anew and the lineage stays flat.  The strategies
+iteration binds its parameters to one fixed pass over them (``operators.packed``,
+in one job while the rows fit the tasks, else one job
+an iteration), so nothing is compiled anew and the lineage stays flat.  The strategies
 "generated" (parameters as literals of generated sums) and "arrow" read the
 frame itself.
 """
@@ -16,7 +17,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 from ..operators.gmm import estep, mstep
-from ..operators.packed import ALL, Packed, packed_estep, packed_rows
+from ..operators.packed import ALL, Passes, packed_estep, packed_rows, run_passes
 from ..operators.sparse_gmm import sparse_estep
 from ..spec import GmmParams, MixedSpec
 
@@ -62,17 +63,17 @@ def iterate_em(step, start: GmmParams, **options) -> EmResult:
     return iterate_em_models(lambda _, params: [step(params[0])], [start], **options)[0]
 
 
-def train_em_packed(packed: Packed, starts: list[GmmParams], left_out: list[int], **options) -> list[EmResult]:
+def em_passes(passes: Passes, starts: list[GmmParams], left_out: list[int], **options) -> list[EmResult]:
     """EM of every model over packed rows: one pass an iteration serves all that have not converged."""
-    return iterate_em_models(lambda running, params: packed_estep(packed, params, [left_out[f] for f in running]), starts, **options)
+    return iterate_em_models(lambda running, params: packed_estep(passes, params, [left_out[f] for f in running]), starts, **options)
 
 
 def train_em(df: DataFrame, spec: MixedSpec, start: GmmParams, *, max_iter: int = 100, tol: float = 1e-3,
-             tol_on: str = "mean", min_covar: float = 1e-3, strategy: str = "packed") -> EmResult:
+             tol_on: str = "mean", min_covar: float = 1e-3, strategy: str = "packed", form: str = "auto") -> EmResult:
     options = {"max_iter": max_iter, "tol": tol, "tol_on": tol_on, "min_covar": min_covar}
     if strategy in ("packed", "auto"):
         with packed_rows(df, spec) as packed:
-            return train_em_packed(packed, [start], [ALL], **options)[0]
+            return run_passes(packed, lambda passes: em_passes(passes, [start], [ALL], **options), form)[0]
     return iterate_em(lambda p: estep(df, p, spec, strategy), start, **options)
 
 

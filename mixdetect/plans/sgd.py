@@ -1,15 +1,16 @@
 """Minibatch SGD for the conditional logistic model.
 
 Plan: one job draws the minibatches of *all* steps (row selection depends only
-on a seeded hash of (row_id, step), not on the parameters) and writes them to
-the shared checkpoint folder.  The steps then run inside one more job:
+on a seeded hash of (row_id, step), not on the parameters) and takes the steps:
 
-* while the drawn rows are few (``ROWS_PER_MB_PARTITION``), in one task;
-* beyond that, in a barrier stage whose tasks hold a share of every step's rows
+* in one task, while the drawn rows are few (``ROWS_PER_MB_PARTITION``);
+* beyond that, as an aggregate job for each step over the rows, which are
+  written to the shared checkpoint folder;
+* on request, in a barrier stage whose tasks hold a share of every step's rows
   each, add up their own gradients and exchange them by ``allGather``; all make
-  the same update.  A lost task restarts the stage from the written rows;
-* where a barrier stage cannot run (more tasks than slots, or executors that
-  are allocated dynamically), each step is an aggregate job of its own.
+  the same update.  A lost task restarts the stage, which draws the same rows.
+  An exchange takes a second whatever its size, so this pays where a step's own
+  work is longer than that.
 
 Several models (one per fold left out) share the jobs; each has its own layout,
 sample, parameters and stop rule.
@@ -35,7 +36,7 @@ from ..operators.gmm import batch_matrix, feature_frame
 from ..operators.logistic import (gradient, hot_slot_sql, minibatch_fraction, minibatches, partial_gradient, regularised_update)
 from ..operators.packed import ALL
 from ..spec import LogisticParams, MixedSpec, SlotLayout
-from .session import delete_folder, ensure_checkpoint_dir, local_parallelism
+from .session import delete_folder, ensure_checkpoint_dir
 
 ROWS_PER_MB_PARTITION = 200_000
 #: Slots that a model may have: its parameters are driver arrays of k x slots.
@@ -97,10 +98,26 @@ def _own(df: DataFrame, part: str | None, model: SgdModel) -> DataFrame:
     return df if model.left_out == ALL else df.where(F.col(part) != model.left_out)
 
 
+def _drawn(df: DataFrame, spec: MixedSpec, models: list[SgdModel], k: int, steps: list[int], fraction: float, seed: int, hash_kind: str) -> DataFrame:
+    """Rows of ``df`` that model ``k`` draws for the steps."""
+    hot = F.coalesce(F.expr(hot_slot_sql(models[k].layout)), F.lit(False))
+    return (minibatches(df, spec, models[k].layout.n_slots, steps, fraction, seed, hash_kind)
+            .withColumn("hot", hot).withColumn("model", F.lit(k)))
+
+
+def drawn_rows(df: DataFrame, spec: MixedSpec, models: list[SgdModel], part: str | None, max_iterations: int, minibatch_size: int,
+               seed: int, hash_kind: str) -> DataFrame:
+    """All minibatches of all models: (model, step, row_id, features.., slot, hot), steps 1..max_iterations-1."""
+    steps, out = list(range(1, max_iterations)), None
+    for k, m in enumerate(models):
+        own = _drawn(_own(df, part, m), spec, models, k, steps, minibatch_fraction(m.n, minibatch_size), seed, hash_kind)
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 def draw_models(df: DataFrame, spec: MixedSpec, models: list[SgdModel], part: str | None, max_iterations: int, minibatch_size: int,
                 seed: int, hash_kind: str) -> tuple[DataFrame | None, str | None]:
-    """All minibatches of all models: (model, step, row_id, features.., slot, hot), steps 1..max_iterations-1; and the
-    folder that holds them, to delete after use.
+    """:func:`drawn_rows` in a folder, and the folder, to delete after use.
 
     They are written to the shared checkpoint folder: to one file where they
     are few, otherwise partitioned by step, so that a step reads its own rows
@@ -114,15 +131,7 @@ def draw_models(df: DataFrame, spec: MixedSpec, models: list[SgdModel], part: st
     parts = max(1, math.ceil(sum(f * m.n for f, m in zip(fractions, models)) * len(steps) / ROWS_PER_MB_PARTITION))
     folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/minibatches-{uuid.uuid4().hex}"
 
-    def rows(source: DataFrame, k: int, of_steps: list[int], fraction: float) -> DataFrame:
-        hot = F.coalesce(F.expr(hot_slot_sql(models[k].layout)), F.lit(False))
-        return (minibatches(source, spec, models[k].layout.n_slots, of_steps, fraction, seed, hash_kind)
-                .withColumn("hot", hot).withColumn("model", F.lit(k)))
-
-    drawn = None
-    for k, m in enumerate(models):
-        own = rows(_own(df, part, m), k, steps, fractions[k])
-        drawn = own if drawn is None else drawn.unionByName(own)
+    drawn = drawn_rows(df, spec, models, part, max_iterations, minibatch_size, seed, hash_kind)
     if parts == 1:
         drawn.repartition(1).write.parquet(folder)
     else:
@@ -140,7 +149,7 @@ def draw_models(df: DataFrame, spec: MixedSpec, models: list[SgdModel], part: st
                                 F.col(spec.row_id).alias("id"))).alias(f"m{s}") for s in empty]
         found = own.agg(*least).first()
         for s in empty:
-            one = rows(own.where(F.col(spec.row_id) == F.lit(found[f"m{s}"]["id"])).limit(1), k, [s], 1.0)
+            one = _drawn(own.where(F.col(spec.row_id) == F.lit(found[f"m{s}"]["id"])).limit(1), spec, models, k, [s], 1.0, seed, hash_kind)
             extra = one if extra is None else extra.unionByName(one)
     if extra is not None:
         extra = extra.repartition(1)
@@ -156,8 +165,8 @@ def draw_minibatches(df: DataFrame, spec: MixedSpec, layout: SlotLayout, n: int,
     return draw_models(df, spec, [one], None, max_iterations, minibatch_size, seed, hash_kind)
 
 
-def _loop_in_one_job(mb: DataFrame, spec: MixedSpec, starts: list[LogisticParams], schedule: Schedule, tasks: int, barrier: bool) -> list[SgdResult]:
-    """All steps of all models in one job of ``tasks`` tasks that each hold a share of the rows."""
+def _loop_in_one_job(mb: DataFrame, spec: MixedSpec, starts: list[LogisticParams], schedule: Schedule, tasks: int, barrier: bool) -> list[SgdResult] | None:
+    """All steps of all models in one job of ``tasks`` tasks that each hold a share of the rows; None if a step has no row."""
     width, d, is_array = len(feature_frame(mb, spec).columns) if spec.d else 0, spec.d, bool(spec.cont_array)
     features = [F.col(spec.cont_array).cast("array<double>").alias("features")] if is_array else [F.col(c).cast("double") for c in spec.cont_cols]
     rows = mb.select(*features, F.col("model").alias("__model"), F.col("step").cast("int").alias("__step"), F.col("slot").alias("__slot"),
@@ -194,6 +203,8 @@ def _loop_in_one_job(mb: DataFrame, spec: MixedSpec, starts: list[LogisticParams
                     gV += own_V
                     gW[:, slots] += own_W
                     n += own_n
+                if not n:
+                    return
                 trainers[m].step(i, gW, gV, n)
         if TaskContext.get().partitionId() == 0:
             cells = [[t.params.V.tobytes() for t in trainers], [t.params.W.tobytes() for t in trainers],
@@ -203,6 +214,8 @@ def _loop_in_one_job(mb: DataFrame, spec: MixedSpec, starts: list[LogisticParams
 
     dealt = rows.repartition(tasks) if tasks == 1 else rows.repartition(tasks, F.xxhash64("__row", "__step"))
     found = dealt.mapInArrow(run, "model int, v binary, w binary, history binary, converged boolean", barrier=barrier).collect()  # one row a model
+    if not found:
+        return None
     out = []
     for r, p in zip(sorted(found, key=lambda r: r["model"]), starts, strict=True):
         history = np.frombuffer(r["history"]).reshape(-1, 4)
@@ -225,15 +238,6 @@ def _loop_of_jobs(mb: DataFrame, spec: MixedSpec, models: list[SgdModel], schedu
     return out
 
 
-def loop_form(spark, rows: float) -> tuple[str, int]:
-    """How the steps over that many drawn rows run, and in how many tasks."""
-    tasks = max(1, math.ceil(rows / ROWS_PER_MB_PARTITION))
-    if tasks == 1:
-        return "task", 1
-    dynamic = str(spark.conf.get("spark.dynamicAllocation.enabled", "false")).lower() == "true"
-    return ("barrier" if tasks <= (local_parallelism(spark) or 0) and not dynamic else "jobs"), tasks
-
-
 def train_sgd_models(df: DataFrame, spec: MixedSpec, models: list[SgdModel], part: str | None = None, *, minibatch_size: int, seed: int,
                      hash_kind: str, loop: str = "auto", tasks: int | None = None, **schedule) -> list[SgdResult]:
     """Train every model on its rows of ``df``; ``loop`` is "auto", "task", "barrier" (of ``tasks`` tasks) or "jobs", with the same results."""
@@ -243,12 +247,20 @@ def train_sgd_models(df: DataFrame, spec: MixedSpec, models: list[SgdModel], par
     # all-continuous input: no categorical slot to model
     if all(m.layout.n_slots == 0 for m in models) or plan.max_iterations <= 1:
         return [SgdResult(m.start.copy(), [], False) for m in models]
-    mb, folder = draw_models(df, spec, models, part, plan.max_iterations, minibatch_size, seed, hash_kind)
+    if loop == "auto":
+        expected = sum(minibatch_fraction(m.n, minibatch_size) * m.n for m in models) * (plan.max_iterations - 1)
+        loop = "task" if expected <= ROWS_PER_MB_PARTITION else "jobs"
+    draw = (df, spec, models, part, plan.max_iterations, minibatch_size, seed, hash_kind)
+    in_one_job = (spec, [m.start for m in models], plan, tasks or 1 if loop == "barrier" else 1, loop == "barrier")
+    if loop != "jobs":
+        # rows are drawn by their hashes, so a task that is run again draws the same ones
+        got = _loop_in_one_job(drawn_rows(*draw), *in_one_job)
+        if got is not None:
+            return got
+    mb, folder = draw_models(*draw)  # with a row for each step that drew none
     try:
-        if loop == "auto":
-            loop, tasks = loop_form(df.sparkSession, sum(minibatch_fraction(m.n, minibatch_size) * m.n for m in models) * (plan.max_iterations - 1))
         if loop != "jobs":
-            return _loop_in_one_job(mb, spec, [m.start for m in models], plan, tasks or 1 if loop == "barrier" else 1, loop == "barrier")
+            return _loop_in_one_job(mb, *in_one_job)
         mb = mb.persist(StorageLevel.MEMORY_AND_DISK) if sum(m.n for m in models) <= ROWS_PER_MB_PARTITION else mb
         return _loop_of_jobs(mb, spec, models, plan)
     finally:
