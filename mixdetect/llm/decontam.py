@@ -8,7 +8,9 @@ meet, template words are compared in full and the slots must be consistent:
 on one alignment, equal benchmark values stand for equal document values and
 different ones for different ones, as in a question asked again with other
 numbers and names.  A document with at least ``min_words`` consistent words of
-an item (or the whole item, if shorter) is contaminated.
+an item is contaminated; of an item of no more words ``share`` of them will do, as a
+name that opens it is an ordinary word there and a slot behind other words (an
+item shorter than a window, which meets as a whole, needs all).
 
 Only DataFrame functions.  Texts are canonicalised by regular expressions over
 the whole text, window hashes are built by doubling (two hashes of k words
@@ -31,6 +33,8 @@ from pyspark.sql import functions as F
 from .common import stored
 
 WINDOW, MIN_WORDS, MIN_FIXED = 8, 13, 4
+#: Share of a short item's words that must be consistent.
+SHARE = 0.8
 #: Window hashes of the benchmark up to which they are broadcast.
 BROADCAST_WINDOWS = 2_000_000
 BROADCAST_KEYS = 200_000
@@ -157,7 +161,8 @@ def _by_word(found: DataFrame, docs: DataFrame, id_col: str, text_col: str, form
 
 
 def matches(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
-            item_text_col: str = "text", window: int = WINDOW, min_words: int = MIN_WORDS, min_fixed: int = MIN_FIXED) -> DataFrame:
+            item_text_col: str = "text", window: int = WINDOW, min_words: int = MIN_WORDS, min_fixed: int = MIN_FIXED,
+            share: float = SHARE) -> DataFrame:
     """(__k1, __k2, item_id, covered): contaminated documents by key, with each item and its consistent words."""
     items = stored(bench.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("__text"))
                    .select("item_id", F.xxhash64(F.lit(1), "item_id", "__text").alias("__item"), "__text").dropDuplicates(["__item"])
@@ -214,7 +219,8 @@ def matches(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col:
                                 .where("__doc = __bench").select(*on, "item_id", "n_words", "__j"))
     return (good.select("__k1", "__k2", "__item", "item_id", "n_words", "__j").distinct()
             .groupBy("__k1", "__k2", "__item", "item_id", "n_words").agg(F.count("*").alias("covered"))
-            .where(F.col("covered") >= F.least(F.col("n_words"), F.lit(min_words)))
+            .where(F.col("covered") >= F.when(F.col("n_words") < window, F.least(F.col("n_words"), F.lit(min_words)))
+                   .when(F.col("n_words") <= min_words, F.ceil(F.col("n_words") * F.lit(share))).otherwise(F.lit(min_words)))
             .select("__k1", "__k2", "item_id", "covered"))
 
 

@@ -71,21 +71,28 @@ WITH sides AS (
   FROM first_kinds WINDOW pos AS (PARTITION BY side, rid ORDER BY i)
 ), words AS (
   SELECT side, rid, CAST(i AS BIGINT) AS i, kind,
+         lower(CASE WHEN regexp_matches(w, '[\p{L}\p{N}]') THEN regexp_replace(w, '^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$', '', 'g') ELSE w END) AS x,
          lower(CASE WHEN kind = 'w' THEN regexp_replace(w, '[^\p{L}\p{N}]', '', 'g')
                     ELSE regexp_replace(w, '^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$', '', 'g') END) AS v
   FROM kinds
 ), texts AS (
-  SELECT side, rid, list(CASE WHEN kind = 'w' THEN '=' || v ELSE kind END ORDER BY i) AS t, COUNT(*) AS n FROM words GROUP BY side, rid
+  SELECT side, rid, list(CASE WHEN kind = 'w' THEN '=' || v ELSE kind END ORDER BY i) AS t, list(x ORDER BY i) AS xs, COUNT(*) AS n
+  FROM words GROUP BY side, rid
 ), sizes AS (
   SELECT DISTINCT LEAST(n, 8) AS k FROM texts WHERE side = 'b'
 ), windows AS (
-  SELECT side, rid, k, p, list_slice(t, p, p + k - 1) AS win
-  FROM (SELECT side, rid, k, t, n, unnest(range(1, n - k + 2)) AS p FROM texts, sizes
+  SELECT side, rid, k, p, list_slice(t, p, p + k - 1) AS win, list_slice(xs, p, p + k - 1) AS exact,
+         len(list_filter(list_slice(t, p, p + k - 1), lambda x: x[1] = '=' AND x <> '=')) >= LEAST(4, k) AS fixed
+  FROM (SELECT side, rid, k, t, xs, n, unnest(range(1, n - k + 2)) AS p FROM texts, sizes
         WHERE n >= k AND (side = 'd' OR k = LEAST(n, 8)))
+), same AS (
+  SELECT DISTINCT d.rid AS doc, b.rid AS item, unnest(range(b.p, b.p + b.k)) AS j
+  FROM windows d JOIN windows b ON d.side = 'd' AND b.side = 'b' AND d.k = b.k AND d.exact = b.exact
+  WHERE NOT b.fixed AND len(list_filter(b.exact, lambda x: regexp_matches(x, '[\p{L}\p{N}]'))) > 0
 ), hits AS (
   SELECT DISTINCT d.rid AS doc, b.rid AS item, d.p - b.p AS diag, unnest(range(b.p, b.p + b.k)) AS j
   FROM windows d JOIN windows b ON d.side = 'd' AND b.side = 'b' AND d.k = b.k AND d.win = b.win
-  WHERE len(list_filter(b.win, lambda x: x[1] = '=' AND x <> '=')) >= LEAST(4, b.k)
+  WHERE b.fixed
 ), pairs AS (
   SELECT h.*, b.kind, b.v AS bv, d.v AS dv FROM hits h
   JOIN words b ON b.side = 'b' AND b.rid = h.item AND b.i = h.j
@@ -94,11 +101,12 @@ WITH sides AS (
   SELECT *, kind = 'w' OR (MIN(dv) OVER bs = MAX(dv) OVER bs AND MIN(bv) OVER ds = MAX(bv) OVER ds) AS ok
   FROM pairs WINDOW bs AS (PARTITION BY doc, item, diag, kind, bv), ds AS (PARTITION BY doc, item, diag, kind, dv)
 ), covered AS (
-  SELECT doc, item, COUNT(DISTINCT j) AS covered FROM judged WHERE ok GROUP BY doc, item
+  SELECT doc, item, COUNT(DISTINCT j) AS covered
+  FROM (SELECT doc, item, j FROM judged WHERE ok UNION SELECT doc, item, j FROM same) GROUP BY doc, item
 ), found AS (
   SELECT c.doc, COUNT(DISTINCT s.id) AS n_items, MAX(covered) AS covered_words, MIN(s.id) AS first_item
   FROM covered c JOIN texts t ON t.side = 'b' AND t.rid = c.item JOIN sides s ON s.side = 'b' AND s.rid = c.item
-  WHERE covered >= LEAST(t.n, 13) GROUP BY c.doc
+  WHERE covered >= CASE WHEN t.n < 8 THEN t.n WHEN t.n <= 13 THEN ceil(t.n * CAST(0.8 AS DOUBLE)) ELSE 13 END GROUP BY c.doc
 )
 SELECT s.id AS doc_id, f.doc IS NOT NULL AS contaminated, CAST(COALESCE(n_items, 0) AS BIGINT) AS n_items,
        CAST(COALESCE(covered_words, 0) AS BIGINT) AS covered_words, first_item

@@ -109,3 +109,31 @@ def test_wide_tables_take_the_same_way(frame, bench, prose, monkeypatch):
 def test_native(spark, frame, bench):
     plan = decontam.contamination(frame([QUESTION]), bench([QUESTION]))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+SHORT = "Maria has 12 apples and gives away 5 of them today."
+
+
+def test_short_items_behind_other_words_and_with_another_name(frame, bench, prose):
+    rows = [f"Yes and {SHORT}", "Peter has 9 apples and gives away 4 of them today.", SHORT, f"{prose(30)} {SHORT} {prose(30)}",
+            "Maria has 12 apples and keeps every one of these for tomorrow.", "has 12 apples and gives away 5", prose(40)]
+    got = found(decontam.contamination(frame(rows), bench([SHORT])))
+    assert [got[k][0] for k in range(len(rows))] == [True, True, True, True, False, False, False]
+
+
+def test_sql_on_planted_items(frame, bench, prose):
+    import duckdb
+
+    from mixdetect.llm.oracles import ORACLES
+
+    items = [QUESTION, SHORT, "Compute the sum 12 + 35 + 47 + 58 + 61 + 73 + 84 + 96 + 105 + 116 + 127 .", "PARIS LONDON BERLIN",
+             "What Is The Boiling Point Of Pure Water At Sea Level", "quick brown fox"]
+    rows = [t for item in items for t in (item, f"{prose(12)} {item} {prose(12)}", f"and {item.lower()}", item.upper(), item.replace("12", "7"),
+                                          item.replace("Maria", "Anna"), " ".join(item.split()[1:]))] + [None, "", prose(30), "+ - + -"]
+    docs, items = frame(rows), bench(items)
+    got = sorted(tuple(r) for r in decontam.contamination(docs, items).collect())
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    con.register("benchmark", items.toPandas())
+    want = con.sql(ORACLES["op6_template_decontamination"]).fetchall()
+    assert got == sorted(want) and sum(r[1] for r in got) > 25
