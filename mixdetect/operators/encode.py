@@ -34,6 +34,10 @@ MAX_CODE = "9.0E15D"
 
 def profile_frame(df: DataFrame, spec: MixedSpec) -> DataFrame:
     """The single-row profile aggregate (also registered as a query)."""
+    return df.selectExpr(*_profile_sql(spec))
+
+
+def _profile_sql(spec: MixedSpec) -> list[str]:
     from ..functions import sql as S
 
     aggs = ["count(1) AS n_rows"]
@@ -55,7 +59,7 @@ def profile_frame(df: DataFrame, spec: MixedSpec) -> DataFrame:
             f"CAST(sum(CASE WHEN {x} IS NULL OR isnan({x}) THEN 1 ELSE 0 END) AS BIGINT) AS {S.ident(name + '_bad')}",
             f"CAST(sum(CASE WHEN abs({x}) = double('infinity') THEN 1 ELSE 0 END) AS BIGINT) AS {S.ident(name + '_inf')}",
         ]
-    return df.selectExpr(*aggs)
+    return aggs
 
 
 #: Dimensions of an array column from which they are profiled as rows instead of as columns of one aggregate.
@@ -70,6 +74,35 @@ def wide_profile_frame(df: DataFrame, array: str) -> DataFrame:
                                 F.sum((F.abs(x) == float("inf")).cast("long")).alias("inf"))
 
 
+def leave_one_out_profiles(df: DataFrame, spec: MixedSpec, part: str, parts: int) -> list[Profile]:
+    """For each part, the profile of all rows outside it: one aggregate by part, whose rows are put together."""
+    if spec.cont_array and spec.cont_dim > WIDE_PROFILE:
+        return [profile(df.where(F.col(part) != f), spec) for f in range(parts)]
+    from ..functions import sql as S
+
+    means = [f"avg({x}) AS {S.ident(f'__mean{j}')}" for j, x in enumerate(S.cont_refs(spec))]
+    rows = {r[part]: r for r in df.groupBy(part).agg(*[F.expr(e) for e in [*_profile_sql(spec), *means]]).collect()}  # one row a part
+    return [_merged(spec, [r for p, r in rows.items() if p != f]) for f in range(parts)]
+
+
+def _merged(spec: MixedSpec, rows: list) -> Profile:
+    n = sum(r["n_rows"] for r in rows)
+    names = spec.cont_cols if not spec.cont_array else [f"{spec.cont_array}_{j}" for j in range(spec.cont_dim)]
+    variances = []
+    for j, x in enumerate(names):
+        known = [(r["n_rows"] - r[f"{x}_bad"], r[f"__mean{j}"], r[f"{x}_var"]) for r in rows if r[f"__mean{j}"] is not None]
+        total = sum(k for k, _, _ in known)
+        mean = sum(k * m for k, m, _ in known) / total if total else 0.0
+        variances.append(sum(k * (v + (m - mean) ** 2) for k, m, v in known) / total if total else None)
+
+    def added(suffix: str, cols) -> tuple[int, ...]:
+        return tuple(sum(int(r[f"{c}{suffix}"] or 0) for r in rows) for c in cols)
+
+    return Profile(n, tuple(max((int(r[f"{c}_width"]) for r in rows), default=0) for c in spec.cat_cols),
+                   tuple(min((r[f"{c}_min"] for r in rows if r[f"{c}_min"] is not None), default=None) for c in spec.cat_cols),
+                   added("_bad", spec.cat_cols), added("_nulls", spec.cat_cols), tuple(variances), added("_bad", names), added("_inf", names))
+
+
 def profile(df: DataFrame, spec: MixedSpec, wide: int = WIDE_PROFILE) -> Profile:
     if spec.cont_array and spec.cont_dim > wide:
         rest = profile(df, MixedSpec(row_id=spec.row_id, label=spec.label, cat_cols=spec.cat_cols))

@@ -341,7 +341,7 @@ def hashed_kmeans_means(df: DataFrame, spec: MixedSpec, K: int, seed: int, max_i
     from .packed import ALL, kmeans_draws, packed_kmeans, packed_rows, run_passes
 
     with packed_rows(df, spec, draws=kmeans_draws(spec, seed, hash_kind, rounds)) as packed:
-        return run_passes(packed, lambda passes: packed_kmeans(passes, [ALL], K, max_iter, tol, oversampling), form)[0]
+        return run_passes(packed, lambda passes, which: packed_kmeans(passes, [ALL], K, max_iter, tol, oversampling), form=form)[0]
 
 
 def _weighted_lloyd(points: np.ndarray, weight: np.ndarray, centres: np.ndarray, max_iter: int, tol: float) -> np.ndarray:
@@ -364,7 +364,7 @@ def lloyd(df: DataFrame, spec: MixedSpec, centres: np.ndarray, max_iter: int, to
     from .packed import ALL, packed_lloyd, packed_rows, run_passes
 
     with packed_rows(df, spec) as packed:
-        return run_passes(packed, lambda passes: packed_lloyd(passes, [centres], [ALL], max_iter, tol), form)[0]
+        return run_passes(packed, lambda passes, which: packed_lloyd(passes, [centres], [ALL], max_iter, tol), form=form)[0]
 
 
 def _assigned(df: DataFrame, spec: MixedSpec, centres: np.ndarray) -> DataFrame:

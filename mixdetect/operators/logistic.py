@@ -85,6 +85,25 @@ WIDE_EXPR_LIMIT = 4096  # k*J generated terms; above it scoring runs on Arrow ba
 CHUNK_CELLS = 4_000_000  # rows x slots held at once inside one Arrow batch
 
 
+def row_cat_loglik(X: np.ndarray, codes: np.ndarray, params: LogisticParams, layout: SlotLayout) -> np.ndarray:
+    """log P(y|x) of rows of features and codes, in chunks of at most CHUNK_CELLS margins."""
+    V, W, lam = params.V, params.W, float(params.lam)
+    d = V.shape[1] - 1
+    rows_per_chunk = max(1, CHUNK_CELLS // max(1, layout.n_slots))
+    res = np.zeros(len(X))
+    for a in range(0, len(X), rows_per_chunk):
+        with np.errstate(invalid="ignore", over="ignore"):
+            M = ((X[a:a + rows_per_chunk] @ V[:, :d].T + V[:, d]) @ W) / lam
+            acc = -np.logaddexp(0.0, M).sum(axis=1)
+        rows = np.arange(len(M))
+        for i, (off, w) in enumerate(zip(layout.offsets, layout.widths)):
+            cc = codes[a:a + rows_per_chunk, i]
+            ok = (cc >= 0) & (cc < w) & (cc == np.floor(cc))
+            acc[ok] += M[rows[ok], off + cc[ok].astype(np.int64)]
+        res[a:a + rows_per_chunk] = acc
+    return res
+
+
 def _cat_loglik_arrow(df: DataFrame, params: LogisticParams, spec: MixedSpec, layout: SlotLayout,
                       out: str) -> DataFrame:
     """log P(y|x) for very many slots: an Arrow function over features and codes alone.
@@ -94,26 +113,12 @@ def _cat_loglik_arrow(df: DataFrame, params: LogisticParams, spec: MixedSpec, la
     expression, a null feature gives null, a NaN gives NaN, and a null,
     fractional or unseen code lights no slot.
     """
-    V, W, lam = params.V.copy(), params.W.copy(), float(params.lam)
-    d = V.shape[1] - 1
-    offsets, widths = list(layout.offsets), list(layout.widths)
-    rows_per_chunk = max(1, CHUNK_CELLS // max(1, layout.n_slots))
+    params = params.copy()
+    d = params.V.shape[1] - 1
 
     @F.pandas_udf("double")
     def loglik(features: pd.Series, codes: pd.Series) -> pd.Series:
-        X, codes = matrix(features, d), matrix(codes, len(widths))
-        res = np.zeros(len(X))
-        for a in range(0, len(X), rows_per_chunk):
-            with np.errstate(invalid="ignore", over="ignore"):
-                M = ((X[a:a + rows_per_chunk] @ V[:, :d].T + V[:, d]) @ W) / lam
-                acc = -np.logaddexp(0.0, M).sum(axis=1)
-            rows = np.arange(len(M))
-            for i, (off, w) in enumerate(zip(offsets, widths)):
-                cc = codes[a:a + rows_per_chunk, i]
-                ok = (cc >= 0) & (cc < w) & (cc == np.floor(cc))
-                acc[ok] += M[rows[ok], off + cc[ok].astype(np.int64)]
-            res[a:a + rows_per_chunk] = acc
-        return pd.Series(res)
+        return pd.Series(row_cat_loglik(matrix(features, d), matrix(codes, len(layout.widths)), params, layout))
 
     features, whole = feature_input(spec)
     codes = F.array(*[F.col(c).cast("double") for c in layout.cat_cols])

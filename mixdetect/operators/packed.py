@@ -10,7 +10,7 @@ returns its sums, which are added up per position.
 
 An algorithm is written against :class:`Passes` (sums over all rows, candidate
 rows) and does not see how they are made.  :func:`run_passes` chooses: up to
-``TASK_ROWS`` rows the whole algorithm runs inside one task of one job; beyond
+``TASK_ROWS`` rows a model's whole algorithm runs inside one task; beyond
 that each pass is a job of one stage over the persisted frame, whose partitions
 return their sums to the driver while those are few, and add them up by a
 shuffle otherwise.  The results are the same.  (A barrier stage with
@@ -86,7 +86,7 @@ def _blocks(packed: Packed, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple
     for b in batches:
         for j in range(b.num_rows):
             n = b.column(0)[j].as_py()
-            x, part, *draws = (np.frombuffer(b.column(k)[j].as_buffer(), dtype=kind) for k, kind in ((1, float), (2, np.int32), (3, float))[:b.num_columns - 1])
+            x, part, *draws = (np.frombuffer(b.column(k)[j].as_buffer(), dtype=kind) for k, kind in ((1, float), (2, np.int32), (3, float))[:min(3, b.num_columns - 1)])
             yield x.reshape(packed.d, n), part, draws[0].reshape(-1, n) if draws else None
 
 
@@ -203,23 +203,35 @@ TASK_ROWS, TASK_BYTES = 1_000_000, 64_000_000
 DRIVER_SUMS = 1_000_000
 
 
-def run_passes(packed: Packed, algorithm: Callable[[Passes], object], form: str = "auto"):
-    """``algorithm(passes)``, in one task ("task") while the rows are few, else with a job for each pass ("passes")."""
+#: Partitions that the models of one job are dealt to by hash.
+MODEL_PARTITIONS = 64
+
+
+def run_passes(packed: Packed, algorithm: Callable[[Passes, list[int]], list], models: int = 1, form: str = "auto") -> list:
+    """``algorithm(passes, which)`` for all models: while the rows are few, a task of one job for each model ("task"),
+    else with a job for each pass, which serves all models ("passes")."""
     # fills the cache
     row = packed.frame.select("n", F.spark_partition_id().alias("p")).agg(F.sum("n").alias("n"), F.max("p").alias("last")).first()
     n, partitions = row["n"] or 0, (row["last"] or 0) + 1
     if form == "auto":
         form = "task" if n <= TASK_ROWS and n * (packed.d + packed.rounds + 1) * 8 <= TASK_BYTES else "passes"
     if form == "passes":
-        return algorithm(JobPasses(packed, partitions))
+        return algorithm(JobPasses(packed, partitions), list(range(models)))
     shape = Packed(None, packed.d, packed.rounds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks = [tuple(None if a is None else a.copy() for a in b) for b in _blocks(shape, batches)]
-        result = algorithm(TaskPasses(blocks, shape.d, shape.rounds))
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(result)], pa.binary())], ["result"])
-
-    return pickle.loads(packed.frame.repartition(1).mapInArrow(run, "result binary").first()["result"])  # parameters
+        held: dict[int, list] = {}
+        for b in batches:
+            for m, block in zip(b.column(4).to_pylist(), _blocks(shape, [b]), strict=True):
+                held.setdefault(m, []).append(tuple(None if a is None else a.copy() for a in block))
+        for m, blocks in held.items():
+            result = algorithm(TaskPasses(blocks, shape.d, shape.rounds), [m])[0]
+            yield pa.RecordBatch.from_arrays([pa.array([m], pa.int32()), pa.array([pickle.dumps(result)], pa.binary())], ["model", "result"])
+
+    spread = packed.frame.withColumn("model", F.explode(F.sequence(F.lit(0), F.lit(models - 1))))
+    dealt = spread.repartition(1) if models == 1 else spread.repartition(MODEL_PARTITIONS, "model")
+    found = {r["model"]: pickle.loads(r["result"]) for r in dealt.mapInArrow(run, "model int, result binary").collect()}  # parameters
+    return [found[m] for m in range(models)]
 
 
 def _rows_of(X: np.ndarray, part: np.ndarray, left_out: int) -> np.ndarray:

@@ -909,6 +909,8 @@ ORACLES = {
     "sgd_gradient_arrow": sql_sgd_gradient,
     "sgd_gradient_grouped": sql_sgd_gradient,
     "sgd_fit_3": sql_sgd_fit_3,
+    "sgd_fit_barrier": sql_sgd_fit_3,
+    "sgd_fit_jobs": sql_sgd_fit_3,
     "sgd_history": sql_sgd_history,
     "gmm_var_init": sql_gmm_var_init,
     "sparse_variance": sql_sparse_variance,

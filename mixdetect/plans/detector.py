@@ -21,7 +21,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.encode import profile, slot_layout, validate
+from ..operators.encode import leave_one_out_profiles, profile, slot_layout, validate
 from ..operators.gmm import argmax_component, kmeans_means, with_cont_loglik, with_responsibilities
 from ..operators.logistic import with_cat_loglik
 from ..operators.packed import ALL, kmeans_draws, packed_kmeans, packed_rows, run_passes
@@ -29,8 +29,8 @@ from ..operators.scoring import (combined_score, flag_expr, interpolate_expr, sc
 from ..spec import (DetectorParams, FitHistory, GmmParams, LogisticParams, MixedSpec, SlotLayout,
                     constant_logistic, given_gmm, given_logistic, random_logistic)
 from .em import EmResult, em_passes, start_params
-from .session import delete_folder, local_parallelism
-from .sgd import MAX_SLOTS, history_frame, train_sgd
+from .session import delete_folder
+from .sgd import MAX_SLOTS, SgdModel, SgdResult, history_frame, train_sgd_models
 
 
 @dataclass
@@ -204,15 +204,14 @@ class Detector:
             return random_logistic(k, d, J, p.logistic_lambda, p.seed)
         raise ValueError(f"unknown init {p.init!r}")
 
-    def _fit_logistic(self, data: DataFrame, layout: SlotLayout, n: int):
-        p, spec = self.params, self.spec
+    def _fit_logistics(self, data: DataFrame, models: list[SgdModel], part: str | None = None) -> list[SgdResult]:
+        p = self.params
         _use_pool(data, "mixdetect-sgd")
-        return train_sgd(data, spec, layout, n, self._logistic_start(spec.d, layout.n_slots),
-                         max_iterations=p.max_iterations, minibatch_size=p.minibatch_size,
-                         reg=p.regularization_parameter, lr0=p.learning_rate_start,
-                         lr_speed=p.learning_rate_speed, radius=p.normalizing_radius,
-                         seed=p.seed, hash_kind=p.hash_kind, no_progress_tol=p.no_progress_tol,
-                         no_progress_steps=p.no_progress_steps)
+        return train_sgd_models(data, self.spec, models, part, max_iterations=p.max_iterations, minibatch_size=p.minibatch_size,
+                                reg=p.regularization_parameter, lr0=p.learning_rate_start,
+                                lr_speed=p.learning_rate_speed, radius=p.normalizing_radius,
+                                seed=p.seed, hash_kind=p.hash_kind, no_progress_tol=p.no_progress_tol,
+                                no_progress_steps=p.no_progress_steps)
 
     def _fit_mixtures(self, data: DataFrame, variances: list, part: str | None = None, left_out: tuple[int, ...] = (ALL,)) -> list[EmResult]:
         """The mixture of every model, one for each part left out, in shared passes."""
@@ -230,60 +229,71 @@ class Detector:
             means = [kmeans_means(data if f == ALL else data.where(F.col(part) != f), spec, K, p.seed, p.kmeans_max_iter) for f in left_out]
         kmeans_max_iter = p.kmeans_max_iter
 
-        def fitted(passes):
+        def fitted(passes, which):
+            skip = [left_out[f] for f in which]
             if given is not None:
-                starts = [given.copy() for _ in left_out]
+                starts = [given.copy() for _ in which]
             else:
-                centres = packed_kmeans(passes, left_out, K, kmeans_max_iter) if means is None else means
-                starts = [start_params(c, v) for c, v in zip(centres, spread, strict=True)]
-            return em_passes(passes, starts, left_out, **options)
+                centres = packed_kmeans(passes, skip, K, kmeans_max_iter) if means is None else [means[f] for f in which]
+                starts = [start_params(c, spread[f]) for c, f in zip(centres, which, strict=True)]
+            return em_passes(passes, starts, skip, **options)
 
         with packed_rows(data, spec, part, draws) as packed:
-            return run_passes(packed, fitted)
+            return run_passes(packed, fitted, len(left_out))
+
+    def _fit_parts(self, data: DataFrame, profiles: list, part: str | None = None, left_out: tuple[int, ...] = (ALL,)) -> list[DetectorModel]:
+        """One model for each part left out, in shared jobs; without thresholds."""
+        p, spec = self.params, self.spec
+        models = []
+        for prof, skip in zip(profiles, left_out, strict=True):
+            validate(prof, spec, p.gaussian_num if spec.d > 0 else None)
+            layout = slot_layout(prof, spec)
+            if layout.n_slots > MAX_SLOTS:
+                raise ValueError(f"the codes span {layout.n_slots} slots, more than {MAX_SLOTS}; codes are expected to be dense from 0")
+            models.append(SgdModel(layout, prof.n, self._logistic_start(spec.d, layout.n_slots), skip))
+        # The logistic models and the mixtures do not depend on each other:
+        # their job chains run concurrently from two driver threads, so the
+        # small SGD jobs overlap the EM scans instead of adding to them.
+        with ThreadPoolExecutor(max_workers=2, thread_name_prefix="mixdetect-fit") as pool:
+            sgd_f = pool.submit(self._fit_logistics, data, models, part)
+            em_f = pool.submit(self._fit_mixtures, data, [prof.cont_var for prof in profiles], part, left_out) if spec.d > 0 else None
+            chains = [f for f in (sgd_f, em_f) if f is not None]
+            done, running = wait(chains, return_when=FIRST_EXCEPTION)
+            if running and any(f.exception() for f in done):  # one has failed: the other need not go on
+                _cancel(data)
+            sgd = sgd_f.result()
+            em = em_f.result() if em_f is not None else [None] * len(models)
+        out = []
+        for m, s, e in zip(models, sgd, em, strict=True):
+            hist = FitHistory(s.history, e.history if e is not None else [])
+            hist.sgd_converged, hist.em_converged = s.converged, e is not None and e.converged
+            out.append(DetectorModel(spec, m.layout, s.params, e.params if e is not None else None, p, m.n, history=hist))
+        return out
+
+    def _kept_columns(self) -> list[str]:
+        spec = self.spec
+        return list(dict.fromkeys(spec.key_cols() + list(spec.cat_cols) + ([spec.cont_array] if spec.cont_array else list(spec.cont_cols))))
+
+    def fit_folds(self, df: DataFrame, folds: int, fold: str = "fold") -> list[DetectorModel]:
+        """For each fold the model of the rows outside it, all in one fit: every pass over the rows serves all models
+        that have not stopped.  The models equal those of separate fits; they have no thresholds."""
+        data = df.select(*self._kept_columns(), F.col(fold).cast("int").alias(fold)).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            return self._fit_parts(data, leave_one_out_profiles(data, self.spec, fold, folds), fold, tuple(range(folds)))
+        finally:
+            data.unpersist()
 
     def fit(self, df: DataFrame) -> DetectorModel:
         p, spec = self.params, self.spec
-        K = p.gaussian_num
-        keep = spec.key_cols() + list(spec.cat_cols) + ([spec.cont_array] if spec.cont_array else list(spec.cont_cols))
-        data = df.select(*keep)
-        # ~100 passes read this frame: make it span every core when the source
-        # has fewer splits than that (a no-op for large inputs).
-        par = local_parallelism(df.sparkSession)
-        data = source = data.persist(StorageLevel.MEMORY_AND_DISK)
-        hist = FitHistory()
+        # few passes read this frame: the profile, the draw, the packing and the threshold
+        data = df.select(*self._kept_columns()).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             # the profile is the first action on the cached frame: one source scan
             # both fills the cache and answers every shape question
             prof = profile(data, spec)
-            validate(prof, spec, K if spec.d > 0 else None)
-            layout = slot_layout(prof, spec)
-            if layout.n_slots > MAX_SLOTS:
-                raise ValueError(f"the codes span {layout.n_slots} slots, more than {MAX_SLOTS}; codes are expected to be dense from 0")
-            n = prof.n
-            if par is not None and data.rdd.getNumPartitions() < par:  # cached already: no job but this look
-                data = data.repartition(par).persist(StorageLevel.MEMORY_AND_DISK)
-            # The logistic model and the mixture do not depend on each other:
-            # their job chains run concurrently from two driver threads, so the
-            # small SGD jobs overlap the EM scans instead of adding to them.
-            with ThreadPoolExecutor(max_workers=2, thread_name_prefix="mixdetect-fit") as pool:
-                sgd_f = pool.submit(self._fit_logistic, data, layout, n)
-                em_f = pool.submit(self._fit_mixtures, data, [prof.cont_var]) if spec.d > 0 else None
-                chains = [f for f in (sgd_f, em_f) if f is not None]
-                done, running = wait(chains, return_when=FIRST_EXCEPTION)
-                if running and any(f.exception() for f in done):  # one has failed: the other need not go on
-                    _cancel(df)
-                sgd = sgd_f.result()
-                em = em_f.result()[0] if em_f is not None else None
-            hist.sgd, hist.sgd_converged = sgd.history, sgd.converged
-            gmm = None
-            if em is not None:
-                gmm = em.params
-                hist.em, hist.em_converged = em.history, em.converged
-            model = DetectorModel(spec, layout, sgd.params, gmm, p, n, history=hist)
-            scored = model.score(data)
-            model.threshold = threshold(scored, n, p.anomaly_ratio, p.order, p.tail, "score", spec.label,
+            model = self._fit_parts(data, [prof])[0]
+            model.threshold = threshold(model.score(data), prof.n, p.anomaly_ratio, p.order, p.tail, "score", spec.label,
                                         exact=p.threshold_exact)
         finally:
             data.unpersist()
-            source.unpersist()
         return model

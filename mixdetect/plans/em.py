@@ -73,7 +73,7 @@ def train_em(df: DataFrame, spec: MixedSpec, start: GmmParams, *, max_iter: int
     options = {"max_iter": max_iter, "tol": tol, "tol_on": tol_on, "min_covar": min_covar}
     if strategy in ("packed", "auto"):
         with packed_rows(df, spec) as packed:
-            return run_passes(packed, lambda passes: em_passes(passes, [start], [ALL], **options), form)[0]
+            return run_passes(packed, lambda passes, which: em_passes(passes, [start], [ALL], **options), form=form)[0]
     return iterate_em(lambda p: estep(df, p, spec, strategy), start, **options)
 
 

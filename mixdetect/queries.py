@@ -189,14 +189,24 @@ def q_sgd_gradient(spark, sf, strategy="global"):
     return t.select("matrix", "r", "c", _r(F.col("value"), FIT_DIG).alias("value"), "n")
 
 
-def _sgd_fit(spark, sf, steps):
+def _sgd_fit(spark, sf, steps, **form):
     df, spec, layout, lp, _, n = _profiled_orders(spark, sf)
     return train_sgd(df, spec, layout, n, lp, max_iterations=steps + 1, minibatch_size=MINIBATCH, reg=REG,
-                     lr0=LR0, lr_speed=LR_SPEED, radius=FIT3_RADIUS, seed=SEED, hash_kind="modular")
+                     lr0=LR0, lr_speed=LR_SPEED, radius=FIT3_RADIUS, seed=SEED, hash_kind="modular", **form)
 
 
-def q_sgd_fit_3(spark, sf):
-    res = _sgd_fit(spark, sf, 3)
+def q_sgd_fit_barrier(spark, sf):
+    """The steps inside a barrier stage of two tasks, which exchange their gradients."""
+    return q_sgd_fit_3(spark, sf, loop="barrier", tasks=2)
+
+
+def q_sgd_fit_jobs(spark, sf):
+    """An aggregate job for each step, which many drawn rows take."""
+    return q_sgd_fit_3(spark, sf, loop="jobs")
+
+
+def q_sgd_fit_3(spark, sf, **form):
+    res = _sgd_fit(spark, sf, 3, **form)
     t = res.params.to_frame(spark)
     return t.select("matrix", "r", "c", _r(F.col("value"), FIT_DIG).alias("value"))
 
@@ -549,6 +559,8 @@ QUERIES: dict[str, Query] = {
     "sgd_gradient_arrow": q_sgd_gradient_arrow,
     "sgd_gradient_grouped": q_sgd_gradient_grouped,
     "sgd_fit_3": q_sgd_fit_3,
+    "sgd_fit_barrier": q_sgd_fit_barrier,
+    "sgd_fit_jobs": q_sgd_fit_jobs,
     "sgd_history": q_sgd_history,
     "gmm_var_init": q_gmm_var_init,
     "sparse_variance": q_sparse_variance,
