@@ -213,7 +213,9 @@ def _loop_in_one_job(mb: DataFrame, spec: MixedSpec, starts: list[LogisticParams
                                               pa.array([t.stopped for t in trainers])], ["model", "v", "w", "history", "converged"])
 
     dealt = rows.repartition(tasks) if tasks == 1 else rows.repartition(tasks, F.xxhash64("__row", "__step"))
-    found = dealt.mapInArrow(run, "model int, v binary, w binary, history binary, converged boolean", barrier=barrier).collect()  # one row a model
+    got = dealt.mapInArrow(run, "model int, v binary, w binary, history binary, converged boolean", barrier=barrier)
+    # Spark restarts a failed barrier stage only if a shuffle follows it
+    found = (got.repartition(1) if barrier else got).collect()  # one row a model
     if not found:
         return None
     out = []

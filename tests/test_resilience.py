@@ -17,3 +17,11 @@ def test_fit_survives_failed_tasks():
     res = json.loads(out.stdout.strip().splitlines()[-1])
     assert res["flaky"] == res["clean"]
     assert res["max_diff"] < 1e-9
+
+
+def test_barrier_stage_restarts():
+    script = os.path.join(os.path.dirname(SCRIPT), "barrier_with_task_failure.py")
+    out = subprocess.run([sys.executable, script, SF_SMALL], capture_output=True, text=True, timeout=600)
+    assert out.returncode == 0, out.stderr[-2000:]
+    res = json.loads(out.stdout.strip().splitlines()[-1])
+    assert res["failed"] and res["steps"] == 4 and res["rows"] and res["max_diff"] < 1e-9
