@@ -699,6 +699,69 @@ def sql_score_table() -> str:
     return _scores("product").sql(f"SELECT label, {rnd('score')} AS estimator FROM sc")
 
 
+def sql_score_quality() -> str:
+    """Counts of the planted issues; flagged rows from the scores of the rows whose values are finite."""
+    c = _orders()
+    given_logistic_ctes(c, Q.LOGISTIC_K, len(ORDERS_CONTS))
+    given_gmm_cte(c, Q.GMM_K, len(ORDERS_CONTS))
+    long_parts(c, """SELECT row_id, CASE WHEN row_id % 43 = 0 THEN -1 ELSE c0 END AS c0, CASE WHEN row_id % 41 = 0 THEN 9 ELSE c1 END AS c1,
+      CASE WHEN row_id % 47 <> 0 THEN c2 END AS c2, x0, x1 FROM fx WHERE row_id % 31 <> 0 AND row_id % 37 <> 0 AND row_id % 53 <> 0""",
+               ORDERS_CATS, ORDERS_CONTS, ns="d")
+    lpc = logistic_ctes(c, "pv0", "pw0", Q.LAMBDA, p="d", data_ns="d", slots_ns="")
+    _, ll, _ = gmm_ctes(c, "gp0", len(ORDERS_CONTS), p="d", data_ns="d")
+    c.add("flagged", f"SELECT g.row_id FROM {ll} g JOIN {lpc} l ON l.row_id = g.row_id WHERE g.ll + l.log_p_cat <= {f(Q.QUALITY_THRESHOLD)}")
+    counts = {"n_rows": "true", "null_x0": "row_id % 31 = 0", "inf_x0": "row_id % 53 = 0 AND row_id % 31 <> 0", "nan_x1": "row_id % 37 = 0",
+              "bad_c0": "row_id % 43 = 0", "unseen_c1": "row_id % 41 = 0", "null_c2": "row_id % 47 = 0",
+              "n_dirty": "row_id % 31 = 0 OR row_id % 53 = 0 OR row_id % 37 = 0 OR row_id % 43 = 0 OR row_id % 41 = 0 OR row_id % 47 = 0",
+              "null_scores": "row_id % 31 = 0", "nan_scores": "row_id % 31 <> 0 AND (row_id % 53 = 0 OR row_id % 37 = 0)"}
+    none = ["nan_x0", "null_x1", "inf_x1", "null_c0", "unseen_c0", "null_c1", "bad_c1", "bad_c2", "unseen_c2"]
+    parts = [f"SELECT '{name}' AS metric, count(*) FILTER ({cond}) AS n FROM fx" for name, cond in counts.items()]
+    parts += [f"SELECT '{name}', CAST(0 AS BIGINT)" for name in none] + ["SELECT 'n_flagged', count(*) FROM flagged"]
+    return c.sql(" UNION ALL ".join(parts))
+
+
+def _order_lines(fixture: str) -> str:
+    """Orders as text fields; ``kind`` tells which line is planted as bad."""
+    return (f"SELECT row_id % 101 AS kind, CAST(label AS VARCHAR) AS y, CAST(c0 AS VARCHAR) AS c0, CAST(c1 AS VARCHAR) AS c1, "
+            f"CAST(c2 AS VARCHAR) AS c2, CAST(CAST(floor(x0 * 500000.0E0) AS BIGINT) AS VARCHAR) AS x0, CAST(row_id AS VARCHAR) AS x1 FROM ({fixture})")
+
+
+def sql_csv_rejects() -> str:
+    c = Ctes().add("t", _order_lines(ORDERS_SQL))
+    return c.sql("""SELECT CASE kind WHEN 1 THEN concat_ws(',', y, c0, 'x', c2, x0, x1) WHEN 2 THEN concat_ws(',', y, c0, c1, c2, x0)
+      WHEN 3 THEN concat_ws(',', y, c0, c1, c2, x0, x1, '7') WHEN 4 THEN concat_ws(',', y, c0, c1, c2, '', x1)
+      WHEN 5 THEN concat_ws(',', 'NaN', c0, c1, c2, x0, x1) WHEN 6 THEN concat_ws(',', y, '-1', c1, c2, x0, x1)
+      WHEN 7 THEN concat_ws(',', y, c0, c1, '1.5', x0, x1) WHEN 8 THEN concat_ws(',', y, c0, c1, c2, 'Infinity', x1)
+      WHEN 9 THEN concat_ws(',', y, '?', c1, c2, x0, '') ELSE concat_ws(',', y, c0, c1, c2, x0, x1) END AS line,
+      CASE kind WHEN 1 THEN '1: not a number' WHEN 2 THEN 'wrong number of fields' WHEN 3 THEN 'wrong number of fields'
+      WHEN 4 THEN '3: empty' WHEN 5 THEN 'label: not finite' WHEN 6 THEN '0: not a code' WHEN 7 THEN '2: not a code'
+      WHEN 8 THEN '3: not finite' WHEN 9 THEN '0: not a number; 4: empty' ELSE '' END AS reasons FROM t""")
+
+
+def sql_libsvm_rejects() -> str:
+    c = Ctes().add("t", _order_lines(ORDERS_SQL))
+    return c.sql("""SELECT concat_ws(' ', CASE WHEN kind = 1 THEN 'y' ELSE y END, CASE kind WHEN 2 THEN '1' WHEN 6 THEN '1:0.5' ELSE '1:' || c0 END,
+      CASE WHEN kind = 3 THEN '1:0' ELSE '2:' || c1 END, '3:' || c2, CASE WHEN kind = 5 THEN '4:NaN' ELSE '4:' || x0 END,
+      CASE WHEN kind = 4 THEN '6:1' ELSE '5:' || x1 END) AS line,
+      CASE kind WHEN 1 THEN 'label: not a number' WHEN 2 THEN 'pair: not index:value' WHEN 3 THEN 'index: not ascending'
+      WHEN 4 THEN 'index: out of range' WHEN 5 THEN 'value: not finite' WHEN 6 THEN 'value: not a code' ELSE '' END AS reasons FROM t""")
+
+
+def sql_sql_function_score() -> str:
+    c = _scores("joint")
+    _threshold_ctes(c, Q.FLAG_RATIO, "score ASC")
+    c.add("lim", "SELECT min(score) AS lo, max(score) AS hi FROM sc")
+    return c.sql(f"SELECT row_id, {rnd('score')} AS score, score <= (SELECT thr FROM th) AS is_anomaly, "
+                 f"{rnd('(score - lo) / (hi - lo)')} AS p0 FROM sc, lim")
+
+
+def sql_threshold_sketch() -> str:
+    """The exact target rank and range; a sketch within its bound gives true."""
+    c = _scores("joint")
+    _threshold_ctes(c, Q.FLAG_RATIO, "score ASC")
+    return c.sql(f"SELECT count(*) AS n, (SELECT k FROM kk) AS target, true AS within_bound, {rnd('min(score)')} AS lo, {rnd('max(score)')} AS hi FROM sc")
+
+
 def sql_topk_anomalies() -> str:
     return _scores("joint").sql(f"SELECT row_id, label, {rnd('score')} AS score FROM sc "
                                 f"ORDER BY score, row_id LIMIT {Q.TOPK}")
@@ -934,6 +997,11 @@ ORACLES = {
     "score_product": sql_score_product,
     "score_joint": sql_score_joint,
     "stream_score_events": sql_stream_score_events,
+    "score_quality": sql_score_quality,
+    "csv_rejects": sql_csv_rejects,
+    "libsvm_rejects": sql_libsvm_rejects,
+    "sql_function_score": sql_sql_function_score,
+    "threshold_sketch": sql_threshold_sketch,
     "topk_anomalies": sql_topk_anomalies,
     "threshold_score": sql_threshold_score,
     "threshold_label_score": sql_threshold_label_score,

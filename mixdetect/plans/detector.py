@@ -18,13 +18,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..operators.encode import leave_one_out_profiles, profile, slot_layout, validate
 from ..operators.gmm import argmax_component, kmeans_means, with_cont_loglik, with_responsibilities
 from ..operators.logistic import with_cat_loglik
 from ..operators.packed import ALL, kmeans_draws, packed_kmeans, packed_rows, run_passes
+from ..operators.quality import observed
 from ..operators.scoring import (combined_score, flag_expr, interpolate_expr, score_range, threshold)
 from ..spec import (DetectorParams, FitHistory, GmmParams, LogisticParams, MixedSpec, SlotLayout,
                     constant_logistic, given_gmm, given_logistic, random_logistic)
@@ -64,6 +65,12 @@ class DetectorModel:
         s = self.score(df)
         return s.withColumn("is_anomaly", flag_expr(F.col("score"), self.threshold, self.params.tail))
 
+    def transform_observed(self, df: DataFrame) -> tuple[DataFrame, Observation]:
+        """``transform`` and an Observation that counts null, non-finite and unseen values, dirty and flagged rows on the
+        way: its ``get`` answers once an action has read the scored rows."""
+        counts = Observation("mixdetect_quality")
+        return observed(self.transform(df), self.spec, self.layout, counts), counts
+
     def predict(self, df: DataFrame) -> DataFrame:
         return self.transform(df).withColumn("prediction", F.col("is_anomaly").cast("int"))
 

@@ -44,6 +44,7 @@ FIT3_RADIUS = 0.35
 MIN_COVAR = 1e-3
 FLAG_RATIO = 0.05
 PARITY_RATIO = 0.2
+QUALITY_THRESHOLD = -3.0
 TOPK = 20
 FOLDS = 5
 DIG = 9  # row-level values from given parameters
@@ -404,6 +405,113 @@ def q_gmm_loglik_wide(spark, sf):
     return t.select("row_id", _r(F.col("loglik")).alias("loglik"))
 
 
+def _given_model(spark, sf, thr=None):
+    """(orders, the model of the given parameters)."""
+    from .plans.detector import DetectorModel
+
+    df, spec, layout, lp, gp = _orders(spark, sf)
+    return df, DetectorModel(spec, layout, lp, gp, DetectorParams(), threshold=thr)
+
+
+def q_score_quality(spark, sf):
+    """Counts of dirty rows that ride on one scoring pass over orders with planted nulls, NaNs, infinities and codes."""
+    df, model = _given_model(spark, sf, QUALITY_THRESHOLD)
+    key = F.col("row_id")
+    dirty = df.withColumns({
+        "x0": F.when(key % 31 == 0, None).when(key % 53 == 0, float("inf")).otherwise(F.col("x0")),
+        "x1": F.when(key % 37 == 0, float("nan")).otherwise(F.col("x1")),
+        "c0": F.when(key % 43 == 0, -1).otherwise(F.col("c0")),
+        "c1": F.when(key % 41 == 0, 9).otherwise(F.col("c1")),
+        "c2": F.when(key % 47 == 0, None).otherwise(F.col("c2"))})
+    scored, counts = model.transform_observed(dirty)
+    scored.write.format("noop").mode("overwrite").save()
+    got = counts.get
+    return spark.createDataFrame([(name, int(got[name])) for name in sorted(got)], "metric string, n long")
+
+
+def _lines_folder(spark, lines, name):
+    """Lines as text files in the shared folder."""
+    import uuid
+
+    from .plans.session import ensure_checkpoint_dir
+
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    lines.write.text(folder)
+    return folder
+
+
+def _order_fields(spark, sf):
+    """Orders as text fields of whole numbers: label, three codes, two values."""
+    df = mixed_orders(spark, sf)
+    whole = {"x0": F.floor(F.col("x0") * 500000.0).cast("string"), "x1": F.col("row_id").cast("string")}
+    return df.select("row_id", F.col("label").cast("string").alias("y"), *[F.col(c).cast("string").alias(c) for c in ("c0", "c1", "c2")],
+                     *[e.alias(c) for c, e in whole.items()])
+
+
+def _split_rows(clean, rejects, to_line):
+    """Rejected lines with their reasons, and the lines that the clean rows stand for."""
+    return rejects.select("line", F.concat_ws("; ", "reasons").alias("reasons")).unionByName(clean.select(to_line.alias("line"), F.lit("").alias("reasons")))
+
+
+def q_csv_rejects(spark, sf):
+    """A written CSV with planted bad lines, split into clean rows and rejects with reasons."""
+    from .sources.rejects import read_csv_with_rejects
+
+    kind = F.col("row_id") % 101
+    t = _order_fields(spark, sf)
+    fields = [F.when(kind == 5, "NaN").otherwise(F.col("y")), F.when(kind == 6, "-1").when(kind == 9, "?").otherwise(F.col("c0")),
+              F.when(kind == 1, "x").otherwise(F.col("c1")), F.when(kind == 7, "1.5").otherwise(F.col("c2")),
+              F.when(kind == 4, "").when(kind == 8, "Infinity").otherwise(F.col("x0")),
+              F.when(kind == 9, "").when(kind == 3, F.concat("x1", F.lit(",7"))).otherwise(F.col("x1"))]
+    lines = t.select(F.when(kind == 2, F.concat_ws(",", *fields[:5])).otherwise(F.concat_ws(",", *fields)).alias("value"))
+    clean, rejects, spec = read_csv_with_rejects(spark, _lines_folder(spark, lines, "csv-rejects"), 3, 5, header=False)
+    cols = ["label", *spec.cat_cols, *spec.cont_cols]
+    return _split_rows(clean, rejects, F.concat_ws(",", *[F.col(c).cast("long") for c in cols]))
+
+
+def q_libsvm_rejects(spark, sf):
+    """Written libsvm lines with planted bad ones, split into clean rows and rejects with reasons."""
+    from .sources.rejects import read_libsvm_with_rejects
+
+    kind = F.col("row_id") % 101
+    t = _order_fields(spark, sf)
+    pairs = [F.concat(F.lit(f"{i}:"), F.col(c)) for i, c in enumerate(("c0", "c1", "c2", "x0", "x1"), 1)]
+    label = F.when(kind == 1, "y").otherwise(F.col("y"))
+    pairs = [F.when(kind == 2, "1").when(kind == 6, "1:0.5").otherwise(pairs[0]), F.when(kind == 3, "1:0").otherwise(pairs[1]), pairs[2],
+             F.when(kind == 5, "4:NaN").otherwise(pairs[3]), F.when(kind == 4, "6:1").otherwise(pairs[4])]
+    lines = t.select(F.concat_ws(" ", label, *pairs).alias("value"))
+    clean, rejects, spec = read_libsvm_with_rejects(spark, _lines_folder(spark, lines, "libsvm-rejects"), 5, 3)
+    cols = [*spec.cat_cols, *spec.cont_cols]
+    line = F.concat_ws(" ", F.col("label").cast("long"), *[F.concat(F.lit(f"{i}:"), F.col(c).cast("long")) for i, c in enumerate(cols, 1)])
+    return _split_rows(clean, rejects, line)
+
+
+def q_sql_function_score(spark, sf):
+    """The model as SQL functions: score, flag and probability inside ``spark.sql``."""
+    from .plans.sql_function import register_score_functions
+
+    df, model = _given_model(spark, sf)
+    scored = model.score(df)
+    model.threshold = threshold(scored, df.count(), FLAG_RATIO)
+    model.score_min, model.score_max = score_range(scored)
+    register_score_functions(spark, model, "mixed_order_score", "mixed_order_flag", "mixed_order_probability")
+    t = spark.sql("SELECT row_id, mixed_order_score(c0, c1, c2, x0, x1) AS score FROM {orders}", orders=df)
+    t = spark.sql("SELECT row_id, score, mixed_order_flag(score) AS is_anomaly, mixed_order_probability(score) AS p0 FROM {scored}", scored=t)
+    return t.select("row_id", _r(F.col("score")).alias("score"), "is_anomaly", _r(F.col("p0")).alias("p0"))
+
+
+def q_threshold_sketch(spark, sf):
+    """Threshold and range from mergeable sketches of the parts of a table, held against the exact ranks."""
+    from .operators.sketches import SKETCH_K, rank_error, rank_report, score_sketch, whole_sketch
+
+    scored = _scored_orders(spark, sf)
+    whole = whole_sketch(score_sketch(scored, by=["c1"]))
+    # three times the sketch's 99 % error: its draws are its own, so the bound must hold at every run
+    report = rank_report(scored, whole, FLAG_RATIO)
+    return report.select("n", "target", (F.col("error") <= 3 * rank_error(SKETCH_K)).alias("within_bound"),
+                         _r(F.col("lo")).alias("lo"), _r(F.col("hi")).alias("hi"))
+
+
 def q_topk_anomalies(spark, sf):
     s = _scored_orders(spark, sf, "joint")
     return top_k(s, TOPK).select("row_id", "label", _r(F.col("score")).alias("score"))
@@ -584,6 +692,11 @@ QUERIES: dict[str, Query] = {
     "score_product": q_score_product,
     "score_joint": q_score_joint,
     "stream_score_events": q_stream_score_events,
+    "score_quality": q_score_quality,
+    "csv_rejects": q_csv_rejects,
+    "libsvm_rejects": q_libsvm_rejects,
+    "sql_function_score": q_sql_function_score,
+    "threshold_sketch": q_threshold_sketch,
     "topk_anomalies": q_topk_anomalies,
     "threshold_score": q_threshold_score,
     "threshold_label_score": q_threshold_label_score,
