@@ -123,7 +123,8 @@ def rank_report(scored: DataFrame, whole: WholeSketch, ratio: float, tail: str =
     """
     at, target = whole.threshold(scored.sparkSession, ratio, tail), whole.target(ratio, tail)
     s = F.col(score).cast("double")
-    counts = scored.where(~F.isnan(s)).agg(F.count_if(s < F.lit(at)).alias("rank_below"), F.count_if(s <= F.lit(at)).alias("rank_up_to"))
+    # a NaN is above every number and a null is not counted
+    counts = scored.agg(F.count_if(s < F.lit(at)).alias("rank_below"), F.count_if(s <= F.lit(at)).alias("rank_up_to"))
     off = F.greatest(F.lit(0), F.col("rank_below") + 1 - target, F.lit(target) - F.col("rank_up_to"))
     return counts.select(F.lit(whole.n).cast("long").alias("n"), F.lit(target).cast("long").alias("target"), "rank_below", "rank_up_to",
                          (off / F.lit(max(whole.n, 1))).alias("error"),
