@@ -32,9 +32,19 @@ def _field_problems(name: str, given: Column, value: Column, is_code: bool) -> l
     return [*out, _problem(F.isnan(value) | (F.abs(value) == float("inf")), f"{name}: not finite")]
 
 
+def _once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that are computed once a row, however often they are read above.
+
+    Spark would substitute their expressions into every use (a filter, each
+    problem, each feature); it does not do so across a generator.
+    """
+    row = F.explode(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))).alias("__once")
+    return df.select("*", row).select(*[c for c in df.columns], *[F.col("__once").getField(name).alias(name) for name in columns])
+
+
 def _split(df: DataFrame, line: Column, file: Column, problems: list[Column], label: str, cats: list[str], conts: list[str],
            id_col: str | None) -> tuple[DataFrame, DataFrame, MixedSpec]:
-    judged = df.withColumns({"__line": line, "__file": file, "__reasons": F.array_compact(F.array(*problems))})
+    judged = _once(df, __line=line, __file=file, __reasons=F.array_compact(F.array(*problems)))
     clean, spec = _canonical(judged.where(F.size("__reasons") == 0), label, cats, conts, id_col)
     rejects = judged.where(F.size("__reasons") > 0).select(F.col("__line").alias("line"), F.col("__reasons").alias("reasons"),
                                                            F.col("__file").alias("file"))
@@ -59,7 +69,7 @@ def read_csv_with_rejects(spark: SparkSession, path: str, first_continuous: int,
            .option("columnNameOfCorruptRecord", CORRUPT).option("columnPruning", False).csv(path))
     # the fields under names of their own: those of the file are numbers
     values = {f"__v{i}": F.expr(f"try_cast(trim(`{c}`) AS DOUBLE)") for i, c in enumerate(names)}
-    df = raw.withColumns(values)
+    df = raw.withColumns(values).withColumn("__path", F.col("_metadata.file_path"))
     malformed = F.col(CORRUPT).isNotNull()
     problems = [_problem(malformed, "wrong number of fields")]
     first = 1 if id_col else 0
@@ -76,7 +86,7 @@ def read_csv_with_rejects(spark: SparkSession, path: str, first_continuous: int,
     # ids beyond 2^53 are no doubles: the id comes from its own text
     if id_col:
         df = df.withColumn("__id", F.expr(f"try_cast(trim(`{id_col}`) AS BIGINT)"))
-    return _split(df, line, F.col("_metadata.file_path"), problems, cols[0], cols[1:1 + first_continuous], cols[1 + first_continuous:],
+    return _split(df, line, F.col("__path"), problems, cols[0], cols[1:1 + first_continuous], cols[1 + first_continuous:],
                   "__id" if id_col else None)
 
 
@@ -92,8 +102,7 @@ def read_libsvm_with_rejects(spark: SparkSession, path: str, n_features: int, fi
     text = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("__path"))
     body = F.trim(F.regexp_replace(F.regexp_replace("value", "#.*$", ""), r"\s+", " "))
     df = text.withColumn("__body", body).where(F.length("__body") > 0).withColumn("__parts", F.split("__body", " "))
-    df = df.withColumn("__label", F.expr("try_cast(__parts[0] AS DOUBLE)"))
-    df = df.withColumn("__pairs", F.expr("""transform(slice(__parts, 2, greatest(size(__parts) - 1, 0)), p ->
+    df = _once(df, __label=F.expr("try_cast(__parts[0] AS DOUBLE)"), __pairs=F.expr("""transform(slice(__parts, 2, greatest(size(__parts) - 1, 0)), p ->
         CASE WHEN p RLIKE '^[0-9]+:[^:]+$' THEN named_struct('i', try_cast(split(p, ':')[0] AS BIGINT), 'v', try_cast(split(p, ':')[1] AS DOUBLE)) END)"""))
     df = df.withColumn("__formed", F.expr("forall(__pairs, p -> p.i IS NOT NULL AND p.v IS NOT NULL)"))
     code = f"p.v >= 0 AND p.v < {MAX_CODE} AND p.v = rint(p.v)"
@@ -111,7 +120,7 @@ def read_libsvm_with_rejects(spark: SparkSession, path: str, n_features: int, fi
                 unless(f"forall(__pairs, p -> p.i > {int(first_continuous)} OR ({code}))", "value: not a code"),
                 unless(f"forall(__pairs, p -> p.i <= {int(first_continuous)} OR ({finite}))", "value: not finite")]
     # only clean lines are looked up, and those have each index once
-    df = df.withColumn("__at", F.expr("transform(__pairs, p -> p.i)"))
+    df = _once(df, __at=F.expr("transform(__pairs, p -> p.i)"))
     names = [f"__v{i}" for i in range(n_features)]
     df = df.withColumns({f"__v{i}": F.expr(f"coalesce(try_element_at(__pairs, nullif(CAST(array_position(__at, {i + 1}L) AS INT), 0)).v, 0.0D)")
                          for i in range(n_features)})
