@@ -153,8 +153,8 @@ def _by_word(found: DataFrame, docs: DataFrame, id_col: str, text_col: str, form
                                  F.explode(F.sequence(F.col("__j"), F.col("__j") + F.col("__len") - 1)).alias("__j")).distinct(),
                     f"decontam-{name}places")
     hit_docs = stored(places.select("__k1", "__k2").distinct(), f"decontam-{name}docs")
-    doc_words = (matching(docs.withColumns({f"__k{i + 1}": c for i, c in enumerate(_keys(id_col, text_col))}), hit_docs)
-                 .select("__k1", "__k2", F.col(text_col).alias("__text")).dropDuplicates(["__k1", "__k2"])
+    doc_words = (matching(docs.select(*_keys(id_col, text_col), F.col(text_col).alias("__text")), hit_docs)
+                 .dropDuplicates(["__k1", "__k2"])
                  .transform(form, "__text", "__form")
                  .select("__k1", "__k2", F.posexplode(_split(F.col("__form"))).alias("__i", "__doc")))
     return places.withColumn("__i", (F.col("__diag") + F.col("__j")).cast("int")), doc_words
@@ -247,5 +247,6 @@ def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
 def drop_contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents that share no template of the benchmark, all columns unchanged."""
     found = stored(matches(docs, bench, id_col, text_col, **options).select("__k1", "__k2").distinct(), "decontam-found")
-    keyed = docs.withColumns({f"__k{i + 1}": c for i, c in enumerate(_keys(id_col, text_col))})
-    return matching(keyed, found, "left_anti").drop("__k1", "__k2")
+    # whole rows are one struct, so that their names cannot clash with those used here
+    keyed = docs.select(F.struct("*").alias("__row"), *_keys(id_col, text_col))
+    return matching(keyed, found, "left_anti").select("__row.*")

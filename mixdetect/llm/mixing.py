@@ -134,12 +134,13 @@ def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def numbered(df: DataFrame) -> DataFrame:
         return df.withColumn("__n", F.row_number().over(Window.partitionBy("__m1", "__m2").orderBy("__m1")))
 
-    keyed = docs.select("*", *keys())
-    ids = keyed.select(F.struct("__m1", "__m2", id_col).alias("__id"), F.col(text_col).alias("__t"), F.col(source_col).alias("__s"))
-    chosen = (mix(ids, "__id", "__t", "__s", order_id=F.col("doc_id")[id_col], **options).where("copies > 0")
+    # whole rows are one struct, so that their names cannot clash with those used here
+    keyed = docs.select(F.struct("*").alias("__row"), *keys())
+    ids = docs.select(F.struct(*keys(), F.col(id_col).alias("__own")).alias("__id"), F.col(text_col).alias("__t"), F.col(source_col).alias("__s"))
+    chosen = (mix(ids, "__id", "__t", "__s", order_id=F.col("doc_id")["__own"], **options).where("copies > 0")
               .select("doc_id.__m1", "doc_id.__m2", "copies"))
     chosen = numbered(chosen).select(F.col("__m1").alias("__c1"), F.col("__m2").alias("__c2"), F.col("__n").alias("__cn"),
                                      F.col("copies").alias("__copies"))
     on = (F.col("__m1") == F.col("__c1")) & (F.col("__m2") == F.col("__c2")) & (F.col("__n") == F.col("__cn"))
     return (numbered(keyed).join(chosen, on).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-            .select(*docs.columns))
+            .select("__row.*"))

@@ -436,17 +436,19 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", length_col: str | No
             out.append(cut(raw, merged(s, len(raw))).decode("utf-8", "ignore"))
         return pd.Series(out)
 
-    names = docs.columns
-    keyed = docs.withColumns({f"__{c}": e for c, e in zip(("k1", "k2"), text_key(text_col), strict=True)})
+    # whole rows are one struct, so that their names cannot clash with those used here
+    keyed = docs.select(F.struct("*").alias("__row"), *[e.alias(f"__{c}") for c, e in zip(("k1", "k2"), text_key(text_col), strict=True)])
+    text = F.col("__row").getField(text_col)
     found = spans.select(F.col("s1").alias("__s1"), F.col("s2").alias("__s2"), F.col("spans").alias("__spans"))
     joined = keyed.join(found, (F.col("__k1") == F.col("__s1")) & (F.col("__k2") == F.col("__s2"))
-                        & (F.octet_length(text_col) >= LENGTH), "left")
+                        & (F.octet_length(text) >= LENGTH), "left")
     # only texts with spans go through Python
-    new = F.when(F.col("__spans").isNotNull(), shorten(F.coalesce(F.when(F.col("__spans").isNotNull(), F.col(text_col)), F.lit("")),
-                                                       F.coalesce("__spans", F.array().cast("array<struct<first:bigint,last:bigint>>"))))
+    touched = F.col("__spans").isNotNull()
+    new = F.when(touched, shorten(F.coalesce(F.when(touched, text), F.lit("")),
+                                  F.coalesce("__spans", F.array().cast("array<struct<first:bigint,last:bigint>>"))))
     out = joined.withColumn("__new", new)
-    out = out.withColumn(text_col, F.when(F.col("__spans").isNotNull(), F.col("__new")).otherwise(F.col(text_col)))
+    changed = {text_col: F.col("__new")}
     if length_col:
-        out = out.withColumn(length_col, F.when(F.col("__spans").isNotNull(), F.char_length(text_col).cast(dict(docs.dtypes)[length_col]))
-                             .otherwise(F.col(length_col)))
-    return out.select(*names)
+        changed[length_col] = F.char_length("__new").cast(dict(docs.dtypes)[length_col])
+    old = {c: F.col("__row").getField(c) for c in docs.columns}
+    return out.select(*[(F.when(touched, changed[c]).otherwise(old[c]) if c in changed else old[c]).alias(c) for c in docs.columns])

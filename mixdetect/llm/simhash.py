@@ -263,8 +263,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "__k1", "__k2")).alias("m")
     stays = fps.join(table, F.col("fp") == F.col("__fp")).groupBy("root").agg(first).select(
         F.col("m.__k1").alias("__s1"), F.col("m.__k2").alias("__s2"))
-    keyed = docs.withColumns({f"__k{i + 1}": c for i, c in enumerate(_row_key(id_col, text_col))})
+    # whole rows are one struct, so that their names cannot clash with those used here
+    keyed = docs.select(F.struct("*").alias("__row"), *_row_key(id_col, text_col))
     # repeated rows share their key: one of them stays
-    one = F.row_number().over(Window.partitionBy("__k1", "__k2").orderBy(F.xxhash64(*docs.columns)))
+    one = F.row_number().over(Window.partitionBy("__k1", "__k2").orderBy(F.xxhash64("__row")))
     return (keyed.join(stays, (F.col("__k1") == F.col("__s1")) & (F.col("__k2") == F.col("__s2")), "left_semi")
-            .withColumn("__one", one).where("__one = 1").drop("__k1", "__k2", "__one"))
+            .withColumn("__one", one).where("__one = 1").select("__row.*"))

@@ -26,7 +26,8 @@ def clashing():
 
     def add(df):
         names = ["size", "target", "taken", "fp", "fingerprint", "component_id", "kept", "k1", "k2", "a", "f", "n", "word", "c", "rid",
-                 "spans", "length", "n_docs", "shard", "node", "root", "u", "v", "row", "y", "id", "item_id", "covered", "copies", "weight"]
+                 "spans", "length", "n_docs", "shard", "node", "root", "u", "v", "row", "y", "id", "item_id", "covered", "copies", "weight",
+                 "__k1", "__k2", "__s1", "__m1", "__c1", "__n", "__one", "__row", "__t", "__text", "__new", "__spans", "__i", "__copies"]
         return df.withColumns({x: F.lit("x") for x in names if x not in df.columns})
 
     return add

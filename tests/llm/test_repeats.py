@@ -71,7 +71,9 @@ def test_remove(frame, prose, clashing):
     docs = clashing(frame([(k if k else None, t) for k, t in enumerate(texts)]))
     out = repeats.remove_repeats(docs, length_col="n_chars")
     assert out.columns == docs.columns
-    got = {r.doc_id: (r.text, r.n_chars) for r in out.collect()}
+    left = out.collect()
+    assert all(r[c] == "x" for r in left for c in ("__k1", "__spans", "__new", "__row"))
+    got = {r.doc_id: (r.text, r.n_chars) for r in left}
     for k, (w, t) in enumerate(zip(brute(texts), texts)):
         left = t if w[1] == 0 else w[4].decode("utf-8", "ignore")
         assert got[k if k else None] == (left, None if left is None else len(left)), k
