@@ -32,9 +32,19 @@ def _field_problems(name: str, given: Column, value: Column, is_code: bool) -> l
     return [*out, _problem(F.isnan(value) | (F.abs(value) == float("inf")), f"{name}: not finite")]
 
 
-def _split(df: DataFrame, line: Column, file: Column, problems: list[Column], label: str, cats: list[str], conts: list[str],
+def _once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that are computed once a row, however often they are read above.
+
+    Spark would substitute their expressions into every use (a filter, each
+    problem, each feature); it does not do so across a generator.
+    """
+    row = F.explode(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))).alias("__once")
+    return df.select("*", row).select(*df.columns, *[F.col("__once").getField(name).alias(name) for name in columns])
+
+
+def _split(df: DataFrame, line: Column, file: Column, reasons: Column, label: str, cats: list[str], conts: list[str],
            id_col: str | None) -> tuple[DataFrame, DataFrame, MixedSpec]:
-    judged = df.withColumns({"__line": line, "__file": file, "__reasons": F.array_compact(F.array(*problems))})
+    judged = df.withColumns({"__line": line, "__file": file, "__reasons": reasons})
     clean, spec = _canonical(judged.where(F.size("__reasons") == 0), label, cats, conts, id_col)
     rejects = judged.where(F.size("__reasons") > 0).select(F.col("__line").alias("line"), F.col("__reasons").alias("reasons"),
                                                            F.col("__file").alias("file"))
@@ -76,7 +86,7 @@ def read_csv_with_rejects(spark: SparkSession, path: str, first_continuous: int,
     # ids beyond 2^53 are no doubles: the id comes from its own text
     if id_col:
         df = df.withColumn("__id", F.expr(f"try_cast(trim(`{id_col}`) AS BIGINT)"))
-    return _split(df, line, F.col("_metadata.file_path"), problems, cols[0], cols[1:1 + first_continuous], cols[1 + first_continuous:],
+    return _split(df, line, F.col("_metadata.file_path"), F.array_compact(F.array(*problems)), cols[0], cols[1:1 + first_continuous], cols[1 + first_continuous:],
                   "__id" if id_col else None)
 
 
@@ -90,14 +100,19 @@ def read_libsvm_with_rejects(spark: SparkSession, path: str, n_features: int, fi
     with nothing else are skipped.
     """
     text = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("__path"))
-    body = F.trim(F.regexp_replace(F.regexp_replace("value", "#.*$", ""), r"\s+", " "))
-    df = text.withColumn("__body", body).where(F.length("__body") > 0).withColumn("__parts", F.split("__body", " "))
-    df = df.withColumn("__label", F.expr("try_cast(__parts[0] AS DOUBLE)"))
-    df = df.withColumn("__pairs", F.expr("""transform(slice(__parts, 2, greatest(size(__parts) - 1, 0)), p ->
-        CASE WHEN p RLIKE '^[0-9]+:[^:]+$' THEN named_struct('i', try_cast(split(p, ':')[0] AS BIGINT), 'v', try_cast(split(p, ':')[1] AS DOUBLE)) END)"""))
-    df = df.withColumn("__formed", F.expr("forall(__pairs, p -> p.i IS NOT NULL AND p.v IS NOT NULL)"))
-    code = f"p.v >= 0 AND p.v < {MAX_CODE} AND p.v = rint(p.v)"
-    finite = "NOT isnan(p.v) AND abs(p.v) < double('infinity')"
+    body = F.translate(F.substring_index("value", "#", 1), "\t\x0b\x0c\r", "    ")
+    body = F.trim(F.when(F.contains(body, F.lit("  ")), F.regexp_replace(body, " ++", " ")).otherwise(body))
+    df = _once(text, __body=body).where("__body <> ''")
+    # after the label; "" for a line of a label alone
+    df = _once(df, __rest=F.expr("CASE WHEN instr(__body, ' ') > 0 THEN substring(__body, instr(__body, ' ') + 1) ELSE '' END"))
+    pairs = r"__rest = '' OR __rest RLIKE '^[0-9]++:[^: ]++(?: [0-9]++:[^: ]++)*+$'"
+    df = _once(df, __label=F.expr("try_cast(substring_index(__body, ' ', 1) AS DOUBLE)"),
+               __cells=F.expr(f"CASE WHEN __rest = '' THEN array() WHEN {pairs} THEN split(__rest, '[ :]') END"))
+    df = _once(df, __at=F.expr("transform(filter(__cells, (x, k) -> k % 2 = 0), x -> try_cast(x AS BIGINT))"),
+               __val=F.expr("transform(filter(__cells, (x, k) -> k % 2 = 1), x -> try_cast(x AS DOUBLE))"))
+    df = df.withColumn("__formed", F.expr("__cells IS NOT NULL AND forall(__at, i -> i IS NOT NULL) AND forall(__val, v -> v IS NOT NULL)"))
+    code = f"v >= 0 AND v < {MAX_CODE} AND v = rint(v)"
+    finite = "NOT isnan(v) AND abs(v) < double('infinity')"
 
     def unless(condition: str, reason: str) -> Column:
         return F.when(F.col("__formed") & ~F.expr(condition), F.lit(reason))
@@ -105,14 +120,13 @@ def read_libsvm_with_rejects(spark: SparkSession, path: str, n_features: int, fi
     label = F.col("__label")
     problems = [_problem(label.isNull(), "label: not a number"), _problem(F.isnan(label) | (F.abs(label) == float("inf")), "label: not finite"),
                 _problem(~F.col("__formed"), "pair: not index:value"),
-                unless(f"forall(__pairs, p -> p.i BETWEEN 1 AND {int(n_features)})", "index: out of range"),
-                unless("forall(sequence(2, greatest(size(__pairs), 2)), k -> size(__pairs) < k OR __pairs[k - 2].i < __pairs[k - 1].i)",
-                       "index: not ascending"),
-                unless(f"forall(__pairs, p -> p.i > {int(first_continuous)} OR ({code}))", "value: not a code"),
-                unless(f"forall(__pairs, p -> p.i <= {int(first_continuous)} OR ({finite}))", "value: not finite")]
+                unless(f"forall(__at, i -> i BETWEEN 1 AND {int(n_features)})", "index: out of range"),
+                unless("forall(zip_with(__at, slice(__at, 2, size(__at)), (i, j) -> j IS NULL OR i < j), x -> x)", "index: not ascending"),
+                unless(f"forall(zip_with(__at, __val, (i, v) -> i > {int(first_continuous)} OR ({code})), x -> x)", "value: not a code"),
+                unless(f"forall(zip_with(__at, __val, (i, v) -> i <= {int(first_continuous)} OR ({finite})), x -> x)", "value: not finite")]
     # only clean lines are looked up, and those have each index once
-    df = df.withColumn("__at", F.expr("transform(__pairs, p -> p.i)"))
     names = [f"__v{i}" for i in range(n_features)]
-    df = df.withColumns({f"__v{i}": F.expr(f"coalesce(try_element_at(__pairs, nullif(CAST(array_position(__at, {i + 1}L) AS INT), 0)).v, 0.0D)")
-                         for i in range(n_features)})
-    return _split(df, F.col("value"), F.col("__path"), problems, "__label", names[:first_continuous], names[first_continuous:], None)
+    looked = {f"__v{i}": F.expr(f"coalesce(try_element_at(__val, nullif(CAST(array_position(__at, {i + 1}L) AS INT), 0)), 0.0D)")
+              for i in range(n_features)}
+    df = _once(df, __why=F.array_compact(F.array(*problems))).withColumns(looked)
+    return _split(df, F.col("value"), F.col("__path"), F.col("__why"), "__label", names[:first_continuous], names[first_continuous:], None)

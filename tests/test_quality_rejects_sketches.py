@@ -132,6 +132,17 @@ def test_libsvm_rejects(spark):
         "0 1:1:2": ["pair: not index:value"], "0 4:7 3:2": ["index: not ascending"], "0 0:1": ["index: out of range"]}
 
 
+def test_libsvm_spaces_labels_with_colons_and_long_lines(spark):
+    long = "0 " + " ".join(f"{i}:1" for i in range(1, 20_001))
+    path = _file("1\t1:2 \t 4:5#x\n1:1 2:1\n0 1 :2\n0 -1:2\n0 1:\n0 99999999999999999999:1\n" + long + "\n" + long + ":2\n")
+    clean, rejects, _ = read_libsvm_with_rejects(spark, path, 4, 2)
+    assert [tuple(r) for r in clean.select("label", "c0", "c1", "x0", "x1").collect()] == [(1.0, 2.0, 0.0, 0.0, 5.0)]
+    pair = ["pair: not index:value"]
+    assert {r["line"]: r["reasons"] for r in rejects.collect()} == {
+        "1:1 2:1": ["label: not a number"], "0 1 :2": pair, "0 -1:2": pair, "0 1:": pair, "0 99999999999999999999:1": pair,
+        long: ["index: out of range"], long + ":2": pair}
+
+
 def test_csv_job_writes_rejects_and_fits_the_rest(spark):
     from mixdetect.plans.csv_job import fit_and_evaluate
 
