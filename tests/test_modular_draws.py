@@ -5,9 +5,10 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from mixdetect.functions.columns import (HASH_RANGE, STREAM_KMEANS, STREAM_SELECT, STREAM_SLOT, modular_hash, modular_uniform,
+from mixdetect.functions.columns import (HASH_PRIMES, HASH_RANGE, STREAM_KMEANS, STREAM_SELECT, STREAM_SLOT, modular_hash, modular_uniform,
                                          selection_cutoff)
 from mixdetect.operators.logistic import hot_slot_sql, minibatch_fraction, minibatches
+from mixdetect.operators.packed import ALL, kmeans_draws
 from mixdetect.plans import crossval
 from mixdetect.plans.sgd import SgdModel, drawn_rows
 from mixdetect.spec import DetectorParams, LogisticParams, MixedSpec, SlotLayout
@@ -77,3 +78,12 @@ def test_folds_are_dealt_to_several_tasks(spark, monkeypatch):
     got = crossval.cross_validate(df, SPEC, params, 3).collect()
     assert sum(r["n_pos"] + r["n_neg"] for r in got) == 300 and all(math.isfinite(r["auc"]) for r in got)
     assert seen[0] > 1
+
+
+def test_hashes_of_a_fit_stand_in_no_filter_or_packing_expression(rows):
+    """As expressions they repeat their argument in every product, too long to be compiled."""
+    drawn = drawn_rows(rows, SPEC, _models([240], [ALL]), None, 50, 20, 42, "modular")
+    plan = drawn._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter" in line and str(HASH_PRIMES[0]) in line]
+    packed = rows.select("*", *kmeans_draws(SPEC, 42, "modular"))._jdf.queryExecution().executedPlan().toString()
+    assert str(HASH_PRIMES[0]) not in packed and packed.count("ArrowEvalPython") == 1
